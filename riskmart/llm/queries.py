@@ -24,6 +24,13 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digests(spark, path)
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskmart.llm import simhash
+
+    found = simhash.near_duplicates(common.table(spark, sf_dir, "documents"), shingle=3)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from riskmart.llm import substrings
 
@@ -34,6 +41,7 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op4_token_files": op4_token_files,
+    "op5_simhash": op5_simhash,
     "op7_substring_dedup": op7_substring_dedup,
 }
 
