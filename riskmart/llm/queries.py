@@ -38,11 +38,18 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskmart.llm import embeddings
+
+    return embeddings.near_duplicates(common.table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op4_token_files": op4_token_files,
     "op5_simhash": op5_simhash,
     "op7_substring_dedup": op7_substring_dedup,
+    "op10_embeddings": op10_embeddings,
 }
 
 ORACLES: dict[str, str] = {}
