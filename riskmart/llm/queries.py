@@ -38,6 +38,12 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskmart.llm import decontamination
+
+    return decontamination.contaminated(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
 def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from riskmart.llm import embeddings
 
@@ -49,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_files": op4_token_files,
     "op5_simhash": op5_simhash,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_decontamination": op8_decontamination,
     "op10_embeddings": op10_embeddings,
 }
 
