@@ -16,6 +16,23 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(common.table(spark, sf_dir, "documents"))
 
 
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskmart.llm import langid
+
+    docs = common.table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(~common.held_out()))
+    found = langid.predict(docs.select("doc_id", "text"), model).select("doc_id", "lang_pred", F.col("lang_score").alias("score"))
+    return found.select("doc_id", common.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskmart.llm import quality
+
+    x = common.materialise(quality.features(common.table(spark, sf_dir, "documents")), "statistics")
+    model = quality.fit(x, common.table(spark, sf_dir, "labels").where(~common.held_out()))
+    return quality.score(x, model).select("doc_id", common.held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from riskmart.llm import token_files
 
@@ -52,6 +69,8 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_langid": op2_langid,
+    "op3_quality": op3_quality,
     "op4_token_files": op4_token_files,
     "op5_simhash": op5_simhash,
     "op7_substring_dedup": op7_substring_dedup,
