@@ -48,6 +48,13 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskmart.llm import licenses
+
+    found = licenses.scan(common.table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "rule", "license", "n_matches", F.array_join("sentence_ids", ",").alias("sentence_ids"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from riskmart.llm import substrings
 
@@ -73,9 +80,38 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": op3_quality,
     "op4_token_files": op4_token_files,
     "op5_simhash": op5_simhash,
+    "op6_licenses": op6_licenses,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_decontamination": op8_decontamination,
     "op10_embeddings": op10_embeddings,
 }
 
-ORACLES: dict[str, str] = {}
+def _licenses_sql() -> str:
+    """Sentences as rows of their own, joined with the known ones, and put together again by document."""
+    from riskmart.llm.licenses import RULES, SENTENCES
+
+    def text(x: str) -> str:
+        return "'" + x.replace("'", "''") + "'"
+
+    def normalised(x: str) -> str:
+        return f"regexp_replace(regexp_replace(translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\p{{L}}\\p{{N}}.]+', ' ', 'g'), '^[ .]+|[ .]+$', '', 'g')"
+
+    known = ", ".join(f"({text(x)}, {text(k)})" for k, xs in SENTENCES.items() for x in xs)
+    keys = {rule: "".join(f"|{x}|" for x in seq) for rule, _, seq in RULES}
+    rules = ", ".join(f"({text(rule)}, {text(license_)}, {text(keys[rule])})" for rule, license_, _ in RULES)
+    return f"""
+    WITH known AS (SELECT DISTINCT {normalised("t")} AS sentence, id FROM (VALUES {known}) v(t, id)),
+    rules(rule, license, key) AS (VALUES {rules}),
+    docs AS (SELECT doc_id, row_number() OVER () AS r, string_split_regex(regexp_replace(text, '([.;:])[ \\t\\x0B\\f]+', '\\1\n', 'g'), '[\\n\\r]+') AS parts FROM documents),
+    sentences AS (SELECT doc_id, r, generate_subscripts(parts, 1) AS n, unnest(parts) AS part FROM docs),
+    ids AS (SELECT r, doc_id, list(id ORDER BY n) AS ids FROM sentences JOIN known ON {normalised("part")} = sentence GROUP BY r, doc_id),
+    hits AS (SELECT r, doc_id, ids, rule, license, key, (length(j) - length(replace(j, key, ''))) // length(key) AS n
+             FROM (SELECT *, '|' || array_to_string(ids, '||') || '|' AS j FROM ids) CROSS JOIN rules),
+    own AS (SELECT h.r, h.doc_id, h.ids, h.rule, h.license, h.n - coalesce(sum(l.n), 0) AS n FROM hits h
+            LEFT JOIN hits l ON l.r = h.r AND l.key <> h.key AND contains(l.key, h.key)
+                AND NOT EXISTS (SELECT 1 FROM rules m WHERE m.key <> l.key AND contains(m.key, l.key))
+            GROUP BY h.r, h.doc_id, h.ids, h.rule, h.license, h.key, h.n)
+    SELECT doc_id, rule, license, CAST(n AS BIGINT) AS n_matches, array_to_string(ids, ',') AS sentence_ids FROM own WHERE n > 0"""
+
+
+ORACLES: dict[str, str] = {"op6_licenses": _licenses_sql()}
