@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
 import zlib
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +19,25 @@ SLICE_BYTES = 4_000_000
 _FALLBACK_DIR = "/tmp/riskmart-checkpoints"
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for an application: their Python need not have it."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    _shipped.add(app)
+    package = Path(__file__).resolve().parent.parent
+    if package.suffix == ".zip" or not package.is_dir():
+        return
+    path = Path(tempfile.mkdtemp(prefix="riskmart-")) / f"{package.name}-package.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(path))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -52,9 +74,10 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def as_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id long, text string): all that an operator needs, whatever else and under whatever names df has."""
-    return df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"))
+def as_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id long, text string): all that an operator needs, whatever else and under whatever names df has; columns in carry come along as carry_<name>."""
+    ship(df.sparkSession)
+    return df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"), *[df[c].alias(f"carry_{c}") for c in carry])
 
 
 def held_out(col: str = "doc_id"):

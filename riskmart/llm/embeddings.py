@@ -164,6 +164,7 @@ def _first_projection(batches):
 
 def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, tile: int = TILE, id_col: str = "vec_id", label_col: str = "label", vector_col: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id, kept of every row."""
+    common.ship(df.sparkSession)
     rows = df.select(df[id_col].cast("long").alias("vec_id"), df[label_col].cast("long").alias("label"), df[vector_col].cast("array<double>").alias("embedding"))
     fit = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     rows = rows.withColumn("fit", F.coalesce(fit, F.lit(False)))

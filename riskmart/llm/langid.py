@@ -97,6 +97,7 @@ class Model:
 
 def fit(df: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """From all rows of df with a language."""
+    common.ship(df.sparkSession)
     rows = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"), df[lang_col].cast("string").alias("lang")).where("lang is not null and text is not null")
     counts = sorted(rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect())
     languages = [r.lang for r in counts]
@@ -123,6 +124,7 @@ def fit(df: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: s
 
 def predict(df: DataFrame, model: Model, text_col: str = "text", lang_name: str = "lang_pred", score_name: str = "lang_score") -> DataFrame:
     """df with two more columns (which replace those of these names)."""
+    common.ship(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
     df = df.drop(lang_name, score_name)
     schema = T.StructType([*df.schema.fields, T.StructField(lang_name, T.StringType()), T.StructField(score_name, T.DoubleType())])

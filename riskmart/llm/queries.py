@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -68,24 +69,43 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents found toxic, with the probabilities of all categories."""
+    from riskmart.llm import toxicity
+
+    docs = common.table(spark, sf_dir, "documents")
+    labels = toxicity.sample_labels(common.table(spark, sf_dir, "labels").where("toxic is not null").where(~common.held_out()))
+    chain = toxicity.fit(toxicity.weak_categories(docs, F.broadcast(labels)))
+    return toxicity.predict(docs, chain).where("is_toxic")
+
+
 def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from riskmart.llm import embeddings
 
     return embeddings.near_duplicates(common.table(spark, sf_dir, "embeddings"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        common.ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_packing": op1_packing,
-    "op2_langid": op2_langid,
-    "op3_quality": op3_quality,
-    "op4_token_files": op4_token_files,
-    "op5_simhash": op5_simhash,
-    "op6_licenses": op6_licenses,
-    "op7_substring_dedup": op7_substring_dedup,
-    "op8_decontamination": op8_decontamination,
-    "op10_embeddings": op10_embeddings,
+    f.__name__: _shipped(f)
+    for f in (op1_packing, op2_langid, op3_quality, op4_token_files, op5_simhash, op6_licenses, op7_substring_dedup, op8_decontamination, op9_toxicity, op10_embeddings, pipeline)
 }
 
+
 def _licenses_sql() -> str:
     """Sentences as rows of their own, joined with the known ones, and put together again by document."""
     from riskmart.llm.licenses import RULES, SENTENCES

@@ -74,9 +74,11 @@ def _kept(data: np.ndarray, offsets: np.ndarray, found: words.Words, gone: np.nd
     return pa.Array.from_buffers(pa.large_string(), len(offsets) - 1, [None, pa.py_buffer(lengths.astype(np.int64)), pa.py_buffer(out)])
 
 
-def remove_repeats(df: DataFrame, size: int = SIZE, one_space: bool = True, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """doc_id, kept (text), n_words, n_removed and removed: intervals [first, last] of word numbers, as one flat array."""
-    docs = common.as_text(df, id_col, text_col)
+def remove_repeats(df: DataFrame, size: int = SIZE, one_space: bool = True, carry: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """doc_id, kept (text), n_words, n_removed, removed (intervals [first, last] of word numbers, as one flat array) and df's columns in carry, in front
+    of which stands `carry_`."""
+    docs = common.as_text(df, id_col, text_col, carry)
+    carried = "".join(f", `carry_{c}` {df.schema[c].dataType.simpleString()}" for c in carry)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_chunks = max(1, -(-total // chunk_bytes))
     n_ranges = max(1, -(-total // 6 * 8 // range_bytes))  # a word is six bytes, about
@@ -130,9 +132,8 @@ def remove_repeats(df: DataFrame, size: int = SIZE, one_space: bool = True, id_c
             origin = np.repeat(found.first[:-1], np.diff(per))
             spans = np.stack([begin - origin, last - origin], 1).ravel()
             removed = np.concatenate([[0], np.cumsum(gone)])[found.first]
-            out.append(pa.table({"doc_id": batch.column(batch.schema.get_field_index("doc_id")), "kept": _kept(data, offsets, found, gone, one_space).cast(pa.string()), "n_words": pa.array(np.diff(found.first), pa.int64()), "n_removed": pa.array(np.diff(removed), pa.int64()), "removed": pa.ListArray.from_arrays(pa.array(per * 2, pa.int32()), pa.array(spans, pa.int64()))}))
-        schema = pa.schema([("doc_id", pa.int64()), ("kept", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("removed", pa.list_(pa.int64()))])
-        return pa.concat_tables([t.cast(schema) for t in out]) if out else schema.empty_table()
+            out.append(pa.table({"doc_id": batch.column(batch.schema.get_field_index("doc_id")), "kept": _kept(data, offsets, found, gone, one_space).cast(pa.string()), "n_words": pa.array(np.diff(found.first), pa.int64()), "n_removed": pa.array(np.diff(removed), pa.int64()), "removed": pa.ListArray.from_arrays(pa.array(per * 2, pa.int32()), pa.array(spans, pa.int64())), **{f"carry_{c}": batch.column(batch.schema.get_field_index(f"carry_{c}")) for c in carry}}))
+        return pa.concat_tables(out)
 
     met = chunked.groupBy("chunk").applyInArrow(send, "chunk long, range long, hashes binary").groupBy("range").applyInArrow(meet, _BITS)
-    return chunked.groupBy("chunk").cogroup(met.groupBy("chunk")).applyInArrow(cut, "doc_id long, kept string, n_words long, n_removed long, removed array<long>")
+    return chunked.groupBy("chunk").cogroup(met.groupBy("chunk")).applyInArrow(cut, f"doc_id long, kept string, n_words long, n_removed long, removed array<long>{carried}")
