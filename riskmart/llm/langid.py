@@ -27,6 +27,7 @@ ORDERS, BUCKETS = (1, 2, 3), 1 << 16
 SAMPLE, MOST_LANGUAGES, SMOOTHING = 3000, 200, 0.5
 UNKNOWN = "und"
 _TASKS = 8
+_BLOCK = 1 << 19
 _tables: list[np.ndarray] = []
 _FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1], np.uint32)
 
@@ -46,33 +47,32 @@ def _classes() -> tuple[np.ndarray, np.ndarray]:
     return _tables[0], _tables[1]
 
 
-def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets of all n-grams, the number of each one's text, and the number of letters of each text."""
+def characters(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Normalised characters of all texts, the number of each one's text, and the number of letters of each text."""
     lower, letter = _classes()
     data, offsets = common.text_bytes(texts)
     codes = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le", "replace"), np.uint32)
-    chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
-    text = np.repeat(np.arange(len(texts)), np.diff(chars))
+    chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80, dtype=np.int64)])[offsets]
+    text = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(chars))
     is_letter = letter[codes]
     letters = np.bincount(text[is_letter], minlength=len(texts))
     codes = np.where(is_letter, lower[codes], np.uint32(32))
     keep = is_letter.copy()
     keep[1:] |= is_letter[:-1] | (text[1:] != text[:-1])
-    codes, text = codes[keep], text[keep]
-    found, owner = [], []
+    return codes[keep], text[keep], letters
+
+
+def grams(codes: np.ndarray, text: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(bucket, number of the text) of all n-grams, in blocks that bound the memory however long a text is."""
     for n in ORDERS:
-        if len(codes) < n:
-            continue
-        m = len(codes) - n + 1
-        h = np.full(m, n, np.uint32)
-        for k in range(n):
-            h = (h ^ codes[k : k + m]) * _FACTORS[k]
-            h ^= h >> np.uint32(15)
-        same = text[:m] == text[n - 1 :]
-        found.append((h & np.uint32(BUCKETS - 1))[same])
-        owner.append(text[:m][same])
-    none = np.empty(0, np.int64)
-    return np.concatenate(found or [none]), np.concatenate(owner or [none]), letters
+        for a in range(0, len(codes) - n + 1, _BLOCK):
+            m = min(_BLOCK, len(codes) - n + 1 - a)
+            h = np.full(m, n, np.uint32)
+            for k in range(n):
+                h = (h ^ codes[a + k : a + k + m]) * _FACTORS[k]
+                h ^= h >> np.uint32(15)
+            same = text[a : a + m] == text[a + n - 1 : a + n - 1 + m]
+            yield (h & np.uint32(BUCKETS - 1))[same], text[a : a + m][same]
 
 
 @dataclass
@@ -82,13 +82,18 @@ class Model:
     log_p: np.ndarray  # BUCKETS x languages
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
-        bucket, owner, letters = grams(texts)
-        if not self.languages:
+        codes, text, letters = characters(texts)
+        n = len(self.languages)
+        if not n:
             return [UNKNOWN] * len(texts), np.zeros(len(texts))
-        # Sparse counts: a row for each text and bucket that it has.
-        key, count = np.unique(owner * BUCKETS + bucket, return_counts=True)
-        row, column = key // BUCKETS, key % BUCKETS
-        total = np.stack([np.bincount(row, count * self.log_p[column, k], len(texts)) for k in range(len(self.languages))], 1) / len(ORDERS) + self.prior
+        total = np.zeros((len(texts), n))
+        for bucket, owner in grams(codes, text):
+            # Sparse counts: a row for each text and bucket that it has.
+            key, count = np.unique(owner.astype(np.int64) * BUCKETS + bucket, return_counts=True)
+            row, column = key // BUCKETS, key % BUCKETS
+            for k in range(n):
+                total[:, k] += np.bincount(row, count * self.log_p[column, k], len(texts))
+        total = total / len(ORDERS) + self.prior
         best = total.argmax(1)
         score = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
         known = letters > 0
@@ -110,9 +115,10 @@ def fit(df: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: s
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(languages), BUCKETS), np.int64)
         for batch, texts in common.slices(batches):
-            bucket, owner, _ = grams(texts)
+            codes, text, _ = characters(texts)
             lang = np.array([languages.index(x) for x in batch.column(2).to_pylist()])
-            np.add.at(total, (lang[owner], bucket), 1)
+            for bucket, owner in grams(codes, text):
+                total += np.bincount(lang[owner] * BUCKETS + bucket, minlength=total.size).reshape(total.shape)
         yield pa.record_batch({"lang": pa.array(range(len(languages)), pa.int32()), "counts": pa.array([x.tobytes() for x in total], pa.binary())})
 
     total = np.full((BUCKETS, len(languages)), SMOOTHING)
