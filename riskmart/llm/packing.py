@@ -90,7 +90,7 @@ def pieces(df: DataFrame, tokenizer: str | None = None, length: int = LENGTH, en
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = tokens.encoder(tokenizer)
-        for batch, texts in common.slices(batches):
+        for batch, texts in common.slices(batches, most=tokens.SLICE_BYTES):
             ids, offsets = enc.encode(texts)
             out = []
             for doc_id, a, b in zip(batch.column(0).to_pylist(), offsets[:-1], offsets[1:], strict=True):

@@ -42,7 +42,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str | None = None, sample: int
 
     def encode(batches):
         enc = tokens.encoder(tokenizer)
-        for batch, texts in common.slices(batches):
+        for batch, texts in common.slices(batches, most=tokens.SLICE_BYTES):
             ids, offsets = enc.encode(texts)
             yield pa.record_batch({"ids": [_serialised(ids[a:b], 2 if ids.max(initial=0) < 65536 else 4) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]})
 
@@ -80,7 +80,7 @@ def write(df: DataFrame, path: str, tokenizer: str | None = None, end_id: int =
     def encode(batches):
         enc, zstd = tokens.encoder(tokenizer), _compressor(dictionary)
         rows, blobs, offset = [], [], 0
-        for batch, texts in common.slices(batches):
+        for batch, texts in common.slices(batches, most=tokens.SLICE_BYTES):
             ids, offsets = enc.encode(texts)
             for doc_id, a, b in zip(batch.column(0).to_pylist(), offsets[:-1], offsets[1:], strict=True):
                 own = np.append(ids[a:b], np.uint32(end_id))

@@ -18,6 +18,8 @@ import pyarrow.compute as pc
 END_ID = 2
 #: Words that a worker remembers (about 200 bytes each); beyond that, new words are encoded anew in each batch.
 REMEMBERED = 400_000
+#: Text bytes encoded at once: in larger slices fewer words are new.
+SLICE_BYTES = 3_000_000
 _START = "\x00"
 #: A word that the pattern cuts between letters and marks at most; all others go through the whole tokenizer.
 _PLAIN = re.compile(r"(\n?)( ?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]*)([.,;:!?|%*$&()\"-]*)").fullmatch
