@@ -38,7 +38,7 @@ def watermarks(sources: dict[str, DataFrame]) -> DataFrame:
 
 
 def payment_attempts(
-    transactions: DataFrame, risk: DataFrame, chargebacks: DataFrame, duplicates: DataFrame, enrichment: DataFrame, response_codes: DataFrame, labels: DataFrame, refunds: DataFrame, marks: DataFrame | None = None
+    transactions: DataFrame, risk: DataFrame, chargebacks: DataFrame, duplicates: DataFrame, enrichment: DataFrame, response_codes: DataFrame, labels: DataFrame, refunds: DataFrame
 ) -> DataFrame:
     """One row for each transaction with all that is known of it; nothing is filtered, oddities are flags. All joins but the lookup's are on transaction_id: one partitioning serves them."""
     refunded = refunds.groupBy("transaction_id").agg(total("refund_amount").alias("_refund"), total("refund_amount", F.col("is_fraud_refund")).alias("_fraud_refund"))
@@ -73,11 +73,14 @@ def payment_attempts(
         "is_duplicate_candidate": F.coalesce("is_duplicate_candidate", false),
         "_updated_at": F.current_timestamp(),
     })
-    if marks is not None:
-        joined = joined.crossJoin(F.broadcast(marks))  # one row
     return joined.select(*[F.col(c).cast(kind).alias(c) for c, kind in schemas.ATTEMPTS.items() if c in joined.columns])
 
 
+def with_watermarks(attempts: DataFrame, marks: DataFrame) -> DataFrame:
+    """The whole contract: attempts with the one row of watermarks."""
+    return attempts.crossJoin(F.broadcast(marks)).select(*schemas.ATTEMPTS)
+
+
 def chargebacks(staged: DataFrame, transactions: DataFrame, enrichment: DataFrame, outcomes: DataFrame, config: Config) -> DataFrame:
     """One row for each chargeback with its sale, its dispute and what was lost."""
     sale = transactions.select("transaction_id", "transaction_at", F.col("transaction_date").alias("cohort_date"), "payment_method", F.col("status").alias("transaction_status"), F.col("amount").alias("transaction_amount"), F.lit(True).alias("_sold"))

@@ -34,9 +34,9 @@ _STAGED = {"stg_evaluations": ("raw_risk_evaluations", staging.evaluations), "st
 WATERMARK_SOURCES = dict(zip(schemas.WATERMARKS, ["stg_transactions", "stg_evaluations", "stg_chargebacks", "stg_enrichment", "fraud_labels", "stg_refunds"], strict=True))
 
 
-def _attempts(tx, risk, cb, dup, enr, codes, labels, refunds, evaluations, chargebacks, evidence) -> DataFrame:
-    marks = facts.watermarks(dict(zip(schemas.WATERMARKS, [tx, evaluations, chargebacks, enr, evidence, refunds], strict=True)))
-    return facts.payment_attempts(tx, risk, cb, dup, enr, codes, labels, refunds, marks)
+def _marked(attempts: DataFrame, *sources: DataFrame) -> DataFrame:
+    """The attempts as they are kept: each row with the watermarks of the run that made it. Models that read attempts read them without, so no plan takes six maxima for nothing."""
+    return facts.with_watermarks(attempts, facts.watermarks(dict(zip(schemas.WATERMARKS, sources, strict=True))))
 
 
 MODELS: dict[str, Model] = {
@@ -50,7 +50,8 @@ MODELS: dict[str, Model] = {
     "fraud_labels": _model(facts.fraud_labels, "stg_issuer_reports", "stg_chargebacks", "stg_refunds", "stg_alerts", "stg_med_claims"),
     "fraud_labels_per_tx": _model(intermediate.fraud_labels_per_transaction, "fraud_labels", layer="intermediate"),
     "duplicate_suspects": _model(intermediate.duplicate_suspects, "stg_transactions", takes="config", layer="intermediate"),
-    "payment_attempts": _model(_attempts, "stg_transactions", "risk_decision", "chargebacks_per_tx", "duplicate_suspects", "stg_enrichment", "ref_response_codes", "fraud_labels_per_tx", "stg_refunds", "stg_evaluations", "stg_chargebacks", "fraud_labels", partition_by="cohort_date"),
+    "payment_attempts": _model(facts.payment_attempts, "stg_transactions", "risk_decision", "chargebacks_per_tx", "duplicate_suspects", "stg_enrichment", "ref_response_codes", "fraud_labels_per_tx", "stg_refunds", partition_by="cohort_date"),
+    "fct_payment_attempts": _model(_marked, "payment_attempts", *WATERMARK_SOURCES.values(), partition_by="cohort_date"),
     "fct_chargebacks": _model(facts.chargebacks, "stg_chargebacks", "stg_transactions", "stg_enrichment", "stg_outcomes", takes="config"),
     "time_spine": _model(dimensions.time_spine, takes="spark config"),
     "dim_date": _model(dimensions.dates, "time_spine"),

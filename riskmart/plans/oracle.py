@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from riskmart.schemas import RAW_FIELDS
 from riskmart.sources.adapter import CONFIGS, feed_sql
 from riskmart.sources.lookups import REASON_CODES, RESPONSE_CODES
 
@@ -61,7 +62,8 @@ def _models(profile: str) -> dict[str, str]:
     early = "'alerta_preventivo'"
     spine = "merchant_id, card_network, month_start"
     on = "USING (merchant_id, card_network, month_start)"
-    return feed_sql(profile, "duckdb") | {
+    none = {name: f"SELECT {', '.join(f'CAST(NULL AS varchar) AS {c}' for c in fields)}, CAST(NULL AS timestamp) AS _ingested_at WHERE false" for name, fields in RAW_FIELDS.items()}
+    return none | feed_sql(profile, "duckdb") | {
         "reasons": _values([(r[1], r[3]) for r in REASON_CODES], "reason_code, reason_category"),
         "responses": _values([(r[0], r[2]) for r in RESPONSE_CODES], "issuer_response_code, decline_type"),
         "stg_transactions": f"SELECT *, status = 'approved' AS is_approved, payment_method IN ('credit_card', 'debit_card') AS is_chargeback_eligible FROM ({_last('raw_transactions', 'trim(transaction_id)', _names('transaction_id user_id', 'status payment_method') + ', ' + _cast('transaction_at', 'timestamp') + ', ' + _cast('transaction_at', 'timestamp', 'x').replace(' AS x', '::date AS transaction_date') + ', ' + _cast('amount', _D))})",
