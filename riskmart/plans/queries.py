@@ -104,13 +104,13 @@ def _reopened(w: Warehouse) -> DataFrame:
 
 @_register("incremental_merge", sql="payment_attempts")
 def _incremental_merge(w: Warehouse) -> DataFrame:
-    return incremental.merge_by_key(_before(w)("payment_attempts"), _reopened(w), "transaction_id")
+    return incremental.merge_by_key(_before(w)("payment_attempts"), _reopened(w).persist(), "transaction_id")
 
 
 @_register("cohort_reprocess", sql="cohort_daily")
 def _cohort_reprocess(w: Warehouse) -> DataFrame:
     """Only the cohorts that re-opened rows are or were in are made anew."""
-    old, new = _before(w)("payment_attempts"), _reopened(w)
+    old, new = _before(w)("payment_attempts").persist(), _reopened(w).persist()  # each is read three times
     cohorts = incremental.affected_cohorts(old, new)
     merged = incremental.merge_by_key(old, new, "transaction_id")
     again = aggregates.cohort_daily(merged.join(cohorts, "cohort_date", "left_semi"))
@@ -167,7 +167,7 @@ def _metric(name: str, metrics: list[str], doubles: str, sql: str, by: list[str]
 
 _metric("metric_approval_rate", ["approval_rate", "risk_reject_rate"], "approval_rate risk_reject_rate", "SELECT payment_method, date_trunc('month', cohort_date)::date AS cohort_date, count(CASE WHEN is_approved THEN 1 END)::double / count(*) AS approval_rate, count(CASE WHEN decline_source = 'risk_engine' THEN 1 END)::double / count(*) AS risk_reject_rate FROM payment_attempts GROUP BY ALL", ["payment_method"], "month")
 _metric("metric_cb_rate_card", ["card_chargeback_rate_amount"], "card_chargeback_rate_amount", "SELECT date_trunc('year', cohort_date)::date AS cohort_date, sum(chargeback_amount) FILTER (is_chargeback_eligible AND is_approved)::double / nullif(sum(amount) FILTER (is_chargeback_eligible AND is_approved)::double, 0) AS card_chargeback_rate_amount FROM payment_attempts GROUP BY ALL", grain="year")
-_metric("metric_fraud_bps", ["fraud_bps"], "fraud_bps", "SELECT country, sum(amount) FILTER (is_approved AND is_fraud_labeled)::double * 10000 / nullif(sum(amount) FILTER (is_approved)::double, 0) AS fraud_bps FROM payment_attempts GROUP BY ALL", ["country"])
+_metric("metric_fraud_bps", ["fraud_bps"], "fraud_bps", "SELECT country, coalesce(sum(amount) FILTER (is_approved AND is_fraud_labeled), 0)::double * 10000 / nullif(sum(amount) FILTER (is_approved)::double, 0) AS fraud_bps FROM payment_attempts GROUP BY ALL", ["country"])
 _metric("metric_approval_by_order", ["approval_rate_by_order"], "approval_rate_by_order", "SELECT card_network, count(DISTINCT order_id) FILTER (is_approved)::double / nullif(count(DISTINCT order_id), 0) AS approval_rate_by_order FROM payment_attempts GROUP BY ALL", ["card_network"])
 _metric("metric_gross_loss", ["gross_fraud_loss", "gross_chargeback_loss"], "", "SELECT reason_category, date_trunc('month', chargeback_date)::date AS chargeback_date, CAST(sum(CASE WHEN is_fraud_reason THEN cb_amount ELSE 0 END) AS decimal(28,2)) AS gross_fraud_loss, CAST(sum(cb_amount) AS decimal(28,2)) AS gross_chargeback_loss FROM fct_chargebacks GROUP BY ALL", ["reason_category"], "month")
 
