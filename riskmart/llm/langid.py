@@ -24,9 +24,8 @@ from pyspark.sql import types as T
 from riskmart.llm import common
 
 ORDERS, BUCKETS = (1, 2, 3), 1 << 16
-SAMPLE, MOST_LANGUAGES, SMOOTHING = 3000, 200, 0.5
+SAMPLE, MOST_LANGUAGES, SMOOTHING = 3000, 64, 0.5
 UNKNOWN = "und"
-_TASKS = 8
 _BLOCK = 1 << 19
 _tables: list[np.ndarray] = []
 _FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1], np.uint32)
@@ -113,17 +112,20 @@ def fit(df: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: s
     chosen = rows.where(F.col("lang").isin(languages)).where(F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 30)) < F.try_element_at(bounds, F.col("lang")) * (1 << 30))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(languages), BUCKETS), np.int64)
+        total = np.zeros(len(languages) * BUCKETS, np.int64)
         for batch, texts in common.slices(batches):
             codes, text, _ = characters(texts)
             lang = np.array([languages.index(x) for x in batch.column(2).to_pylist()])
             for bucket, owner in grams(codes, text):
-                total += np.bincount(lang[owner] * BUCKETS + bucket, minlength=total.size).reshape(total.shape)
-        yield pa.record_batch({"lang": pa.array(range(len(languages)), pa.int32()), "counts": pa.array([x.tobytes() for x in total], pa.binary())})
-
-    total = np.full((BUCKETS, len(languages)), SMOOTHING)
-    for r in chosen.repartition(_TASKS, F.xxhash64("doc_id", "text")).mapInArrow(count, "lang int, counts binary").collect():  # a row for each task and language
-        total[:, r.lang] += np.frombuffer(r.counts, np.int64)
+                total += np.bincount(lang[owner] * BUCKETS + bucket, minlength=total.size)
+        cell = np.flatnonzero(total)
+        yield pa.record_batch({"cell": pa.array(cell, pa.int64()), "n": pa.array(total[cell], pa.int64())})
+
+    # However many tasks there are, one row for each language and bucket comes to the driver.
+    found = chosen.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    total = np.full(len(languages) * BUCKETS, SMOOTHING)
+    total[np.asarray(found.column("cell").combine_chunks())] += np.asarray(found.column("n").combine_chunks())
+    total = total.reshape(len(languages), BUCKETS).T
     n = np.array([r["count"] for r in counts], float)
     return Model(languages, np.log(n / n.sum()), np.log(total / total.sum(0)))
 
