@@ -46,7 +46,10 @@ def train_dictionary(docs: DataFrame, tokenizer: str | None = None, sample: int
             ids, offsets = enc.encode(texts)
             yield pa.record_batch({"ids": [_serialised(ids[a:b], 2 if ids.max(initial=0) < 65536 else 4) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]})
 
-    chosen = docs.select("text").orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(sample)
+    # Hashes alone are sorted; texts of the chosen documents only leave the scan.
+    hashed = docs.select("text", F.xxhash64("doc_id").alias("h"))
+    last = hashed.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    chosen = hashed.where(F.col("h") <= F.lit(last if last is not None else 0)).select("text").limit(sample)
     samples = [bytes(r.ids) for r in chosen.mapInArrow(encode, "ids binary").collect()]  # at most `sample` rows
     try:
         return zstandard.train_dictionary(size, samples).as_bytes()
