@@ -96,7 +96,7 @@ def _before(w: Warehouse) -> Warehouse:
 
 def _reopened(w: Warehouse) -> DataFrame:
     """The attempts of affected keys, from inputs cut to those keys (duplicates look at all of their users' rows)."""
-    keys = _affected(w)
+    keys = _affected(w).persist()  # cuts six inputs
     # A chargeback can be of a transaction that isn't there yet; its key simply finds no row.
     some = Warehouse(w.spark, w.raw, w.config, {m: incremental.only(w(m), keys) for m in ("stg_transactions", "stg_evaluations", "stg_chargebacks", "stg_enrichment", "fraud_labels", "stg_refunds")} | {"duplicate_suspects": w("duplicate_suspects")})
     return some("payment_attempts")
