@@ -1,9 +1,10 @@
 """A pipeline over the documents: language, near-duplicates, repeated passages, benchmark passages, packing.
 
 Each stage takes all that the one before it kept. What a stage decides:
-language: documents without a letter, or whose language has a posterior under LANGUAGE_SCORE, go; near_duplicates: of each group the
-document with the least doc_id stays (of rows with that id the one with the least text; rows without an id stay); substrings: words in repeated windows are cut out of the texts, and texts that lose
-all their words go; decontamination: documents that hold a benchmark item go (rows without an id all, if one does); packing: the rest becomes sequences.
+language: documents without a letter, or whose language has a posterior under LANGUAGE_SCORE, go; near_duplicates: of each group that pairs with a
+Jaccard similarity of 0.8 of their five-word shingles join, one row stays, of the least doc_id (rows without an id come last; ties by the text's hash); substrings: words in
+repeated windows are cut out of the texts, and texts that lose all their words go; decontamination: documents that hold a benchmark item go
+(rows without an id all, if one does); packing: the rest becomes sequences.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskmart.llm import common, decontamination, langid, packing, simhash, substrings
+from riskmart.llm import common, decontamination, jaccard, langid, packing, substrings
 
 LANGUAGE_SCORE = 0.5
 
@@ -22,12 +23,17 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where((F.col("_language") != langid.UNKNOWN) & (F.col("_language_score") >= LANGUAGE_SCORE)).select(*docs.columns)
 
 
+def with_rows(docs: DataFrame) -> DataFrame:
+    """docs with _row, a key of each row, written once so that it stays the same."""
+    return common.materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(docs)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    others = [c for c in docs.columns if c != "doc_id"]
-    one = docs.join(kept, docs.doc_id == kept._kept, "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in others if c != "text"])).alias("_row"))
-    return one.select("doc_id", *[F.col("_row")[c].alias(c) for c in others]).select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    rows = with_rows(docs)
+    found = jaccard.near_duplicates(rows, id_col="_row").withColumnRenamed("row", "_row")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "_row")
+    kept = rows.select("_row", order.alias("order")).join(found, "_row").groupBy("component").agg(F.min("order").alias("order")).select("order._row")
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
