@@ -9,7 +9,8 @@ share that it gives in a block. Blocks whose sum of maxima can't reach the thres
 essential terms, and those that can still reach it are scored in full. Nothing is skipped that could reach the threshold.
 
 A retrieved pair counts as contamination if the passage holds OVERLAP of the word triples of the item's question and of its answer: the answer is the
-item's last sentence, the question what comes before it; of a single sentence, the last quarter and the rest.
+item's last sentence, the question what comes before it; of a single sentence, the last quarter and the rest. A part of one or two words counts if the
+passage holds it: it is compared with the passage's windows of as many words.
 
 Items go to the executors in shards of SHARD_BYTES of text; document frequencies and the mean length are of all items. Null
 texts have no words, null items and those without words match nothing, repeated rows are matched each on their own.
@@ -139,14 +140,14 @@ def build(rows, n_items: int, mean_length: float, longest: int) -> Index:
     triples = []
     for k in range(len(first)):
         own = number == k
-        triples.append(tuple(np.unique(_triples(h[own & (answer == part)])) for part in (False, True)))
+        parts = [h[own & (answer == part)] for part in (False, True)]
+        triples.append(tuple((min(TRIPLE, len(part)), np.unique(_windows(part, min(TRIPLE, len(part))))) for part in parts))
     slot = np.searchsorted(term, np.arange((1 << _SLOT_BITS) + 1, dtype=np.uint64) << np.uint64(64 - _SLOT_BITS)) if len(term) else np.zeros((1 << _SLOT_BITS) + 1, int)
     slot[-1] = len(term)
     return Index(item_id[first], term, slot.astype(np.int32), _offsets(pi, len(first)), pt, weight, share, rest, _offsets(pt[ess], len(term)), pi[ess], share[ess], _offsets(key // n_blocks, len(term)), key % n_blocks, top, block_rest, triples, max(STRIDE, longest))
 
 
-def _triples(h: np.ndarray) -> np.ndarray:
-    size = min(TRIPLE, len(h))
+def _windows(h: np.ndarray, size: int) -> np.ndarray:
     return words.windows(h, np.array([0, len(h)]), size)[1] if size else np.empty(0, np.uint64)
 
 
@@ -216,8 +217,8 @@ def _search(docs: DataFrame, index) -> DataFrame:
             for p, i, sc, sh in zip(passage.tolist(), item.tolist(), score.tolist(), share.tolist(), strict=True):
                 t = int(np.searchsorted(base, p, "right")) - 1
                 a = int(found.first[t]) + (p - int(base[t])) * x.stride
-                own = _triples(h[a : min(a + 2 * x.stride, int(found.first[t + 1]))])
-                both = [float(np.isin(part, own).mean()) if len(part) else 1.0 for part in x.triples[i]]
+                own = h[a : min(a + 2 * x.stride, int(found.first[t + 1]))]
+                both = [float(np.isin(part, _windows(own, size)).mean()) if size else 1.0 for size, part in x.triples[i]]
                 if min(both) >= OVERLAP and (old := best.get((t, i), (0,) * 5))[2] < sh:
                     best[t, i] = (p - int(base[t]), sc, sh, *both)
             ids = batch.column(0).to_pylist()

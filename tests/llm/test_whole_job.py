@@ -64,3 +64,13 @@ def test_near_copies_from_a_similarity_of_eight_tenths(spark, pairs):
         wanted[root].add(k)
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, wanted.values()))
     assert jaccard.near_duplicates(df.where("false")).count() == 0
+
+
+def test_decontamination_finds_short_answers(spark):
+    rng = random.Random(13)
+    text = lambda n: " ".join(f"w{rng.randrange(3000)}" for _ in range(n))
+    items = [(1, f"{text(10)}? Paris."), (2, f"{text(9)}? New York."), *[(n, f"{text(n)}.") for n in range(3, 13)]]
+    rows = [(k, f"{text(50)} {item} {text(50)}") for k, item in items] + [(100 + k, text(100)) for k in range(20)] + [(200, f"{text(30)} Paris {text(30)} New York")]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.question, r.answer) for r in decontamination.contaminated(docs, bench).collect()}
+    assert got == {(k, k): (1.0, 1.0) for k, _ in items}
