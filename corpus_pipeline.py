@@ -3,8 +3,8 @@
 Each stage takes all that the one before it kept. What a stage decides:
 language: documents without a letter, or whose language has a posterior under LANGUAGE_SCORE, go; near_duplicates: of each group that pairs with a
 Jaccard similarity of 0.8 of their five-word shingles join, one row stays, of the least doc_id (rows without an id come last; ties by the text's hash); substrings: words in
-repeated windows are cut out of the texts, and texts that lose all their words go; decontamination: documents that hold a benchmark item go
-(rows without an id all, if one does); packing: the rest becomes sequences.
+repeated windows are cut out of the texts, and texts that lose all their words go; decontamination: rows that hold a benchmark item go; packing: the rest becomes sequences.
+Stages decide by row, not by doc_id: equal and missing ids are no ties between rows.
 """
 
 from __future__ import annotations
@@ -43,8 +43,9 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontamination.contaminated(docs, common.table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_found")).distinct()
-    return docs.join(found, docs.doc_id.eqNullSafe(F.col("_found")), "left_anti").select(*docs.columns)
+    rows = with_rows(docs)
+    found = decontamination.contaminated(rows, common.table(spark, sf_dir, "benchmark"), id_col="_row").select(F.col("doc_id").alias("_row")).distinct()
+    return rows.join(found, "_row", "left_anti").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -66,6 +66,23 @@ def test_near_copies_from_a_similarity_of_eight_tenths(spark, pairs):
     assert jaccard.near_duplicates(df.where("false")).count() == 0
 
 
+def test_pipeline_stages_decide_by_row(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    text = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    base, item = text(200).split(), f"{text(12)}. {text(6)}."
+    near = [*base[:100], "another", *base[101:]]
+    clean, twice = [text(80) for _ in range(4)], text(80)
+    rows = [(1, " ".join(base)), (2, " ".join(near)), (3, clean[0]), (3, clean[1]), (None, clean[2]), (None, clean[3]), (None, twice), (None, twice), (None, f"{text(60)} {item}"), (3, f"{text(60)} {item}")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path))
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter({r for r in rows if r[0] != 2})
+    got = corpus_pipeline.decontaminate(spark, docs, str(tmp_path))
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter(rows[:-2])
+
+
 def test_decontamination_finds_short_answers(spark):
     rng = random.Random(13)
     text = lambda n: " ".join(f"w{rng.randrange(3000)}" for _ in range(n))
