@@ -1,9 +1,10 @@
 """Licence scans by sentence rules, with DataFrame functions alone.
 
-A text is cut into sentences at line ends and after a full stop, semicolon or colon with white space behind it. A sentence is normalised: A-Z lower-cased,
-every run of other characters than letters, digits and dots one space, dots at its ends gone. SENTENCES maps
-normalised sentences to identifiers; RULES are sequences of identifiers in order. A rule matches where its identifiers follow each other among
-the known sentences of a text; unknown sentences between them don't matter, other known ones do. Where a longer rule matches, shorter ones
+A text is cut at blank lines, at line ends, and after a full stop, semicolon or colon with white space behind it; what is between is normalised: A-Z
+lower-cased, every run of other characters than letters, digits and dots one space, dots at its ends gone. A known sentence goes from a cut to a cut and may be
+wrapped: line ends, with comment marks after them, and marks within it count as a space, blank lines don't. Where several known sentences begin
+at a cut, the longest is taken. SENTENCES, put through the same cut, maps sentences to identifiers; RULES are sequences of identifiers in order. A rule matches where its identifiers
+follow each other among the known sentences of a text; unknown sentences between them don't matter, other known ones do. Where a longer rule matches, shorter ones
 that are part of it are not reported.
 
 Everything happens within the row of a text, so there is no shuffle and no group. Null and empty texts have no matches and
@@ -62,26 +63,48 @@ RULES = [
     ("cc-by-sa-4", "CC-BY-SA-4.0", ["cc-by-sa-4"]),
     ("cc0", "CC0-1.0", ["cc0"]),
 ]
-_CUT = r"[\n\r]+|(?<=[.;:])[ \t\x0B\f]+"
+#: In a text that is cut: the end of a line, of a paragraph, and of what a mark ends.
+_LINE, _BLANK, _MARK = "\n", "\r", "\f"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def normalised(sentence: Column) -> Column:
-    plain = F.regexp_replace(F.translate(sentence, _UPPER, _LOWER), r"[^\p{L}\p{N}.]+", " ")
-    return F.regexp_replace(plain, r"^[ .]+|[ .]+$", "")
+def cut(text: Column) -> Column:
+    """The text normalised, with _LINE, _BLANK and _MARK for its cuts, and a cut at both ends."""
+    steps = [
+        (r"\r\n?", "\n"),
+        (r"\f", " "),
+        (r"\n[^\p{L}\p{N}\n]*\n[^\p{L}\p{N}]*", _BLANK),
+        (r"\n[^\p{L}\p{N}\n]*", _LINE),  # with the comment marks of the next line
+        (r"[.;:](?:[ \t\x0B]+\n?|\n)", _MARK),
+        (r"[^\p{L}\p{N}.\n\r\f]+", " "),
+        (r"(?<![ .])[ .]++(?=[\n\r\f]|\z)", ""),
+        (r"(?<=[\n\r\f])[ .]++|\A[ .]++", ""),
+        (r"[\n\f]*\r[\n\r\f]*", _BLANK),
+        (r"\n*\f[\n\f]*", _MARK),
+    ]
+    out = F.translate(text, _UPPER, _LOWER)
+    for pattern, by in steps:
+        out = F.regexp_replace(out, pattern, by)
+    return F.concat(F.lit(_BLANK), out, F.lit(_BLANK))
 
 
-def _known(sentences: dict[str, list[str]], df: DataFrame) -> Column:
-    """A map from normalised sentence to identifier; the sentences are normalised by the same expression as the texts', once, here."""
+def _plain(x: Column) -> Column:
+    return F.trim(F.translate(x, _LINE + _BLANK + _MARK, "   "))
+
+
+def _known(sentences: dict[str, list[str]], df: DataFrame) -> tuple[Column, str]:
+    """A map from sentence to identifier, and the pattern of all; the sentences are cut by the same expression as the texts, once, here."""
     pairs = [(text, k) for k, texts in sentences.items() for text in texts]
-    rows = df.sparkSession.createDataFrame(pairs, "text string, id string").select(normalised(F.col("text")).alias("text"), "id").distinct().collect()  # the parameter's own size
-    return F.create_map(*[F.lit(x) for r in sorted(rows) for x in (r.text, r.id)])
+    rows = df.sparkSession.createDataFrame(pairs, "text string, id string").select(_plain(cut(F.col("text"))).alias("text"), "id").distinct().collect()  # the parameter's own size
+    longest = sorted((r.text for r in rows), key=lambda x: (-len(x), x))
+    one = "|".join(r"[ \n\f]".join("\\Q" + w + "\\E" for w in x.split(" ")) for x in longest)
+    return F.create_map(*[F.lit(x) for r in sorted(rows) for x in (r.text, r.id)]), rf"(?<=[\n\r\f])(?:{one})(?=[\n\r\f])"
 
 
-def known_sentences(text: Column, known: Column) -> Column:
+def known_sentences(text: Column, known: tuple[Column, str]) -> Column:
     """The identifiers of a text's known sentences, in order."""
-    ids = F.transform(F.split(text, _CUT), lambda s: F.try_element_at(known, normalised(s)))
-    return F.filter(ids, lambda x: x.isNotNull())
+    ids, pattern = known
+    return F.transform(F.regexp_extract_all(cut(text), F.lit(pattern), F.lit(0)), lambda s: F.try_element_at(ids, _plain(s)))
 
 
 def scan(df: DataFrame, sentences: dict[str, list[str]] | None = None, rules: list | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -91,3 +91,49 @@ def test_decontamination_finds_short_answers(spark):
     docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id, r.item_id): (r.question, r.answer) for r in decontamination.contaminated(docs, bench).collect()}
     assert got == {(k, k): (1.0, 1.0) for k, _ in items}
+
+
+MIT = """MIT License
+
+Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL"""
+GPL2 = """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 2 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of"""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and"""
+
+
+def test_licenses_wrapped_over_lines(spark):
+    comment = lambda text, mark: "\n".join(f"{mark} {x}".rstrip() for x in text.split("\n"))
+    texts = [f(x) for x in (MIT, GPL2, APACHE) for f in (str, lambda x: comment(x, "#"), lambda x: comment(x, " *"), lambda x: comment(x, ";;"), lambda x: x.replace("\n", "\r\n"))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = Counter((r.doc_id // 5, r.rule, r.n_matches) for r in licenses.scan(docs).collect())
+    assert got == {(0, "mit-text", 1): 5, (0, "mit-notice", 1): 5, (1, "gpl2-header", 1): 5, (2, "apache-header", 1): 5}
+    cut = spark.createDataFrame([(1, "Licensed under the\n\nMIT License is not"), (2, "one\nMIT License\ntwo"), (3, "the MIT License here")], "doc_id long, text string")
+    assert [(r.doc_id, r.rule) for r in licenses.scan(cut).collect()] == [(2, "mit-notice")]
