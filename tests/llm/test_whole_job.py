@@ -137,3 +137,10 @@ def test_licenses_wrapped_over_lines(spark):
     assert got == {(0, "mit-text", 1): 5, (0, "mit-notice", 1): 5, (1, "gpl2-header", 1): 5, (2, "apache-header", 1): 5}
     cut = spark.createDataFrame([(1, "Licensed under the\n\nMIT License is not"), (2, "one\nMIT License\ntwo"), (3, "the MIT License here")], "doc_id long, text string")
     assert [(r.doc_id, r.rule) for r in licenses.scan(cut).collect()] == [(2, "mit-notice")]
+
+
+def test_each_license_rule_matches_its_own_sentences(spark):
+    rows = [(k, ".\n\n".join(licenses.SENTENCES[x][0] for x in seq) + ".") for k, (_, _, seq) in enumerate(licenses.RULES)]
+    rows.append((100, "// This Source Code Form is subject to the terms of the Mozilla Public\n// License, v. 2.0. If a copy of the MPL was not distributed with this\n// file, You can obtain one"))
+    got = {r.doc_id: r.rule for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: rule for k, (rule, _, _) in enumerate(licenses.RULES)} | {100: "mpl2-notice"}
