@@ -1,7 +1,7 @@
 """A pipeline over the documents: language, near-duplicates, repeated passages, benchmark passages, packing.
 
 Each stage takes all that the one before it kept. What a stage decides:
-language: documents without a letter, or whose language has a posterior under LANGUAGE_SCORE, go; near_duplicates: of each group that pairs with a
+language: documents without a letter, or whose language has a posterior under LANGUAGE_SCORE, go (without any lang in the input only the former); near_duplicates: of each group that pairs with a
 Jaccard similarity of 0.8 of their five-word shingles join, one row stays, of the least doc_id (rows without an id come last; ties by the text's hash); substrings: words in
 repeated windows are cut out of the texts, and texts that lose all their words go; decontamination: rows that hold a benchmark item go; packing: the rest becomes sequences.
 Stages decide by row, not by doc_id: equal and missing ids are no ties between rows.
@@ -19,6 +19,8 @@ LANGUAGE_SCORE = 0.5
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fit(docs)
+    if not model.languages:  # nothing to learn from
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     found = langid.predict(docs, model, lang_name="_language", score_name="_language_score")
     return found.where((F.col("_language") != langid.UNKNOWN) & (F.col("_language_score") >= LANGUAGE_SCORE)).select(*docs.columns)
 

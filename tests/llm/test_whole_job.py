@@ -144,3 +144,10 @@ def test_each_license_rule_matches_its_own_sentences(spark):
     rows.append((100, "// This Source Code Form is subject to the terms of the Mozilla Public\n// License, v. 2.0. If a copy of the MPL was not distributed with this\n// file, You can obtain one"))
     got = {r.doc_id: r.rule for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {k: rule for k, (rule, _, _) in enumerate(licenses.RULES)} | {100: "mpl2-notice"}
+
+
+def test_pipeline_keeps_documents_where_no_language_can_be_learned(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "some words", None), (2, "12 34", None), (3, None, None), (None, "été", None)], "doc_id long, text string, lang string")
+    assert {r.doc_id for r in corpus_pipeline.language(spark, docs, "").collect()} == {1, None}
