@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker handles at once; longer texts are handled alone.
 SLICE_BYTES = 1_500_000
-_FALLBACK_DIR = "/tmp/riskmart-checkpoints"
 
 
 _shipped: set[str] = set()
@@ -45,8 +44,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _FALLBACK_DIR).rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset one in the warehouse."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_intermediate").rstrip("/")
 
 
 def new_path(spark: SparkSession, what: str) -> str:
@@ -82,6 +81,14 @@ def as_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry
     return df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"), *[df[c].alias(f"carry_{c}") for c in carry])
 
 
+def free_name(columns: list[str], wanted: str) -> str:
+    """wanted, or with underscores in front what none of the columns is called (Spark's names ignore case)."""
+    taken = {c.lower() for c in columns}
+    while wanted.lower() in taken:
+        wanted = "_" + wanted
+    return wanted
+
+
 def held_out(col: str = "doc_id"):
     """The rows that no model learns from: crc32 of the id as text, modulo 4, is 2. A null id counts as empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2

@@ -1,13 +1,17 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Characters are lower-cased one by one; runs of others than letters count as one space. N-grams of ORDERS characters are
-hashed into BUCKETS. The model is fitted on a sample of about SAMPLE documents for each language (all of them if there are fewer), chosen by
-hash of the id; counts of documents and the prior are of all labelled rows. The matrix of log probabilities is broadcast (BUCKETS
-floats for each language, of MOST_LANGUAGES at most, the most frequent), and a batch is scored as sparse counts times that matrix. The score is the posterior
+hashed into BUCKETS. The model is fitted on a sample of about SAMPLE documents for each language (all of them if there are fewer, one at least), chosen by
+hash of id and text; counts of documents and the prior are of all labelled rows, and all their languages are learned. The matrix of log probabilities
+is broadcast, and a batch is scored as sparse counts times that matrix. The score is the posterior
 of the predicted language, with log likelihoods divided by the number of orders, as they overlap.
 
+The matrix takes 256 KB a language. It is made, broadcast and used in blocks of BLOCK languages (32 MB); with more languages than that, one block is scored after the
+other, each on what the last one wrote, with the best language so far, its score and the logarithm of the sum of all. The result is the same.
+
 A null text and one without a letter are `und` with score 0. Without any labelled row, everything is `und`. Equal scores go to the language
-that is first in order. Repeated rows are learned from and predicted each on their own.
+that is first in order. Repeated rows are learned from and predicted each on their own. Long texts are read whole, in blocks of n-grams. Columns of df that have the names
+of the two new ones are replaced by them; an empty table gives an empty one with these columns.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from pyspark.sql import types as T
 from riskmart.llm import common
 
 ORDERS, BUCKETS = (1, 2, 3), 1 << 16
-SAMPLE, MOST_LANGUAGES, SMOOTHING = 3000, 64, 0.5
+SAMPLE, BLOCK, SMOOTHING = 3000, 128, 0.5
 UNKNOWN = "und"
 _BLOCK = 1 << 19
 _tables: list[np.ndarray] = []
@@ -76,70 +80,90 @@ def grams(codes: np.ndarray, text: np.ndarray) -> Iterator[tuple[np.ndarray, np.
 
 @dataclass
 class Model:
+    """languages in order; blocks: for BLOCK of them each, the prior and the log probabilities (BUCKETS x languages)."""
+
     languages: list[str]
-    prior: np.ndarray
-    log_p: np.ndarray  # BUCKETS x languages
-
-    def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
-        codes, text, letters = characters(texts)
-        n = len(self.languages)
-        if not n:
-            return [UNKNOWN] * len(texts), np.zeros(len(texts))
-        total = np.zeros((len(texts), n))
-        for bucket, owner in grams(codes, text):
-            # Sparse counts: a row for each text and bucket that it has.
-            key, count = np.unique(owner.astype(np.int64) * BUCKETS + bucket, return_counts=True)
-            row, column = key // BUCKETS, key % BUCKETS
-            for k in range(n):
-                total[:, k] += np.bincount(row, count * self.log_p[column, k], len(texts))
-        total = total / len(ORDERS) + self.prior
-        best = total.argmax(1)
-        score = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
-        known = letters > 0
-        return [self.languages[k] if ok else UNKNOWN for k, ok in zip(best, known, strict=True)], np.where(known, score, 0.0)
+    blocks: list[tuple[np.ndarray, np.ndarray]]
+
 
+def totals(texts: pa.Array, prior: np.ndarray, log_p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The log probability of each text with each language of a block (texts x languages), and the number of letters of each text."""
+    codes, text, letters = characters(texts)
+    total = np.zeros((len(texts), len(prior)))
+    for bucket, owner in grams(codes, text):
+        # Sparse counts: a row for each text and bucket that it has.
+        key, count = np.unique(owner.astype(np.int64) * BUCKETS + bucket, return_counts=True)
+        row, column = key // BUCKETS, key % BUCKETS
+        for k in range(len(prior)):
+            total[:, k] += np.bincount(row, count * log_p[column, k].astype(np.float64), len(texts))
+    return total / len(ORDERS) + prior, letters
 
-def fit(df: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """From all rows of df with a language."""
+
+def fit(df: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", block: int = BLOCK) -> Model:
+    """From all rows of df with a language and a text. One row for each language, and one for each language and bucket of a block, come to the driver."""
     common.ship(df.sparkSession)
     rows = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"), df[lang_col].cast("string").alias("lang")).where("lang is not null and text is not null")
-    counts = sorted(rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect())
-    languages = [r.lang for r in counts]
-    if not languages:
-        return Model([], np.empty(0), np.empty((BUCKETS, 0)))
-    # A row is in if its hash is among the first sample / count of all hash values of its language.
-    bounds = F.create_map(*[F.lit(x) for r in counts for x in (r.lang, min(1.0, sample / r["count"]))])
-    chosen = rows.where(F.col("lang").isin(languages)).where(F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 30)) < F.try_element_at(bounds, F.col("lang")) * (1 << 30))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(languages) * BUCKETS, np.int64)
-        for batch, texts in common.slices(batches):
-            codes, text, _ = characters(texts)
-            lang = np.array([languages.index(x) for x in batch.column(2).to_pylist()])
-            for bucket, owner in grams(codes, text):
-                total += np.bincount(lang[owner] * BUCKETS + bucket, minlength=total.size)
-        cell = np.flatnonzero(total)
-        yield pa.record_batch({"cell": pa.array(cell, pa.int64()), "n": pa.array(total[cell], pa.int64())})
-
-    # However many tasks there are, one row for each language and bucket comes to the driver.
-    found = chosen.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    total = np.full(len(languages) * BUCKETS, SMOOTHING)
-    total[np.asarray(found.column("cell").combine_chunks())] += np.asarray(found.column("n").combine_chunks())
-    total = total.reshape(len(languages), BUCKETS).T
-    n = np.array([r["count"] for r in counts], float)
-    return Model(languages, np.log(n / n.sum()), np.log(total / total.sum(0)))
+    rows = rows.withColumn("h", F.pmod(F.xxhash64("doc_id", "text", F.lit("langid")), F.lit(1 << 30)))
+    counts = sorted(rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("least")).collect())
+    n_all, blocks = sum(r.n for r in counts), []
+    for at in range(0, len(counts), block):
+        own = counts[at : at + block]
+        number = {r.lang: k for k, r in enumerate(own)}
+        # A row is in if its hash is among the first sample / n of all hash values of its language, or the least of it.
+        bounds = df.sparkSession.createDataFrame([(r.lang, max(int(min(1.0, sample / r.n) * (1 << 30)), r.least + 1)) for r in own], "lang string, below long")
+        chosen = rows.join(F.broadcast(bounds), "lang").where("h < below").select("text", "lang")
+        cells = len(own) * BUCKETS
+
+        def count(batches: Iterator[pa.RecordBatch], number=number, cells=cells) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(cells, np.int64)
+            for batch, texts in common.slices(batches):
+                codes, text, _ = characters(texts)
+                lang = np.array([number[x] for x in batch.column(1).to_pylist()])
+                for bucket, owner in grams(codes, text):
+                    total += np.bincount(lang[owner] * BUCKETS + bucket, minlength=cells)
+            cell = np.flatnonzero(total)
+            yield pa.record_batch({"cell": pa.array(cell, pa.int64()), "n": pa.array(total[cell], pa.int64())})
+
+        found = chosen.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+        total = np.full(cells, SMOOTHING)
+        total[np.asarray(found.column("cell").combine_chunks())] += np.asarray(found.column("n").combine_chunks())
+        total = total.reshape(len(own), BUCKETS)
+        log_p = np.log(total / total.sum(1, keepdims=True)).astype(np.float32).T
+        blocks.append((np.log(np.array([r.n for r in own], float) / n_all), np.ascontiguousarray(log_p)))
+    return Model([r.lang for r in counts], blocks)
 
 
 def predict(df: DataFrame, model: Model, text_col: str = "text", lang_name: str = "lang_pred", score_name: str = "lang_score") -> DataFrame:
     """df with two more columns (which replace those of these names)."""
     common.ship(df.sparkSession)
-    shared = df.sparkSession.sparkContext.broadcast(model)
     df = df.drop(lang_name, score_name)
-    schema = T.StructType([*df.schema.fields, T.StructField(lang_name, T.StringType()), T.StructField(score_name, T.DoubleType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in common.slices(batches, text_col):
-            lang, score = shared.value.predict(texts)
-            yield batch.append_column(lang_name, pa.array(lang, pa.string())).append_column(score_name, pa.array(score))
-
-    return df.mapInArrow(run, schema)
+    names = df.columns
+    if not model.languages:
+        return df.select("*", F.lit(UNKNOWN).alias(lang_name), F.lit(0.0).alias(score_name))
+    # Of the blocks so far: the best language's number (-1: no letter), its log probability, the logarithm of the sum of all probabilities.
+    best, top, both = (common.free_name(names, x) for x in ("best", "top", "sum"))
+    schema = T.StructType([*df.schema.fields, T.StructField(best, T.IntegerType()), T.StructField(top, T.DoubleType()), T.StructField(both, T.DoubleType())])
+    at, out = 0, df
+    for prior, log_p in model.blocks:
+        shared = df.sparkSession.sparkContext.broadcast((prior, log_p))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, at=at) -> Iterator[pa.RecordBatch]:
+            for batch, texts in common.slices(batches, text_col):
+                total, letters = totals(texts, *shared.value)
+                number, high = total.argmax(1) + at, total.max(1)
+                every = high + np.log(np.exp(total - high[:, None]).sum(1))
+                if at:
+                    before, old, old_every = (np.asarray(batch.column(len(names) + k)) for k in range(3))
+                    number = np.where(high > old, number, before)
+                    high, every = np.maximum(high, old), np.logaddexp(every, old_every)
+                number = np.where(letters > 0, number, -1).astype(np.int32)
+                columns = [batch.column(k) for k in range(len(names))]
+                yield pa.record_batch([*columns, pa.array(number), pa.array(high), pa.array(every)], [*names, best, top, both])
+
+        if at:
+            out = common.materialise(out, "languages")
+        out = out.mapInArrow(run, schema)
+        at += len(prior)
+    known = F.col(best) >= 0
+    language = F.element_at(F.array(*[F.lit(x) for x in model.languages]), F.greatest(F.col(best), F.lit(0)) + 1)
+    return out.select(*[F.col(f"`{c}`") for c in names], F.when(known, language).otherwise(F.lit(UNKNOWN)).alias(lang_name), F.when(known, F.exp(F.col(top) - F.col(both))).otherwise(F.lit(0.0)).alias(score_name))

@@ -3,11 +3,14 @@
 The byte-level pattern of the tokenizer never joins a character with white space after it. A text can so be cut before
 every single space or newline that follows something else, and its ids are those of the parts, one after another. Parts
 are words, which repeat: each distinct one is encoded once for a worker, and a batch is put together from them with numpy.
-A text where white space follows white space is encoded as a whole.
+A text where white space follows white space is encoded as a whole, and so is one that holds the string of an added token, which
+becomes that token's id as the tokenizer's own call does it. All this holds for tokenizers of one kind (`splits_at_spaces`): with any other file every
+text is encoded as a whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
@@ -40,13 +43,24 @@ def encoder(path: str | None = None) -> "Encoder":
     return _encoders[path]
 
 
+def splits_at_spaces(path: str) -> bool:
+    """Whether the file is byte-level pair encoding with the usual pattern, no normaliser, nothing added before or after and no random merges."""
+    with open(path, encoding="utf-8") as f:
+        x = json.load(f)
+    before, model = x.get("pre_tokenizer") or {}, x.get("model") or {}
+    usual = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+    plain = not any(x.get(k) for k in ("normalizer", "truncation", "padding")) and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "unk_token", "byte_fallback"))
+    return plain and {k: before.get(k) for k in usual} == usual and model.get("type") == "BPE"
+
+
 class Encoder:
     def __init__(self, path: str, remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.fast = splits_at_spaces(path)
         self.model = self.tokenizer.model
         #: The byte-level alphabet: printable bytes stand for themselves, the others for the characters from 256 on.
         plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -104,6 +118,9 @@ class Encoder:
         n = len(texts)
         if not n:
             return np.empty(0, np.uint32), np.zeros(1, np.int64)
+        if not self.fast:
+            own = self.whole(texts.to_pylist())
+            return np.concatenate(own), np.concatenate([[0], np.cumsum([len(x) for x in own])])
         none = pa.scalar("", pa.large_string())
         lists = pc.split_pattern(pc.binary_join_element_wise(pa.scalar(_START, pa.large_string()), pc.replace_substring(texts, "\n", " \n"), none), " ")
         ends = np.asarray(lists.offsets).astype(np.int64)
@@ -127,8 +144,11 @@ class Encoder:
                 self.known.popitem()
             n_kept = len(self.known)
             self.used = int(self.parts[n_kept - 1, :2].sum())
-        if odd.any():
-            slow = np.flatnonzero(np.add.reduceat(odd, ends[:-1]))
+        special = np.zeros(n, bool)
+        for x in self.added:
+            special |= np.asarray(pc.match_substring(texts, x))
+        if odd.any() or special.any():
+            slow = np.flatnonzero((np.add.reduceat(odd, ends[:-1]) > 0) | special)
             parts = [ids[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             for k, x in zip(slow, self.whole(texts.take(pa.array(slow)).to_pylist()), strict=True):
                 parts[k] = x

@@ -17,14 +17,14 @@ from riskmart.llm.components import components
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def rows_of(seed=1, n=60):
+def rows_of(seed=1, n=60):  # some hold the string of a special token
     rng = random.Random(seed)
 
     def text(k):
         return "".join(rng.choice(["a", "b", "é", "ccc", "Dog", "don't"]) + rng.choice([" ", "\n", "  ", "\t", ". "]) for _ in range(k))
 
     shared = text(30)
-    rows = [(i, rng.choice([None, "", "  ", text(3), text(80), shared, shared + text(2), text(5) + shared])) for i in range(n)]
+    rows = [(i, rng.choice([None, "", "  ", text(3), text(80), shared, shared + text(2), text(5) + shared, "a <|endoftext|> b"])) for i in range(n)]
     return rows + [(None, "x y z"), (7, "x y z"), (7, "x y z"), (n, text(3000))]
 
 
@@ -43,7 +43,6 @@ def expected_ids():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokens.default_path())
-    t.encode_special_tokens = True
     return lambda text: [*t.encode(text or "", add_special_tokens=False).ids, 2]
 
 
@@ -53,14 +52,35 @@ def crc(ids):
 
 def test_encoder_equals_the_tokenizer():
     import pyarrow as pa
+    from tokenizers import Tokenizer
 
     rng = random.Random(5)
     texts = ["", " ", "a\n\nb", "a \nb", "\x00", "a \x00b", "a\x85 b", "<|endoftext|> a", "\n"] + ["".join(rng.choice(" \n\tab.'1\x1c\x00é") for _ in range(rng.randrange(30))) for _ in range(1500)]
+    one = Tokenizer.from_file(tokens.default_path())
+    plain = [one.encode(t, add_special_tokens=False).ids for t in texts]
     for remembered in (tokens.REMEMBERED, 10):
         e = tokens.Encoder(tokens.default_path(), remembered)
         for _ in range(2):
             ids, off = e.encode(pa.array(texts, pa.large_string()))
-            assert all(np.array_equal(ids[a:b], w) for a, b, w in zip(off[:-1], off[1:], e.whole(texts), strict=True))
+            assert all(np.array_equal(ids[a:b], w) for a, b, w in zip(off[:-1], off[1:], plain, strict=True))
+            assert ids[off[7] : off[8]].tolist() == [50256, 257]
+
+
+def test_another_tokenizer_is_used_whole(tmp_path):
+    import json
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    with open(tokens.default_path(), encoding="utf-8") as f:
+        x = json.load(f)
+    x["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "other.json").write_text(json.dumps(x))
+    e, one = tokens.Encoder(str(tmp_path / "other.json")), Tokenizer.from_file(str(tmp_path / "other.json"))
+    texts = ["two words", "", " a b"]
+    ids, off = e.encode(pa.array(texts, pa.large_string()))
+    assert not e.fast and tokens.splits_at_spaces(tokens.default_path())
+    assert [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:], strict=True)] == [one.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_token_files_round_trip(spark, docs, tmp_path, expected_ids):
@@ -271,6 +291,46 @@ def test_language(spark, none):
     assert {r.lang_pred for r in langid.predict(docs, langid.fit(none)).collect()} == {"und"}
 
 
+def brute_language(model_rows, text, sample=3000):
+    """Log probabilities by hand, n-gram by n-gram; hashes are the operator's."""
+    import pyarrow as pa
+
+    def buckets(t):
+        codes, owner, _ = langid.characters(pa.array([t], pa.large_string()))
+        return Counter(int(b) for part, _ in langid.grams(codes, owner) for b in part)
+
+    out = {}
+    for lang in {x for _, x in model_rows}:
+        own = [t for t, x in model_rows if x == lang]
+        seen = sum((buckets(t) for t in own), Counter())
+        total = seen.total() + 0.5 * langid.BUCKETS
+        out[lang] = np.log(len(own) / len(model_rows)) + sum(n * np.log((seen[b] + 0.5) / total) for b, n in buckets(text).items()) / 3
+    return out
+
+
+@pytest.mark.parametrize("block", [2, 128])
+def test_language_equals_brute_force_for_any_number_of_languages(spark, none, block):
+    rng = random.Random(4)
+    letters = [chr(c) for c in range(0x61, 0x61 + 26)] + [chr(c) for c in range(0x430, 0x450)]
+    n = 80 if block > 2 else 5
+    alphabets = {f"l{k}": rng.sample(letters, 6) for k in range(n)}
+    text = lambda lang: " ".join("".join(rng.choices(alphabets[lang], k=4)) for _ in range(12))
+    rows = [(7 if k < 2 * n else k, text(f"l{k % n}"), f"l{k % n}", "x") for k in range(4 * n)]
+    rows += rows[:3]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, best string")
+    model = langid.fit(docs, block=block)
+    assert len(model.languages) == n and len(model.blocks) == -(-n // block)
+    got = langid.predict(docs, model).collect()
+    pairs = [(t, x) for _, t, x, _ in rows]
+    for r in got[:: 1 if n < 9 else 40]:
+        want = brute_language(pairs, r.text)
+        best = max(want, key=want.get)
+        assert r.lang_pred == best and r.best == "x"
+        assert abs(r.lang_score - 1 / sum(np.exp(v - want[best]) for v in want.values())) < 1e-4
+    assert np.mean([r.lang == r.lang_pred for r in got]) > 0.95
+    assert langid.predict(none, model).columns == [*none.columns, "lang_pred", "lang_score"] and langid.predict(none, model).count() == 0
+
+
 def test_quality(spark, none):
     rng = random.Random(6)
     good = lambda: ". ".join(" ".join(rng.choice(["some", "plain", "words", "of", "text", "here", "there"]) + rng.choice(["", "", "s"]) for _ in range(9)).capitalize() for _ in range(5))
