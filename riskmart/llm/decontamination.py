@@ -1,19 +1,24 @@
 """Benchmark decontamination: every passage of the training texts is a query against a BM25 index of the benchmark's items.
 
-Words are runs of ASCII letters and digits and all non-ASCII characters, A-Z lower-cased. A passage is 2 S words, one every S words, with S at
-least the longest item, so an item within a text is within a passage. A passage's score for an item is the sum of BM25 weights
-(k1, b) of the item's terms that are in the passage, and its share is that over the sum of all of the item's weights;
-all pairs with a share of THRESHOLD are retrieved. Retrieval is block-max WAND over a batch of passages: an item's rarest terms are
-essential, such that the others hold a share of at most half the threshold; items are in blocks, and each term has the largest
-share that it gives in a block. Blocks whose sum of maxima can't reach the threshold are skipped, items of the others are summed up over
-essential terms, and those that can still reach it are scored in full. Nothing is skipped that could reach the threshold.
+Words are runs of ASCII letters and digits and all non-ASCII characters, A-Z lower-cased. Items are indexed by length: those of up to S words, S being STRIDE
+times a power of two, form a class. Its passages are 2 S words, one every S words, so an item within a text is within a passage, and a
+long item changes nothing for short ones. A passage's score for an item is the sum of BM25 weights (k1, b) of the item's terms that are in the passage, and
+its share is that over the sum of all of the item's weights; all pairs with a share of THRESHOLD are retrieved.
+
+Retrieval is block-max WAND. Items are in blocks of BLOCK, and each term's list has its largest share over all items and in each block. First, for a batch of
+passages at once, the block maxima of the passage's terms are summed up (an item's most frequent terms, which hold at most half the threshold, count with
+one bound for the block); a passage without a block that reaches the threshold has no pivot. The others are walked in step (`wand`): each has a cursor in the list
+of each of its terms, in order of items; the pivot is the first item at which the lists' maxima can reach the threshold; where the maxima of its block can't, the
+cursors skip the block; else they move up to the pivot, which is scored once all are there. Nothing is skipped that could reach the threshold.
 
 A retrieved pair counts as contamination if the passage holds OVERLAP of the word triples of the item's question and of its answer: the answer is the
 item's last sentence, the question what comes before it; of a single sentence, the last quarter and the rest. A part of one or two words counts if the
 passage holds it: it is compared with the passage's windows of as many words.
 
-Items go to the executors in shards of SHARD_BYTES of text; document frequencies and the mean length are of all items. Null
-texts have no words, null items and those without words match nothing, repeated rows are matched each on their own.
+Items go to the executors in shards of SHARD_BYTES of text, one after the other (the texts are read once for each); document frequencies and the mean
+length are of all items. Null texts have no words, null items and those without words match nothing, repeated texts are matched each on
+their own, benchmark rows with equal id and text are one item. Texts are read whole, however long. Empty tables give no rows. Only the named columns are
+read, so others can have any name.
 """
 
 from __future__ import annotations
@@ -31,6 +36,7 @@ from riskmart.llm import common, words
 
 K1, B = 1.2, 0.75
 THRESHOLD, OVERLAP = 0.6, 0.5
+LOW = THRESHOLD - 1e-9
 STRIDE, BLOCK, TRIPLE = 64, 16, 3
 SHARD_BYTES = 16_000_000
 SEPARATOR = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
@@ -71,25 +77,24 @@ def item_words(items: DataFrame, id_col: str = "item_id", text_col: str = "text"
 
 @dataclass
 class Index:
-    """term: sorted word hashes; slot: first of them with the leading bits. Lists of an item's terms, of a term's essential items and of its
-    blocks, each as offsets and values. weight and share belong to the first, ess_share to the second, block_share to the third."""
+    """Of one length class. term: sorted word hashes; slot: first of them with the leading bits. Lists, each as offsets and values: an item's terms are in
+    pairs; of_term: a term's (item, share) in order of items, with the largest as top; of_blocks: a term's blocks with the largest share in each (whole), and
+    the largest among items of which it is one of the rarest terms (rare). block_rest: what the other terms of an item can add in a block."""
 
     item_id: np.ndarray
     term: np.ndarray
     slot: np.ndarray
-    of_item: np.ndarray
-    item_term: np.ndarray
-    weight: np.ndarray
-    share: np.ndarray
-    rest: np.ndarray
     of_term: np.ndarray
-    ess_item: np.ndarray
-    ess_share: np.ndarray
+    item: np.ndarray
+    share: np.ndarray
+    weight: np.ndarray
+    top: np.ndarray
     of_blocks: np.ndarray
     block: np.ndarray
-    block_share: np.ndarray
+    whole: np.ndarray
+    rare: np.ndarray
     block_rest: np.ndarray
-    triples: list
+    parts: list
     stride: int
 
 
@@ -107,44 +112,64 @@ def _expand(offsets: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.repeat(np.arange(len(at)), n), np.repeat(offsets[at] - total[:-1], n) + np.arange(total[-1])
 
 
-def build(rows, n_items: int, mean_length: float, longest: int) -> Index:
-    """rows: (item, item_id, position, word, answer, df) of a shard, sorted by item and position; df is over all n_items."""
-    item, item_id, _, word, answer, df = (np.array(x) for x in zip(*rows, strict=True))
-    _, first, number = np.unique(item, return_index=True, return_inverse=True)
-    h = word.astype(np.int64).view(np.uint64)
-    term, index, = np.unique(h, return_inverse=True)
+def stride_of(n: int) -> int:
+    """Of the class of items of n words."""
+    stride = STRIDE
+    while stride < n:
+        stride *= 2
+    return stride
+
+
+def build(rows: pa.Table, n_items: int, mean_length: float) -> list[Index]:
+    """An index for each length class; rows: item, item_id, position, word, answer, df of a shard, sorted by item and position; df is over all n_items."""
+    item, h, answer, df = (rows.column(x).to_numpy() for x in ("item", "word", "answer", "df"))
+    first = np.flatnonzero(np.append(True, item[1:] != item[:-1]))
+    ids = rows.column("item_id").take(pa.array(first)).to_pylist()
+    ends = np.append(first[1:], len(item))
+    strides = np.array([stride_of(n) for n in (ends - first).tolist()])
+    out = []
+    for stride in np.unique(strides).tolist():
+        own = np.flatnonzero(strides == stride)
+        at = np.concatenate([np.arange(first[k], ends[k]) for k in own])
+        length = ends[own] - first[own]
+        out.append(_index([ids[k] for k in own], length, h[at].astype(np.int64).view(np.uint64), answer[at], df[at], n_items, mean_length, stride))
+    return out
+
+
+def _index(item_id: list, length: np.ndarray, h: np.ndarray, answer: np.ndarray, df: np.ndarray, n_items: int, mean_length: float, stride: int) -> Index:
+    n = len(length)
+    number = np.repeat(np.arange(n), length)
+    term, index = np.unique(h, return_inverse=True)
     frequency = np.zeros(len(term))
     frequency[index] = df
     idf = np.log1p((n_items - frequency + 0.5) / (frequency + 0.5))
-    pair, tf = np.unique(number.astype(np.int64) * len(term) + index, return_counts=True)
+    pair, tf = np.unique(number * len(term) + index, return_counts=True)
     pi, pt = pair // len(term), pair % len(term)
-    length = np.bincount(number)
     weight = idf[pt] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[pi] / mean_length))
-    whole = np.bincount(pi, weight)
-    share = weight / whole[pi]
-    # Rarest first; what is left after the essential ones is at most half the threshold.
+    share = weight / np.bincount(pi, weight)[pi]
+    # Rarest first; what is left after the rare ones is at most half the threshold.
     order = np.lexsort((-share, frequency[pt], pi))
     before = np.cumsum(share[order]) - share[order]
     before -= before[np.searchsorted(pi[order], pi[order])]
-    essential = np.zeros(len(pair), bool)
-    essential[order] = 1 - before > THRESHOLD / 2
-    rest = np.bincount(pi[~essential], share[~essential], len(first))
-    ess = np.flatnonzero(essential)
-    ess = ess[np.lexsort((pi[ess], pt[ess]))]
-    key, at = np.unique(pt[ess] * (len(first) // BLOCK + 1) + pi[ess] // BLOCK, return_inverse=True)
-    top = np.zeros(len(key))
-    np.maximum.at(top, at, share[ess])
-    block_rest = np.zeros(len(first) // BLOCK + 1)
-    np.maximum.at(block_rest, np.arange(len(first)) // BLOCK, rest)
-    n_blocks = len(first) // BLOCK + 1
-    triples = []
-    for k in range(len(first)):
-        own = number == k
-        parts = [h[own & (answer == part)] for part in (False, True)]
-        triples.append(tuple((min(TRIPLE, len(part)), np.unique(_windows(part, min(TRIPLE, len(part))))) for part in parts))
-    slot = np.searchsorted(term, np.arange((1 << _SLOT_BITS) + 1, dtype=np.uint64) << np.uint64(64 - _SLOT_BITS)) if len(term) else np.zeros((1 << _SLOT_BITS) + 1, int)
+    rare = np.zeros(len(pair), bool)
+    rare[order] = 1 - before > THRESHOLD / 2
+    n_blocks = n // BLOCK + 1
+    block_rest = np.zeros(n_blocks)
+    np.maximum.at(block_rest, np.arange(n) // BLOCK, np.bincount(pi[~rare], share[~rare], n))
+    by_term = np.lexsort((pi, pt))
+    pi, pt, share, weight, rare = (x[by_term] for x in (pi, pt, share, weight, rare))
+    key, at = np.unique(pt * n_blocks + pi // BLOCK, return_inverse=True)
+    whole, most_rare, top = np.zeros(len(key)), np.zeros(len(key)), np.zeros(len(term))
+    np.maximum.at(whole, at, share)
+    np.maximum.at(most_rare, at[rare], share[rare])
+    np.maximum.at(top, pt, share)
+    parts, ends = [], np.cumsum(length)
+    for a, b in zip((ends - length).tolist(), ends.tolist(), strict=True):
+        cut = b - int(answer[a:b].sum())
+        parts.append(tuple((min(TRIPLE, len(part)), np.unique(_windows(part, min(TRIPLE, len(part))))) for part in (h[a:cut], h[cut:b])))
+    slot = np.searchsorted(term, np.arange((1 << _SLOT_BITS) + 1, dtype=np.uint64) << np.uint64(64 - _SLOT_BITS))
     slot[-1] = len(term)
-    return Index(item_id[first], term, slot.astype(np.int32), _offsets(pi, len(first)), pt, weight, share, rest, _offsets(pt[ess], len(term)), pi[ess], share[ess], _offsets(key // n_blocks, len(term)), key % n_blocks, top, block_rest, triples, max(STRIDE, longest))
+    return Index(np.array(item_id, object), term, slot.astype(np.int32), _offsets(pt, len(term)), pi, share, weight, top, _offsets(key // n_blocks, len(term)), key % n_blocks, whole, most_rare, block_rest, parts, stride)
 
 
 def _windows(h: np.ndarray, size: int) -> np.ndarray:
@@ -167,62 +192,103 @@ def look_up(x: Index, h: np.ndarray) -> np.ndarray:
     return out
 
 
-def retrieve(x: Index, passage: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """passage, item, score, share of all pairs at the threshold, from the distinct (passage, term) rows, sorted."""
-    n_items, n_blocks, low = len(x.item_id), len(x.block_rest), THRESHOLD - 1e-9
+def with_pivot(x: Index, passage: np.ndarray, term: np.ndarray) -> np.ndarray:
+    """The passages in which the block maxima of some block reach the threshold; the rows are distinct and sorted."""
+    n_blocks = len(x.block_rest)
     i, at = _expand(x.of_blocks, term)
+    has = x.rare[at] > 0
+    i, at = i[has], at[has]
     key, back = np.unique(passage[i] * n_blocks + x.block[at], return_inverse=True)
-    bound = np.bincount(back, x.block_share[at], len(key))
-    alive = bound + x.block_rest[key % n_blocks] >= low
-    key = key[alive]
-    if not len(key):
+    bound = np.bincount(back, x.rare[at], len(key))
+    return np.unique(key[bound + x.block_rest[key % n_blocks] >= LOW] // n_blocks)
+
+
+def wand(x: Index, passage: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """passage, item, score, share of all pairs at the threshold, sorted, from the distinct (passage, term) rows, sorted. All passages take a step at a time."""
+    n = len(x.item_id)
+    key = np.repeat(np.arange(len(x.term)), np.diff(x.of_term)) * n + x.item  # sorted: by term, then item
+    block_key = np.repeat(np.arange(len(x.term)), np.diff(x.of_blocks)) * len(x.block_rest) + x.block
+    at, end = x.of_term[term], x.of_term[term + 1]
+    found: list[tuple[np.ndarray, ...]] = []
+    while len(at):
+        now = x.item[at]
+        order = np.lexsort((now, passage))
+        passage, term, at, end, now = passage[order], term[order], at[order], end[order], now[order]
+        first = np.flatnonzero(np.append(True, passage[1:] != passage[:-1]))
+        owner = np.cumsum(np.append(True, passage[1:] != passage[:-1])) - 1
+        reach = np.cumsum(x.top[term])
+        reach -= (reach[first] - x.top[term[first]])[owner]
+        enough = np.flatnonzero(reach >= LOW)
+        left, where = np.unique(owner[enough], return_index=True)
+        if not len(left):
+            break
+        # Passages without a pivot are done.
+        pivot = np.full(len(first), n)
+        pivot[left] = now[enough[where]]
+        keep = pivot[owner] < n
+        passage, term, at, end, now, to = passage[keep], term[keep], at[keep], end[keep], now[keep], pivot[owner[keep]]
+        owner = np.cumsum(np.append(True, passage[1:] != passage[:-1])) - 1
+        low = now <= to
+        # The block's maxima, of the lists that have come as far as the pivot.
+        wanted = term * len(x.block_rest) + to // BLOCK
+        place = np.minimum(np.searchsorted(block_key, wanted), len(block_key) - 1)
+        best = np.bincount(owner, np.where(low & (block_key[place] == wanted), x.whole[place], 0.0))
+        skip = (best < LOW)[owner]
+        # A skipped block ends before its last item if another list begins before that.
+        last = np.full(len(best), n)
+        np.minimum.at(last, owner[~low], now[~low])
+        over = np.minimum((to // BLOCK + 1) * BLOCK, last[owner])
+        here = np.flatnonzero(~skip & (now == to))
+        ready = np.ones(len(best), bool)
+        ready[owner[~skip & (now < to)]] = False  # lists that are still before the pivot move up first
+        here = here[ready[owner[here]]]
+        if len(here):
+            own, share, score = owner[here], np.bincount(owner[here], x.share[at[here]], len(best)), np.bincount(owner[here], x.weight[at[here]], len(best))
+            which, some = np.unique(own, return_index=True)
+            ok = share[which] >= LOW
+            found.append((passage[here[some[ok]]], to[here[some[ok]]], score[which[ok]], share[which[ok]]))
+        target = np.where(skip & low, over, np.where(low, np.where(ready[owner], to + 1, to), now))
+        at = np.maximum(at, np.searchsorted(key, term * n + target))
+        more = at < end
+        passage, term, at, end = passage[more], term[more], at[more], end[more]
+    if not found:
         return (np.empty(0, np.int64),) * 2 + (np.empty(0),) * 2
-    rows = np.flatnonzero(np.isin(passage, np.unique(key // n_blocks)))
-    i, at = _expand(x.of_term, term[rows])
-    i = rows[i]
-    block = passage[i] * n_blocks + x.ess_item[at] // BLOCK
-    place = np.minimum(np.searchsorted(key, block), len(key) - 1)
-    keep = key[place] == block
-    pair, back = np.unique(passage[i[keep]] * n_items + x.ess_item[at[keep]], return_inverse=True)
-    sure = np.bincount(back, x.ess_share[at[keep]], len(pair))
-    pair = pair[sure + x.rest[pair % n_items] >= low]
-    # In full: all of the item's terms, looked up among the passage's.
-    have = passage * len(x.term) + term
-    i, at = _expand(x.of_item, pair % n_items)
-    want = (pair // n_items)[i] * len(x.term) + x.item_term[at]
-    hit = have[np.minimum(np.searchsorted(have, want), max(len(have) - 1, 0))] == want if len(have) else np.zeros(len(want), bool)
-    score = np.bincount(i[hit], x.weight[at[hit]], len(pair))
-    share = np.bincount(i[hit], x.share[at[hit]], len(pair))
-    ok = share >= low
-    return pair[ok] // n_items, pair[ok] % n_items, score[ok], share[ok]
-
-
-def _search(docs: DataFrame, index) -> DataFrame:
+    columns = [np.concatenate(c) for c in zip(*found, strict=True)]
+    order = np.lexsort((columns[1], columns[0]))
+    return tuple(c[order] for c in columns)
+
+
+def passages(x: Index, found: words.Words, term: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct (passage, term) rows of all texts, sorted, and the number of each text's first passage."""
+    n = np.diff(found.first)
+    row = np.flatnonzero(term >= 0)
+    text = np.repeat(np.arange(len(n)), n)[row]
+    step = (row - found.first[text]) // x.stride
+    many = np.maximum(1, -(-n // x.stride) - 1)
+    base = np.concatenate([[0], np.cumsum(many)])
+    keys = np.unique(np.concatenate([((base[text] + s) * len(x.term) + term[row])[(s >= 0) & (s < many[text])] for s in (step, step - 1)]))
+    return keys // len(x.term), keys % len(x.term), base
+
+
+def _search(docs: DataFrame, shared) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x: Index = index.value
         for batch, texts in common.slices(batches):
             found, h, _ = _word_hashes(texts)
-            n = np.diff(found.first)
-            term = look_up(x, h)
-            row = np.flatnonzero(term >= 0)
-            text = np.repeat(np.arange(len(n)), n)[row]
-            step = (row - found.first[text]) // x.stride
-            passages = np.maximum(1, -(-n // x.stride) - 1)
-            base = np.concatenate([[0], np.cumsum(passages)])
-            V = len(x.term)
-            keys = np.concatenate([((base[text] + s) * V + term[row])[(s >= 0) & (s < passages[text])] for s in (step, step - 1)])
-            keys = np.unique(keys)
-            passage, item, score, share = retrieve(x, keys // V, keys % V)
-            best: dict[tuple[int, int], tuple] = {}
-            for p, i, sc, sh in zip(passage.tolist(), item.tolist(), score.tolist(), share.tolist(), strict=True):
-                t = int(np.searchsorted(base, p, "right")) - 1
-                a = int(found.first[t]) + (p - int(base[t])) * x.stride
-                own = h[a : min(a + 2 * x.stride, int(found.first[t + 1]))]
-                both = [float(np.isin(part, _windows(own, size)).mean()) if size else 1.0 for size, part in x.triples[i]]
-                if min(both) >= OVERLAP and (old := best.get((t, i), (0,) * 5))[2] < sh:
-                    best[t, i] = (p - int(base[t]), sc, sh, *both)
             ids = batch.column(0).to_pylist()
-            rows = [(ids[t], int(x.item_id[i]) if x.item_id[i] is not None else None, *v) for (t, i), v in best.items()]
+            rows = []
+            for x in shared.value:
+                passage, term, base = passages(x, found, look_up(x, h))
+                some = np.isin(passage, with_pivot(x, passage, term))
+                best: dict[tuple[int, int], tuple] = {}
+                for p, i, score, share in zip(*(c.tolist() for c in wand(x, passage[some], term[some])), strict=True):
+                    t = int(np.searchsorted(base, p, "right")) - 1
+                    number = p - int(base[t])
+                    a = int(found.first[t]) + number * x.stride
+                    own = h[a : min(a + 2 * x.stride, int(found.first[t + 1]))]
+                    both = [float(np.isin(part, _windows(own, size)).mean()) if size else 1.0 for size, part in x.parts[i]]
+                    if min(both) >= OVERLAP and (old := best.get((t, i), (0,) * 3))[2] < share - 1e-12:  # of equal ones the first passage
+                        best[t, i] = (number, score, share, *both)
+                rows += [(ids[t], x.item_id[i], *v) for (t, i), v in best.items()]
             columns = zip(*rows, strict=True) if rows else [()] * 7
             yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, [pa.int64()] * 3 + [pa.float64()] * 4, strict=True)], ["doc_id", "item_id", "passage", "score", "share", "question", "answer"])
 
@@ -230,20 +296,23 @@ def _search(docs: DataFrame, index) -> DataFrame:
 
 
 def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """One row for each text and item that it holds: where (the passage's number), the score, its share and both overlaps."""
+    """One row for each text and item that it holds: where (the passage's number, in passages of the item's class), the score, its share and both overlaps."""
     spark = df.sparkSession
     docs = common.as_text(df, id_col, text_col)
     every = item_words(benchmark, item_col, item_text_col)
     frequency = every.select("item", "word").distinct().groupBy("word").agg(F.count("*").alias("df"))
     every = common.materialise(every.join(frequency, "word").select("item", "item_id", "position", "word", "answer", "df"), "benchmark")
     lengths = every.groupBy("item").agg(F.count("*").alias("n"))
-    n_items, mean, longest, total = lengths.agg(F.count("*"), F.avg("n"), F.max("n"), F.sum("n")).first()
-    if not n_items:
-        return spark.createDataFrame([], _FOUND)
-    n_shards = max(1, -(-int(total) * 6 // shard_bytes))  # a word is six bytes, about
+    n_items, mean, total = lengths.agg(F.count("*"), F.avg("n"), F.sum("n")).first()
+    n_shards = max(1, -(-int(total or 0) * 6 // shard_bytes))  # a word is six bytes, about
     found = []
     for k in range(n_shards):
-        rows = every.where(F.pmod(F.xxhash64("item"), F.lit(n_shards)) == k).sort("item", "position").collect()  # a shard, of bounded size
-        if rows:
-            found.append(_search(docs, spark.sparkContext.broadcast(build([tuple(r) for r in rows], n_items, float(mean), int(longest)))))
-    return reduce(DataFrame.unionByName, found)
+        rows = every.where(F.pmod(F.xxhash64("item"), F.lit(n_shards)) == k).sort("item", "position").toArrow()  # a shard, of bounded size
+        if rows.num_rows:
+            shared = spark.sparkContext.broadcast(build(rows, n_items, float(mean)))
+            found.append(_search(docs, shared))
+            if n_shards > 1:  # one shard's index at a time
+                found[-1] = common.materialise(found[-1], "contaminated")
+                shared.destroy()
+    common.discard(every)
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], _FOUND)

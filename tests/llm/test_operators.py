@@ -246,36 +246,67 @@ def test_substrings(docs, size, none):
     assert substrings.remove_repeats(none).count() == 0
 
 
-def brute_search(rows, items):
+def brute_contamination(rows, items):
+    """(doc_id, item_id) -> (passage, share, question, answer) by looking at every passage with every item."""
     words = lambda t: re.findall(r"(?:[a-z0-9]|[^\x00-\x7f])+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    items = [(k, t) for k, t in dict.fromkeys(items) if words(t)]
     bags = [Counter(words(t)) for _, t in items]
     df, mean = Counter(w for b in bags for w in b), sum(map(Counter.total, bags)) / len(bags)
-    weights = [{w: np.log1p((len(bags) - df[w] + 0.5) / (df[w] + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * b.total() / mean)) for w, f in b.items()} for b in bags]
-    stride = max(64, max(map(Counter.total, bags)))
-    found = set()
-    for i, t in rows:
-        w = words(t)
-        for p in range(max(1, -(-len(w) // stride) - 1)):
-            have = set(w[p * stride : (p + 2) * stride])
-            for (k, _), x in zip(items, weights, strict=True):
-                if sum(v for y, v in x.items() if y in have) >= 0.6 * sum(x.values()):
-                    found.add((i, k))
-    return found
+    found = {}
+    for (k, item), bag in zip(items, bags, strict=True):
+        weight = {w: np.log1p((len(bags) - df[w] + 0.5) / (df[w] + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * bag.total() / mean)) for w, f in bag.items()}
+        cut = [m.end() for m in re.finditer(r"[.!?](?=[\x20\x09-\x0D])", item) if words(item[m.end() :])]
+        w = words(item)
+        parts = (words(item[: cut[-1]]), words(item[cut[-1] :])) if cut else (w[: len(w) - len(w) // 4], w[len(w) - len(w) // 4 :])
+        stride = 64
+        while stride < len(w):
+            stride *= 2
+        for n, (i, t) in enumerate(rows):
+            text = words(t)
+            for p in range(max(1, -(-len(text) // stride) - 1)):
+                own = text[p * stride : (p + 2) * stride]
+                share = sum(v for y, v in weight.items() if y in set(own)) / sum(weight.values())
+                if share >= 0.6 - 1e-9:
+                    overlap = []
+                    for part in parts:
+                        size = min(3, len(part))
+                        mine = {tuple(part[a : a + size]) for a in range(len(part) - size + 1)}
+                        theirs = {tuple(own[a : a + size]) for a in range(len(own) - size + 1)}
+                        overlap.append(len(mine & theirs) / len(mine) if size else 1.0)
+                    if min(overlap) >= 0.5 and (n, k) not in found or min(overlap) >= 0.5 and found[n, k][1] < share - 1e-12:
+                        found[n, k] = (p, share, *overlap)
+    return Counter((rows[n][0], k, p, *(round(x, 9) for x in v)) for (n, k), (p, *v) in found.items())
 
 
 def test_decontamination(spark, none):
     rng = random.Random(4)
     vocabulary = ["w" + "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 4))) for _ in range(300)]
     text = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
-    items = [(k, f"{text(12)}. {text(6)}.") for k in range(40)] + [(90, None), (91, "")]
-    rows = [(k, text(rng.randrange(5, 300))) for k in range(60)] + [(100 + k, f"{text(100)} {items[k][1].upper() if k % 2 else items[k][1]} {text(70)}") for k in range(20)] + [(None, items[3][1]), (200, None), (201, "")]
-    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    for shard in (decontamination.SHARD_BYTES, 1000):
-        got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs, bench, shard_bytes=shard).collect()}
-        assert {(100 + k, k) for k in range(20)} | {(None, 3)} <= got <= brute_search(rows, items[:40])
-        assert all(i is None or i >= 100 for i, _ in got)
+    items = [(k, f"{text(12)}. {text(6)}.") for k in range(40)] + [(40 + k, f"{text(8 + k)}? {text(k % 4 + 1)}.") for k in range(8)] + [(60 + n, text(n)) for n in range(1, 14)]
+    items += [(80, f"{text(150)}. {text(9)}."), (81, f"{text(700)}. {text(9)}."), (90, None), (91, ""), (3, items[3][1]), (82, items[3][1])]
+    rows = [(k, text(rng.randrange(5, 300))) for k in range(60)] + [(None, items[3][1]), (200, None), (201, "")]
+    for k, (i, t) in enumerate(items[:63]):
+        rows.append((100 + k, f"{text(100)} {t.upper() if k % 2 else t} {text(70)}"))
+        rows.append((300 + k, f"{text(rng.randrange(900))} {' '.join(x if rng.random() < 0.85 else 'zz' for x in t.split())} {text(70)}"))
+    rows += rows[60:64]
+    docs, bench = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, item_id string"), spark.createDataFrame(items, "item_id long, text string")
+    want = brute_contamination(rows, items)
+    assert sum((100 + k, i) in {x[:2] for x in want} for k, (i, _) in enumerate(items[:63])) == 63
+    for shard in (decontamination.SHARD_BYTES, 3000):
+        got = Counter((r.doc_id, r.item_id, r.passage, round(r.share, 9), round(r.question, 9), round(r.answer, 9)) for r in decontamination.contaminated(docs, bench, shard_bytes=shard).collect())
+        assert got == want
     assert decontamination.contaminated(none, bench).count() == 0
-    assert decontamination.contaminated(docs, bench.where("item_id > 89")).count() == 0
+    assert decontamination.contaminated(docs, bench.where("item_id in (90, 91)")).count() == 0
+
+
+def test_a_long_benchmark_item_changes_nothing_for_the_others(spark):
+    rng = random.Random(14)
+    text = lambda n: " ".join(f"w{rng.randrange(900)}" for _ in range(n))
+    items = [(k, f"{text(12)}. {text(6)}.") for k in range(30)]
+    docs = spark.createDataFrame([(k, f"{text(2000)} {items[k % 30][1]} {text(2000)}") for k in range(12)], "doc_id long, text string")
+    for more in ([], [(99, text(9000))]):
+        bench = spark.createDataFrame([*items, *more], "item_id long, text string")
+        assert {(r.doc_id, r.item_id, r.passage) for r in decontamination.contaminated(docs, bench).collect() if r.item_id < 99} == {(k, k, 2000 // 64 - 1) for k in range(12)}
 
 
 def test_language(spark, none):
