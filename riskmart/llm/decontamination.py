@@ -1,6 +1,6 @@
 """Benchmark decontamination: every passage of the training texts is a query against a BM25 index of the benchmark's items.
 
-Words are runs of ASCII letters and digits and all non-ASCII characters, A-Z lower-cased. Items are indexed by length: those of up to S words, S being STRIDE
+Words are runs of ASCII letters and digits and all non-ASCII characters, lower-cased. Items are indexed by length: those of up to S words, S being STRIDE
 times a power of two, form a class. Its passages are 2 S words, one every S words, so an item within a text is within a passage, and a
 long item changes nothing for short ones. A passage's score for an item is the sum of BM25 weights (k1, b) of the item's terms that are in the passage, and
 its share is that over the sum of all of the item's weights; all pairs with a share of THRESHOLD are retrieved.
@@ -29,6 +29,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,11 +44,11 @@ SEPARATOR = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _FOUND = "doc_id long, item_id long, passage long, score double, share double, question double, answer double"
 
 
-def _word_hashes(texts: pa.Array) -> tuple[words.Words, np.ndarray, np.ndarray]:
-    data, offsets = common.text_bytes(texts)
-    data = words.ASCII_LOWER[data]
+def _word_hashes(texts: pa.Array) -> tuple[words.Words, np.ndarray, np.ndarray, np.ndarray]:
+    """Words, their hashes, and the lower-cased bytes with the texts' offsets in them."""
+    data, offsets = common.text_bytes(pc.utf8_lower(texts))
     found = words.find(data, offsets, SEPARATOR)
-    return found, words.hashes(data, found.start, found.end), data
+    return found, words.hashes(data, found.start, found.end), data, offsets
 
 
 def item_words(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -55,11 +56,10 @@ def item_words(items: DataFrame, id_col: str = "item_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in common.slices(batches):
-            found, h, data = _word_hashes(texts)
+            found, h, raw, offsets = _word_hashes(texts)
             n = np.diff(found.first)
             text = np.repeat(np.arange(len(n)), n)
             # A sentence ends where a mark is followed by white space; the last one is the answer.
-            raw, offsets = common.text_bytes(texts)
             ends = np.isin(raw, [33, 46, 63]) & np.append(words.SEPARATOR[raw[1:]], False)
             last = np.zeros(len(n), np.int64)
             marks = np.flatnonzero(ends)
@@ -273,7 +273,7 @@ def passages(x: Index, found: words.Words, term: np.ndarray) -> tuple[np.ndarray
 def _search(docs: DataFrame, shared) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in common.slices(batches):
-            found, h, _ = _word_hashes(texts)
+            found, h, _, _ = _word_hashes(texts)
             ids = batch.column(0).to_pylist()
             rows = []
             for x in shared.value:
