@@ -1,10 +1,14 @@
 """A pipeline over the documents: language, near-duplicates, repeated passages, benchmark passages, packing.
 
 Each stage takes all that the one before it kept. What a stage decides:
-language: documents without a letter, or whose language has a posterior under LANGUAGE_SCORE, go (without any lang in the input only the former); near_duplicates: of each group that pairs with a
-Jaccard similarity of 0.8 of their five-word shingles join, one row stays, of the least doc_id (rows without an id come last; ties by the text's hash); substrings: words in
-repeated windows are cut out of the texts, and texts that lose all their words go; decontamination: rows that hold a benchmark item go; packing: the rest becomes sequences.
-Stages decide by row, not by doc_id: equal and missing ids are no ties between rows.
+language: documents without a letter, or whose language has a posterior under LANGUAGE_SCORE, go (without any lang in the input only the former); near_duplicates: of each
+group that pairs with a Jaccard similarity of SIMILARITY of their five-word shingles join, one row stays, of the least doc_id (rows without an id come last; ties by the
+text's hash). The SimHash operator finds them, in its mode for a similarity: within the two bits of its contract hardly a pair at 0.8 would be found. substring_dedup: words
+in repeated windows are cut out of the texts, and texts that lose all their words go; decontamination: rows that hold a benchmark item go; packing: the rest becomes sequences.
+
+Stages decide by row, not by doc_id: equal and missing ids are no ties between rows. Rows without text go in the first stage; texts are read whole. An empty table
+gives an empty one. Columns of documents can have any names but doc_id, text and n_chars (which is remade where a text is cut) and keep their values: helper columns take free
+names. A stage's input is deleted once its output is written; the last stage reads the fourth one's.
 """
 
 from __future__ import annotations
@@ -12,42 +16,61 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskmart.llm import common, decontamination, jaccard, langid, packing, substrings
+from riskmart.llm import common, decontamination, langid, packing, simhash, substrings
 
 LANGUAGE_SCORE = 0.5
+#: As a fraction.
+SIMILARITY = (4, 5)
+
+
+def _columns(docs: DataFrame) -> list:
+    return [F.col(f"`{c}`") for c in docs.columns]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fit(docs)
     if not model.languages:  # nothing to learn from
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    found = langid.predict(docs, model, lang_name="_language", score_name="_language_score")
-    return found.where((F.col("_language") != langid.UNKNOWN) & (F.col("_language_score") >= LANGUAGE_SCORE)).select(*docs.columns)
+    name, score = (common.free_name(docs.columns, x) for x in ("language", "language_score"))
+    found = langid.predict(docs, model, lang_name=name, score_name=score)
+    return found.where((F.col(name) != langid.UNKNOWN) & (F.col(score) >= LANGUAGE_SCORE)).select(*_columns(docs))
+
+
+def with_rows(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a key of each row and the name of its column, written once so that it stays the same."""
+    row = common.free_name(docs.columns, "row")
+    return common.materialise(docs.withColumn(row, F.monotonically_increasing_id()), "rows"), row
 
 
-def with_rows(docs: DataFrame) -> DataFrame:
-    """docs with _row, a key of each row, written once so that it stays the same."""
-    return common.materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+def without(rows: DataFrame, gone: DataFrame, row: str, docs: DataFrame) -> DataFrame:
+    """The rows whose key isn't in gone. These are written first: Spark then knows their size, and broadcasts them if they are few."""
+    gone = common.materialise(gone.select(F.col(gone.columns[0]).alias(row)).distinct(), "gone")
+    return rows.join(gone, row, "left_anti").select(*_columns(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = with_rows(docs)
-    found = jaccard.near_duplicates(rows, id_col="_row").withColumnRenamed("row", "_row")
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "_row")
-    kept = rows.select("_row", order.alias("order")).join(found, "_row").groupBy("component").agg(F.min("order").alias("order")).select("order._row")
-    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
+    rows, row = with_rows(docs)
+    found = common.materialise(simhash.near_duplicates(rows, id_col=row, similarity=SIMILARITY), "components")
+    many = found.groupBy("component").agg(F.count("*").alias("n_left")).where("n_left > 1")
+    # Rows of groups alone need an order; the others stay.
+    grouped = common.materialise(common.join_to_keys(found, many, "component", found.count()), "grouped")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), F.col(row).alias("row"))
+    ordered = common.materialise(rows.select(F.col(row).alias("row"), order.alias("order")).join(grouped, "row"), "ordered")
+    stays = ordered.groupBy("component").agg(F.min("order").alias("least")).select(F.col("least.row").alias("row"))
+    return without(rows, ordered.select("row").join(stays, "row", "left_anti"), row, docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
     cut = substrings.remove_repeats(docs, one_space=False, carry=tuple(others)).where("n_removed < n_words or n_words = 0")
-    return cut.select("doc_id", F.col("kept").alias("text"), F.length("kept").cast("long").alias("n_chars"), *[F.col(f"carry_{c}").alias(c) for c in others]).select(*docs.columns)
+    new = {"doc_id": F.col("doc_id"), "text": F.col("kept").alias("text"), "n_chars": F.length("kept").cast("long").alias("n_chars")}
+    return cut.select(*[new.get(c, F.col(f"`carry_{c}`").alias(c)) for c in docs.columns])
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = with_rows(docs)
-    found = decontamination.contaminated(rows, common.table(spark, sf_dir, "benchmark"), id_col="_row").select(F.col("doc_id").alias("_row")).distinct()
-    return rows.join(found, "_row", "left_anti").select(*docs.columns)
+    rows, row = with_rows(docs)
+    found = decontamination.contaminated(rows, common.table(spark, sf_dir, "benchmark"), id_col=row)
+    return without(rows, found.select("doc_id"), row, docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,5 +85,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = common.materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        with common.scratch():
+            made = stage(spark, docs, sf_dir)
+            written = common.materialise(made, f"stage-{name}", keep=True)
+        common.discard(docs)
+        docs = written
     return STAGES[-1][1](spark, docs, sf_dir)

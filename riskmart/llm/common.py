@@ -52,10 +52,26 @@ def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/riskmart-{what}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, what: str) -> DataFrame:
+_scratch: list[list[tuple[SparkSession, str]]] = []
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[None]:
+    """Deletes at its end what materialise() has written within, but for what is to be kept: for callers who write the result before that."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for spark, path in _scratch.pop():
+            delete(spark, path)
+
+
+def materialise(df: DataFrame, what: str, keep: bool = False) -> DataFrame:
     """Cut the lineage: write to the shared folder and read again. A lost executor then costs one stage, not the whole job."""
     spark = df.sparkSession
     path = new_path(spark, what)
+    if _scratch and not keep:
+        _scratch[-1].append((spark, path))
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._riskmart_path = path
@@ -81,6 +97,25 @@ def as_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry
     return df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"), *[df[c].alias(f"carry_{c}") for c in carry])
 
 
+#: A key is hot if it has more than this share of all rows; there are fewer than HOT_KEYS such keys, so their names can be broadcast.
+HOT_KEYS, _LEAST_HOT = 10_000, 64
+
+
+def join_to_keys(left: DataFrame, right: DataFrame, on: str | list[str], total: int, how_many: str = "n_left") -> DataFrame:
+    """left joined with right, which has one row for each key, and in how_many the number of its rows in left (total in all).
+
+    A hot key's rows are dealt over as many parts as it has hot shares, and its row in right is repeated for each. So a key that has a third of all rows is in
+    no one task, whatever adaptive execution does. Only names of hot keys (not their rows) are broadcast. left should be a written table.
+    """
+    on = [on] if isinstance(on, str) else on
+    limit = max(_LEAST_HOT, total // HOT_KEYS)
+    parts = F.ceil(F.col(how_many) / limit).cast("int")
+    hot = right.where(F.col(how_many) > limit).select(*on, parts.alias("_parts"))
+    spread = right.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop(how_many)
+    dealt = left.join(F.broadcast(hot), on, "left").withColumn("_part", F.pmod(F.monotonically_increasing_id(), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    return dealt.join(spread, [*on, "_part"]).drop("_part")
+
+
 def free_name(columns: list[str], wanted: str) -> str:
     """wanted, or with underscores in front what none of the columns is called (Spark's names ignore case)."""
     taken = {c.lower() for c in columns}

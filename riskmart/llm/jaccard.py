@@ -1,13 +1,13 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: MinHash bands name candidates, the sets themselves decide.
+"""Near-duplicates by the Jaccard similarity of word shingles: SimHash tables and MinHash bands name candidates, the sets themselves decide.
 
 A text's set is the 64-bit hashes (not verified) of its SHINGLE-word windows, A-Z lower-cased; a shorter text is one shingle. Two texts are near copies
-if their sets have a similarity of SIMILARITY. A pair at 0.8 shares one of BANDS bands of ROWS minima with a probability of 1 - (1 - 0.8^5)^24 = 0.9999, pairs above
-with more; all candidates are checked on their sets.
+if their sets have the similarity. Candidates share one of the covering tables of a SimHash fingerprint over the set (all pairs within two bits do), or one of BANDS
+bands of ROWS minima: a pair at 0.8 with a probability of 1 - (1 - 0.8^5)^24 = 0.9999, pairs above with more. All candidates are checked on their sets.
 
 Equal sets are one node. Buckets of up to PAIRS nodes give all pairs. Larger ones give each node with LEADERS of the bucket; then those outside of the
 bucket's largest component so far are checked with all of the bucket that are in another component than they. So each pair of a bucket is
 joined or checked, and one large family gives rows in proportion to its size; buckets of many large families that are apart cost their product.
-Texts without words are one node.
+Texts without words, null or empty, are one node. Ids must be unique. An empty table gives no rows; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -17,12 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskmart.llm import common, words
+from riskmart.llm import common, simhash, words
 from riskmart.llm.components import components
 
 SHINGLE, BANDS, ROWS, SEED = 5, 24, 5, 42
-#: SIMILARITY as a fraction, so that the check is exact.
+#: A fraction, so that the check is exact.
 SIMILARITY = (4, 5)
+#: Shingles whose bits are counted at once.
+_BITS_AT_ONCE = 1 << 16
 PAIRS, LEADERS = 32, 4
 
 
@@ -50,27 +52,43 @@ def sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     return value[new], np.searchsorted(owner[new], np.arange(len(n) + 1))
 
 
+def fingerprints(value: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A SimHash of each set: bit k is set if it is in over half of the set's hashes."""
+    n = np.diff(offsets)
+    owner = np.repeat(np.arange(len(n)), n)
+    count = np.zeros((len(n), simhash.BITS), np.int64)
+    for a in range(0, len(value), _BITS_AT_ONCE):
+        bits = np.unpackbits(value[a : a + _BITS_AT_ONCE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        own = owner[a : a + _BITS_AT_ONCE]
+        begin = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        count[own[begin]] += np.add.reduceat(bits, begin, axis=0, dtype=np.int32)
+    return np.packbits(count * 2 > n[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+
+
 def signatures(df: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """row, node (a hash of the text's set), n (its size), bands."""
+    """row, node (a hash of the text's set), n (its size), keys: of its bands, then of the covering tables."""
     factors, adds = np.random.default_rng(SEED).integers(0, 2**64, (2, BANDS * ROWS), np.uint64)
     factors |= np.uint64(1)
+    masks = np.array(simhash.masks(simhash.RADIUS), np.int64).view(np.uint64)
+    n_keys = BANDS + len(masks)
 
     def run(batches):
         for batch, texts in common.slices(batches):
             value, offsets = sets(texts, size)
             n = np.diff(offsets)
             has = np.flatnonzero(n)
-            node, bands = np.zeros(len(n), np.uint64), np.zeros((len(n), BANDS), np.uint64)
+            node, keys = np.zeros(len(n), np.uint64), np.zeros((len(n), n_keys), np.uint64)
             if len(has):
                 starts = offsets[:-1][has]
                 node[has] = words.mix(np.add.reduceat(words.mix(value), starts) + n[has].astype(np.uint64))
                 for k in range(BANDS * ROWS):
                     least = np.minimum.reduceat(value * factors[k] + adds[k], starts)
-                    bands[has, k // ROWS] = words.mix(bands[has, k // ROWS] * np.uint64(31) + least)
-            ends = pa.array(np.arange(len(n) + 1) * BANDS, pa.int32())
-            yield pa.record_batch({"row": batch.column(0), "node": pa.array(node.view(np.int64)), "n": pa.array(n.astype(np.int64)), "bands": pa.ListArray.from_arrays(ends, pa.array(bands.ravel().view(np.int64)))})
+                    keys[has, k // ROWS] = words.mix(keys[has, k // ROWS] * np.uint64(31) + least)
+                keys[:, BANDS:] = fingerprints(value, offsets)[:, None] & masks
+            ends = pa.array(np.arange(len(n) + 1) * n_keys, pa.int32())
+            yield pa.record_batch({"row": batch.column(0), "node": pa.array(node.view(np.int64)), "n": pa.array(n.astype(np.int64)), "keys": pa.ListArray.from_arrays(ends, pa.array(keys.ravel().view(np.int64)))})
 
-    return common.as_text(df, id_col, text_col).mapInArrow(run, "row long, node long, n long, bands array<long>")
+    return common.as_text(df, id_col, text_col).mapInArrow(run, "row long, node long, n long, keys array<long>")
 
 
 def _sets_of(df: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
@@ -84,46 +102,59 @@ def _sets_of(df: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
     return common.as_text(df, id_col, text_col).mapInArrow(run, "row long, hashes array<long>")
 
 
-def _similar(pairs: DataFrame, hashes: DataFrame) -> DataFrame:
+def _similar(pairs: DataFrame, hashes: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     """Those of the pairs (a, b) whose sets have the similarity."""
-    up, down = SIMILARITY
+    up, down = similarity
     a = hashes.select(F.col("node").alias("a"), F.col("hashes").alias("of_a"))
     b = hashes.select(F.col("node").alias("b"), F.col("hashes").alias("of_b"))
+    pairs = common.materialise(pairs, "pairs")
+    total = pairs.count()
+
+    def counted(side: DataFrame, name: str) -> DataFrame:  # a leader is in many pairs
+        return side.join(pairs.groupBy(name).agg(F.count("*").alias("n_left")), name)
+
     both = F.size("of_a") + F.size("of_b")
     # i / (both - i) >= up / down
     sizes = F.least(F.size("of_a"), F.size("of_b")) * down >= F.greatest(F.size("of_a"), F.size("of_b")) * up
-    return pairs.join(a, "a").join(b, "b").where(sizes).where(F.size(F.array_intersect("of_a", "of_b")) * (up + down) >= both * up).select("a", "b")
+    found = common.join_to_keys(common.join_to_keys(pairs, counted(a, "a"), "a", total), counted(b, "b"), "b", total)
+    return found.where(sizes).where(F.size(F.array_intersect("of_a", "of_b")) * (up + down) >= both * up).select("a", "b")
 
 
 def _pairs(left: DataFrame, right: DataFrame, condition) -> DataFrame:
     return left.join(right, ["band", "key"]).where(condition).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
-def near_duplicates(df: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", pairs: int = PAIRS) -> DataFrame:
+def near_duplicates(df: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", pairs: int = PAIRS, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """row (of id_col, which must be unique), component (the same for texts that near copies join)."""
     rows = common.materialise(signatures(df, size, id_col, text_col), "signatures")
-    nodes = rows.where("n > 0").groupBy("node").agg(F.min("row").alias("row"), F.first("bands").alias("bands"))
-    keyed = nodes.select("node", "row", F.posexplode("bands").alias("band", "key"))
+    nodes = common.materialise(rows.groupBy("node").agg(F.min("row").alias("row"), F.max("n").alias("n"), F.first("keys").alias("keys"), F.count("*").alias("n_left")), "nodes")
+    keyed = nodes.where("n > 0").select("node", "row", F.posexplode("keys").alias("band", "key"))
     leaders = F.array_distinct(F.array(*[F.min_by("node", F.xxhash64("node", F.lit(k))) for k in range(LEADERS)]))
     sizes = keyed.groupBy("band", "key").agg(F.count("*").alias("size"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"), leaders.alias("leaders")).where("size > 1")
     # Bands with the same nodes in a bucket say nothing new.
     buckets = sizes.groupBy("size", "sum").agg(F.min(F.struct("band", "key", "leaders")).alias("x")).select("x.band", "x.key", "size", "x.leaders")
-    members = common.materialise(keyed.join(buckets, ["band", "key"]), "candidates")
+    n_keys = nodes.count() * (BANDS + 2 ** (simhash.RADIUS + 1) - 1)
+    members = common.materialise(common.join_to_keys(keyed, buckets.withColumn("n_left", F.col("size")), ["band", "key"], n_keys), "candidates")
     hashes = _sets_of(df.join(members.select(F.col("row").alias("_member")).distinct(), df[id_col] == F.col("_member"), "left_semi"), size, id_col, text_col)
     hashes = common.materialise(hashes.join(members.select("row", "node").distinct(), "row").select("node", "hashes"), "sets")
     small, large = members.where(F.col("size") <= pairs), members.where(F.col("size") > pairs)
     other = small.select("band", "key", F.col("node").alias("other"))
     first = _pairs(small.select("band", "key", "node"), other, F.col("node") < F.col("other"))
     starred = large.select("node", F.explode("leaders").alias("other")).where("node <> other").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
-    links = common.materialise(_similar(first.unionByName(starred).distinct(), hashes), "links")
+    links = common.materialise(_similar(first.unionByName(starred).distinct(), hashes, similarity), "links")
     joined = components(links)
     if not large.isEmpty():
         of = common.materialise(large.join(joined.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("band", "key", "node", F.coalesce("root", "node").alias("root")), "large-buckets")
         most = of.groupBy("band", "key", "root").count().groupBy("band", "key").agg(F.max_by("root", F.struct("count", "root")).alias("most"))
         apart = of.join(most, ["band", "key"]).where("root <> most").select("band", "key", "node", "root")
         everyone = of.select("band", "key", F.col("node").alias("other"), F.col("root").alias("other_root"))
-        more = common.materialise(_similar(_pairs(apart, everyone, F.col("root") != F.col("other_root")), hashes), "links")
+        more = common.materialise(_similar(_pairs(apart, everyone, F.col("root") != F.col("other_root")), hashes, similarity), "links")
         if not more.isEmpty():
             joined = components(links.unionByName(more))
-    joined = joined.select(F.col("node").alias("_node"), "root")
-    return rows.join(joined, rows.node == joined._node, "left").select("row", F.coalesce("root", "node").alias("component"))
+        for x in (of, more):
+            common.discard(x)
+    joined = common.materialise(joined, "joined")
+    for x in (members, hashes, links):
+        common.discard(x)
+    of = nodes.select("node", "n_left").join(joined, "node", "left").select("node", F.coalesce("root", "node").alias("component"), "n_left")
+    return common.join_to_keys(rows.select("row", "node"), of, "node", rows.count()).select("row", "component")

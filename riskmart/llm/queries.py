@@ -134,4 +134,24 @@ def _licenses_sql() -> str:
     SELECT doc_id, rule, license, CAST(n AS BIGINT) AS n_matches, array_to_string(ids, ',') AS sentence_ids FROM own WHERE n > 0"""
 
 
-ORACLES: dict[str, str] = {"op6_licenses": _licenses_sql()}
+#: Every window as a string (words hold no space), counted; then word by word.
+_SUBSTRINGS_SQL = """
+    WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+    windows AS (SELECT r, i, array_to_string(w[i:i + 34], ' ') AS x FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM docs)),
+    again AS (SELECT x FROM windows GROUP BY x HAVING count(*) > 1),
+    gone AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS k FROM windows SEMI JOIN again USING (x)),
+    every AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS k FROM docs),
+    kept AS (SELECT r, string_agg(word, ' ' ORDER BY k) AS t FROM every ANTI JOIN gone USING (r, k) GROUP BY r),
+    n AS (SELECT r, count(*) AS n FROM gone GROUP BY r)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+    FROM docs LEFT JOIN n USING (r) LEFT JOIN kept USING (r)"""
+#: Every pair, and all that links reach.
+_EMBEDDINGS_SQL = """
+    WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+    good AS (SELECT * FROM v WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+    links AS (SELECT a.r, a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.r <> b.r AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+    reach(a, b) AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+    SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, least(vec_id, coalesce(least_b, vec_id)) AS component_id, coalesce(vec_id = least(vec_id, coalesce(least_b, vec_id)), false) AS kept
+    FROM v LEFT JOIN (SELECT r, count(*) AS n FROM links GROUP BY r) USING (r) LEFT JOIN (SELECT a, min(b) AS least_b FROM reach GROUP BY a) x ON x.a = v.vec_id"""
+
+ORACLES: dict[str, str] = {"op6_licenses": _licenses_sql(), "op7_substring_dedup": _SUBSTRINGS_SQL, "op10_embeddings": _EMBEDDINGS_SQL}

@@ -9,8 +9,13 @@ each fingerprint f names the points f and f with one bit flipped, and all that n
 they are within 2 of each other, and any two within 2 of each other name a common point. So no bucket is capped, and none
 gives rows with the square of its size. That argument, and so this module, is for a radius of 2.
 
+With a similarity given, documents link instead where their sets of shingles have that Jaccard similarity. At 0.8 fingerprints differ by about ten bits, far
+beyond what covering tables can hold (2^(r+1) of them for radius r), so the seven tables name only some of the candidates there, MinHash bands the others, and the
+sets decide: see `jaccard.py`.
+
 Null text has no words: fingerprint zero, as texts without words. Documents with equal id are separate; a component's id is the
-least doc_id in it (null only where all are).
+least doc_id in it (null only where all are). Texts are read whole, shingles in blocks. Only the two named columns are read, so others can have any name.
+An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -93,12 +98,16 @@ def links(fps: DataFrame, pairs: int = PAIRS) -> DataFrame:
     return twos.unionByName(paired).unionByName(starred).distinct()
 
 
-def near_duplicates(df: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp, component_id of every document."""
+def near_duplicates(df: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", similarity: tuple[int, int] | None = None) -> DataFrame:
+    """doc_id, fp, component_id of every document; with a similarity (a fraction: over, under) row and component, of a unique integer id_col."""
+    if similarity:
+        from riskmart.llm import jaccard
+
+        return jaccard.near_duplicates(df, shingle, id_col, text_col, similarity=similarity)
     docs = common.materialise(fingerprints(df, shingle, id_col, text_col), "fingerprints")
-    first = common.materialise(docs.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
-    of = components(links(first.select("fp")))
-    linked = first.join(of, first.fp == of.node).select("fp", "root", "first")
-    least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    grouped = first.join(linked.join(least, "root").select("fp", "component_id"), "fp", "left")
-    return docs.join(grouped.select("fp", F.coalesce("component_id", "first").alias("component_id")), "fp").select("doc_id", "fp", "component_id")
+    first = common.materialise(docs.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n_left")), "distinct-fingerprints")
+    of = common.materialise(components(links(first.select("fp"))).join(first.select(F.col("fp").alias("node"), "first"), "node"), "linked")
+    least = of.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n_left"))
+    linked = common.join_to_keys(of, least, "root", of.count()).select(F.col("node").alias("fp"), "component_id")
+    grouped = first.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"), "n_left")
+    return common.join_to_keys(docs, grouped, "fp", docs.count()).select("doc_id", "fp", "component_id")

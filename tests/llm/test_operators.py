@@ -234,18 +234,50 @@ def test_substrings(docs, size, none):
             if windows[tuple(w[k : k + size])] > 1:
                 gone[k : k + size] = [True] * size
         want.append((i, len(w), sum(gone), " ".join(x for x, g in zip(w, gone, strict=True) if not g), [k for k, g in enumerate(gone) if g]))
-    got = substrings.remove_repeats(docs, size, chunk_bytes=900, range_bytes=2000, carry=("lang",)).collect()
+    got = substrings.remove_repeats(docs, size, chunk_bytes=900, carry=("lang",)).collect()
 
     def spread(r):
         return [k for a, b in zip(r.removed[::2], r.removed[1::2], strict=True) for k in range(a, b + 1)]
 
     assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept, spread(r)) for r in got), key=str) == sorted(want, key=str)
     assert {r.carry_lang for r in got} == {"l"}
-    loose = substrings.remove_repeats(docs, size, one_space=False).collect()
+    loose = substrings.remove_repeats(docs, size, one_space=False, stable=False).collect()
     assert Counter((r.doc_id, " ".join(WORD.findall(r.kept))) for r in loose) == Counter((w[0], w[3]) for w in want)
     assert substrings.remove_repeats(none).count() == 0
 
 
+def thue_morse(n, swap):
+    bits = [bin(k).count("1") % 2 ^ swap for k in range(n)]
+    return "".join("ab"[b] for b in bits)
+
+
+def test_substrings_of_words_made_to_collide(spark):
+    """Polynomials modulo 2^64 give these words one hash, in whatever base."""
+    plain = " ".join(f"w{k}" for k in range(40))
+    for n in (1024, 2048):
+        rows = [(k, f"{thue_morse(n, k)} {plain}") for k in (0, 1)]
+        got = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 41).collect()
+        assert {(r.doc_id, r.n_removed, r.kept) for r in got} == {(k, 0, t) for k, t in rows}
+
+
+def test_run_hashes_are_those_of_the_definition():
+    rng = np.random.default_rng(1)
+    values = rng.integers(0, substrings.PRIME, 60, np.uint64)
+    values[:3] = substrings.PRIME - 1
+    for size in (1, 2, 3, 11, 35, 60, 61):
+        for base in substrings.BASES:
+            want = [sum(int(v) * pow(base, size - 1 - j, substrings.PRIME) for j, v in enumerate(values[k : k + size])) % substrings.PRIME for k in range(max(0, 61 - size))]
+            assert substrings.runs(values, size, base).tolist() == want
+
+
+def test_substrings_of_very_many_equal_rows(spark):
+    """A third of the rows is one row: it is dealt over all chunks."""
+    text = " ".join(f"w{k}" for k in range(50))
+    df = spark.range(30000).selectExpr("if(id % 3 = 0, 5, id) AS doc_id", f"if(id % 3 = 0, '{text}', concat('x', id)) AS text")
+    got = substrings.remove_repeats(df, chunk_bytes=100_000)
+    assert {(r.n_words, r.n_removed, r["count"]) for r in got.groupBy("n_words", "n_removed").count().collect()} == {(50, 50, 10000), (1, 0, 20000)}
+
+
 def brute_contamination(rows, items):
     """(doc_id, item_id) -> (passage, share, question, answer) by looking at every passage with every item."""
     words = lambda t: re.findall(r"(?:[a-z0-9]|[^\x00-\x7f])+", (t or "").lower())
