@@ -74,7 +74,9 @@ def digests(data: np.ndarray, found: words.Words) -> tuple[np.ndarray, np.ndarra
     ends = np.concatenate([[0], np.cumsum(found.end - found.start)])
     every = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data[~words.SEPARATOR[data]]))])
     coded = every.dictionary_encode()
-    known = b"".join([blake2b(w, digest_size=16).digest() for w in coded.dictionary.to_pylist()])
+    _, at, content = coded.dictionary.buffers()
+    content, at = content.to_pybytes(), np.frombuffer(at, np.int64)[: len(coded.dictionary) + 1].tolist()
+    known = b"".join([blake2b(content[i:j], digest_size=16).digest() for i, j in zip(at[:-1], at[1:], strict=True)])
     halves = np.frombuffer(known, "<u8").reshape(-1, 2) % _P
     index = np.asarray(coded.indices)
     return halves[index, 0], halves[index, 1]
@@ -82,7 +84,7 @@ def digests(data: np.ndarray, found: words.Words) -> tuple[np.ndarray, np.ndarra
 
 @dataclass
 class Windows:
-    """Of the texts of a slice: their words, the first word of each window, its two hashes, and the place and hash of its anchor."""
+    """Of the texts of a slice: their words, the first word of each window, its two hashes, and the place and hash of its anchor (as far as wanted)."""
 
     data: np.ndarray
     offsets: np.ndarray
@@ -93,25 +95,29 @@ class Windows:
     anchor: np.ndarray
 
 
-def windows(texts: pa.Array, size: int) -> Windows:
+def windows(texts: pa.Array, size: int, hashes: bool = True, anchors: bool = True) -> Windows:
     data, offsets = common.text_bytes(texts)
     found = words.find(data, offsets)
-    n = len(found.start) - size + 1
+    n, none = len(found.start) - size + 1, np.empty(0, np.uint64)
+    out = Windows(data, offsets, found, np.empty(0, np.int64), (none, none), np.empty(0, np.int64), none)
     if n <= 0:
-        none = np.empty(0, np.uint64)
-        return Windows(data, offsets, found, np.empty(0, np.int64), (none, none), np.empty(0, np.int64), none)
+        return out
     halves = digests(data, found)
     text = np.repeat(np.arange(len(found.first) - 1), np.diff(found.first))
-    at = np.flatnonzero(text[:n] == text[size - 1 :])
-    both = tuple(runs(x, size, base)[at] for x, base in zip(halves, BASES, strict=True))
-    least = runs(halves[0], max(1, size // 3), BASES[0])
-    place, reach = np.arange(len(least)), 1  # of the least of the next `reach` runs, the first of equal ones
-    wanted = size - max(1, size // 3) + 1
-    while reach < wanted:
-        step = min(reach, wanted - reach)
-        left, right = place[:-step], place[step:]
-        place, reach = np.where(least[left] <= least[right], left, right), reach + step
-    return Windows(data, offsets, found, at, both, place[at], least[place[at]])
+    out.at = np.flatnonzero(text[:n] == text[size - 1 :])
+    if hashes:
+        out.hashes = tuple(runs(x, size, base)[out.at] for x, base in zip(halves, BASES, strict=True))
+    if anchors:
+        least = runs(halves[0], max(1, size // 3), BASES[0])
+        place, reach = np.arange(len(least)), 1  # of the least of the next `reach` runs, the first of equal ones
+        wanted = size - max(1, size // 3) + 1
+        while reach < wanted:
+            step = min(reach, wanted - reach)
+            left, right = place[:-step], place[step:]
+            place, reach = np.where(least[left] <= least[right], left, right), reach + step
+        out.place = place[out.at]
+        out.anchor = least[out.place]
+    return out
 
 
 def _texts(table: pa.Table):
@@ -119,23 +125,30 @@ def _texts(table: pa.Table):
     return common.slices(iter(table.to_batches()))
 
 
-def _within(x: tuple[np.ndarray, ...], known: tuple[np.ndarray, ...]) -> np.ndarray:
-    """Which of x (one or two numbers each) are among the known."""
-    if not len(known[0]) or not len(x[0]):
-        return np.zeros(len(x[0]), bool)
-    order = np.lexsort(known[::-1])
-    every = [k[order] for k in known]
-    if len(known) == 1:
-        return every[0][np.minimum(np.searchsorted(every[0], x[0]), len(order) - 1)] == x[0]
-    # Numbered by the first; of equal first ones (next to never) the second decides.
-    first, number = np.unique(every[0], return_inverse=True)
-    place = np.minimum(np.searchsorted(first, x[0]), len(first) - 1)
-    begin = np.searchsorted(number, place)
-    hit = np.zeros(len(x[0]), bool)
-    for k in range(int(np.bincount(number).max())):
-        now = np.minimum(begin + k, len(order) - 1)
-        hit |= (every[0][now] == x[0]) & (every[1][now] == x[1])
-    return hit
+class Known:
+    """A set of hashes, one or two numbers below the prime each, sorted by the first and found by its leading bits."""
+
+    def __init__(self, *numbers: np.ndarray):
+        order = np.argsort(numbers[0])
+        self.numbers = [x[order] for x in numbers]
+        bits = max(1, len(order).bit_length())
+        self.shift = np.uint64(61 - bits)
+        self.slot = np.searchsorted(self.numbers[0], np.arange((1 << bits) + 1, dtype=np.uint64) << self.shift)
+
+    def has(self, *numbers: np.ndarray) -> np.ndarray:
+        lead = (numbers[0] >> self.shift).astype(np.int64)
+        at, end = self.slot[lead], self.slot[lead + 1]
+        out = np.zeros(len(lead), bool)
+        left = np.flatnonzero(at < end)
+        while len(left):
+            now = at[left]
+            hit = self.numbers[0][now] == numbers[0][left]
+            for k in range(1, len(numbers)):
+                hit &= self.numbers[k][now] == numbers[k][left]
+            out[left[hit]] = True
+            at[left] += 1
+            left = left[~hit & (at[left] < end[left])]
+        return out
 
 
 def _longs(table: pa.Table, *names: str) -> tuple[np.ndarray, ...]:
@@ -189,7 +202,7 @@ def remove_repeats(df: DataFrame, size: int = SIZE, one_space: bool = True, carr
         """Each anchor of the chunk and in how many places it stands."""
         found = []
         for _, texts in _texts(table):
-            w = windows(texts, size)
+            w = windows(texts, size, hashes=False)
             new = np.ones(len(w.place), bool)
             new[1:] = w.place[1:] != w.place[:-1]
             found.append(w.anchor[new])
@@ -198,10 +211,10 @@ def remove_repeats(df: DataFrame, size: int = SIZE, one_space: bool = True, carr
 
     def candidates(table: pa.Table, known: pa.Table) -> pa.Table:
         """Each window of the chunk that has a repeated anchor, and how often it occurs."""
-        again, found = _longs(known, "h"), [(np.empty(0, np.uint64),) * 2]
+        again, found = Known(*_longs(known, "h")), [(np.empty(0, np.uint64),) * 2]
         for _, texts in _texts(table):
             w = windows(texts, size)
-            some = _within((w.anchor,), again)
+            some = again.has(w.anchor)
             found.append(tuple(h[some] for h in w.hashes))
         h, g = (np.concatenate(x) for x in zip(*found, strict=True))
         order = np.lexsort((g, h))
@@ -212,12 +225,12 @@ def remove_repeats(df: DataFrame, size: int = SIZE, one_space: bool = True, carr
         return pa.table({"h": pa.array(h[new].astype(np.int64)), "g": pa.array(g[new].astype(np.int64)), "chunk": pa.array(np.full(len(new), chunk), pa.int64()), "n": pa.array(n, pa.int64())})
 
     def cut(table: pa.Table, known: pa.Table) -> pa.Table:
-        out, again = [], _longs(known, "h", "g")
+        out, again = [], Known(*_longs(known, "h", "g"))
         for batch, texts in _texts(table):
-            w = windows(texts, size)
+            w = windows(texts, size, anchors=False)
             data, offsets, found = w.data, w.offsets, w.found
             flagged = np.zeros(len(found.start) + 1, np.int64)
-            flagged[w.at[_within(w.hashes, again)] + 1] = 1
+            flagged[w.at[again.has(*w.hashes)] + 1] = 1
             run = np.cumsum(flagged)
             gone = run[1:] > run[np.maximum(np.arange(len(found.start)) + 1 - size, 0)]
             edge = np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8))
