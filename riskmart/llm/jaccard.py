@@ -4,9 +4,11 @@ A text's set is the 64-bit hashes (not verified) of its SHINGLE-word windows, A-
 if their sets have the similarity. Candidates share one of the covering tables of a SimHash fingerprint over the set (all pairs within two bits do), or one of BANDS
 bands of ROWS minima: a pair at 0.8 with a probability of 1 - (1 - 0.8^5)^24 = 0.9999, pairs above with more. All candidates are checked on their sets.
 
-Equal sets are one node. Buckets of up to PAIRS nodes give all pairs. Larger ones give each node with LEADERS of the bucket; then those outside of the
-bucket's largest component so far are checked with all of the bucket that are in another component than they. So each pair of a bucket is
-joined or checked, and one large family gives rows in proportion to its size; buckets of many large families that are apart cost their product.
+Equal sets are one node. Pairs are never made of large buckets (over PAIRS nodes): sets meet in groups in Python, which give no more links than join their
+components. First each node of large buckets meets up to LEADERS nodes that lead one of them: a bucket's leader is the node with most company in all its
+large buckets, so that of a family the one in the middle leads. Then, for each bucket, the nodes outside of its most frequent component so far meet
+all of that component, and each other. So each two nodes of a bucket that are in different components are checked, whatever its size; a family costs rows in proportion to its size.
+Buckets of many large families that are apart cost their product. Groups are blocks of up to about HASHES hashes, and blocks of one component or bucket meet pairwise.
 Texts without words, null or empty, are one node. Ids must be unique. An empty table gives no rows; other columns aren't read.
 """
 
@@ -14,7 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskmart.llm import common, simhash, words
@@ -25,7 +27,9 @@ SHINGLE, BANDS, ROWS, SEED = 5, 24, 5, 42
 SIMILARITY = (4, 5)
 #: Shingles whose bits are counted at once.
 _BITS_AT_ONCE = 1 << 16
-PAIRS, LEADERS = 32, 4
+PAIRS, LEADERS = 12, 2
+#: Hashes of sets in a block.
+HASHES = 1_500_000
 
 
 def sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -120,40 +124,105 @@ def _similar(pairs: DataFrame, hashes: DataFrame, similarity: tuple[int, int]) -
     return found.where(sizes).where(F.size(F.array_intersect("of_a", "of_b")) * (up + down) >= both * up).select("a", "b")
 
 
-def _pairs(left: DataFrame, right: DataFrame, condition) -> DataFrame:
-    return left.join(right, ["band", "key"]).where(condition).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+def _meet(table: pa.Table, similarity: tuple[int, int]) -> pa.Table:
+    """Links (a, b) between sets of a group: between queries and all, enough to join what is similar and not joined yet (equal root)."""
+    up, down = similarity
+    table = table.combine_chunks()
+    node, query = table.column("node").to_numpy(), table.column("query").to_numpy()
+    _, label = np.unique(table.column("root").to_numpy(), return_inverse=True)
+    sets_ = table.column("hashes").chunk(0)
+    offsets = np.asarray(sets_.offsets).astype(np.int64)
+    distinct, ids = np.unique(np.asarray(sets_.flatten()), return_inverse=True)
+    begin, n = offsets[:-1] - offsets[0], np.diff(offsets)
+    mark = np.zeros(len(distinct), bool)
+    links: list[tuple[int, int]] = []
+    for q in np.flatnonzero(query):
+        own = ids[begin[q] : begin[q] + n[q]]
+        mark[own] = True
+        common_ = np.add.reduceat(mark[ids], begin, dtype=np.int64)
+        mark[own] = False
+        ok = np.flatnonzero((common_ * (up + down) >= (n[q] + n) * up) & (label != label[q]))
+        for other, k in zip(*np.unique(label[ok], return_index=True), strict=True):
+            links.append((int(node[q]), int(node[ok[k]])))
+            label[label == other] = label[q]
+        if len(links) and (label == label[0]).all():
+            break
+    a, b = zip(*links, strict=True) if links else ((), ())
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _linked(seats: DataFrame, hashes: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """seats: group, node, root, query -> (a, b)."""
+    return seats.join(hashes, "node").groupBy("group").applyInArrow(lambda t: _meet(t, similarity), "a long, b long")
+
+
+def _blocks(n: str) -> Column:
+    return F.greatest(F.ceil(F.sum(n) / HASHES), F.lit(1)).cast("int")
+
+
+def _crowd(members: DataFrame, queries: DataFrame, what: str) -> DataFrame:
+    """Seats of the groups named by the column `what`: blocks of its members (node, n, root) with blocks of its queries (node, n, root)."""
+    m = members.groupBy(what).agg(_blocks("n").alias("m"), F.count("*").alias("n_m"))
+    q = queries.groupBy(what).agg(_blocks("n").alias("q"), F.count("*").alias("n_q"))
+    shape = common.materialise(m.join(q, what), "shape")  # groups without queries have nothing to do
+    seats = []
+    for rows, is_query, own, other, n in ((members, False, "m", "q", "n_m"), (queries, True, "q", "m", "n_q")):
+        of = shape.select(what, own, other, F.col(n).alias("n_left"))
+        x = common.join_to_keys(rows, of, what, rows.count()).withColumn("own", F.pmod(F.xxhash64("node"), F.col(own)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        pair = ("other", "own") if is_query else ("own", "other")
+        seats.append(x.select(F.xxhash64(what, *pair).alias("group"), "node", "root", F.lit(is_query).alias("query")))
+    return seats[0].unionByName(seats[1])
+
+
+def _to_leaders(large: DataFrame) -> DataFrame:
+    """node, n, leader, leader_n: each node of the large buckets with up to LEADERS of their leaders, those with most company."""
+    company = large.groupBy("node").agg(F.sum("size").alias("company"))
+    ranked = common.materialise(large.join(company, "node"), "company")
+    leaders = ranked.groupBy("band", "key").agg(F.max(F.struct("company", "node", "n")).alias("leader"), F.count("*").alias("n_left"))
+    led = common.join_to_keys(ranked.select("band", "key", "node", "n"), leaders, ["band", "key"], ranked.count()).where("node <> leader.node")
+    best = led.groupBy("node", "n").agg(F.slice(F.sort_array(F.collect_set("leader"), False), 1, LEADERS).alias("best"))
+    return common.materialise(best.select("node", "n", F.explode("best").alias("l")).select("node", "n", F.col("l.node").alias("leader"), F.col("l.n").alias("leader_n")), "led")
 
 
 def near_duplicates(df: DataFrame, size: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", pairs: int = PAIRS, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """row (of id_col, which must be unique), component (the same for texts that near copies join)."""
     rows = common.materialise(signatures(df, size, id_col, text_col), "signatures")
     nodes = common.materialise(rows.groupBy("node").agg(F.min("row").alias("row"), F.max("n").alias("n"), F.first("keys").alias("keys"), F.count("*").alias("n_left")), "nodes")
-    keyed = nodes.where("n > 0").select("node", "row", F.posexplode("keys").alias("band", "key"))
-    leaders = F.array_distinct(F.array(*[F.min_by("node", F.xxhash64("node", F.lit(k))) for k in range(LEADERS)]))
-    sizes = keyed.groupBy("band", "key").agg(F.count("*").alias("size"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"), leaders.alias("leaders")).where("size > 1")
+    keyed = nodes.where("n > 0").select("node", "row", "n", F.posexplode("keys").alias("band", "key"))
+    sizes = keyed.groupBy("band", "key").agg(F.count("*").alias("size"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum")).where("size > 1")
     # Bands with the same nodes in a bucket say nothing new.
-    buckets = sizes.groupBy("size", "sum").agg(F.min(F.struct("band", "key", "leaders")).alias("x")).select("x.band", "x.key", "size", "x.leaders")
+    buckets = sizes.groupBy("size", "sum").agg(F.min(F.struct("band", "key")).alias("x")).select("x.band", "x.key", "size", F.col("size").alias("n_left"))
     n_keys = nodes.count() * (BANDS + 2 ** (simhash.RADIUS + 1) - 1)
-    members = common.materialise(common.join_to_keys(keyed, buckets.withColumn("n_left", F.col("size")), ["band", "key"], n_keys), "candidates")
+    members = common.materialise(common.join_to_keys(keyed, buckets, ["band", "key"], n_keys), "candidates")
     hashes = _sets_of(df.join(members.select(F.col("row").alias("_member")).distinct(), df[id_col] == F.col("_member"), "left_semi"), size, id_col, text_col)
     hashes = common.materialise(hashes.join(members.select("row", "node").distinct(), "row").select("node", "hashes"), "sets")
     small, large = members.where(F.col("size") <= pairs), members.where(F.col("size") > pairs)
     other = small.select("band", "key", F.col("node").alias("other"))
-    first = _pairs(small.select("band", "key", "node"), other, F.col("node") < F.col("other"))
-    starred = large.select("node", F.explode("leaders").alias("other")).where("node <> other").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
-    links = common.materialise(_similar(first.unionByName(starred).distinct(), hashes, similarity), "links")
-    joined = components(links)
-    if not large.isEmpty():
-        of = common.materialise(large.join(joined.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("band", "key", "node", F.coalesce("root", "node").alias("root")), "large-buckets")
-        most = of.groupBy("band", "key", "root").count().groupBy("band", "key").agg(F.max_by("root", F.struct("count", "root")).alias("most"))
-        apart = of.join(most, ["band", "key"]).where("root <> most").select("band", "key", "node", "root")
-        everyone = of.select("band", "key", F.col("node").alias("other"), F.col("root").alias("other_root"))
-        more = common.materialise(_similar(_pairs(apart, everyone, F.col("root") != F.col("other_root")), hashes, similarity), "links")
-        if not more.isEmpty():
-            joined = components(links.unionByName(more))
-        for x in (of, more):
-            common.discard(x)
-    joined = common.materialise(joined, "joined")
+    paired = small.select("band", "key", "node").join(other, ["band", "key"]).where("node < other").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
+    if large.isEmpty():
+        links = common.materialise(_similar(paired, hashes, similarity), "links")
+    else:
+        led = _to_leaders(large)
+        queries = led.select("leader", F.col("leader").alias("node"), F.col("leader_n").alias("n")).distinct()
+        seats = _crowd(led.select("leader", "node", "n", F.col("node").alias("root")), queries.withColumn("root", F.col("node")), "leader")
+        links = common.materialise(_linked(seats, hashes, similarity), "links")
+        root = common.materialise(components(links), "joined").withColumnRenamed("root", "_root")
+        # Small buckets: pairs that are not joined yet.
+        for side in ("a", "b"):
+            paired = paired.join(root.select(F.col("node").alias(side), F.col("_root").alias(f"root_{side}")), side, "left")
+        paired = paired.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+        # Large ones: nodes apart from the most frequent component of a bucket.
+        of = common.materialise(large.join(root, "node", "left").select("band", "key", "node", "n", F.coalesce("_root", "node").alias("root")), "large-buckets")
+        many = of.groupBy("band", "key", "root").agg(F.count("*").alias("count"))
+        most = many.groupBy("band", "key").agg(F.max_by("root", F.struct("count", "root")).alias("most"), F.sum("count").alias("n_left"), F.count("*").alias("roots")).where("roots > 1").drop("roots")
+        apart = common.materialise(common.join_to_keys(of, most, ["band", "key"], of.count()).where("root <> most"), "apart")
+        to = apart.select(F.col("most").alias("component"), "node", "n", "root").distinct()
+        crowd = of.select(F.col("root").alias("component"), "node", "n", "root").distinct().join(to.select("component").distinct(), "component", "left_semi")
+        among = apart.select(F.xxhash64("band", "key").alias("bucket"), "node", "n", "root")
+        seats = _crowd(crowd, common.materialise(to, "queries"), "component").unionByName(_crowd(among, among, "bucket"))
+        more = _linked(seats.dropDuplicates(["group", "node", "query"]), hashes, similarity)
+        links = common.materialise(links.unionByName(more).unionByName(_similar(paired, hashes, similarity)), "links")
+    joined = common.materialise(components(links), "joined")
     for x in (members, hashes, links):
         common.discard(x)
     of = nodes.select("node", "n_left").join(joined, "node", "left").select("node", F.coalesce("root", "node").alias("component"), "n_left")
