@@ -36,28 +36,22 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where((F.col(name) != langid.UNKNOWN) & (F.col(score) >= LANGUAGE_SCORE)).select(*_columns(docs))
 
 
-def with_rows(docs: DataFrame) -> tuple[DataFrame, str]:
-    """docs with a key of each row and the name of its column, written once so that it stays the same."""
-    row = common.free_name(docs.columns, "row")
-    return common.materialise(docs.withColumn(row, F.monotonically_increasing_id()), "rows"), row
-
-
-def without(rows: DataFrame, gone: DataFrame, row: str, docs: DataFrame) -> DataFrame:
-    """The rows whose key isn't in gone. These are written first: Spark then knows their size, and broadcasts them if they are few."""
-    gone = common.materialise(gone.select(F.col(gone.columns[0]).alias(row)).distinct(), "gone")
-    return rows.join(gone, row, "left_anti").select(*_columns(docs))
-
-
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows, row = with_rows(docs)
-    found = common.materialise(simhash.near_duplicates(rows, id_col=row, similarity=SIMILARITY), "components")
-    many = found.groupBy("component").agg(F.count("*").alias("n_left")).where("n_left > 1")
+    row = common.free_name(docs.columns, "row")
+    # A key of each row, written once so that it stays the same.
+    rows = common.materialise(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    found = simhash.near_duplicates(rows, id_col=row, similarity=SIMILARITY)
+    many = common.materialise(found.groupBy("component").agg(F.count("*").alias("n_left")).where("n_left > 1"), "many")
     # Rows of groups alone need an order; the others stay.
     grouped = common.materialise(common.join_to_keys(found, many, "component", found.count()), "grouped")
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), F.col(row).alias("row"))
     ordered = common.materialise(rows.select(F.col(row).alias("row"), order.alias("order")).join(grouped, "row"), "ordered")
     stays = ordered.groupBy("component").agg(F.min("order").alias("least")).select(F.col("least.row").alias("row"))
-    return without(rows, ordered.select("row").join(stays, "row", "left_anti"), row, docs)
+    # What goes is written: Spark then knows its size, and broadcasts it if it is small.
+    gone = common.materialise(ordered.select("row").join(stays, "row", "left_anti").select(F.col("row").alias(row)), "gone")
+    for x in (found, many, grouped, ordered):
+        common.discard(x)
+    return rows.join(gone, row, "left_anti").select(*_columns(docs))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,9 +62,8 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows, row = with_rows(docs)
-    found = decontamination.contaminated(rows, common.table(spark, sf_dir, "benchmark"), id_col=row)
-    return without(rows, found.select("doc_id"), row, docs)
+    name = common.free_name(docs.columns, "is_contaminated")
+    return decontamination.flag(docs, common.table(spark, sf_dir, "benchmark"), name).where(f"not {name}").select(*_columns(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from riskmart.llm import common
 
 def _star(edges: DataFrame, total: int) -> DataFrame:
     """edges: (u, v) -> (u, v, m): m is the least of u and all its neighbours v."""
-    least = edges.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n_left"))
+    least = common.materialise(edges.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n_left")), "least")
     return common.join_to_keys(edges, least, "u", total)
 
 

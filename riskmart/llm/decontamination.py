@@ -32,6 +32,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskmart.llm import common, words
 
@@ -270,49 +271,78 @@ def passages(x: Index, found: words.Words, term: np.ndarray) -> tuple[np.ndarray
     return keys // len(x.term), keys % len(x.term), base
 
 
-def _search(docs: DataFrame, shared) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in common.slices(batches):
-            found, h, _, _ = _word_hashes(texts)
-            ids = batch.column(0).to_pylist()
-            rows = []
-            for x in shared.value:
-                passage, term, base = passages(x, found, look_up(x, h))
-                some = np.isin(passage, with_pivot(x, passage, term))
-                best: dict[tuple[int, int], tuple] = {}
-                for p, i, score, share in zip(*(c.tolist() for c in wand(x, passage[some], term[some])), strict=True):
-                    t = int(np.searchsorted(base, p, "right")) - 1
-                    number = p - int(base[t])
-                    a = int(found.first[t]) + number * x.stride
-                    own = h[a : min(a + 2 * x.stride, int(found.first[t + 1]))]
-                    both = [float(np.isin(part, _windows(own, size)).mean()) if size else 1.0 for size, part in x.parts[i]]
-                    if min(both) >= OVERLAP and (old := best.get((t, i), (0,) * 3))[2] < share - 1e-12:  # of equal ones the first passage
-                        best[t, i] = (number, score, share, *both)
-                rows += [(ids[t], x.item_id[i], *v) for (t, i), v in best.items()]
-            columns = zip(*rows, strict=True) if rows else [()] * 7
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, [pa.int64()] * 3 + [pa.float64()] * 4, strict=True)], ["doc_id", "item_id", "passage", "score", "share", "question", "answer"])
-
-    return docs.mapInArrow(run, _FOUND)
+def matches(indexes: list[Index], texts: pa.Array) -> list[tuple]:
+    """(number of the text, item_id, passage, score, share, question, answer) of each text and item that it holds."""
+    found, h, _, _ = _word_hashes(texts)
+    rows = []
+    for x in indexes:
+        passage, term, base = passages(x, found, look_up(x, h))
+        some = np.isin(passage, with_pivot(x, passage, term))
+        best: dict[tuple[int, int], tuple] = {}
+        for p, i, score, share in zip(*(c.tolist() for c in wand(x, passage[some], term[some])), strict=True):
+            t = int(np.searchsorted(base, p, "right")) - 1
+            number = p - int(base[t])
+            a = int(found.first[t]) + number * x.stride
+            own = h[a : min(a + 2 * x.stride, int(found.first[t + 1]))]
+            both = [float(np.isin(part, _windows(own, size)).mean()) if size else 1.0 for size, part in x.parts[i]]
+            if min(both) >= OVERLAP and (old := best.get((t, i), (0,) * 3))[2] < share - 1e-12:  # of equal ones the first passage
+                best[t, i] = (number, score, share, *both)
+        rows += [(t, x.item_id[i], *v) for (t, i), v in best.items()]
+    return rows
+
+
+def _shards(benchmark: DataFrame, item_col: str, item_text_col: str, shard_bytes: int) -> Iterator[tuple[list[Index], bool]]:
+    """The indexes of one shard after the other, each of bounded size, and whether it is the last."""
+    every = item_words(benchmark, item_col, item_text_col)
+    frequency = every.select("item", "word").distinct().groupBy("word").agg(F.count("*").alias("df"))
+    every = common.materialise(every.join(frequency, "word").select("item", "item_id", "position", "word", "answer", "df"), "benchmark")
+    n_items, mean, total = every.groupBy("item").agg(F.count("*").alias("n")).agg(F.count("*"), F.avg("n"), F.sum("n")).first()
+    n_shards = max(1, -(-int(total or 0) * 6 // shard_bytes))  # a word is six bytes, about
+    for k in range(n_shards):
+        rows = every.where(F.pmod(F.xxhash64("item"), F.lit(n_shards)) == k).sort("item", "position").toArrow()
+        yield build(rows, n_items, float(mean)) if rows.num_rows else [], k + 1 == n_shards
+    common.discard(every)
 
 
 def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """One row for each text and item that it holds: where (the passage's number, in passages of the item's class), the score, its share and both overlaps."""
     spark = df.sparkSession
     docs = common.as_text(df, id_col, text_col)
-    every = item_words(benchmark, item_col, item_text_col)
-    frequency = every.select("item", "word").distinct().groupBy("word").agg(F.count("*").alias("df"))
-    every = common.materialise(every.join(frequency, "word").select("item", "item_id", "position", "word", "answer", "df"), "benchmark")
-    lengths = every.groupBy("item").agg(F.count("*").alias("n"))
-    n_items, mean, total = lengths.agg(F.count("*"), F.avg("n"), F.sum("n")).first()
-    n_shards = max(1, -(-int(total or 0) * 6 // shard_bytes))  # a word is six bytes, about
     found = []
-    for k in range(n_shards):
-        rows = every.where(F.pmod(F.xxhash64("item"), F.lit(n_shards)) == k).sort("item", "position").toArrow()  # a shard, of bounded size
-        if rows.num_rows:
-            shared = spark.sparkContext.broadcast(build(rows, n_items, float(mean)))
-            found.append(_search(docs, shared))
-            if n_shards > 1:  # one shard's index at a time
-                found[-1] = common.materialise(found[-1], "contaminated")
-                shared.destroy()
-    common.discard(every)
-    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], _FOUND)
+    for indexes, last in _shards(benchmark, item_col, item_text_col, shard_bytes):
+        shared = spark.sparkContext.broadcast(indexes)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch, texts in common.slices(batches):
+                ids = batch.column(0).to_pylist()
+                rows = [(ids[t], *v) for t, *v in matches(shared.value, texts)]
+                columns = zip(*rows, strict=True) if rows else [()] * 7
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, [pa.int64()] * 3 + [pa.float64()] * 4, strict=True)], ["doc_id", "item_id", "passage", "score", "share", "question", "answer"])
+
+        found.append(docs.mapInArrow(run, _FOUND))
+        if not last:  # one shard's index at a time
+            found[-1] = common.materialise(found[-1], "contaminated")
+            shared.destroy()
+    return reduce(DataFrame.unionByName, found)
+
+
+def flag(df: DataFrame, benchmark: DataFrame, name: str = "is_contaminated", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """df with one more boolean column (which replaces one of this name): whether the text holds an item. Rows are flagged where they are, without a shuffle."""
+    common.ship(df.sparkSession)
+    df = df.drop(name)
+    names, out = df.columns, df
+    schema = T.StructType([*df.schema.fields, T.StructField(name, T.BooleanType())])
+    for k, (indexes, last) in enumerate(_shards(benchmark, item_col, item_text_col, shard_bytes)):
+        shared = df.sparkSession.sparkContext.broadcast(indexes)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, k=k) -> Iterator[pa.RecordBatch]:
+            for batch, texts in common.slices(batches, text_col):
+                found = np.asarray(batch.column(len(names)).to_numpy(zero_copy_only=False)).copy() if k else np.zeros(batch.num_rows, bool)
+                found[[r[0] for r in matches(shared.value, texts)]] = True
+                yield pa.record_batch([*(batch.column(c) for c in range(len(names))), pa.array(found)], [*names, name])
+
+        out = out.mapInArrow(run, schema)
+        if not last:
+            out = common.materialise(out, "flagged")
+            shared.destroy()
+    return out

@@ -70,11 +70,12 @@ def fingerprints(value: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def signatures(df: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """row, node (a hash of the text's set), n (its size), keys: of its bands, then of the covering tables."""
+    """row, node (a hash of the text's set), n (its size), keys: of its bands, then of the covering tables, no two of which have keys in common."""
     factors, adds = np.random.default_rng(SEED).integers(0, 2**64, (2, BANDS * ROWS), np.uint64)
     factors |= np.uint64(1)
     masks = np.array(simhash.masks(simhash.RADIUS), np.int64).view(np.uint64)
     n_keys = BANDS + len(masks)
+    salts = np.arange(1, n_keys + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)  # so that a key names its band too
 
     def run(batches):
         for batch, texts in common.slices(batches):
@@ -89,6 +90,7 @@ def signatures(df: DataFrame, size: int, id_col: str, text_col: str) -> DataFram
                     least = np.minimum.reduceat(value * factors[k] + adds[k], starts)
                     keys[has, k // ROWS] = words.mix(keys[has, k // ROWS] * np.uint64(31) + least)
                 keys[:, BANDS:] = fingerprints(value, offsets)[:, None] & masks
+                keys = words.mix(keys + salts)
             ends = pa.array(np.arange(len(n) + 1) * n_keys, pa.int32())
             yield pa.record_batch({"row": batch.column(0), "node": pa.array(node.view(np.int64)), "n": pa.array(n.astype(np.int64)), "keys": pa.ListArray.from_arrays(ends, pa.array(keys.ravel().view(np.int64)))})
 
@@ -114,7 +116,7 @@ def _similar(pairs: DataFrame, hashes: DataFrame, similarity: tuple[int, int]) -
     pairs = common.materialise(pairs, "pairs")
     total = pairs.count()
 
-    def counted(side: DataFrame, name: str) -> DataFrame:  # a leader is in many pairs
+    def counted(side: DataFrame, name: str) -> DataFrame:  # a text may be in many pairs
         return side.join(pairs.groupBy(name).agg(F.count("*").alias("n_left")), name)
 
     both = F.size("of_a") + F.size("of_b")
@@ -178,8 +180,8 @@ def _to_leaders(large: DataFrame) -> DataFrame:
     """node, n, leader, leader_n: each node of the large buckets with up to LEADERS of their leaders, those with most company."""
     company = large.groupBy("node").agg(F.sum("size").alias("company"))
     ranked = common.materialise(large.join(company, "node"), "company")
-    leaders = ranked.groupBy("band", "key").agg(F.max(F.struct("company", "node", "n")).alias("leader"), F.count("*").alias("n_left"))
-    led = common.join_to_keys(ranked.select("band", "key", "node", "n"), leaders, ["band", "key"], ranked.count()).where("node <> leader.node")
+    leaders = common.materialise(ranked.groupBy("key").agg(F.max(F.struct("company", "node", "n")).alias("leader"), F.count("*").alias("n_left")), "leaders")
+    led = common.join_to_keys(ranked.select("key", "node", "n"), leaders, "key", ranked.count()).where("node <> leader.node")
     best = led.groupBy("node", "n").agg(F.slice(F.sort_array(F.collect_set("leader"), False), 1, LEADERS).alias("best"))
     return common.materialise(best.select("node", "n", F.explode("best").alias("l")).select("node", "n", F.col("l.node").alias("leader"), F.col("l.n").alias("leader_n")), "led")
 
@@ -188,17 +190,18 @@ def near_duplicates(df: DataFrame, size: int = SHINGLE, id_col: str = "doc_id",
     """row (of id_col, which must be unique), component (the same for texts that near copies join)."""
     rows = common.materialise(signatures(df, size, id_col, text_col), "signatures")
     nodes = common.materialise(rows.groupBy("node").agg(F.min("row").alias("row"), F.max("n").alias("n"), F.first("keys").alias("keys"), F.count("*").alias("n_left")), "nodes")
-    keyed = nodes.where("n > 0").select("node", "row", "n", F.posexplode("keys").alias("band", "key"))
-    sizes = keyed.groupBy("band", "key").agg(F.count("*").alias("size"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum")).where("size > 1")
-    # Bands with the same nodes in a bucket say nothing new.
-    buckets = sizes.groupBy("size", "sum").agg(F.min(F.struct("band", "key")).alias("x")).select("x.band", "x.key", "size", F.col("size").alias("n_left"))
+    keyed = nodes.where("n > 0").select("node", "row", "n", F.explode("keys").alias("key"))
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("size"), F.expr("bit_xor(xxhash64(node))").alias("of")).where("size > 1")
+    # Keys with the same nodes say nothing new.
+    buckets = common.materialise(sizes.groupBy("size", "of").agg(F.min("key").alias("key")).select("key", "size", F.col("size").alias("n_left")), "buckets")
     n_keys = nodes.count() * (BANDS + 2 ** (simhash.RADIUS + 1) - 1)
-    members = common.materialise(common.join_to_keys(keyed, buckets, ["band", "key"], n_keys), "candidates")
-    hashes = _sets_of(df.join(members.select(F.col("row").alias("_member")).distinct(), df[id_col] == F.col("_member"), "left_semi"), size, id_col, text_col)
-    hashes = common.materialise(hashes.join(members.select("row", "node").distinct(), "row").select("node", "hashes"), "sets")
+    members = common.materialise(common.join_to_keys(keyed, buckets, "key", n_keys), "candidates")
+    found = common.materialise(members.select(F.col("row").alias("_member"), F.col("node").alias("_node")).distinct(), "members")
+    hashes = _sets_of(df.join(found, df[id_col] == F.col("_member"), "left_semi"), size, id_col, text_col)
+    hashes = common.materialise(hashes.join(found, F.col("row") == F.col("_member")).select(F.col("_node").alias("node"), "hashes"), "sets")
     small, large = members.where(F.col("size") <= pairs), members.where(F.col("size") > pairs)
-    other = small.select("band", "key", F.col("node").alias("other"))
-    paired = small.select("band", "key", "node").join(other, ["band", "key"]).where("node < other").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
+    other = small.select("key", F.col("node").alias("other"))
+    paired = small.select("key", "node").join(other, "key").where("node < other").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
     if large.isEmpty():
         links = common.materialise(_similar(paired, hashes, similarity), "links")
     else:
@@ -212,18 +215,19 @@ def near_duplicates(df: DataFrame, size: int = SHINGLE, id_col: str = "doc_id",
             paired = paired.join(root.select(F.col("node").alias(side), F.col("_root").alias(f"root_{side}")), side, "left")
         paired = paired.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
         # Large ones: nodes apart from the most frequent component of a bucket.
-        of = common.materialise(large.join(root, "node", "left").select("band", "key", "node", "n", F.coalesce("_root", "node").alias("root")), "large-buckets")
-        many = of.groupBy("band", "key", "root").agg(F.count("*").alias("count"))
-        most = many.groupBy("band", "key").agg(F.max_by("root", F.struct("count", "root")).alias("most"), F.sum("count").alias("n_left"), F.count("*").alias("roots")).where("roots > 1").drop("roots")
-        apart = common.materialise(common.join_to_keys(of, most, ["band", "key"], of.count()).where("root <> most"), "apart")
+        of = common.materialise(large.join(root, "node", "left").select("key", "node", "n", F.coalesce("_root", "node").alias("root")), "large-buckets")
+        many = of.groupBy("key", "root").agg(F.count("*").alias("count"))
+        most = many.groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("most"), F.sum("count").alias("n_left"), F.count("*").alias("roots")).where("roots > 1").drop("roots")
+        apart = common.materialise(common.join_to_keys(of, common.materialise(most, "most"), "key", of.count()).where("root <> most"), "apart")
         to = apart.select(F.col("most").alias("component"), "node", "n", "root").distinct()
         crowd = of.select(F.col("root").alias("component"), "node", "n", "root").distinct().join(to.select("component").distinct(), "component", "left_semi")
-        among = apart.select(F.xxhash64("band", "key").alias("bucket"), "node", "n", "root")
+        among = apart.select(F.col("key").alias("bucket"), "node", "n", "root")
         seats = _crowd(crowd, common.materialise(to, "queries"), "component").unionByName(_crowd(among, among, "bucket"))
         more = _linked(seats.dropDuplicates(["group", "node", "query"]), hashes, similarity)
         links = common.materialise(links.unionByName(more).unionByName(_similar(paired, hashes, similarity)), "links")
     joined = common.materialise(components(links), "joined")
-    for x in (members, hashes, links):
-        common.discard(x)
     of = nodes.select("node", "n_left").join(joined, "node", "left").select("node", F.coalesce("root", "node").alias("component"), "n_left")
-    return common.join_to_keys(rows.select("row", "node"), of, "node", rows.count()).select("row", "component")
+    out = common.materialise(common.join_to_keys(rows.select("row", "node"), common.materialise(of, "of"), "node", rows.count()).select("row", "component"), "components")
+    for x in (rows, nodes, buckets, members, found, hashes, links, joined):
+        common.discard(x)
+    return out

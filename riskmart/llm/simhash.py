@@ -88,7 +88,8 @@ def links(fps: DataFrame, pairs: int = PAIRS) -> DataFrame:
     keyed = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(m).alias("mask"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for m in tables])).alias("x")).select("fp", "x.mask", "x.key")
     sizes = keyed.groupBy("mask", "key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1")
     twos = sizes.where("n = 2").where(_near(F.col("a"), F.col("b"))).select("a", "b")
-    more = common.materialise(keyed.join(sizes.where("n > 2").select("mask", "key", "n"), ["mask", "key"]), "buckets")
+    larger = common.materialise(sizes.where("n > 2").select("mask", "key", "n", F.col("n").alias("n_left")), "larger")
+    more = common.materialise(common.join_to_keys(keyed, larger, ["mask", "key"], fps.count() * len(tables)), "buckets")
     small = more.where(F.col("n") <= pairs).select("mask", "key", "fp")
     other = small.select("mask", "key", F.col("fp").alias("other"))
     paired = small.join(other, ["mask", "key"]).where(F.col("fp") < F.col("other")).where(_near(F.col("fp"), F.col("other"))).select(F.col("fp").alias("a"), F.col("other").alias("b"))
@@ -107,7 +108,7 @@ def near_duplicates(df: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id
     docs = common.materialise(fingerprints(df, shingle, id_col, text_col), "fingerprints")
     first = common.materialise(docs.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n_left")), "distinct-fingerprints")
     of = common.materialise(components(links(first.select("fp"))).join(first.select(F.col("fp").alias("node"), "first"), "node"), "linked")
-    least = of.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n_left"))
+    least = common.materialise(of.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n_left")), "least")
     linked = common.join_to_keys(of, least, "root", of.count()).select(F.col("node").alias("fp"), "component_id")
-    grouped = first.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"), "n_left")
+    grouped = common.materialise(first.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"), "n_left"), "grouped")
     return common.join_to_keys(docs, grouped, "fp", docs.count()).select("doc_id", "fp", "component_id")

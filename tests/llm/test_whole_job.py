@@ -151,3 +151,32 @@ def test_pipeline_keeps_documents_where_no_language_can_be_learned(spark):
 
     docs = spark.createDataFrame([(1, "some words", None), (2, "12 34", None), (3, None, None), (None, "été", None)], "doc_id long, text string, lang string")
     assert {r.doc_id for r in corpus_pipeline.language(spark, docs, "").collect()} == {1, None}
+
+
+def test_flags_of_decontamination(spark):
+    rng = random.Random(15)
+    text = lambda n: " ".join(f"w{rng.randrange(900)}" for _ in range(n))
+    items = [(k, f"{text(12)}. {text(6)}.") for k in range(30)]
+    rows = [(k % 5, f"{text(50)} {items[k][1] if k % 2 else ''}", k, True) for k in range(30)] + [(None, None, 30, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, is_it int, is_contaminated boolean")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for shard in (decontamination.SHARD_BYTES, 1000):
+        got = decontamination.flag(docs, bench, shard_bytes=shard)
+        assert {(r.is_it, r.is_contaminated) for r in got.collect()} == {(k, k % 2 == 1) for k in range(31)}
+    assert {r.is_contaminated for r in decontamination.flag(docs, bench.where("false")).collect()} == {False}
+    assert decontamination.flag(docs.where("false"), bench).count() == 0
+
+
+def test_pipeline_of_clashing_names_and_of_nothing(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [(1, "some plain words", "en", 16, "a", 1.5, "x", True), (2, "some plain words", "en", 16, "b", 2.5, "y", False), (3, "other words than those", None, 22, "c", 3.5, None, None)]
+    schema = "doc_id long, text string, lang string, n_chars long, language string, language_score double, row string, is_contaminated boolean"
+    spark.createDataFrame([(1, "what is this? that.")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for kept in (rows, []):
+        docs = spark.createDataFrame(kept, schema)
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = common.materialise(stage(spark, docs, str(tmp_path)), "test")
+        assert docs.schema.names == schema.replace(" long", "").replace(" string", "").replace(" double", "").replace(" boolean", "").split(", ")
+        assert {tuple(r) for r in docs.collect()} == set(kept[::2])
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == len(kept[::2])
