@@ -105,14 +105,14 @@ def join_to_keys(left: DataFrame, right: DataFrame, on: str | list[str], total:
     """left joined with right, which has one row for each key, and in how_many the number of its rows in left (total in all).
 
     A hot key's rows are dealt over as many parts as it has hot shares, and its row in right is repeated for each. So a key that has a third of all rows is in
-    no one task, whatever adaptive execution does. Only names of hot keys (not their rows) are broadcast, and one row without a name, so that the plan is
-    the same whether there are any or not. Both should be written tables: left is dealt by its order, and of right Spark then knows the size.
+    no one task, whatever adaptive execution does. Only names of hot keys (not their rows) are broadcast, and always the most frequent one, so that the plan is
+    the same whether it is hot or not. Both should be written tables: left is dealt by its order, and of right Spark then knows the size.
     """
     on = [on] if isinstance(on, str) else on
     limit = max(_LEAST_HOT, total // HOT_KEYS)
     parts = F.ceil(F.col(how_many) / limit).cast("int")
     hot = right.where(F.col(how_many) > limit).select(*on, parts.alias("_parts"))
-    hot = hot.unionByName(left.sparkSession.range(1).select(*[F.lit(None).cast(right.schema[c].dataType).alias(c) for c in on], F.lit(1).alias("_parts")))
+    hot = hot.unionByName(right.orderBy(F.desc(how_many), *on).limit(1).select(*on, parts.alias("_parts"))).distinct()
     spread = right.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop(how_many)
     dealt = left.join(F.broadcast(hot), on, "left").withColumn("_part", F.pmod(F.monotonically_increasing_id(), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
     return dealt.join(spread, [*on, "_part"]).drop("_part")

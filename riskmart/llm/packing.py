@@ -2,10 +2,13 @@
 
 A document goes where, after it is placed, the sum over all gaps of the squared number of open sequences with that gap is
 least (a new sequence is one of the places). Only documents longer than a sequence are cut; all pieces but the first are
-then full. Pieces are packed in groups of about GROUP_DOCS documents, dealt by hash, each longest piece first; a task streams
-its groups and keeps open sequences only. Those still open at a group's end are packed anew if that makes fewer of them.
+then full. Pieces are packed in groups of about GROUP_DOCS documents, dealt by row, each longest piece first; a task streams
+its groups and keeps open sequences only. Those still open at a group's end (two or three in a hundred) have nothing to come that the rule could save them for: they
+are packed anew by least gap if that makes fewer of them.
 
-Null text counts as empty text (one end id). Equal and null doc_ids are separate documents. An empty table gives no rows.
+Null text counts as empty text (one end id). Equal and null doc_ids are separate documents, equal rows too, and are dealt over all groups. Texts are encoded whole; a
+long one gives as many pieces as it needs. An empty table gives no rows. Columns besides the two named ones can have any name. df must give the same rows in the same
+order when it is read again, as files and written tables do.
 """
 
 from __future__ import annotations
@@ -104,8 +107,7 @@ def pieces(df: DataFrame, tokenizer: str | None = None, length: int = LENGTH, en
 def pack(pieces_: DataFrame, n_docs: int, length: int = LENGTH, group_docs: int = GROUP_DOCS) -> DataFrame:
     """pieces_ with the sequence and the offset of each."""
     n_groups = max(1, round(n_docs / group_docs))
-    # Equal rows of one document are still many; their pieces differ in nothing, so a group of copies of a row may be large, but holds small rows and is streamed.
-    keyed = pieces_.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(n_groups)))
+    keyed = pieces_.withColumn("group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n_groups)))  # by row: equal ones are no group
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, packer, number, out = None, SumOfSquares(length), 0, []

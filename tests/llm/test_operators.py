@@ -101,6 +101,21 @@ def test_token_files_round_trip(spark, docs, tmp_path, expected_ids):
         list(token_files.decode_file(content, b"other"))
 
 
+def test_token_files_of_many_blocks_and_equal_rows(spark, tmp_path, monkeypatch):
+    for name, value in (("BLOCK_BYTES", 300), ("BLOCKS", 3), ("PART_BYTES", 4000), ("PARTS_AT_ONCE", 2)):
+        monkeypatch.setattr(token_files, name, value)
+    rows = [(k, f"some words {k} " * (k % 7)) for k in range(400)] + [(None, "")] * 300 + [(5, "twice")] * 200
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    token_files.write(df, str(tmp_path / "f"))
+    got = sorted(token_files.digests(spark, str(tmp_path / "f")).collect(), key=lambda r: r.start)
+    ids = [r.doc_id for r in got]
+    assert ids == sorted(ids, key=lambda i: (i is not None, i or 0)) and len(ids) == 900
+    assert got[0].start == 0 and all(b.start == a.start + a.n_tokens for a, b in zip(got, got[1:], strict=False))
+    files = [bytes(r.content) for r in token_files._files(spark, str(tmp_path / "f")).collect()]
+    assert len(files) > 10 and max(len(list(token_files.blocks(x))) for x in files) == 3
+    assert len({int(h["part"]) for x in files for h, _ in token_files.blocks(x)}) > 3
+
+
 def test_token_files_of_nothing(spark, none, tmp_path):
     token_files.write(none, str(tmp_path / "f"))
     assert token_files.digests(spark, str(tmp_path / "f")).count() == 0
@@ -131,6 +146,14 @@ def test_packing(docs, expected_ids, none):
     assert packing.pack_documents(none).count() == 0
 
 
+def test_packing_deals_equal_rows_over_groups(spark):
+    df = spark.range(3000).selectExpr("cast(null AS long) AS doc_id", "'' AS text", "id AS sequence_id")
+    got = packing.pack_documents(df, length=16, group_docs=300).collect()
+    groups = Counter(r.sequence_id >> 40 for r in got)
+    assert len(got) == 3000 and len(groups) == 10 and max(groups.values()) < 500
+    assert len({r.sequence_id for r in got}) <= 3000 / 16 + 10
+
+
 def test_sum_of_squares_takes_the_least_change():
     rng = random.Random(2)
     p, counts = packing.SumOfSquares(20), Counter()
