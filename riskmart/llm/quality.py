@@ -1,12 +1,13 @@
 """Quality classifier: regularised quadratic discriminant over transformed statistics of a text.
 
 Each text gives FEATURES numbers (counts as logarithms, shares as logits). Each class has a mean and a covariance, shrunk towards the diagonal of
-the pooled one; from their Cholesky factors, kept with the model, come Mahalanobis distances and log determinants,
+the pooled one; from the inverses of their Cholesky factors, kept with the model, come Mahalanobis distances and log determinants,
 and the difference of the log densities, with the classes' priors, gives the score. It is fitted on all labelled rows: sums of the
 statistics and of their products are added up in Spark, and only those come to the driver.
 
 Empty and null texts are texts with all counts zero, and scored like any other. Labels other than 0 and 1 don't count; a document
-with several labels counts once for each. With one class only, or none, the score is the share of label 1 (0.5 without labels).
+with several labels counts once for each. With one class only, or none, the score is the share of label 1 (0.5 without labels). Texts are read whole; an empty table gives no
+rows; columns besides the named ones can have any name.
 """
 
 from __future__ import annotations
@@ -104,16 +105,16 @@ def features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 class Model:
     prior: float
     mean: list[np.ndarray]
-    factor: list[np.ndarray]  # Cholesky factors of the covariances
+    inverse: list[np.ndarray]  # of the Cholesky factors of the covariances, made once
     log_det: list[float]
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        if not self.factor:
+        if not self.inverse:
             return np.full(len(x), self.prior)
         density = []
-        for mean, factor, log_det in zip(self.mean, self.factor, self.log_det, strict=True):
-            z = np.linalg.solve(factor, (x - mean).T)
-            density.append(-0.5 * ((z * z).sum(0) + log_det))
+        for mean, inverse, log_det in zip(self.mean, self.inverse, self.log_det, strict=True):
+            z = (x - mean) @ inverse.T
+            density.append(-0.5 * ((z * z).sum(1) + log_det))
         odds = np.clip(density[1] - density[0] + np.log(self.prior / (1 - self.prior)), -500, 500)
         return 1 / (1 + np.exp(-odds))
 
@@ -144,7 +145,7 @@ def fit(x: DataFrame, labels: DataFrame, shrinkage: float = SHRINKAGE, id_col: s
     pooled = np.diag(np.tensordot(n / n.sum(), covariance, 1))
     target = np.diag(np.maximum(pooled, 1e-3))
     factor = [np.linalg.cholesky((1 - shrinkage) * c + shrinkage * target) for c in covariance]
-    return Model(n[1] / n.sum(), list(mean), factor, [2 * float(np.log(np.diag(f)).sum()) for f in factor])
+    return Model(n[1] / n.sum(), list(mean), [np.linalg.inv(f) for f in factor], [2 * float(np.log(np.diag(f)).sum()) for f in factor])
 
 
 def score(x: DataFrame, model: Model) -> DataFrame:

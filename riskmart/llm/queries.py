@@ -75,7 +75,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = common.table(spark, sf_dir, "documents")
     labels = toxicity.sample_labels(common.table(spark, sf_dir, "labels").where("toxic is not null").where(~common.held_out()))
-    chain = toxicity.fit(toxicity.weak_categories(docs, F.broadcast(labels)))
+    chain = toxicity.fit(toxicity.with_labels(docs, F.broadcast(labels)))
     return toxicity.predict(docs, chain).where("is_toxic")
 
 

@@ -6,8 +6,13 @@ the words of a text (A-Z lower-cased) and their beginnings of PREFIXES bytes, pr
 category the SELECTED buckets that differ most between its two classes (by MIN_Z deviations at least) are kept. A model is fitted on at most about SAMPLE labelled rows, chosen by hash of
 the id; every text is scored whole.
 
+Categories are columns of labels. Where there is one column alone, kinds of it are learned to be predicted before it: the texts with label 1 are clustered by their features (k-means of
+unit vectors, started from the farthest texts), and each cluster is a category. For out-of-fold predictions the clusters are learned without the fold, and matched with those of all
+rows by their centres.
+
 A null label of a category is left out of its training. Null and empty texts have no features, and get the models' base probabilities. Without
-both classes of a category its probability is their share (0 without labels).
+both classes of a category its probability is their share (0 without labels). Repeated rows, with one label or with different ones, are learned from and scored each on their own; ties between
+buckets go to the lower number. An empty table gives no rows. Columns besides the named ones can have any name.
 """
 
 from __future__ import annotations
@@ -26,10 +31,8 @@ from riskmart.llm.decontamination import SEPARATOR
 PREFIXES, BUCKETS = (4, 5, 6), 1 << 18
 SAMPLE, SELECTED, FOLDS = 30_000, 300, 3
 PENALTY, STEPS, THRESHOLD, MIN_Z = 1.0, 40, 0.4, 4.0
-#: Words of the two categories that the labels don't name.
-NAME_CALLING = ["idiot", "moron", "loser", "clown", "scum", "trash"]
-CONTEMPT = ["worthless", "pathetic", "disgusting", "stupid"]
-CATEGORIES = ("name_calling", "contempt", "toxic")
+#: Clusters of the texts with label 1, and rounds of k-means.
+KINDS, ROUNDS = 2, 10
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -138,13 +141,45 @@ class Chain:
         return p
 
 
-def weak_categories(df: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, text and the categories of labelled documents: what a toxic text with one of the fixed words is called, and the given label."""
-    def has(fixed):
-        return (F.col("toxic") == 1) & F.coalesce(F.lower("text"), F.lit("")).rlike(r"\b(" + "|".join(fixed) + r")\b")
-
-    rows = common.as_text(df).join(labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")), "doc_id")
-    return rows.select("doc_id", "text", has(NAME_CALLING).cast("int").alias("name_calling"), has(CONTEMPT).cast("int").alias("contempt"), "toxic")
+def with_labels(df: DataFrame, labels: DataFrame, columns: tuple[str, ...] = ("toxic",), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text and the labels of labelled documents; a document with several rows of labels counts once for each."""
+    rows = labels.select(labels[id_col].cast("long").alias("doc_id"), *[labels[c].cast("int").alias(c) for c in columns])
+    return common.as_text(df, id_col, text_col).join(rows, "doc_id")
+
+
+def cluster(row: np.ndarray, column: np.ndarray, n_rows: int, n_columns: int, members: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(cluster of each row, -1 for rows that aren't members; unit centres) of the members' unit vectors."""
+    out, own = np.full(n_rows, -1), np.flatnonzero(members)
+    if not len(own) or not n_columns:
+        return np.where(members, 0, -1), np.zeros((k, n_columns))
+    number = np.full(n_rows, -1)
+    number[own] = np.arange(len(own))
+    some = number[row] >= 0
+    x = np.zeros((len(own), n_columns), np.float32)
+    x[number[row[some]], column[some]] = 1
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    centres = [x.mean(0)]
+    for _ in range(k):  # the farthest from the mean, then from those before it
+        centres.append(x[int(np.max(x @ np.stack(centres).T, 1).argmin())])
+    centre = np.stack(centres[1:])
+    for _ in range(ROUNDS):
+        near = (x @ centre.T).argmax(1)
+        for j in range(k):
+            if (near == j).any():
+                centre[j] = x[near == j].mean(0)
+        centre /= np.maximum(np.linalg.norm(centre, axis=1, keepdims=True), 1e-9)
+    out[own] = (x @ centre.T).argmax(1)
+    return out, centre
+
+
+def matched(centre: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """For each centre the number of the one in `to` that it stands for: the most alike first."""
+    alike, out = centre @ to.T, np.zeros(len(centre), np.int64)
+    for _ in range(len(centre)):
+        i, j = np.unravel_index(int(alike.argmax()), alike.shape)
+        out[i] = j
+        alike[i], alike[:, j] = -np.inf, -np.inf
+    return out
 
 
 def sample_labels(labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -153,8 +188,8 @@ def sample_labels(labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     return labels.where(F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 30)) < int(min(1.0, sample / max(n, 1)) * (1 << 30)))
 
 
-def fit(labelled: DataFrame, categories: tuple[str, ...] = CATEGORIES, selected: int = SELECTED) -> Chain:
-    """labelled: doc_id, text and a 0/1 column for each category, of a bounded number of rows."""
+def fit(labelled: DataFrame, categories: tuple[str, ...] = ("toxic",), selected: int = SELECTED, kinds: int = KINDS) -> Chain:
+    """labelled: doc_id, text and a 0/1 column for each category, of a bounded number of rows. With one category, `kinds` of it come before it."""
     k = len(categories)
     common.ship(labelled.sparkSession)
     labelled = common.materialise(labelled.select("doc_id", "text", *[F.col(c).cast("int").alias(c) for c in categories]), "labelled")
@@ -196,27 +231,42 @@ def fit(labelled: DataFrame, categories: tuple[str, ...] = CATEGORIES, selected:
 
     rows = sorted(labelled.mapInArrow(pick, "doc_id long, y array<int>, c array<int>").collect(), key=lambda r: (r.doc_id is None, r.doc_id))  # the bounded sample
     common.discard(labelled)
-    y = np.array([r.y for r in rows], np.int64).reshape(-1, k)
+    given = np.array([r.y for r in rows], np.int64).reshape(-1, k)
     row = np.repeat(np.arange(len(rows)), [len(r.c) for r in rows])
     col = np.array([c for r in rows for c in r.c], np.int64)
     fold = np.array([common.crc32(np.array([r.doc_id or 0], np.int64)) % FOLDS for r in rows], np.int64)
     models, earlier = [], np.empty((len(rows), 0))
-
-    def on(mask: np.ndarray, j: int) -> Linear:
-        mask = mask & (y[:, j] >= 0)
+    names, kinds = list(categories), kinds if k == 1 else 0
+    names = [f"{names[0]}_kind_{j + 1}" for j in range(kinds)] + names
+
+    def labels(inside: np.ndarray, centre: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Labels of all categories for the rows inside, and the centres of the kinds; in the order of the centres given."""
+        if not kinds:
+            return given, np.empty((0, 0))
+        of, own = cluster(row, col, len(rows), len(chosen), inside & (given[:, 0] == 1), kinds)
+        if centre is not None:
+            of = np.where(of >= 0, matched(own, centre)[of], -1)
+        y = np.where(given >= 0, of[:, None] == np.arange(kinds), -1)
+        return np.column_stack([y, given]), own
+
+    every = np.ones(len(rows), bool)
+    y, centre = labels(every)
+    without = [labels(fold != f, centre)[0] for f in range(FOLDS)]
+
+    def on(mask: np.ndarray, target: np.ndarray) -> Linear:
+        mask = mask & (target >= 0)
         number = np.cumsum(mask) - 1
         inside = mask[row]
-        return train(number[row[inside]], col[inside], earlier[mask], y[mask, j].astype(float), len(chosen))
+        return train(number[row[inside]], col[inside], earlier[mask], target[mask].astype(float), len(chosen))
 
-    for j in range(k):
+    for j in range(len(names)):
         out = np.zeros(len(rows))
-        if j + 1 < k:  # out-of-fold predictions for the models to come
+        if j + 1 < len(names):  # out-of-fold predictions for the models to come
             for f in range(FOLDS):
-                m = on(fold != f, j)
-                out[fold == f] = m.probability(row, col, earlier)[fold == f]
-        models.append(on(np.ones(len(rows), bool), j))
+                out[fold == f] = on(fold != f, without[f][:, j]).probability(row, col, earlier)[fold == f]
+        models.append(on(every, y[:, j]))
         earlier = np.column_stack([earlier, out])
-    return Chain(list(categories), column, models)
+    return Chain(names, column, models)
 
 
 def predict(df: DataFrame, chain: Chain, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

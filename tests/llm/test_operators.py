@@ -432,19 +432,112 @@ def test_quality(spark, none):
     assert quality.features(none).count() == 0
 
 
+def brute_statistics(text):
+    """The seventeen numbers of a text, from their definitions."""
+    b = (text or "").encode()
+    w, lines = re.findall(rb"[^\x20\x09-\x0D]+", b), re.findall(rb"[^\n\x0b\x0c\r]+", b)
+    logit = lambda k, n, usual, weight: np.log((k + usual * weight) / (n - k + (1 - usual) * weight))
+    n, m, k = len(b), len(w), len(lines)
+    upper, high = sum(65 <= c <= 90 for c in b), sum(c >= 128 for c in b)
+    letters = upper + high + sum(97 <= c <= 122 for c in b)
+    marks = sum(c in b".,;:!?'\"()-" for c in b)
+    symbol = lambda c: chr(c) in "#$%&*+/<=>@[\\]^_`{|}~"
+    capitals = [sum(65 <= c <= 90 for c in x) for x in w]
+    return [
+        np.log1p(n), np.log1p(m), np.log1p(k), np.log((sum(map(len, w)) + 180) / (m + 30)), np.log((m + 150) / (k + 5)),
+        logit(upper, letters, 0.03, 200), logit(letters, n, 0.82, 200), logit(sum(48 <= c <= 57 for c in b), n, 0.002, 200), logit(marks, n, 0.03, 200), logit(sum(map(symbol, b)), n, 0.001, 200),
+        logit(len(set(w)), m, 0.8, 30), logit(max(Counter(w).values(), default=0), m, 0.05, 30), logit(sum(x == y for x, y in zip(w, w[1:], strict=False)), m, 0.01, 30), logit(len(set(lines)), k, 0.98, 5),
+        logit(sum(len(x) <= 2 for x in w), m, 0.2, 30), logit(sum(u >= 2 and 2 * u >= len(x) for u, x in zip(capitals, w, strict=True)), m, 0.005, 30), logit(sum(33 in x or any(map(symbol, x)) for x in w), m, 0.005, 30),
+    ]
+
+
+def test_quality_equals_brute_force(spark):
+    rng = random.Random(16)
+    word = lambda: rng.choice(["some", "a", "of", "BUY", "W1N!", "$$", "été", "don't", "x_y", "Here", "is"])
+    texts = [" ".join(word() + rng.choice(["", "", ".", "\n", "\t"]) for _ in range(rng.randrange(60))) for _ in range(120)] + [None, "", " \n", "one", "word " * 30000]
+    rows = [(k % 110, t, "x") for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, x string")
+    marks = [(k, rng.randrange(2)) for k in range(80)] + [(3, 1), (3, 0), (5, None), (6, 7), (None, 1), (999, 1)]
+    got = quality.features(docs).collect()
+    want = [(k, brute_statistics(t)) for k, t, _ in rows]
+    for r, (k, x) in zip(sorted(got, key=lambda r: (r.doc_id, r.x)), sorted(want, key=lambda r: (r[0], list(r[1]))), strict=True):
+        assert r.doc_id == k and np.allclose(r.x, x, atol=1e-9)
+    x = [[np.array(v) for k, v in want for i, y in marks if i == k and y == label] for label in (0, 1)]
+    n, cov = [len(v) for v in x], [np.cov(np.array(v).T, bias=True) for v in x]
+    pooled = np.maximum(np.diag(n[0] * cov[0] + n[1] * cov[1]) / sum(n), 1e-3)
+    cov = [0.9 * c + 0.1 * np.diag(pooled) for c in cov]
+    score = {}
+    for k, v in want:
+        d = [-0.5 * ((v - np.mean(m, 0)) @ np.linalg.inv(c) @ (v - np.mean(m, 0)) + np.linalg.slogdet(c)[1]) + np.log(len(m)) for m, c in zip(x, cov, strict=True)]
+        score.setdefault(k, []).append(1 / (1 + np.exp(np.clip(d[0] - d[1], -500, 500))))
+    frame = common.materialise(quality.features(docs), "test")
+    found = defaultdict(list)
+    for r in quality.score(frame, quality.fit(frame, spark.createDataFrame(marks, "doc_id long, quality int"))).collect():
+        found[r.doc_id].append(r.score)
+    assert all(np.allclose(sorted(found[k]), sorted(v), atol=1e-6) for k, v in score.items())
+
+
+def brute_chain(chain, text):
+    from riskmart.llm import words
+
+    def bucket(piece, k):
+        data = np.frombuffer(piece, np.uint8)
+        h = words.hashes(data, np.array([0]), np.array([len(piece)]))[0] * np.uint64(2 * k + 1 if k else 1)
+        return int(h >> np.uint64(46))
+
+    have = set()
+    for w in re.findall(rb"(?:[a-z0-9]|[\x80-\xff])+", (text or "").encode().lower()):
+        have |= {bucket(w, 0)} | {bucket(w[:k], k) for k in toxicity.PREFIXES if len(w) > k}
+    columns, p = {int(chain.column[b]) for b in have} - {-1}, []
+    for m in chain.models:
+        if m.constant is not None:
+            p.append(m.constant)
+            continue
+        n = len(m.weight) - 1 - len(p)
+        z = sum(m.weight[c] for c in columns) + sum(w * x for w, x in zip(m.weight[n:-1], p, strict=True)) + m.weight[-1]
+        p.append(1 / (1 + np.exp(-z)))
+    return p
+
+
 def test_toxicity(spark, none):
     rng = random.Random(8)
     plain = ["river", "stone", "lamp", "green", "walk", "seven", "paper", "cloud"]
     text = lambda *more: " ".join([*rng.choices(plain, k=30), *more])
-    rows = [(k, text(*(rng.choice([["idiot", "pathetic"], ["moron"], ["vequista"]]) if k % 4 == 0 else []))) for k in range(400)]
-    docs = spark.createDataFrame([*rows, (900, None), (901, "")], "doc_id long, text string")
-    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(300)], "doc_id long, toxic int")
-    chain = toxicity.fit(toxicity.weak_categories(docs, toxicity.sample_labels(labels)))
-    got = {r.doc_id: r for r in toxicity.predict(docs, chain).collect()}
-    assert np.mean([got[k].is_toxic == (k % 4 == 0) for k in range(300, 400)]) >= 0.97
-    assert not got[900].is_toxic and got[900].p_toxic == got[901].p_toxic and len(got) == 402
-    assert {r.p_toxic for r in toxicity.predict(docs, toxicity.fit(toxicity.weak_categories(docs, labels.where("false")))).collect()} == {0.0}
+    bad = [["grobb", "frimp", "zott"], ["vequista", "moltra", "hunfel"]]
+    rows = [(k, text(*(rng.sample(bad[k // 4 % 2], 2) if k % 4 == 0 else []))) for k in range(400)]
+    rows += [rows[0], (1000, text(*bad[0]) * 800)]
+    docs = spark.createDataFrame([(*r, "x") for r in [*rows, (900, None), (901, ""), (None, "grobb")]], "doc_id long, text string, toxic string")
+    labels = spark.createDataFrame([(k, int(k % 4 == 0), "x") for k in range(300)] + [(0, 1, "y"), (301, None, "z")], "doc_id long, toxic int, text string")
+    chain = toxicity.fit(toxicity.with_labels(docs, toxicity.sample_labels(labels)))
+    assert chain.categories == ["toxic_kind_1", "toxic_kind_2", "toxic"]
+    found = toxicity.predict(docs, chain).collect()
+    got = {r.doc_id: r for r in found}
+    assert np.mean([got[k].is_toxic == (k % 4 == 0) for k in range(300, 400)]) >= 0.97 and got[1000].is_toxic
+    kinds = [(got[k].p_toxic_kind_1 > got[k].p_toxic_kind_2) == (k // 4 % 2 == 0) for k in range(300, 400, 4)]
+    assert np.mean(kinds) >= 0.95 or np.mean(kinds) <= 0.05  # the clusters are the two vocabularies
+    assert not got[900].is_toxic and got[900].p_toxic == got[901].p_toxic and len(found) == 405
+    texts = dict(rows)
+    for k in (0, 1, 4, 301, 304, 1000):
+        assert np.allclose([got[k].p_toxic_kind_1, got[k].p_toxic_kind_2, got[k].p_toxic], brute_chain(chain, texts[k]), atol=1e-9)
+    assert {r.p_toxic for r in toxicity.predict(docs, toxicity.fit(toxicity.with_labels(docs, labels.where("false")))).collect()} == {0.0}
     assert toxicity.predict(none, chain).count() == 0
+    two = spark.createDataFrame([(k, t, k % 2, k % 4 // 2) for k, t in rows[:100]], "doc_id long, text string, odd int, high int")
+    assert toxicity.fit(two, ("odd", "high")).categories == ["odd", "high"]
+
+
+def test_logistic_regression_equals_newton():
+    rng = np.random.default_rng(3)
+    x = (rng.random((200, 6)) < 0.3).astype(float)
+    p = rng.random((200, 1))
+    y = (rng.random(200) < 1 / (1 + np.exp(-(x @ [1, -1, 2, 0, 0, 0.5] + p[:, 0] - 1)))).astype(float)
+    row, column = np.nonzero(x)
+    w = toxicity.train(row, column, p, y, 6).weight
+    full, v = np.column_stack([x, p, np.ones(200)]), np.zeros(8)
+    penalty = np.diag([1.0] * 7 + [0.0]) * toxicity.PENALTY
+    for _ in range(50):
+        q = 1 / (1 + np.exp(-full @ v))
+        v -= np.linalg.solve((full * (q * (1 - q))[:, None]).T @ full + penalty, full.T @ (q - y) + penalty @ v)
+    assert np.abs(w - v).max() < 0.01
 
 
 def test_licenses(spark, none):
