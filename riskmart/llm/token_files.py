@@ -1,13 +1,14 @@
 """Binary token files: ids of whole documents, each compressed on its own with one shared zstandard dictionary.
 
 A file is a row of blocks, and a block is a header (see HEADER), one index row for each document (see INDEX) and the compressed id arrays. Documents are in ascending order
-of doc_id (nulls first; among equal ids in order of the text's hash), over blocks, files and parts, which are numbered in that order too. A block holds about BLOCK_BYTES of text (a
+of doc_id (nulls first; among equal ids as df gives them), over blocks, files and parts, which are numbered in that order too. A block holds about BLOCK_BYTES of text (a
 document is never cut), a file BLOCKS of them at most, so neither memory nor a file grows with the table. The header names the SHA-256 of the dictionary, which lies
 beside the files, and the block's size, so one document can be read with the headers, its index row and the dictionary alone. Spark's own writers and
 readers move the bytes, so any store that Spark reaches will do; the text writer adds a newline after each block, which readers skip.
 
 Null text counts as empty text: its ids are the end id alone. Rows with equal or null doc_id are all kept; equal rows are dealt over several parts like any others. Texts
-are encoded whole. An empty table gives no blocks. Columns besides the two named ones can have any name.
+are encoded whole. An empty table gives no blocks. Columns besides the two named ones can have any name. df must give the same rows in the same order when it is read
+again, as files and written tables do.
 """
 
 from __future__ import annotations
@@ -50,10 +51,10 @@ def train_dictionary(docs: DataFrame, tokenizer: str | None = None, sample: int
             ids, offsets = enc.encode(texts)
             yield pa.record_batch({"ids": [_serialised(ids[a:b], 2 if ids.max(initial=0) < 65536 else 4) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]})
 
-    # Hashes alone are sorted; texts of the chosen documents only leave the scan. Ties are equal rows, so the sample is repeatable.
-    hashed = docs.select("text", F.xxhash64("doc_id", "text").alias("h"))
+    # Hashes of ids alone are sorted; texts of the chosen documents only leave the scan. Of equal ids the texts' hashes decide, so the sample is repeatable.
+    hashed = docs.select("text", F.xxhash64("doc_id").alias("h"))
     last = hashed.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
-    chosen = hashed.where(F.col("h") <= F.lit(last if last is not None else 0)).orderBy("h").limit(sample).select("text")
+    chosen = hashed.where(F.col("h") <= F.lit(last if last is not None else 0)).orderBy("h", F.xxhash64("text")).limit(sample).select("text")
     samples = [bytes(r.ids) for r in chosen.mapInArrow(encode, "ids binary").collect()]  # at most `sample` rows
     try:
         return zstandard.train_dictionary(size, samples).as_bytes()
@@ -96,20 +97,22 @@ def write(df: DataFrame, path: str, tokenizer: str | None = None, end_id: int =
         for batch, texts in common.slices(batches, most=tokens.SLICE_BYTES):
             ids, offsets = enc.encode(texts)
             sizes = np.asarray(pc.binary_length(texts)).tolist()
+            wide = max(end_id, ids.max(initial=0)) > 65535
             for doc_id, a, b, size in zip(batch.column(0).to_pylist(), offsets[:-1], offsets[1:], sizes, strict=True):
                 if rows and text + size > BLOCK_BYTES:
                     yield close()
                     block, text, rows, blobs, offset = block + 1, 0, [], [], 0
                 own = np.append(ids[a:b], np.uint32(end_id))
-                width = 4 if own.max() > 65535 else 2
-                blobs.append(zstd.compress(_serialised(own, width)))
-                rows.append((doc_id or 0, doc_id is not None, len(own), offset, len(blobs[-1]), common.crc32(own) << 8 | width))
-                offset, text = offset + len(blobs[-1]), text + size
+                width = 4 if wide and own.max() > 65535 else 2
+                blob = zstd.compress(_serialised(own, width))
+                blobs.append(blob)
+                rows.append((doc_id or 0, doc_id is not None, len(own), offset, len(blob), common.crc32(own) << 8 | width))
+                offset, text = offset + len(blob), text + size
         if rows:
             yield close()
 
-    keyed = docs.withColumn("hash", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
-    order = [F.col("doc_id").asc_nulls_first(), F.col("hash"), F.col("row")]
+    keyed = docs.withColumn("row", F.monotonically_increasing_id())
+    order = [F.col("doc_id").asc_nulls_first(), F.col("row")]
     ordered = keyed.repartitionByRange(n_parts, *order).sortWithinPartitions(*order).select("doc_id", "text")
     ordered.mapInArrow(encode, "value binary").select(F.col("value").cast("string")).write.option("maxRecordsPerFile", BLOCKS).text(f"{path}/files")
 

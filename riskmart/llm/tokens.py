@@ -26,6 +26,8 @@ SLICE_BYTES = 3_000_000
 _START = "\x00"
 #: A word that the pattern cuts between letters and marks at most; all others go through the whole tokenizer.
 _PLAIN = re.compile(r"(\n?)( ?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]*)([.,;:!?|%*$&()\"-]*)").fullmatch
+#: Marks after a word of letters, and the end of the Latin letters whose class no Unicode version changes.
+_MARKS, _LATIN_END = ".,;:!?", "\u0250"
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -96,8 +98,20 @@ class Encoder:
 
     def _learn(self, words: list[str]) -> None:
         known, flat, rows, used = self.known, [], [], self.used
-        n = len(known)
+        n, tokenize, alphabet = len(known), self.model.tokenize, self.alphabet
+        space = alphabet[32]
         for word in words:
+            core = word.rstrip(_MARKS)
+            if core.isalpha() and ((plain := core.isascii()) or max(core) < _LATIN_END):  # nearly all words: a space, letters, marks
+                ids = [t.id for t in tokenize(space + core if plain else space + "".join([alphabet[b] for b in core.encode()]))]
+                if len(core) < len(word):
+                    ids += self._piece(word[len(core) :])
+                flat += ids
+                known[word] = n
+                n += 1
+                rows.append((used, len(ids), False))
+                used += len(ids)
+                continue
             unit = word[1:] if word[:1] == _START else word if word[:1] == "\n" else " " + word
             ids = self._word(unit)
             flat += ids
