@@ -29,7 +29,7 @@ HEADER = np.dtype([("magic", "S8"), ("part", "<u4"), ("block", "<u4"), ("n_docs"
 #: offset: of the compressed ids, from the end of the index; has_id is 0 where doc_id is null.
 INDEX = np.dtype([("doc_id", "<i8"), ("has_id", "<u4"), ("n_tokens", "<u4"), ("offset", "<u8"), ("size", "<u8"), ("raw_crc32", "<u8")])
 #: Text bytes for a block, about, blocks in a file, and text bytes in a part (which is one task's work and one file or more).
-BLOCK_BYTES, BLOCKS, PART_BYTES = 4_000_000, 16, 32_000_000
+BLOCK_BYTES, BLOCKS, PART_BYTES = 2_000_000, 16, 16_000_000
 #: Parts whose totals are summed up in one row.
 PARTS_AT_ONCE = 1024
 #: The dictionary is trained on this many documents (those of least hash of doc_id) and is at most so large.
@@ -66,6 +66,8 @@ def _compressor(dictionary: bytes):
     import zstandard
 
     d = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_FULLDICT) if dictionary else None
+    if d:
+        d.precompute_compress(level=LEVEL)  # once, not for each document
     return zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_checksum=False)
 
 

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 
 END_ID = 2
 #: Words that a worker remembers (about 200 bytes each); beyond that, new words are encoded anew in each batch.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Text bytes encoded at once: in larger slices fewer words are new.
 SLICE_BYTES = 3_000_000
 _START = "\x00"
