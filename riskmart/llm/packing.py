@@ -92,7 +92,7 @@ def pieces(df: DataFrame, tokenizer: str | None = None, length: int = LENGTH, en
     """The pieces of every whole text with their checksums; ids themselves stay where they were made."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = tokens.encoder(tokenizer)
+        enc = tokens.encoder(tokenizer, 2 * tokens.REMEMBERED)  # little else is in memory here
         for batch, texts in common.slices(batches, most=tokens.SLICE_BYTES):
             ids, offsets = enc.encode(texts)
             out = []

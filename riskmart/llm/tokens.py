@@ -20,9 +20,9 @@ import pyarrow.compute as pc
 
 END_ID = 2
 #: Words that a worker remembers (about 200 bytes each); beyond that, new words are encoded anew in each batch.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 #: Text bytes encoded at once: in larger slices fewer words are new.
-SLICE_BYTES = 3_000_000
+SLICE_BYTES = 6_000_000
 _START = "\x00"
 #: A word that the pattern cuts between letters and marks at most; all others go through the whole tokenizer.
 _PLAIN = re.compile(r"(\n?)( ?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]*)([.,;:!?|%*$&()\"-]*)").fullmatch
@@ -37,11 +37,11 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def encoder(path: str | None = None) -> "Encoder":
+def encoder(path: str | None = None, remembered: int = REMEMBERED) -> "Encoder":
     """One for each tokenizer file and worker; workers outlive tasks, and so do the words that they know."""
     path = path or default_path()
     if path not in _encoders:
-        _encoders[path] = Encoder(path)
+        _encoders[path] = Encoder(path, remembered)
     return _encoders[path]
 
 
