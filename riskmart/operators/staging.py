@@ -12,6 +12,7 @@ from riskmart.config import Config
 from riskmart.functions.columns import code, filled, moment, money, text, whole
 from riskmart.functions.frames import latest_by
 
+#: Fixed values.
 FRAUD_REFUND_REASONS = ["fraud_alert", "fraud_confirmed", "dispute_alert"]
 
 

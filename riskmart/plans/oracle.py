@@ -83,7 +83,7 @@ def _models(profile: str) -> dict[str, str]:
         "chargebacks_per_tx": f"SELECT transaction_id, count(*) AS chargeback_count, {_sum('cb_amount', zero=False)} AS chargeback_amount, {_sum('cb_amount', 'is_fraud_reason', False)} AS fraud_chargeback_amount, bool_or(is_fraud_reason) AS has_fraud_chargeback, min(chargeback_at) AS first_chargeback_at, max(chargeback_at) AS last_chargeback_at, max(_ingested_at) AS last_chargeback_ingested_at FROM stg_chargebacks GROUP BY transaction_id",
         "fraud_labels": f"""SELECT transaction_id, report_id AS evidence_id, 'issuer_fraud_report' AS label_source, reported_at AS label_at, CAST(NULL AS {_D}) AS evidence_amount, _ingested_at FROM stg_issuer_reports
             UNION ALL SELECT transaction_id, chargeback_id, 'chargeback_fraud', chargeback_at, cb_amount, _ingested_at FROM stg_chargebacks WHERE reason_category = 'fraud'
-            UNION ALL SELECT transaction_id, refund_id, 'fraud_refund', refunded_at, refund_amount, _ingested_at FROM stg_refunds WHERE refund_reason <> 'customer_request'
+            UNION ALL SELECT transaction_id, refund_id, 'fraud_refund', refunded_at, refund_amount, _ingested_at FROM stg_refunds WHERE refund_reason IN ('fraud_alert', 'fraud_confirmed', 'dispute_alert')
             UNION ALL SELECT transaction_id, alert_id, 'dispute_alert', alerted_at, NULL, _ingested_at FROM stg_alerts WHERE contains(alert_type, 'fraud')
             UNION ALL SELECT transaction_id, claim_id, 'pix_med_claim', claimed_at, claim_amount, _ingested_at FROM stg_med_claims""",
         "fraud_labels_per_tx": "SELECT transaction_id, min(label_at) AS first_fraud_label_at, first(label_source ORDER BY label_at, label_source) AS first_fraud_label_source, count(*) AS fraud_evidence_count, array_to_string(list_sort(list_distinct(list(label_source))), ',') AS fraud_label_sources FROM fraud_labels GROUP BY transaction_id",

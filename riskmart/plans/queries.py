@@ -6,7 +6,6 @@ rounded to six places.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 from datetime import timedelta
 
@@ -17,7 +16,7 @@ from riskmart import schemas
 from riskmart.operators import aggregates, incremental, quality, snapshot
 from riskmart.plans import oracle, semantic
 from riskmart.plans.dag import WATERMARK_SOURCES, Warehouse
-from riskmart.sources import adapter
+from riskmart.sources import adapter, files
 from riskmart.streaming import ingest
 
 _MOMENT = {"_updated_at", *schemas.WATERMARKS}
@@ -96,7 +95,7 @@ def _before(w: Warehouse) -> Warehouse:
 
 def _reopened(w: Warehouse) -> DataFrame:
     """The attempts of affected keys, from inputs cut to those keys (duplicates look at all of their users' rows)."""
-    keys = _affected(w).persist()  # cuts six inputs
+    keys = files.written(_affected(w), "keys")  # cuts six inputs
     # A chargeback can be of a transaction that isn't there yet; its key simply finds no row.
     some = Warehouse(w.spark, w.raw, w.config, {m: incremental.only(w(m), keys) for m in ("stg_transactions", "stg_evaluations", "stg_chargebacks", "stg_enrichment", "fraud_labels", "stg_refunds")} | {"duplicate_suspects": w("duplicate_suspects")})
     return some("payment_attempts")
@@ -104,19 +103,47 @@ def _reopened(w: Warehouse) -> DataFrame:
 
 @_register("incremental_merge", sql="payment_attempts")
 def _incremental_merge(w: Warehouse) -> DataFrame:
-    return incremental.merge_by_key(_before(w)("payment_attempts"), _reopened(w).persist(), "transaction_id")
+    return incremental.merge_by_key(_before(w)("payment_attempts"), files.written(_reopened(w), "reopened"), "transaction_id")
 
 
 @_register("cohort_reprocess", sql="cohort_daily")
 def _cohort_reprocess(w: Warehouse) -> DataFrame:
     """Only the cohorts that re-opened rows are or were in are made anew."""
-    old, new = _before(w)("payment_attempts").persist(), _reopened(w).persist()  # each is read three times
+    old, new = files.written(_before(w)("payment_attempts"), "before"), files.written(_reopened(w), "reopened")  # each is read three times
     cohorts = incremental.affected_cohorts(old, new)
     merged = incremental.merge_by_key(old, new, "transaction_id")
     again = aggregates.cohort_daily(merged.join(cohorts, "cohort_date", "left_semi"))
     return incremental.replace_cohorts(aggregates.cohort_daily(old), again, cohorts)
 
 
+_MARKED = ", ".join(f"(SELECT coalesce(max(_ingested_at), TIMESTAMP '{incremental.EPOCH} 00:00:00') FROM {m}) AS {mark}" for mark, m in WATERMARK_SOURCES.items())
+QUERIES["fct_payment_attempts"] = lambda spark, sf_dir: warehouse(spark, sf_dir)("fct_payment_attempts").drop("_updated_at")
+ORACLES["fct_payment_attempts"] = oracle.sql("orders", f"SELECT *, {_MARKED} FROM payment_attempts")
+
+
+@_register("upsert", sql="payment_attempts")
+def _upsert(w: Warehouse) -> DataFrame:
+    """The attempts as they were, created by a merge, and the re-opened ones merged in; twice, which changes nothing."""
+    path = files.new_path(w.spark, "upsert")
+    incremental.upsert(w.spark, _before(w)("payment_attempts"), path, "transaction_id")
+    for _ in range(2):
+        incremental.upsert(w.spark, _reopened(w), path, "transaction_id")
+    return incremental.read_version(w.spark, path)
+
+
+def _refreshed(w: Warehouse, table: str) -> DataFrame:
+    """A stored warehouse of what was there at the cut, refreshed with the feeds as they are."""
+    path = files.new_path(w.spark, "refresh")
+    before = _before(w)
+    for name in ("fct_payment_attempts", "cohort_daily"):
+        files.write_table(before(name), f"{path}/marts/{name}", "cohort_date")
+    w.refresh(path)
+    return w.spark.read.schema(before(table).schema).parquet(f"{path}/marts/{table}").select(*w(table).columns)
+
+
+_register("incremental_refresh", sql="payment_attempts")(lambda w: _refreshed(w, "fct_payment_attempts"))
+_register("write_cohorts", sql="cohort_daily")(lambda w: _refreshed(w, "cohort_daily"))
+
 _KEYS, _CHECKED = ", ".join(snapshot.COHORT_KEYS), ", ".join(snapshot.COHORT_CHECKED)
 _NOW = "2001-12-31 00:00:00"
 
@@ -167,6 +194,8 @@ def _metric(name: str, metrics: list[str], doubles: str, sql: str, by: list[str]
 
 _metric("metric_approval_rate", ["approval_rate", "risk_reject_rate"], "approval_rate risk_reject_rate", "SELECT payment_method, date_trunc('month', cohort_date)::date AS cohort_date, count(CASE WHEN is_approved THEN 1 END)::double / count(*) AS approval_rate, count(CASE WHEN decline_source = 'risk_engine' THEN 1 END)::double / count(*) AS risk_reject_rate FROM payment_attempts GROUP BY ALL", ["payment_method"], "month")
 _metric("metric_cb_rate_card", ["card_chargeback_rate_amount"], "card_chargeback_rate_amount", "SELECT date_trunc('year', cohort_date)::date AS cohort_date, sum(chargeback_amount) FILTER (is_chargeback_eligible AND is_approved)::double / nullif(sum(amount) FILTER (is_chargeback_eligible AND is_approved)::double, 0) AS card_chargeback_rate_amount FROM payment_attempts GROUP BY ALL", grain="year")
+_metric("metric_cb_rate_amount", ["chargeback_rate_amount"], "chargeback_rate_amount", "SELECT country, date_trunc('quarter', cohort_date)::date AS cohort_date, sum(chargeback_amount) FILTER (is_approved)::double / nullif(sum(amount) FILTER (is_approved)::double, 0) AS chargeback_rate_amount FROM payment_attempts GROUP BY ALL", ["country"], "quarter")
+_metric("metric_cb_rate_qty", ["chargeback_rate_qty"], "chargeback_rate_qty", "SELECT date_trunc('week', cohort_date)::date AS cohort_date, count(CASE WHEN is_approved AND has_chargeback THEN 1 END)::double / nullif(count(CASE WHEN is_approved THEN 1 END)::double, 0) AS chargeback_rate_qty FROM payment_attempts GROUP BY ALL", grain="week")
 _metric("metric_fraud_bps", ["fraud_bps"], "fraud_bps", "SELECT country, coalesce(sum(amount) FILTER (is_approved AND is_fraud_labeled), 0)::double * 10000 / nullif(sum(amount) FILTER (is_approved)::double, 0) AS fraud_bps FROM payment_attempts GROUP BY ALL", ["country"])
 _metric("metric_approval_by_order", ["approval_rate_by_order"], "approval_rate_by_order", "SELECT card_network, count(DISTINCT order_id) FILTER (is_approved)::double / nullif(count(DISTINCT order_id), 0) AS approval_rate_by_order FROM payment_attempts GROUP BY ALL", ["card_network"])
 _metric("metric_gross_loss", ["gross_fraud_loss", "gross_chargeback_loss"], "", "SELECT reason_category, date_trunc('month', chargeback_date)::date AS chargeback_date, CAST(sum(CASE WHEN is_fraud_reason THEN cb_amount ELSE 0 END) AS decimal(28,2)) AS gross_fraud_loss, CAST(sum(cb_amount) AS decimal(28,2)) AS gross_chargeback_loss FROM fct_chargebacks GROUP BY ALL", ["reason_category"], "month")
@@ -214,8 +243,7 @@ def _velocity_job(w: Warehouse) -> DataFrame:
 
 def _streaming(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events feed as JSON messages, through a stream into bronze and quarantine."""
-    base = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="riskmart-")).rstrip("/")
-    path = f"{base}/stream-{spark.sparkContext._jvm.java.util.UUID.randomUUID()}"
+    path = files.new_path(spark, "stream")
     w = warehouse(spark, sf_dir, "events")
     spoilt = w("raw_transactions").selectExpr("*", _KEYED).selectExpr(*_split(_BAD))
     spoilt.select(F.to_json(F.struct("*")).alias("value")).write.text(f"{path}/in")

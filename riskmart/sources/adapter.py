@@ -52,13 +52,13 @@ def _orders(f) -> dict[str, str]:
         "raw_risk_evaluations": f"{evaluation('', 't - ' + sec('2'))} UNION ALL {evaluation('_2', 't + ' + sec('600'))} WHERE k % 5 = 0",
         "raw_chargebacks": f"""SELECT {cb} AS chargeback_id, CASE WHEN supp % 41 = 0 THEN 'tx_none_' ELSE 'tx_' END || cast(k AS string) AS transaction_id, cast({at} AS string) AS chargeback_at,
             CASE supp % 5 WHEN 0 THEN '10.4_fraud' WHEN 1 THEN '13.1' WHEN 2 THEN '4837' WHEN 3 THEN '12.6' ELSE '99.9_new' END AS reason_code, cast(amount AS string) AS cb_amount, {at} + {sec("300")} AS _ingested_at FROM ({disputed}) d""",
-        "raw_payment_enrichment": f"""SELECT {tx} AS transaction_id, 'm_' || cast(k % 10 AS string) AS merchant_id, 'o_' || cast({div("k", "3")} AS string) AS order_id, CASE k % 3 WHEN 0 THEN 'br' WHEN 1 THEN 'ar' ELSE 'mx' END AS country,
+        "raw_payment_enrichment": f"""SELECT {tx} AS transaction_id, CASE WHEN k % 50 = 0 THEN 'm_none' ELSE 'm_' || cast(k % (SELECT count(*) FROM supplier) AS string) END AS merchant_id, 'o_' || cast({div("k", "3")} AS string) AS order_id, CASE k % 3 WHEN 0 THEN 'br' WHEN 1 THEN 'ar' ELSE 'mx' END AS country,
             CASE k % 2 WHEN 0 THEN 'Visa' ELSE 'mastercard' END AS card_network, 'fp_' || cast(k % 50 AS string) AS card_fingerprint, '4' || cast(10000 + k % 100 AS string) AS bin, CASE k % 4 WHEN 0 THEN 'authenticated' WHEN 1 THEN 'not_authenticated' WHEN 2 THEN 'not_attempted' ELSE '' END AS three_ds_result,
             CASE k % 6 WHEN 0 THEN '00' WHEN 1 THEN '51' WHEN 2 THEN '14' WHEN 3 THEN '05' WHEN 4 THEN '' ELSE '98' END AS issuer_response_code, CASE WHEN status = 'approved' THEN 'captured' ELSE 'not_captured' END AS capture_status,
             cast(t + {day("1")} AS string) AS settled_at, CASE k % 3 WHEN 0 THEN '2' WHEN 1 THEN '14' ELSE '30' END AS payout_term_days, 'brl' AS currency, t + {sec("6")} AS _ingested_at FROM ({base}) b WHERE k % 43 <> 0""",
-        "raw_merchants": f"SELECT 'm_' || cast(s_suppkey AS string) AS merchant_id, cast(5000 + s_suppkey % 100 AS string) AS mcc, CASE s_suppkey % 3 WHEN 0 THEN 'Retail' WHEN 1 THEN 'travel' ELSE 'digital' END AS segment, cast(cast('1994-01-01 00:00:00' AS timestamp) + {day('cast(s_suppkey % 700 AS int)')} AS string) AS created_at, cast('1994-01-01 00:00:00' AS timestamp) AS _ingested_at FROM supplier WHERE s_suppkey < 9",
+        "raw_merchants": f"SELECT 'm_' || cast(s_suppkey AS string) AS merchant_id, cast(5000 + s_suppkey % 100 AS string) AS mcc, CASE s_suppkey % 3 WHEN 0 THEN 'Retail' WHEN 1 THEN 'travel' ELSE 'digital' END AS segment, cast(cast('1994-01-01 00:00:00' AS timestamp) + {day('cast(s_suppkey % 700 AS int)')} AS string) AS created_at, cast('1994-01-01 00:00:00' AS timestamp) AS _ingested_at FROM supplier",
         "raw_issuer_fraud_reports": f"SELECT id AS report_id, transaction_id, x AS card_network, cast(t + {day('5')} AS string) AS reported_at, 'card_not_present' AS fraud_type, t + {day('6')} AS _ingested_at FROM ({evidence(61, 'rep', 'CASE k % 2 WHEN 0 THEN ' + chr(39) + 'visa' + chr(39) + ' ELSE ' + chr(39) + 'mastercard' + chr(39) + ' END')}) z",
-        "raw_refunds": f"SELECT id AS refund_id, transaction_id, cast(t + {day('9')} AS string) AS refunded_at, cast(amount AS string) AS refund_amount, x AS refund_reason, t + {day('9')} AS _ingested_at FROM ({evidence(67, 'ref', 'CASE k % 3 WHEN 0 THEN ' + chr(39) + 'fraud_alert' + chr(39) + ' WHEN 1 THEN ' + chr(39) + 'customer_request' + chr(39) + ' ELSE ' + chr(39) + 'fraud_confirmed' + chr(39) + ' END')}) z",
+        "raw_refunds": f"SELECT id AS refund_id, transaction_id, cast(t + {day('9')} AS string) AS refunded_at, cast(amount AS string) AS refund_amount, x AS refund_reason, t + {day('9')} AS _ingested_at FROM ({evidence(67, 'ref', 'CASE k % 5 WHEN 0 THEN ' + chr(39) + 'fraud_alert' + chr(39) + ' WHEN 2 THEN NULL WHEN 3 THEN ' + chr(39) + 'goodwill' + chr(39) + ' WHEN 1 THEN ' + chr(39) + 'customer_request' + chr(39) + ' ELSE ' + chr(39) + 'fraud_confirmed' + chr(39) + ' END')}) z",
         "raw_dispute_alerts": f"SELECT id AS alert_id, transaction_id, 'ethoca' AS alert_provider, cast(t + {day('3')} AS string) AS alerted_at, x AS alert_type, 'refunded' AS action_taken, t + {day('3')} AS _ingested_at FROM ({evidence(71, 'al', 'CASE k % 2 WHEN 0 THEN ' + chr(39) + 'confirmed_fraud' + chr(39) + ' ELSE ' + chr(39) + 'customer_dispute' + chr(39) + ' END')}) z",
         "raw_pix_med_claims": f"SELECT 'med_' || cast(k AS string) AS claim_id, {tx} AS transaction_id, cast(t + {day('2')} AS string) AS claimed_at, cast(amount AS string) AS claim_amount, 'accepted' AS claim_status, CASE k % 2 WHEN 0 THEN '10.00' ELSE '' END AS returned_amount, t + {day('2')} AS _ingested_at FROM {paid} p WHERE method = 'pix' AND k % 73 = 0",
         "raw_chargeback_outcomes": f"SELECT {cb} AS chargeback_id, 'second_presentment' AS dispute_stage, CASE k % 2 WHEN 0 THEN 'won' ELSE 'lost' END AS outcome, cast({at} + {day('20')} AS string) AS resolved_at, CASE k % 2 WHEN 0 THEN cast(amount AS string) ELSE '' END AS recovered_amount, CASE WHEN k % 2 = 1 AND n % 2 = 0 THEN '25.50' ELSE '0' END AS recovered_from_merchant_amount, {at} + {day('20')} AS _ingested_at FROM ({disputed}) d WHERE k % 3 = 0",

@@ -48,7 +48,27 @@ def folder(spark: SparkSession, path: str, form: str = "csv") -> dict[str, DataF
 
 def write_table(df: DataFrame, path: str, partition_by: str | None = None, mode: str = "overwrite") -> None:
     """Parquet; with partition_by and mode overwrite only the partitions that df has are replaced."""
+    if partition_by:
+        df = df.hint("rebalance", partition_by)  # a few files for each partition, more for large ones
     w = df.write.mode(mode).option("compression", "zstd")
     if partition_by:
         w = w.option("partitionOverwriteMode", "dynamic").partitionBy(partition_by)
     w.parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def new_path(spark: SparkSession, what: str) -> str:
+    """A new folder that driver and executors share: in spark.checkpoint.dir, or in the warehouse where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_intermediate"
+    return f"{base.rstrip('/')}/{what}-{spark.sparkContext._jvm.java.util.UUID.randomUUID()}"
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
+    """df, written and read again: a plan that reads it several times makes it once, and a lost executor costs no more than what it was at."""
+    path = new_path(df.sparkSession, what)
+    write_table(df, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

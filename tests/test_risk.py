@@ -215,3 +215,35 @@ def test_empty_feeds(spark):
     for k in ("payment_attempts", "fct_chargebacks", "network_monitoring", "score_psi", "open_exposure", "velocity"):
         assert w(k).count() == 0
     assert intermediate.duplicate_suspects(w("stg_transactions"), w.config).count() == 0
+
+
+def test_refresh_equals_a_build_of_all(spark, tmp_path):
+    late = [*CB, LATE]
+    old, new = Warehouse(spark, feeds(spark), Config(as_of=date(2026, 10, 3))), Warehouse(spark, feeds(spark, tx=[*TX, ("tx_2001", "usr_09", "2026-07-01 10:00:00", "10.00", "approved", "pix", "2026-07-01 10:00:05")], cb=late), Config(as_of=date(2026, 10, 3)))
+    old.build(str(tmp_path), ["fct_payment_attempts", "cohort_daily"])
+    assert sorted(map(str, new.refresh(str(tmp_path)))) == ["2026-03-01", "2026-07-01"]
+    for table in ("fct_payment_attempts", "cohort_daily"):
+        want = [c for c in new(table).columns if c != "_updated_at" and not c.startswith("_")]
+        got = spark.read.parquet(f"{tmp_path}/marts/{table}").select(*want)
+        assert sorted(map(str, got.collect())) == sorted(map(str, new(table).select(*want).collect()))
+    card = spark.read.parquet(f"{tmp_path}/marts/cohort_daily").where("payment_method = 'credit_card'").first()
+    assert (card.chargeback_amount, card.approved_amount) == (D("500.00"), D("850.00"))
+
+
+def test_sources_and_command_lines(spark, tmp_path):
+    from riskmart.__main__ import late_chargeback, main
+    from riskmart.sources import files
+
+    for name, df in feeds(spark).items():
+        df.toPandas().to_csv(tmp_path / f"{name}.csv", index=False)
+    read = files.folder(spark, str(tmp_path))
+    assert read["raw_transactions"].count() == 5 and read["raw_refunds"].count() == 0
+    got = {r.moment: r for r in late_chargeback(Warehouse(spark, read, Config()), "tx_1004", "350.00").collect()}
+    assert (round(got["before"].rate, 4), round(got["after"].rate, 4)) == (0.1765, 0.5882)
+    read["raw_transactions"].write.saveAsTable("raw_transactions_of_test", mode="overwrite")
+    assert files.raw_table(spark, "raw_transactions", "raw_transactions_of_test").schema == read["raw_transactions"].schema
+    spark.sql("DROP TABLE raw_transactions_of_test")
+    main(["build", "--raw", str(tmp_path), "--to", str(tmp_path / "out"), "--select", "+cohort_daily fct_payment_attempts"])
+    assert spark.read.parquet(str(tmp_path / "out/marts/cohort_daily")).count() == 2
+    main(["velocity", "--raw", str(tmp_path), "--to", str(tmp_path / "velocity")])
+    assert spark.read.parquet(str(tmp_path / "velocity")).count() > 0
