@@ -10,7 +10,7 @@ Equal vectors are one weighted representative. Those are sorted by the first pro
 the tiles that its widened windows reach, and those meetings are the tasks. A task keeps pairs to itself: it gives for each
 vector its number of links and the least vector it is joined with, so a group of n near copies gives n rows, not n^2.
 
-Vectors without label or id, null, empty or zero ones and those with null or non-finite components link with nothing. Equal
+Labels of any type count by equality (text by its hash). Vectors without label or id, null, empty or zero ones and those with null or non-finite components link with nothing. Equal
 vec_ids are one node of a component; each row has its own number of links.
 """
 
@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskmart.llm import common
 from riskmart.llm.components import components
@@ -165,7 +166,10 @@ def _first_projection(batches):
 def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, tile: int = TILE, id_col: str = "vec_id", label_col: str = "label", vector_col: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id, kept of every row."""
     common.ship(df.sparkSession)
-    rows = df.select(df[id_col].cast("long").alias("vec_id"), df[label_col].cast("long").alias("label"), df[vector_col].cast("array<double>").alias("embedding"))
+    # Labels that aren't whole numbers count by their text's hash.
+    label = df[label_col].cast("long") if isinstance(df.schema[label_col].dataType, T.IntegralType) else F.xxhash64(df[label_col].cast("string"))
+    label = F.when(df[label_col].isNotNull(), label)
+    rows = df.select(df[id_col].cast("long").alias("vec_id"), label.alias("label"), df[vector_col].cast("array<double>").alias("embedding"))
     fit = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     rows = rows.withColumn("fit", F.coalesce(fit, F.lit(False)))
     good = rows.where("fit")

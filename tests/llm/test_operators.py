@@ -587,6 +587,17 @@ def test_embeddings_find_all_links(spark):
     assert embeddings.near_duplicates(df.where("false")).count() == 0
 
 
+def test_embeddings_of_text_labels_repeated_ids_and_copies_to_scale(spark):
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((6, 16))
+    rows = [(k, "ab"[k % 2], [float(v) for v in x[k]], "c") for k in range(6)]
+    rows += [(20 + k, "a", [float(v * (k + 2)) for v in x[0]], "c") for k in range(5)] + [(20, "b", [float(v) for v in x[0]], "c"), (30, None, rows[0][2], "c")]
+    df = spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>, tile string")
+    got = Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicates(df).collect())
+    want = [(0, 5, 0, True), *[(k, 0, k, True) for k in range(1, 6)], (20, 5, 0, False), *[(20 + k, 5, 0, False) for k in range(1, 5)], (20, 0, 0, False), (30, 0, 30, True)]
+    assert got == Counter(want)
+
+
 def test_pipeline_stages_keep_columns_and_clean_documents(spark, tmp_path):
     import corpus_pipeline
 
