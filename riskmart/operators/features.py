@@ -7,17 +7,18 @@ from pyspark.sql import functions as F
 
 from riskmart.config import Config
 from riskmart.functions.columns import TOTAL, seconds
+from riskmart.functions.frames import in_time_blocks
 
 
 def velocity(transactions: DataFrame, config: Config) -> DataFrame:
-    """Attempts and amount of the user in the seconds before, without the transaction itself; others of the same second count."""
-    by = Window.partitionBy("user_id").orderBy("_second")
-    out = transactions.withColumn("_second", seconds("transaction_at"))
+    """Attempts and amount of the user in the seconds before, without the transaction itself; others of the same second count. A user's rows are dealt over blocks of time."""
+    by = Window.partitionBy("user_id", "_block").orderBy("_second")
+    out = in_time_blocks(transactions.select("transaction_id", "user_id", "transaction_at", "amount", seconds("transaction_at").alias("_second")), max(config.velocity_seconds), 0)
     made = []
     for name, n in zip(("10m", "24h"), config.velocity_seconds, strict=True):
         before = by.rangeBetween(-n, 0)
         made += [(F.count("*").over(before) - 1).alias(f"user_attempts_{name}"), (F.sum("amount").over(before) - F.col("amount")).cast(TOTAL).alias(f"user_amount_{name}")]
-    return out.select("transaction_id", "user_id", "transaction_at", *made)
+    return out.select("transaction_id", "user_id", "transaction_at", "_home", *made).where("_home").drop("_home")
 
 
 def velocity_job(transactions: DataFrame, now, config: Config, history_hours: int = 48, emit_hours: int = 24) -> DataFrame:

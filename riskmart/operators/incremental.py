@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from riskmart.config import Config
 from riskmart.functions.columns import seconds
+from riskmart.functions.frames import in_time_blocks
 from riskmart.sources.files import write_table
 
 EPOCH = "1900-01-01"
@@ -33,12 +34,12 @@ def changed_keys(sources: dict[str, DataFrame], marks: dict[str, object], config
 
 
 def neighbours(transactions: DataFrame, changed: DataFrame, config: Config) -> DataFrame:
-    """Transactions of a user within the window of one of the user's changed ones. A range window finds what a self-join would, without its pairs."""
+    """Transactions of a user within the window of one of the user's changed ones. A range window, within blocks of time, finds what a self-join would, without its pairs."""
     n = config.duplicate_seconds
-    near = Window.partitionBy("user_id").orderBy("_second").rangeBetween(-n, n)
+    near = Window.partitionBy("user_id", "_block").orderBy("_second").rangeBetween(-n, n)
     flagged = transactions.where("user_id is not null and transaction_at is not null").select("transaction_id", "user_id", seconds("transaction_at").alias("_second"))
     flagged = flagged.join(changed.select("transaction_id", F.lit(True).alias("_changed")), "transaction_id", "left")
-    return flagged.withColumn("_near", F.bool_or(F.coalesce("_changed", F.lit(False))).over(near)).where("_near").select("transaction_id")
+    return in_time_blocks(flagged, n, n).withColumn("_near", F.bool_or(F.coalesce("_changed", F.lit(False))).over(near)).where("_home and _near").select("transaction_id")
 
 
 def affected_keys(transactions: DataFrame, sources: dict[str, DataFrame], marks: dict[str, object], config: Config) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from riskmart.config import Config
 from riskmart.functions.columns import seconds, total
+from riskmart.functions.frames import in_time_blocks
 
 
 def risk_decision(evaluations: DataFrame, transactions: DataFrame, config: Config) -> DataFrame:
@@ -48,9 +49,10 @@ def fraud_labels_per_transaction(labels: DataFrame) -> DataFrame:
 
 
 def duplicate_suspects(transactions: DataFrame, config: Config) -> DataFrame:
-    """Transactions with another of the same user, amount and method within the window. Pairwise, not transitive; the first of a group is that of least id. A range window over seconds finds the same rows as a self-join, without a row for each pair."""
+    """Transactions with another of the same user, amount and method within the window. Pairwise, not transitive; the first of a group is that of least id. A range window over seconds, within blocks of time, finds the same rows as a self-join, without a row for each pair."""
     n = config.duplicate_seconds
-    near = Window.partitionBy("user_id", "amount", "payment_method").orderBy("_second").rangeBetween(-n, n)
+    near = Window.partitionBy("user_id", "amount", "payment_method", "_block").orderBy("_second").rangeBetween(-n, n)
     keyed = transactions.where("user_id is not null and amount is not null and payment_method is not null and transaction_at is not null").withColumn("_second", seconds("transaction_at"))
-    found = keyed.select("transaction_id", F.min("transaction_id").over(near).alias("first_transaction_id_in_group"), F.count("*").over(near).alias("group_size"))
-    return found.where("group_size > 1").withColumn("is_duplicate_candidate", F.col("transaction_id") != F.col("first_transaction_id_in_group"))
+    dealt = in_time_blocks(keyed.select("transaction_id", "user_id", "amount", "payment_method", "_second"), n, n)
+    found = dealt.select("transaction_id", F.min("transaction_id").over(near).alias("first_transaction_id_in_group"), F.count("*").over(near).alias("group_size"), "_home")
+    return found.where("_home and group_size > 1").drop("_home").withColumn("is_duplicate_candidate", F.col("transaction_id") != F.col("first_transaction_id_in_group"))

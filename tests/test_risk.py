@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, datetime, timedelta
 from decimal import Decimal as D
 
 import pytest
 
 from riskmart.config import Config
 from riskmart.functions.frames import latest_by
-from riskmart.operators import aggregates, incremental, intermediate, quality, snapshot, staging
+from riskmart.operators import aggregates, features, incremental, intermediate, quality, snapshot, staging
 from riskmart.plans import dag, semantic
 from riskmart.plans.dag import Warehouse
 from riskmart.sources import lookups
@@ -110,6 +110,28 @@ def test_duplicates_within_a_minute(spark):
     assert rows == [("tx_1004", "tx_1004", 2, False), ("tx_1005", "tx_1004", 2, True)]
 
 
+def test_time_blocks_change_no_window(spark):
+    """One user with attempts on both sides of every block's end, at equal seconds and without a time: as counted by hand."""
+    config = Config(velocity_seconds=(3, 10), duplicate_seconds=5)
+    at = [*range(155, 166), 160, 160, *range(314, 326, 3), 80, 85, 90, 95, None, None]
+    rows = [(f"t{i:02}", "u", None if s is None else datetime(1970, 1, 1) + timedelta(seconds=s), D("2.00"), "pix") for i, s in enumerate(at)]
+    df = spark.createDataFrame(rows, "transaction_id string, user_id string, transaction_at timestamp_ntz, amount decimal(18,2), payment_method string")
+
+    def within(i, low, high):
+        return [f"t{j:02}" for j, s in enumerate(at) if (s is None) == (at[i] is None) and (s is None or low <= s - at[i] <= high)]
+
+    got = by(features.velocity(df, config), "transaction_id")
+    assert len(got) == len(at)
+    for i in range(len(at)):
+        assert [got[f"t{i:02}"].user_attempts_10m, got[f"t{i:02}"].user_attempts_24h] == [len(within(i, -n, 0)) - 1 for n in (3, 10)]
+        assert got[f"t{i:02}"].user_amount_24h == 2 * (len(within(i, -10, 0)) - 1)
+    groups = {f"t{i:02}": within(i, -5, 5) for i, s in enumerate(at) if s is not None}
+    found = intermediate.duplicate_suspects(df, config).collect()
+    assert sorted((r.transaction_id, r.first_transaction_id_in_group, r.group_size) for r in found) == sorted((t, min(g), len(g)) for t, g in groups.items() if len(g) > 1)
+    changed = spark.createDataFrame([("t05",), ("t13",)], "transaction_id string")
+    assert sorted(r[0] for r in incremental.neighbours(df, changed, config).collect()) == sorted(t for t, g in groups.items() if {"t05", "t13"} & set(g))
+
+
 def test_first_label(spark):
     w = Warehouse(spark, feeds(spark, raw_issuer_fraud_reports=[("r1", "tx_1001", "visa", "2026-03-05 08:00:00", "x", "2026-03-05 09:00:00")]))
     (r,) = w("fraud_labels_per_tx").collect()
