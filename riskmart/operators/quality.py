@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from datetime import timedelta
+from datetime import date, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskmart import schemas
-from riskmart.functions.columns import TOTAL
+from riskmart.config import Config
+from riskmart.functions.columns import TOTAL, ratio
 
 
 def not_null(df: DataFrame, column: str) -> DataFrame:
@@ -89,6 +90,59 @@ def freshness(df: DataFrame, now, warn: timedelta, error: timedelta, at: str = "
     return newest.select("newest", age.alias("age_seconds"), status.alias("status"))
 
 
+def share_rules(df: DataFrame, rules: dict[str, tuple[str, str, float]]) -> DataFrame:
+    """rule, n_rows, n_bad, value, status of each rule (what is bad, among which rows, and the share that is too much), in one pass over df.
+
+    A rule passes below its limit, and without any bad row also at a limit of zero; no rows pass, with a null share.
+    """
+    counts = [F.struct(F.lit(name).alias("rule"), F.count_if(F.expr(of)).alias("n_rows"), F.count_if(F.expr(f"({of}) and ({bad})")).alias("n_bad"), F.lit(limit).alias("limit")) for name, (bad, of, limit) in rules.items()]
+    found = df.agg(F.array(*counts).alias("r")).select(F.inline("r")).withColumn("value", ratio("n_bad", "n_rows"))
+    status = F.when((F.col("n_bad") > 0) & (F.col("value") >= F.col("limit")), "error").otherwise("pass")
+    return found.select("rule", "n_rows", "n_bad", "value", status.alias("status"))
+
+
+def business_days(start, end) -> Column:
+    """Days from Monday to Friday after start, up to and with end; holidays aren't known. Null for a null."""
+    start, end = start.cast("date"), end.cast("date")
+
+    def before(d):  # days from Monday to Friday from Monday, 1970-01-05, to d
+        n = F.datediff(d, F.lit(date(1970, 1, 5))) + 1
+        weeks = F.floor(n / 7)
+        return weeks * 5 + F.least(n - weeks * 7, F.lit(5))
+
+    return (before(end) - before(start)).cast("long")
+
+
+def business_day_rule(df: DataFrame, now, limit: int, at: str = "_ingested_at") -> DataFrame:
+    """One row: the newest stamp, the business days since, and pass if they are at most the limit; an empty source is an error."""
+    newest = df.agg(F.max(at).alias("newest")).withColumn("value", business_days(F.col("newest"), F.lit(now).cast("timestamp_ntz")))
+    return newest.select("newest", "value", F.when(F.col("value") <= limit, "pass").otherwise("error").alias("status"))
+
+
+def volume_anomalies(df: DataFrame, at: str, config: Config) -> DataFrame:
+    """Day: rows, mean and deviation of the calendar days before (days without rows count as zero from the first one on), and an anomaly outside `z_limit` deviations.
+
+    Days without rows are rows of their own, so a feed that stops is an anomaly too. Until there is a whole baseline there is no verdict. The window is over one row a day.
+    """
+    daily = df.where(F.col(at).isNotNull()).groupBy(F.col(at).cast("date").alias("metric_date")).agg(F.count("*").alias("n"))
+    days = daily.agg(F.min("metric_date").alias("a"), F.max("metric_date").alias("b")).where("a is not null").select(F.explode(F.sequence("a", "b")).alias("metric_date"))
+    every = days.join(daily, "metric_date", "left").select("metric_date", F.coalesce("n", F.lit(0)).cast("long").alias("row_count"))
+    w = Window.orderBy("metric_date").rowsBetween(-config.baseline_days, -1)
+    based = every.withColumns({"baseline_days": F.count("*").over(w), "baseline_mean": F.avg("row_count").over(w), "baseline_deviation": F.stddev_samp("row_count").over(w)})
+    far = F.abs(F.col("row_count") - F.col("baseline_mean")) > config.z_limit * F.col("baseline_deviation")
+    status = F.when(F.col("baseline_days") < config.baseline_days, "no_baseline").when(far, "anomaly").otherwise("ok")
+    return based.withColumn("status", status)
+
+
+def contract_rules(models: Callable[[str], DataFrame], config: Config) -> DataFrame:
+    """The contracts' rules on shares: rule, n_rows, n_bad, value, status."""
+    missing = " or ".join(f"{c} is null" for c in ("transaction_id", "merchant_id", "order_id", "amount", "status"))
+    of_fact = {"approved_without_evaluation": ("is_approved_without_risk_evaluation", "is_approved", config.fail_open_rate), "incomplete_attempts": (missing, "true", 0.0)}
+    psi = models("score_psi").agg(F.lit("score_drift").alias("rule"), F.count("psi").alias("n_rows"), F.count_if(F.col("psi") >= config.psi_contract).alias("n_bad"), F.max("psi").alias("value"))
+    psi = psi.withColumn("status", F.when(F.col("n_bad") > 0, "error").otherwise("pass"))
+    return share_rules(models("fct_chargebacks"), {"orphan_chargebacks": ("is_orphan", "true", config.orphan_share)}).unionByName(share_rules(models("payment_attempts"), of_fact)).unionByName(psi)
+
+
 @dataclass(frozen=True)
 class Test:
     name: str

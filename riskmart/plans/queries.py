@@ -233,6 +233,38 @@ def _freshness(w: Warehouse) -> DataFrame:
     return out
 
 
+@_register("feed_gap", sql=f"SELECT 'raw_chargebacks' AS source, newest, (SELECT count(*) FROM range(newest::date + 1, TIMESTAMP '{_CLOCK}' + INTERVAL 1 SECOND, INTERVAL 1 DAY) r(d) WHERE isodow(d) < 6) AS value, CASE WHEN (SELECT count(*) FROM range(newest::date + 1, TIMESTAMP '{_CLOCK}' + INTERVAL 1 SECOND, INTERVAL 1 DAY) r(d) WHERE isodow(d) < 6) <= 2 THEN 'pass' ELSE 'error' END AS status FROM (SELECT max(_ingested_at) AS newest FROM raw_chargebacks)")
+def _feed_gap(w: Warehouse) -> DataFrame:
+    found = quality.business_day_rule(w("raw_chargebacks"), _CLOCK, w.config.feed_gap_business_days)
+    return found.select(F.lit("raw_chargebacks").alias("source"), "newest", "value", "status")
+
+
+_SHARE = "SELECT '{0}' AS rule, count(*) AS n_rows, count(CASE WHEN {2} THEN 1 END) AS n_bad, count(CASE WHEN {2} THEN 1 END)::double / nullif(count(*), 0) AS value, CASE WHEN coalesce(count(CASE WHEN {2} THEN 1 END)::double / nullif(count(*), 0), 0) {3} THEN 'pass' ELSE 'error' END AS status FROM {1}"
+_INCOMPLETE = "transaction_id IS NULL OR merchant_id IS NULL OR order_id IS NULL OR amount IS NULL OR status IS NULL"
+
+
+@_register("contract_rules", "events", "value", sql=" UNION ALL ".join((
+    _SHARE.format("orphan_chargebacks", "fct_chargebacks", "is_orphan", "< 0.005"),
+    _SHARE.format("approved_without_evaluation", "payment_attempts WHERE is_approved", "is_approved_without_risk_evaluation", "< 0.01"),
+    _SHARE.format("incomplete_attempts", "payment_attempts", _INCOMPLETE, "= 0"),
+    "SELECT 'score_drift', count(psi), count(CASE WHEN psi >= 0.2 THEN 1 END), max(psi), CASE WHEN max(psi) >= 0.2 THEN 'error' ELSE 'pass' END FROM score_psi",
+)))
+def _contract_rules(w: Warehouse) -> DataFrame:
+    return quality.contract_rules(w, w.config)
+
+
+_register(
+    "volume_anomalies", doubles="baseline_mean baseline_deviation",
+    sql="""SELECT a.metric_date, a.row_count, count(b.metric_date) AS baseline_days, avg(b.row_count) AS baseline_mean, stddev_samp(b.row_count) AS baseline_deviation,
+    CASE WHEN count(b.metric_date) < 28 THEN 'no_baseline' WHEN abs(a.row_count - avg(b.row_count)) > 3 * stddev_samp(b.row_count) THEN 'anomaly' ELSE 'ok' END AS status
+    FROM every_day a LEFT JOIN every_day b ON b.metric_date < a.metric_date AND b.metric_date >= a.metric_date - 28 GROUP BY 1, 2""",
+    extra={
+        "of_day": "SELECT chargeback_at::date AS d, count(*) AS n FROM stg_chargebacks WHERE chargeback_at IS NOT NULL GROUP BY 1",
+        "every_day": "SELECT metric_date, coalesce(n, 0) AS row_count FROM (SELECT unnest(generate_series((SELECT min(d) FROM of_day), (SELECT max(d) FROM of_day), INTERVAL 1 DAY))::date AS metric_date) LEFT JOIN of_day ON d = metric_date",
+    },
+)(lambda w: quality.volume_anomalies(w("stg_chargebacks"), "chargeback_at", w.config))
+
+
 @_register("velocity_job", "events", sql="SELECT * FROM velocity WHERE transaction_at >= (SELECT max(transaction_at) FROM stg_transactions) - INTERVAL 24 HOUR".replace("FROM velocity", "FROM velocity"))
 def _velocity_job(w: Warehouse) -> DataFrame:
     from riskmart.operators.features import velocity_job

@@ -6,6 +6,7 @@ from datetime import date, datetime, timedelta
 from decimal import Decimal as D
 
 import pytest
+from pyspark.sql import functions as F
 
 from riskmart.config import Config
 from riskmart.functions.frames import latest_by
@@ -212,6 +213,35 @@ def test_suite_finds_the_two_warnings(seed):
     assert quality.card_data_columns({"t": seed("payment_attempts")}) == []
 
 
+def test_contract_rules(spark, seed):
+    rules = by(quality.contract_rules(seed, Config()), "rule")
+    assert rules["orphan_chargebacks"].status == "pass" and rules["orphan_chargebacks"].value == 0
+    assert (rules["approved_without_evaluation"].n_bad, rules["approved_without_evaluation"].n_rows, rules["approved_without_evaluation"].status) == (1, 4, "error")
+    assert (rules["incomplete_attempts"].n_bad, rules["incomplete_attempts"].status) == (5, "error")  # no enrichment: no merchant, no order
+    at_limit = by(quality.share_rules(spark.range(200), {"at": ("id = 7", "true", 0.005), "under": ("id = 7", "true", 0.0051), "none": ("true", "id > 200", 0.005), "zero": ("id is null", "true", 0.0)}), "rule")
+    assert {k: (r.value, r.status) for k, r in at_limit.items()} == {"at": (0.005, "error"), "under": (0.005, "pass"), "none": (None, "pass"), "zero": (0.0, "pass")}
+
+
+def test_business_days(spark):
+    days = [date(2026, 2, 20) + timedelta(days=i) for i in range(24)] + [date(1969, 12, 20), date(1970, 1, 4), None]
+    rows = [(a, b) for a in days for b in days if None in (a, b) or a <= b]
+    got = spark.createDataFrame(rows, "a date, b date").select("a", "b", quality.business_days(F.col("a"), F.col("b")).alias("n")).collect()
+    for r in got:
+        expected = None if None in (r.a, r.b) else sum((r.a + timedelta(days=i)).weekday() < 5 for i in range(1, (r.b - r.a).days + 1))
+        assert r.n == expected, r
+
+
+def test_volume_anomalies(spark):
+    """Ten or eleven rows a day for 40 days but for the 35th, which has none, and the 38th with 90."""
+    counts = [0 if d == 34 else 90 if d == 37 else 10 + d % 2 for d in range(40)]
+    rows = [(datetime(2026, 1, 1) + timedelta(days=d, hours=1),) for d, n in enumerate(counts) for _ in range(n)] + [(None,)]
+    found = quality.volume_anomalies(spark.createDataFrame(rows, "at timestamp_ntz"), "at", Config()).orderBy("metric_date").collect()
+    assert [r.row_count for r in found] == counts
+    assert [i for i, r in enumerate(found) if r.status == "anomaly"] == [34, 37]
+    assert [r.status for r in found[:28]] == ["no_baseline"] * 28
+    assert quality.volume_anomalies(spark.createDataFrame([], "at timestamp_ntz"), "at", Config()).count() == 0
+
+
 def test_metrics(seed):
     (r,) = semantic.query(seed, ["approval_rate", "card_chargeback_rate_amount", "risk_reject_rate"]).collect()
     assert (round(r.approval_rate, 4), round(r.card_chargeback_rate_amount, 4), r.risk_reject_rate) == (0.8, 0.1765, 0.2)
