@@ -35,12 +35,35 @@ SENTENCES = {
     "bsd-allowed": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
     "bsd-source": ["Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"],
     "bsd-binary": ["Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"],
-    "bsd-endorse": ["Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"],
+    "bsd-endorse": ["Neither the name of the University nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"],
     "mpl2-notice": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"],
     "cc-by-nc-4": ["Licensed under CC BY-NC 4.0", "This work is licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
     "cc-by-4": ["Licensed under CC BY 4.0", "This work is licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"],
     "cc-by-sa-4": ["Licensed under CC BY-SA 4.0", "This work is licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"],
-    "cc0": ["To the extent possible under law, the author has dedicated all copyright to the public domain worldwide", "Released under CC0 1.0"],
+    "gpl2-title": ["GNU General Public License Version 2, June 1991"],
+    "gpl3-title": ["GNU General Public License Version 3, 29 June 2007"],
+    "lgpl21-title": ["GNU Lesser General Public License Version 2.1, February 1999"],
+    "lgpl3-title": ["GNU Lesser General Public License Version 3, 29 June 2007"],
+    "agpl3-title": ["GNU Affero General Public License Version 3, 19 November 2007"],
+    "gnu-verbatim": ["Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed"],
+    "lgpl-free": ["This library is free software"],
+    "lgpl21-grant": ["you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version"],
+    "lgpl3-grant": ["you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
+    "lgpl-hope": ["This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY"],
+    "agpl3-grant": ["you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
+    "apache-title": ["Apache License Version 2.0, January 2004"],
+    "apache-terms": ["TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"],
+    "mpl2-title": ["Mozilla Public License Version 2.0"],
+    "isc-grant": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"],
+    "0bsd-grant": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
+    "as-is-isc": ["THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS"],
+    "unlicense-free": ["This is free and unencumbered software released into the public domain"],
+    "unlicense-grant": ["Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means"],
+    "zlib-as-is": ["This software is provided 'as-is', without any express or implied warranty"],
+    "zlib-grant": ["Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"],
+    "bsl1-notice": ["Distributed under the Boost Software License, Version 1.0"],
+    "epl2-notice": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at"],
+    "cc0": ["To the extent possible under law, the author has dedicated all copyright to the public domain worldwide", "Released under CC0 1.0", "CC0 1.0 Universal"],
 }
 #: Rule, licence, identifiers in order.
 RULES = [
@@ -58,6 +81,34 @@ RULES = [
     ("bsd-3-text", "BSD-3-Clause", ["bsd-allowed", "bsd-source", "bsd-binary", "bsd-endorse"]),
     ("bsd-2-text", "BSD-2-Clause", ["bsd-allowed", "bsd-source", "bsd-binary"]),
     ("mpl2-notice", "MPL-2.0", ["mpl2-notice"]),
+    ("mpl2-text", "MPL-2.0", ["mpl2-title", "mpl2-notice"]),
+    ("mpl2-title", "MPL-2.0", ["mpl2-title"]),
+    ("apache-full-text", "Apache-2.0", ["apache-title", "apache-terms", "apache-header", "apache-use", "apache-copy", "apache-as-is"]),
+    ("apache-text", "Apache-2.0", ["apache-title", "apache-terms"]),
+    ("gpl3-full-text", "GPL-3.0-only", ["gpl3-title", "gnu-verbatim", "gpl-free", "gpl3-grant", "gpl-hope"]),
+    ("gpl3-text", "GPL-3.0-only", ["gpl3-title", "gnu-verbatim"]),
+    ("gpl2-full-text", "GPL-2.0-only", ["gpl2-title", "gnu-verbatim", "gpl-free", "gpl2-grant", "gpl-hope"]),
+    ("gpl2-text", "GPL-2.0-only", ["gpl2-title", "gnu-verbatim"]),
+    ("lgpl21-full-text", "LGPL-2.1-only", ["lgpl21-title", "gnu-verbatim", "lgpl-free", "lgpl21-grant", "lgpl-hope"]),
+    ("lgpl21-text", "LGPL-2.1-only", ["lgpl21-title", "gnu-verbatim"]),
+    ("lgpl21-header", "LGPL-2.1-or-later", ["lgpl-free", "lgpl21-grant", "lgpl-hope"]),
+    ("lgpl21-grant", "LGPL-2.1-or-later", ["lgpl-free", "lgpl21-grant"]),
+    ("lgpl3-text", "LGPL-3.0-only", ["lgpl3-title", "gnu-verbatim"]),
+    ("lgpl3-header", "LGPL-3.0-or-later", ["lgpl-free", "lgpl3-grant", "lgpl-hope"]),
+    ("lgpl3-grant", "LGPL-3.0-or-later", ["lgpl-free", "lgpl3-grant"]),
+    ("lgpl3-program-grant", "LGPL-3.0-or-later", ["gpl-free", "lgpl3-grant"]),
+    ("agpl3-full-text", "AGPL-3.0-only", ["agpl3-title", "gnu-verbatim", "gpl-free", "agpl3-grant", "gpl-hope"]),
+    ("agpl3-text", "AGPL-3.0-only", ["agpl3-title", "gnu-verbatim"]),
+    ("agpl3-header", "AGPL-3.0-or-later", ["gpl-free", "agpl3-grant", "gpl-hope"]),
+    ("agpl3-grant", "AGPL-3.0-or-later", ["gpl-free", "agpl3-grant"]),
+    ("isc-text", "ISC", ["isc-grant", "as-is-isc"]),
+    ("isc-grant", "ISC", ["isc-grant"]),
+    ("0bsd-text", "0BSD", ["0bsd-grant", "as-is-isc"]),
+    ("unlicense-text", "Unlicense", ["unlicense-free", "unlicense-grant"]),
+    ("unlicense-notice", "Unlicense", ["unlicense-free"]),
+    ("zlib-text", "Zlib", ["zlib-as-is", "zlib-grant"]),
+    ("bsl1-notice", "BSL-1.0", ["bsl1-notice"]),
+    ("epl2-notice", "EPL-2.0", ["epl2-notice"]),
     ("cc-by-nc-4", "CC-BY-NC-4.0", ["cc-by-nc-4"]),
     ("cc-by-4", "CC-BY-4.0", ["cc-by-4"]),
     ("cc-by-sa-4", "CC-BY-SA-4.0", ["cc-by-sa-4"]),

@@ -107,29 +107,48 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 
 def _licenses_sql() -> str:
-    """Sentences as rows of their own, joined with the known ones, and put together again by document."""
+    """The same cuts in the other engine's patterns, which look neither ahead nor behind: each cut is doubled, so that sentences next to each other have one each on both sides. The matches are rows, known by a join."""
     from riskmart.llm.licenses import RULES, SENTENCES
 
     def text(x: str) -> str:
         return "'" + x.replace("'", "''") + "'"
 
-    def normalised(x: str) -> str:
-        return f"regexp_replace(regexp_replace(translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\p{{L}}\\p{{N}}.]+', ' ', 'g'), '^[ .]+|[ .]+$', '', 'g')"
+    def cut(x: str) -> str:
+        out = f"translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+        for pattern, by in (
+            (r"\r\n?", "\n"),
+            (r"\f", " "),
+            (r"\n[^\p{L}\p{N}\n]*\n[^\p{L}\p{N}]*", "\r"),
+            (r"\n[^\p{L}\p{N}\n]*", "\n"),
+            (r"[.;:](?:[ \t\x0B]+\n?|\n)", "\f"),
+            (r"[^\p{L}\p{N}.\n\r\f]+", " "),
+            (r"[ .]+([\n\r\f]|\z)", r"\1"),
+            (r"(\A|[\n\r\f])[ .]+", r"\1"),
+            (r"[\n\f]*\r[\n\r\f]*", "\r"),
+            (r"\n*\f[\n\f]*", "\f"),
+        ):
+            out = f"regexp_replace({out}, {text(pattern)}, {text(by)}, 'g')"
+        return out
+
+    def plain(x: str) -> str:
+        return f"trim(regexp_replace({x}, '[ \\n\\r\\f]+', ' ', 'g'))"
 
     known = ", ".join(f"({text(x)}, {text(k)})" for k, xs in SENTENCES.items() for x in xs)
     keys = {rule: "".join(f"|{x}|" for x in seq) for rule, _, seq in RULES}
     rules = ", ".join(f"({text(rule)}, {text(license_)}, {text(keys[rule])})" for rule, license_, _ in RULES)
     return f"""
-    WITH known AS (SELECT DISTINCT {normalised("t")} AS sentence, id FROM (VALUES {known}) v(t, id)),
+    WITH known AS (SELECT DISTINCT {plain(cut("t"))} AS sentence, id FROM (VALUES {known}) v(t, id)),
     rules(rule, license, key) AS (VALUES {rules}),
-    docs AS (SELECT doc_id, row_number() OVER () AS r, string_split_regex(regexp_replace(text, '([.;:])[ \\t\\x0B\\f]+', '\\1\n', 'g'), '[\\n\\r]+') AS parts FROM documents),
-    sentences AS (SELECT doc_id, r, generate_subscripts(parts, 1) AS n, unnest(parts) AS part FROM docs),
-    ids AS (SELECT r, doc_id, list(id ORDER BY n) AS ids FROM sentences JOIN known ON {normalised("part")} = sentence GROUP BY r, doc_id),
+    pattern AS (SELECT '[\n\r\f]((?:' || string_agg(replace(replace(sentence, '.', '[.]'), ' ', '(?: |\n\n|\f\f)'), ')|(?:' ORDER BY length(sentence) DESC, sentence) || '))[\n\r\f]' AS p FROM known),
+    docs AS (SELECT doc_id, row_number() OVER () AS r, regexp_replace(chr(13) || {cut("text")} || chr(13), '([\n\r\f])', '\\1\\1', 'g') AS t FROM documents),
+    found AS (SELECT doc_id, r, regexp_extract_all(t, (SELECT p FROM pattern), 1) AS parts FROM docs),
+    sentences AS (SELECT doc_id, r, generate_subscripts(parts, 1) AS n, unnest(parts) AS part FROM found),
+    ids AS (SELECT r, doc_id, list(id ORDER BY n) AS ids FROM sentences JOIN known ON {plain("part")} = sentence GROUP BY r, doc_id),
     hits AS (SELECT r, doc_id, ids, rule, license, key, (length(j) - length(replace(j, key, ''))) // length(key) AS n
              FROM (SELECT *, '|' || array_to_string(ids, '||') || '|' AS j FROM ids) CROSS JOIN rules),
     own AS (SELECT h.r, h.doc_id, h.ids, h.rule, h.license, h.n - coalesce(sum(l.n), 0) AS n FROM hits h
             LEFT JOIN hits l ON l.r = h.r AND l.key <> h.key AND contains(l.key, h.key)
-                AND NOT EXISTS (SELECT 1 FROM rules m WHERE m.key <> l.key AND contains(m.key, l.key))
+                AND NOT EXISTS (SELECT 1 FROM rules m WHERE m.key NOT IN (l.key, h.key) AND contains(m.key, h.key) AND contains(l.key, m.key))
             GROUP BY h.r, h.doc_id, h.ids, h.rule, h.license, h.key, h.n)
     SELECT doc_id, rule, license, CAST(n AS BIGINT) AS n_matches, array_to_string(ids, ',') AS sentence_ids FROM own WHERE n > 0"""
 

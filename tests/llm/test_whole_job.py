@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import pytest
 
@@ -139,6 +140,35 @@ def test_licenses_wrapped_over_lines(spark):
     assert [(r.doc_id, r.rule) for r in licenses.scan(cut).collect()] == [(2, "mit-notice")]
 
 
+def test_license_sql_reads_wrapped_texts_alike(spark):
+    """The oracle on wrapped, commented and cut texts and on one sentence of each rule; nulls, a very long text, repeated rows and other columns by the names of results."""
+    import duckdb
+
+    from riskmart.llm import queries
+
+    texts = [MIT, GPL2, APACHE, MIT.replace("\n", "\n# "), APACHE.replace("\n", "\r\n * "), GPL2.replace("\n", "\n\n"), None, "", ". ; :\n\n", "word " * 400_000 + "\n" + GPL2, MIT, GPL2 + "\n" + APACHE + "\n\n" + GPL2]
+    texts += [";\n".join(licenses.SENTENCES[x][-1].replace(" ", "\n// ") for x in seq) for _, _, seq in licenses.RULES]
+    rows = [(None if k == 10 else k, x, "mine", 7) for k, x in enumerate(texts)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, rule string, n_matches int")
+    got = Counter((r.doc_id, r.rule, r.license, r.n_matches, ",".join(r.sentence_ids)) for r in licenses.scan(documents).collect())
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [r[:2] for r in rows])
+    assert got == Counter(con.execute(queries.ORACLES["op6_licenses"]).fetchall())
+    assert {(None, "mit-text", "MIT", 1, "mit-notice,mit-grant,mit-condition,as-is-mit"), (9, "gpl2-header", "GPL-2.0-or-later", 1, "gpl-free,gpl2-grant,gpl-hope")} <= set(got)
+
+
+def test_full_license_texts_are_one_licence_each(spark):
+    """The texts as they are published, where the system has them."""
+    expected = {"Apache-2.0": "Apache-2.0", "BSD": "BSD-3-Clause", "GPL-2": "GPL-2.0-only", "GPL-3": "GPL-3.0-only", "LGPL-2.1": "LGPL-2.1-only", "LGPL-3": "LGPL-3.0-only", "MPL-2.0": "MPL-2.0"}
+    found = [(k, Path("/usr/share/common-licenses", k)) for k in expected]
+    rows = [(i, path.read_text()) for i, (_, path) in enumerate(found) if path.exists()]
+    if not rows:
+        pytest.skip("no licence texts on this system")
+    got = [(r.doc_id, r.license, r.n_matches) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got) == [(i, expected[found[i][0]], 1) for i, _ in rows]
+
+
 def test_each_license_rule_matches_its_own_sentences(spark):
     rows = [(k, ".\n\n".join(licenses.SENTENCES[x][0] for x in seq) + ".") for k, (_, _, seq) in enumerate(licenses.RULES)]
     rows.append((100, "// This Source Code Form is subject to the terms of the Mozilla Public\n// License, v. 2.0. If a copy of the MPL was not distributed with this\n// file, You can obtain one"))
