@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -141,9 +142,12 @@ class Encoder:
         coded = lists.values.slice(ends[0], ends[-1] - ends[0]).dictionary_encode()
         ends, index = ends - ends[0], np.asarray(coded.indices)
         words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        self._learn([w for w in words if w not in self.known])
-        start, length, open_ = self.parts[[self.known[w] for w in words]].T
-        first = np.fromiter((w[:1] == _START for w in words), bool, len(words))
+        place = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        new, n_known = np.flatnonzero(place < 0), len(self.known)
+        self._learn([words[k] for k in new.tolist()])
+        place[new] = np.arange(n_known, n_known + len(new))  # they are learned in order
+        start, length, open_ = self.parts[place].T
+        first = np.asarray(pc.starts_with(coded.dictionary, _START))
         lengths = length[index]
         odd = open_[index] > 0
         odd[ends[1:] - 1] = False  # nothing follows the last part
