@@ -85,6 +85,12 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(common.table(spark, sf_dir, "embeddings"))
 
 
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskmart.llm import resampling
+
+    return resampling.resample(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -102,7 +108,7 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: _shipped(f)
-    for f in (op1_packing, op2_langid, op3_quality, op4_token_files, op5_simhash, op6_licenses, op7_substring_dedup, op8_decontamination, op9_toxicity, op10_embeddings, pipeline)
+    for f in (op1_packing, op2_langid, op3_quality, op4_token_files, op5_simhash, op6_licenses, op7_substring_dedup, op8_decontamination, op9_toxicity, op10_embeddings, op12_resampling, pipeline)
 }
 
 
@@ -172,5 +178,21 @@ _EMBEDDINGS_SQL = """
     reach(a, b) AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
     SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, least(vec_id, coalesce(least_b, vec_id)) AS component_id, coalesce(vec_id = least(vec_id, coalesce(least_b, vec_id)), false) AS kept
     FROM v LEFT JOIN (SELECT r, count(*) AS n FROM links GROUP BY r) USING (r) LEFT JOIN (SELECT a, min(b) AS least_b FROM reach GROUP BY a) x ON x.a = v.vec_id"""
-
-ORACLES: dict[str, str] = {"op6_licenses": _licenses_sql(), "op7_substring_dedup": _SUBSTRINGS_SQL, "op10_embeddings": _EMBEDDINGS_SQL}
+#: The CRC of each distinct feature, byte by byte, as a string.
+_RESAMPLING_SQL = r"""
+    WITH crc_table AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, n)) AS t),
+docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+of_docs AS (SELECT r, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM docs),
+of_items AS (SELECT unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM items),
+bytes AS (SELECT g, list_transform(range(length(hex(g)) // 2), lambda i: ('0x' || substr(hex(g), 2 * i + 1, 2))::BIGINT) AS b FROM (SELECT g FROM of_docs UNION SELECT g FROM of_items)),
+bucket AS (SELECT g, xor(list_reduce(b, lambda c, x: xor(c // 256, t[xor(c % 256, x) + 1]), 4294967295), 4294967295) % 10000 AS b FROM bytes, crc_table),
+s AS (SELECT b, count(*) AS n FROM of_docs JOIN bucket USING (g) GROUP BY b),
+t AS (SELECT b, count(*) AS n FROM of_items JOIN bucket USING (g) GROUP BY b),
+gain AS (SELECT b, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT sum(n) FROM s) + 10000)::DOUBLE / ((s.n + 1)::DOUBLE * (coalesce((SELECT sum(n) FROM t), 0) + 10000)::DOUBLE)))::BIGINT AS gain FROM s LEFT JOIN t USING (b)),
+weight AS (SELECT r, count(*) AS n, floor(sum(gain) / count(*)::DOUBLE)::BIGINT AS w FROM of_docs JOIN bucket USING (g) JOIN gain USING (b) GROUP BY r),
+scored AS (SELECT doc_id, len(docs.w) AS n_words, coalesce(n, 0) AS n_features, coalesce(weight.w, 0) AS weight, coalesce(weight.w, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM docs LEFT JOIN weight USING (r)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS LAST) AS k, count(*) OVER (PARTITION BY n_words >= 20) AS n FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND k <= 25 * n // 100 THEN k END AS rank FROM placed"""
+
+ORACLES: dict[str, str] = {"op6_licenses": _licenses_sql(), "op7_substring_dedup": _SUBSTRINGS_SQL, "op10_embeddings": _EMBEDDINGS_SQL, "op12_resampling": _RESAMPLING_SQL}
