@@ -85,6 +85,12 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(common.table(spark, sf_dir, "embeddings"))
 
 
+def op11_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskmart.llm import topk
+
+    return topk.search(common.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from riskmart.llm import resampling
 
@@ -108,7 +114,7 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: _shipped(f)
-    for f in (op1_packing, op2_langid, op3_quality, op4_token_files, op5_simhash, op6_licenses, op7_substring_dedup, op8_decontamination, op9_toxicity, op10_embeddings, op12_resampling, pipeline)
+    for f in (op1_packing, op2_langid, op3_quality, op4_token_files, op5_simhash, op6_licenses, op7_substring_dedup, op8_decontamination, op9_toxicity, op10_embeddings, op11_topk, op12_resampling, pipeline)
 }
 
 
@@ -178,6 +184,12 @@ _EMBEDDINGS_SQL = """
     reach(a, b) AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
     SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, least(vec_id, coalesce(least_b, vec_id)) AS component_id, coalesce(vec_id = least(vec_id, coalesce(least_b, vec_id)), false) AS kept
     FROM v LEFT JOIN (SELECT r, count(*) AS n FROM links GROUP BY r) USING (r) LEFT JOIN (SELECT a, min(b) AS least_b FROM reach GROUP BY a) x ON x.a = v.vec_id"""
+#: All scores, ranked.
+_TOPK_SQL = """
+    WITH v AS (SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+    whole AS (SELECT r, vec_id, list_transform(e, lambda x: CAST(floor(64 * x) AS BIGINT)) AS x FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    scored AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.x AS DOUBLE[]), CAST(c.x AS DOUBLE[])) AS BIGINT) AS score FROM whole q JOIN whole c ON q.vec_id % 20 = 0 AND q.r <> c.r AND len(q.x) = len(c.x))
+    SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM scored) WHERE rank <= 20"""
 #: The CRC of each distinct feature, byte by byte, as a string.
 _RESAMPLING_SQL = r"""
     WITH crc_table AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, n)) AS t),
@@ -195,4 +207,4 @@ scored AS (SELECT doc_id, len(docs.w) AS n_words, coalesce(n, 0) AS n_features,
 placed AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS LAST) AS k, count(*) OVER (PARTITION BY n_words >= 20) AS n FROM scored)
 SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND k <= 25 * n // 100 THEN k END AS rank FROM placed"""
 
-ORACLES: dict[str, str] = {"op6_licenses": _licenses_sql(), "op7_substring_dedup": _SUBSTRINGS_SQL, "op10_embeddings": _EMBEDDINGS_SQL, "op12_resampling": _RESAMPLING_SQL}
+ORACLES: dict[str, str] = {"op6_licenses": _licenses_sql(), "op7_substring_dedup": _SUBSTRINGS_SQL, "op10_embeddings": _EMBEDDINGS_SQL, "op11_topk": _TOPK_SQL, "op12_resampling": _RESAMPLING_SQL}
