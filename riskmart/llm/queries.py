@@ -97,6 +97,19 @@ def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
 
 
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged conversations and their repair; those without a row after the damage have zeros."""
+    from riskmart.llm import conversations
+
+    rows = common.table(spark, sf_dir, "conversations")
+    found = conversations.digests(conversations.repair(conversations.damage(rows)))
+    every = rows.select(F.col("conv_id").cast("long").alias("conv_id")).distinct()
+    none = {c: F.coalesce(c, F.lit(0).cast("long")) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")}
+    none |= {"audit": F.coalesce("audit", F.lit("")), "repaired_sha256": F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256))}
+    joined = every.alias("e").join(found.withColumnRenamed("conv_id", "_id"), F.col("e.conv_id").eqNullSafe(F.col("_id")), "left")
+    return joined.select("conv_id", *[c.alias(k) for k, c in none.items()])
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -114,7 +127,7 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: _shipped(f)
-    for f in (op1_packing, op2_langid, op3_quality, op4_token_files, op5_simhash, op6_licenses, op7_substring_dedup, op8_decontamination, op9_toxicity, op10_embeddings, op11_topk, op12_resampling, pipeline)
+    for f in (op1_packing, op2_langid, op3_quality, op4_token_files, op5_simhash, op6_licenses, op7_substring_dedup, op8_decontamination, op9_toxicity, op10_embeddings, op11_topk, op12_resampling, op13_conversations, pipeline)
 }
 
 
