@@ -150,7 +150,7 @@ def test_odd_tables(spark, tmp_path):
 
 
 def test_query_has_every_conversation(spark, tmp_path):
-    rows = [(c, t, ("user", "assistant")[t % 2], f"{c} {t}.") for c in range(60) for t in range(1 + c % 3)] + [(None, 1, "user", "a.")]
+    rows = [(c, t, ("user", "assistant")[t % 2], f"{c} {t}.") for c in range(150) for t in range(1 + c % 3)] + [(None, 1, "user", "a.")]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
     got = sorted((tuple(r) for r in queries.op13_conversations(spark, str(tmp_path)).collect()), key=repr)
     assert got == brute(rows)
