@@ -220,4 +220,31 @@ scored AS (SELECT doc_id, len(docs.w) AS n_words, coalesce(n, 0) AS n_features,
 placed AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS LAST) AS k, count(*) OVER (PARTITION BY n_words >= 20) AS n FROM scored)
 SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND k <= 25 * n // 100 THEN k END AS rank FROM placed"""
 
-ORACLES: dict[str, str] = {"op6_licenses": _licenses_sql(), "op7_substring_dedup": _SUBSTRINGS_SQL, "op10_embeddings": _EMBEDDINGS_SQL, "op11_topk": _TOPK_SQL, "op12_resampling": _RESAMPLING_SQL}
+def _conversations_sql() -> str:
+    """The least way to each state, row by row; ways are strings, least by cost and then by edits."""
+
+    def plus(way: str, n: int | str, letter: str, line: str = "NULL") -> str:
+        """A way with another edit; a way is its cost in nine digits, its edits, chr(1) and its rows. Of two ways to one state the lesser text is the better."""
+        kept = f"{way}[instr({way}, chr(1)):]" + (f" || CASE WHEN {way}[-1:] = chr(1) THEN '' ELSE chr(10) END || {line}" if line != "NULL" else "")
+        return f"printf('%09d', CAST({way}[1:9] AS BIGINT) + {n}) || {way}[10:instr({way}, chr(1)) - 1] || '{letter}' || {kept}"
+    inserted = f"""SELECT g, k, e, s, u, least(a, {plus('u', 2, 'I', "'assistant:'")}) AS a FROM (SELECT g, k, e, s, a, least(u, {', '.join(plus(w, 2, 'I', "'user:'") for w in 'esa')}) AS u FROM {{0}}) z"""
+    keep, rerole = lambda w: plus(w, "late", "K", "role || ':' || text"), lambda w, to: plus(w, "2 + late", "R", f"'{to}:' || text")
+    return f"""
+    WITH RECURSIVE crc_table AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, n)) AS t),
+    told AS (SELECT dense_rank() OVER (ORDER BY conv_id) AS g, row_number() OVER () AS r, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, hex(encode(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))) AS h FROM conversations),
+    marked AS (SELECT *, xor(list_reduce(list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT), lambda c, x: xor(c // 256, t[xor(c % 256, x) + 1]), 4294967295), 4294967295) % 20 AS kind FROM told, crc_table),
+    damaged AS (SELECT g, r, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM marked),
+    turns AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY turn NULLS FIRST, r, copy) AS k, regexp_extract(text, '([^\\x20\\x09-\\x0D])[\\x20\\x09-\\x0D]*\\z', 1) AS mark FROM damaged),
+    seen AS (SELECT *, CASE WHEN mark = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY g, role, text ORDER BY k) > 1 THEN 'duplicate' WHEN mark NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'none' END AS fault, lag(role[1:1]) OVER (PARTITION BY g ORDER BY k) || role[1:1] AS pair FROM turns),
+    way AS (SELECT DISTINCT g, CAST(0 AS BIGINT) AS k, repeat('0', 9) || chr(1) AS e, CAST(NULL AS VARCHAR) AS s, CAST(NULL AS VARCHAR) AS u, CAST(NULL AS VARCHAR) AS a FROM told
+        UNION ALL SELECT g, k, {plus('e', 3, 'D')}, least({plus('s', 3, 'D')}, CASE WHEN stays AND c = 's' THEN {keep('e')} END),
+            least({plus('u', 3, 'D')}, {', '.join(f"CASE WHEN stays AND c = 'u' THEN {keep(w)} END, CASE WHEN stays THEN {rerole(w, 'user')} END" for w in 'esa')}),
+            least({plus('a', 3, 'D')}, CASE WHEN stays AND c = 'a' THEN {keep('u')} END, CASE WHEN stays THEN {rerole('u', 'assistant')} END)
+        FROM (SELECT w.g, n.k, w.e, w.s, w.u, w.a, n.role, n.text, n.role[1:1] AS c, n.fault NOT IN ('blank', 'duplicate') AS stays, CAST(n.fault = 'truncated' AS INTEGER) AS late FROM ({inserted.format('way')}) w JOIN seen n ON n.g = w.g AND n.k = w.k + 1) x),
+    ended AS (SELECT g, least(e, a) AS best FROM ({inserted.format('(SELECT * FROM way QUALIFY k = max(k) OVER (PARTITION BY g)) y')}) v),
+    counted AS (SELECT g, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(CASE WHEN fault = 'blank' THEN 1 END) AS blank, count(CASE WHEN fault = 'duplicate' THEN 1 END) AS duplicate, count(CASE WHEN fault = 'truncated' THEN 1 END) AS truncated, count(CASE WHEN pair NOT IN ('su', 'ua', 'au') THEN 1 END) AS illegal FROM seen GROUP BY g)
+    SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(best[1:9] AS BIGINT) AS cost, best[10:instr(best, chr(1)) - 1] AS audit, sha256(best[instr(best, chr(1)) + 1:]) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id, dense_rank() OVER (ORDER BY conv_id) AS g FROM conversations) JOIN ended USING (g) LEFT JOIN counted USING (g)"""
+
+
+ORACLES: dict[str, str] = {"op6_licenses": _licenses_sql(), "op7_substring_dedup": _SUBSTRINGS_SQL, "op10_embeddings": _EMBEDDINGS_SQL, "op11_topk": _TOPK_SQL, "op12_resampling": _RESAMPLING_SQL, "op13_conversations": _conversations_sql()}
