@@ -83,49 +83,96 @@ def rule_performance(attempts: DataFrame, config: Config) -> DataFrame:
     )
 
 
-def rule_backtest(hits: DataFrame, evaluations: DataFrame, attempts: DataFrame) -> DataFrame:
-    """What each version of a rule caught or would have caught, in each mode."""
-    paid = attempts.select("transaction_id", "amount", "is_approved", "is_fraud_labeled")
+def rule_hits_on_attempts(hits: DataFrame, evaluations: DataFrame, attempts: DataFrame) -> DataFrame:
+    """Each hit of a rule with the attempt it was on, and how many hits that attempt had."""
+    paid = attempts.select("transaction_id", "cohort_date", "amount", "is_approved", "is_fraud_labeled")
     of = evaluations.select("evaluation_id", "transaction_id")
     hit = hits.select("evaluation_id", "rule_id", "rule_version", "is_shadow", "rule_decision").join(of, "evaluation_id").join(paid, "transaction_id")
-    hit = hit.withColumn("on_transaction", F.count("*").over(Window.partitionBy("transaction_id")))
+    return hit.withColumn("on_transaction", F.count("*").over(Window.partitionBy("transaction_id")))
+
+
+_RULE = ["rule_id", "rule_version", "rule_mode"]
+
+
+def rule_sums(hit: DataFrame, *by: str) -> DataFrame:
+    """Additive counts of each version of a rule in each mode, by more columns if there are any."""
     fraud, blocks = F.col("is_fraud_labeled"), F.col("rule_decision") == "reject"
-    summed = hit.groupBy("rule_id", "rule_version", F.when(F.col("is_shadow"), "shadow").otherwise("enforced").alias("rule_mode")).agg(
+    return hit.groupBy(*by, "rule_id", "rule_version", F.when(F.col("is_shadow"), "shadow").otherwise("enforced").alias("rule_mode")).agg(
         F.count("*").alias("hit_count"),
         F.count_if(blocks).alias("would_reject_count"),
         F.count_if(fraud).alias("hits_on_fraud"),
         F.count_if(blocks & F.col("is_approved") & ~fraud).alias("good_approved_would_block_count"),
         total0("amount", blocks & fraud).alias("fraud_amount_would_block"),
-        F.count_if(F.col("on_transaction") > 1).alias("_shared"),
+        F.count_if(F.col("on_transaction") > 1).alias("shared_hit_count"),
     )
-    every = attempts.agg(F.count_if("is_fraud_labeled").alias("_fraud"))  # one row
+
+
+def rule_shares(summed: DataFrame, every: DataFrame) -> DataFrame:
+    """Rates of a rule's sums; every has one row with the number of attempts labelled as fraud."""
     return summed.crossJoin(F.broadcast(every)).select(
-        "rule_id", "rule_version", "rule_mode", "hit_count", "would_reject_count", "hits_on_fraud",
-        ratio("hits_on_fraud", "hit_count").alias("precision_on_labeled"), ratio("hits_on_fraud", "_fraud").alias("fraud_coverage"),
-        "good_approved_would_block_count", "fraud_amount_would_block", ratio("_shared", "hit_count").alias("overlap_share"),
+        *_RULE, "hit_count", "would_reject_count", "hits_on_fraud",
+        ratio("hits_on_fraud", "hit_count").alias("precision_on_labeled"), ratio("hits_on_fraud", "fraud_count").alias("fraud_coverage"),
+        "good_approved_would_block_count", "fraud_amount_would_block", ratio("shared_hit_count", "hit_count").alias("overlap_share"),
     )
 
 
+def rule_shares_of_days(daily: DataFrame, fraud_daily: DataFrame) -> DataFrame:
+    """The same from sums kept by day."""
+    sums = [F.sum(c).cast("bigint" if c.endswith("count") or c == "hits_on_fraud" else TOTAL).alias(c) for c in daily.columns if c not in (*_RULE, "cohort_date")]
+    return rule_shares(daily.groupBy(*_RULE).agg(*sums), fraud_daily.agg(F.coalesce(F.sum("fraud_count"), F.lit(0)).alias("fraud_count")))
+
+
+def rule_backtest(hits: DataFrame, evaluations: DataFrame, attempts: DataFrame) -> DataFrame:
+    """What each version of a rule caught or would have caught, in each mode."""
+    return rule_shares(rule_sums(rule_hits_on_attempts(hits, evaluations, attempts)), attempts.agg(F.count_if("is_fraud_labeled").alias("fraud_count")))  # one row
+
+
 _SPINE = ["merchant_id", "card_network", "month_start"]
 
 
+_NETWORK_COUNTS = ["settled_count", "settled_amount", "fraud_report_count", "dispute_count", "fraud_dispute_count", "fraud_dispute_amount"]
+
+
+def _network_part(df: DataFrame, at: str, *by: str, **given: Column) -> DataFrame:
+    columns = {c: F.lit(None if "amount" in c else 0) for c in _NETWORK_COUNTS} | given
+    return df.select(*by, "merchant_id", "card_network", month(at).alias("month_start"), *[c.cast(TOTAL if "amount" in k else "bigint").alias(k) for k, c in columns.items()])
+
+
+def settled(attempts: DataFrame, *by: str) -> DataFrame:
+    """Settled card payments as rows of the programmes' counts."""
+    return _network_part(attempts.where("is_chargeback_eligible and merchant_id is not null and is_settled"), "settled_at", *by, settled_count=F.lit(1), settled_amount=F.col("amount"))
+
+
+def reported_frauds(attempts: DataFrame, reports: DataFrame) -> DataFrame:
+    """Issuers' fraud reports with the merchant of the card payment."""
+    card = attempts.where("is_chargeback_eligible and merchant_id is not null")
+    return reports.select("report_id", "transaction_id", "card_network", "reported_at").join(card.select("transaction_id", "merchant_id"), "transaction_id")
+
+
+def reported(frauds: DataFrame) -> DataFrame:
+    return _network_part(frauds, "reported_at", fraud_report_count=F.lit(1))
+
+
+def disputed(chargebacks: DataFrame) -> DataFrame:
+    fraud = F.col("is_fraud_reason")
+    return _network_part(chargebacks.where("merchant_id is not null"), "chargeback_at", dispute_count=F.lit(1), fraud_dispute_count=fraud.cast("int"), fraud_dispute_amount=F.when(fraud, F.col("cb_amount")))
+
+
+def network_sums(parts: DataFrame, *by: str) -> DataFrame:
+    """Counts of merchant, network and month."""
+    return parts.groupBy(*by, *_SPINE).agg(*[zero(F.sum(c), TOTAL if "amount" in c else "bigint").alias(c) for c in _NETWORK_COUNTS])
+
+
 def network_monitoring(attempts: DataFrame, reports: DataFrame, chargebacks: DataFrame, config: Config) -> DataFrame:
     """Merchant, network and calendar month of settlement, report and notification: the card schemes' programmes. Every count is a column of one union that is aggregated once; the month before is the settled count of a month, moved on by one."""
-    card = attempts.where("is_chargeback_eligible and merchant_id is not null")
-    reported = reports.select("transaction_id", "card_network", "reported_at").join(card.select("transaction_id", "merchant_id"), "transaction_id")
-    disputed, fraud = chargebacks.where("merchant_id is not null"), F.col("is_fraud_reason")
+    return network_status(network_sums(settled(attempts).unionByName(reported(reported_frauds(attempts, reports))).unionByName(disputed(chargebacks))), config)
 
-    def part(df: DataFrame, at: str, **given: Column) -> DataFrame:
-        columns = {"settled_count": F.lit(0), "settled_amount": F.lit(None), "fraud_report_count": F.lit(0), "dispute_count": F.lit(0), "fraud_dispute_count": F.lit(0), "fraud_dispute_amount": F.lit(None)} | given
-        return df.select("merchant_id", "card_network", month(at).alias("month_start"), *[c.cast(TOTAL if "amount" in k else "bigint").alias(k) for k, c in columns.items()])
 
-    parts = part(card.where("is_settled"), "settled_at", settled_count=F.lit(1), settled_amount=F.col("amount"))
-    parts = parts.unionByName(part(reported, "reported_at", fraud_report_count=F.lit(1)))
-    parts = parts.unionByName(part(disputed, "chargeback_at", dispute_count=F.lit(1), fraud_dispute_count=fraud.cast("int"), fraud_dispute_amount=F.when(fraud, F.col("cb_amount"))))
-    summed = parts.groupBy(*_SPINE).agg(*[zero(F.sum(c), TOTAL if "amount" in c else "bigint").alias(c) for c in parts.columns if c not in _SPINE])
+def network_status(summed: DataFrame, config: Config) -> DataFrame:
+    """Ratios and states of the programmes from network_sums()."""
     # Rows without network or month are in the union, but meet no equality: their numbers are zero.
     full = F.col("card_network").isNotNull() & F.col("month_start").isNotNull()
-    summed = summed.select(*_SPINE, *[F.when(full, F.col(c)).otherwise(F.lit(0)).cast(TOTAL if "amount" in c else "bigint").alias(c) for c in summed.columns if c not in _SPINE])
+    summed = summed.select(*_SPINE, *[F.when(full, F.col(c)).otherwise(F.lit(0)).cast(TOTAL if "amount" in c else "bigint").alias(c) for c in _NETWORK_COUNTS])
     before = summed.where("settled_count > 0").select("merchant_id", "card_network", F.add_months("month_start", 1).alias("month_start"), F.col("settled_count").alias("previous_month_settled_count"))
     monthly = summed.join(before, _SPINE, "left").withColumn("previous_month_settled_count", zero("previous_month_settled_count", "bigint"))
     today, next_month = as_of(config.as_of), F.add_months("month_start", 1)
@@ -149,19 +196,36 @@ def network_monitoring(attempts: DataFrame, reports: DataFrame, chargebacks: Dat
     })
 
 
-def merchant_loss(chargebacks: DataFrame, claims: DataFrame, enrichment: DataFrame, merchants: DataFrame) -> DataFrame:
-    """Merchant and month of notification: chargebacks and instant-payment claims in one union."""
-    names = {"gross_chargeback_amount": "cb_amount", "gross_fraud_chargeback_amount": "_fraud", "net_chargeback_loss_amount": "net_loss_amount", "recovered_from_merchant_amount": "recovered_from_merchant_amount", "platform_unrecovered_amount": "platform_unrecovered_amount", "pix_med_claim_amount": "_claim", "_returned": "_returned"}
+_LOSSES = {"gross_chargeback_amount": "cb_amount", "gross_fraud_chargeback_amount": "_fraud", "net_chargeback_loss_amount": "net_loss_amount", "recovered_from_merchant_amount": "recovered_from_merchant_amount", "platform_unrecovered_amount": "platform_unrecovered_amount", "pix_med_claim_amount": "_claim", "pix_med_returned_amount": "_returned"}
+
+
+def claims_of_merchants(claims: DataFrame, enrichment: DataFrame) -> DataFrame:
+    """Instant-payment claims with the merchant of the payment."""
+    return claims.select("claim_id", "transaction_id", "claimed_at", "claim_amount", "returned_amount").join(enrichment.select("transaction_id", "merchant_id"), "transaction_id")
+
+
+def loss_sums(chargebacks: DataFrame, merchant_claims: DataFrame) -> DataFrame:
+    """Losses of merchant and month of notification: chargebacks and claims in one union."""
     none = F.lit(None).cast(TOTAL)
     cb = chargebacks.where("merchant_id is not null").withColumns({"_fraud": F.when(F.col("is_fraud_reason"), F.col("cb_amount")), "_claim": none, "_returned": none})
-    cb = cb.select("merchant_id", month("chargeback_at").alias("month_start"), F.lit(1).alias("_n"), *[F.col(c).cast(TOTAL).alias(k) for k, c in names.items()])
-    med = claims.join(enrichment.select("transaction_id", "merchant_id"), "transaction_id").select("merchant_id", month("claimed_at").alias("month_start"), F.lit(0).alias("_n"), *[(F.col({"pix_med_claim_amount": "claim_amount", "_returned": "returned_amount"}[k]) if k in ("pix_med_claim_amount", "_returned") else F.lit(None)).cast(TOTAL).alias(k) for k in names])
-    summed = cb.unionByName(med).groupBy("merchant_id", "month_start").agg(F.sum("_n").alias("chargeback_count"), *[zero(F.sum(k)).alias(k) for k in names])
+    cb = cb.select("merchant_id", month("chargeback_at").alias("month_start"), F.lit(1).alias("_n"), *[F.col(c).cast(TOTAL).alias(k) for k, c in _LOSSES.items()])
+    of = {"pix_med_claim_amount": F.col("claim_amount"), "pix_med_returned_amount": F.col("returned_amount")}
+    med = merchant_claims.select("merchant_id", month("claimed_at").alias("month_start"), F.lit(0).alias("_n"), *[of.get(k, F.lit(None)).cast(TOTAL).alias(k) for k in _LOSSES])
+    return cb.unionByName(med).groupBy("merchant_id", "month_start").agg(F.sum("_n").alias("chargeback_count"), *[zero(F.sum(k)).alias(k) for k in _LOSSES])
+
+
+def losses_with_merchants(summed: DataFrame, merchants: DataFrame) -> DataFrame:
+    """loss_sums() with what is known of the merchant."""
     # Keys that are null stand in the union but meet nothing.
     known = F.col("merchant_id").isNotNull() & F.col("month_start").isNotNull()
-    summed = summed.withColumns({k: F.when(known, F.col(k)).otherwise(F.lit(0)).cast("bigint" if k == "chargeback_count" else TOTAL) for k in ["chargeback_count", *names]})
+    summed = summed.withColumns({k: F.when(known, F.col(k)).otherwise(F.lit(0)).cast("bigint" if k == "chargeback_count" else TOTAL) for k in ["chargeback_count", *_LOSSES]})
     joined = summed.join(merchants.drop("_ingested_at"), "merchant_id", "left")
     return joined.select(
         "merchant_id", "segment", "mcc", days_between("merchant_created_at", "month_start").alias("merchant_age_days"), "month_start", "chargeback_count",
-        *[k for k in names if k != "_returned"], (F.col("pix_med_claim_amount") - F.col("_returned")).cast(TOTAL).alias("pix_med_net_loss_amount"),
+        *[k for k in _LOSSES if k != "pix_med_returned_amount"], (F.col("pix_med_claim_amount") - F.col("pix_med_returned_amount")).cast(TOTAL).alias("pix_med_net_loss_amount"),
     )
+
+
+def merchant_loss(chargebacks: DataFrame, claims: DataFrame, enrichment: DataFrame, merchants: DataFrame) -> DataFrame:
+    """Merchant and month of notification: chargebacks and instant-payment claims."""
+    return losses_with_merchants(loss_sums(chargebacks, claims_of_merchants(claims, enrichment)), merchants)
