@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from riskmart import schemas
 from riskmart.config import Config
-from riskmart.operators import aggregates, dimensions, facts, features, incremental, intermediate, monitoring, reports, staging
+from riskmart.operators import aggregates, dimensions, facts, features, intermediate, monitoring, reports, staging
 from riskmart.sources import files, lookups
 from riskmart.sources.files import write_table
 
@@ -142,33 +142,7 @@ class Warehouse:
         return done
 
     def refresh(self, path: str) -> list:
-        """Bring the stored fact and the cohorts below path (made by build) up to the feeds: only re-opened attempts are made anew, and only partitions of the cohorts they are or were
-        in are written. What is new comes from the watermarks in the fact. Returns the cohorts; a run without news writes nothing.
-
-        The partitions of both tables are written once more from rows that were written beside them first, so a run that breaks off is repeated as it was.
-        """
-        fact, cohorts_at, beside = f"{path}/marts/fct_payment_attempts", f"{path}/marts/cohort_daily", f"{path}/_refresh"
-
-        def written(df: DataFrame, name: str) -> DataFrame:
-            write_table(df, f"{beside}/{name}")
-            return self.spark.read.schema(df.schema).parquet(f"{beside}/{name}")
-
-        old = self.spark.read.schema(self("fct_payment_attempts").schema).parquet(fact)
-        marks = old.agg(*[F.max(m).alias(m) for m in WATERMARK_SOURCES]).first().asDict()
-        sources = {mark: self(m) for mark, m in WATERMARK_SOURCES.items()}
-        keys = written(incremental.affected_keys(self("stg_transactions"), sources, marks, self.config), "keys")
-        cut = {m: incremental.only(self(m), keys) for m in ("stg_transactions", "stg_evaluations", "stg_chargebacks", "stg_enrichment", "fraud_labels", "stg_refunds")}
-        some = Warehouse(self.spark, self.raw, self.config, cut | {"duplicate_suspects": self("duplicate_suspects")})
-        # The watermarks are those of the whole sources, not of the part that is made anew.
-        new = written(facts.with_watermarks(some("payment_attempts"), facts.watermarks(sources)), "attempts")
-        cohorts = written(incremental.affected_cohorts(old, new), "cohorts")
-        days = [r.cohort_date for r in cohorts.collect()]  # days at most
-        again = written(incremental.merge_by_key(old.join(F.broadcast(cohorts), "cohort_date", "left_semi"), new, "transaction_id").select(*old.columns), "again")
-        left = {r.cohort_date for r in again.select("cohort_date").distinct().collect()}
-        incremental.write_cohorts(again, fact)
-        incremental.write_cohorts(aggregates.cohort_daily(again), cohorts_at)
-        for day in [d for d in days if d not in left]:  # cohorts that all rows have left
-            for table in (fact, cohorts_at):
-                files.delete(self.spark, f"{table}/cohort_date={day if day is not None else '__HIVE_DEFAULT_PARTITION__'}")
-        files.delete(self.spark, beside)
-        return days
+        """Bring the tables below path up to the feeds, replacing the partitions that changed rows are or were in alone; see stored.Stored. Returns the days of sales."""
+        from riskmart.plans.stored import Stored
+
+        return Stored(self, path).refresh()

@@ -56,9 +56,35 @@ def write_table(df: DataFrame, path: str, partition_by: str | None = None, mode:
     w.parquet(path)
 
 
-def delete(spark: SparkSession, path: str) -> None:
+def _path(spark: SparkSession, path: str):
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, p = _path(spark, path)
+    fs.delete(p, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _path(spark, path)
+    return fs.exists(p)
+
+
+def touch(spark: SparkSession, path: str) -> None:
+    """An empty file: a mark that is there or not."""
+    fs, p = _path(spark, path)
+    fs.create(p, True).close()
+
+
+def write_by_day(df: DataFrame, path: str, name: str) -> None:
+    """Add rows of a raw feed to path/<name>, by the day on which they came."""
+    write_table(df.withColumn("_day", F.col("_ingested_at").cast("date")), f"{path}/{name}", "_day", mode="append")
+
+
+def by_day(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The raw feeds of write_by_day(), with their day; those without rows are empty."""
+    return {name: spark.read.schema(f"{ddl}, _day date").parquet(f"{path}/{name}") if exists(spark, f"{path}/{name}") else empty(spark, name).withColumn("_day", F.lit(None).cast("date")) for name, ddl in schemas.RAW.items()}
 
 
 def new_path(spark: SparkSession, what: str) -> str:
