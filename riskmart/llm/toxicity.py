@@ -3,15 +3,15 @@
 Categories are predicted in order; each later model also sees the probabilities of the earlier ones. In training those are
 out-of-fold predictions (FOLDS folds by hash of the id), so later models learn from probabilities as they will be for new texts. Features are
 the words of a text (A-Z lower-cased) and their beginnings of PREFIXES bytes, present or not, hashed into BUCKETS; for each
-category the SELECTED buckets that differ most between its two classes (by MIN_Z deviations at least) are kept. A model is fitted on at most about SAMPLE labelled rows, chosen by hash of
-the id; every text is scored whole.
+category the SELECTED buckets that differ most between its two classes (by MIN_Z deviations at least) are kept. A model is fitted on at most SAMPLE labelled rows, chosen by hash of
+id and place; every text is scored whole.
 
 Categories are columns of labels. Where there is one column alone, kinds of it are learned to be predicted before it: the texts with label 1 are clustered by their features (k-means of
 unit vectors, started from the farthest texts), and each cluster is a category. For out-of-fold predictions the clusters are learned without the fold, and matched with those of all
 rows by their centres.
 
 A null label of a category is left out of its training. Null and empty texts have no features, and get the models' base probabilities. Without
-both classes of a category its probability is their share (0 without labels). Repeated rows, with one label or with different ones, are learned from and scored each on their own; ties between
+both classes of a category its probability is their share (0 without labels). Repeated documents, with one label or with different ones, are learned from and scored each on their own; repeated rows of labels count once; ties between
 buckets go to the lower number. An empty table gives no rows. Columns besides the named ones can have any name.
 """
 
@@ -142,8 +142,8 @@ class Chain:
 
 
 def with_labels(df: DataFrame, labels: DataFrame, columns: tuple[str, ...] = ("toxic",), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text and the labels of labelled documents; a document with several rows of labels counts once for each."""
-    rows = labels.select(labels[id_col].cast("long").alias("doc_id"), *[labels[c].cast("int").alias(c) for c in columns])
+    """doc_id, text and the labels of labelled documents; a document with several different labels counts once for each, so an id with many rows of labels makes no more than that."""
+    rows = labels.select(labels[id_col].cast("long").alias("doc_id"), *[labels[c].cast("int").alias(c) for c in columns]).distinct()
     return common.as_text(df, id_col, text_col).join(rows, "doc_id")
 
 
@@ -182,17 +182,31 @@ def matched(centre: np.ndarray, to: np.ndarray) -> np.ndarray:
     return out
 
 
-def sample_labels(labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """About `sample` labelled rows, or all if there are no more: a bounded table."""
-    n = labels.count()
-    return labels.where(F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 30)) < int(min(1.0, sample / max(n, 1)) * (1 << 30)))
+def bounded(df: DataFrame, most: int, *by: str) -> DataFrame:
+    """df, or if it has more than `most` rows, at most so many of them: those of least hash of the columns and of their place, so rows with one id are told apart."""
+    n = df.count()
+    if n <= most:
+        return df
+    name = common.free_name(df.columns, "_hash")
+    hashed = df.withColumn(name, F.pmod(F.xxhash64(*by, F.monotonically_increasing_id()), F.lit(1 << 30)))
+    # The threshold keeps a fifth more than wanted, so no task and not the driver sorts many more rows.
+    return hashed.where(F.col(name) < int(min(1.0, 1.2 * most / n) * (1 << 30))).orderBy(name).limit(most).drop(name)
 
 
-def fit(labelled: DataFrame, categories: tuple[str, ...] = ("toxic",), selected: int = SELECTED, kinds: int = KINDS) -> Chain:
-    """labelled: doc_id, text and a 0/1 column for each category, of a bounded number of rows. With one category, `kinds` of it come before it."""
+def sample_labels(labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id") -> DataFrame:
+    """At most `sample` labelled rows, all if there are no more."""
+    return bounded(labels, sample, id_col)
+
+
+def fit(labelled: DataFrame, categories: tuple[str, ...] = ("toxic",), selected: int = SELECTED, kinds: int = KINDS, sample: int = SAMPLE) -> Chain:
+    """labelled: doc_id, text and a 0/1 column for each category; at most `sample` of its rows are used (many documents can have one labelled id). With one category, `kinds` of it come before it."""
     k = len(categories)
     common.ship(labelled.sparkSession)
     labelled = common.materialise(labelled.select("doc_id", "text", *[F.col(c).cast("int").alias(c) for c in categories]), "labelled")
+    whole, labelled = labelled, bounded(labelled, sample, "doc_id")
+    if labelled is not whole:  # chosen once, for all that follows
+        labelled = common.materialise(labelled, "labelled")
+        common.discard(whole)
 
     def label_matrix(batch: pa.RecordBatch) -> np.ndarray:
         return np.stack([np.asarray(batch.column(2 + j).fill_null(-1)) for j in range(k)], 1)
