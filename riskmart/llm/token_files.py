@@ -34,6 +34,8 @@ BLOCK_BYTES, BLOCKS, PART_BYTES = 2_000_000, 16, 16_000_000
 PARTS_AT_ONCE = 1024
 #: The dictionary is trained on this many documents (those of least hash of doc_id) and is at most so large.
 SAMPLE_DOCS, DICTIONARY_BYTES = 512, 64_000
+#: Characters of a document that the training takes at most (encoding takes whole texts): what comes to the driver is bounded whatever the texts.
+SAMPLE_CHARS = 100_000
 LEVEL = 1
 
 
@@ -42,7 +44,7 @@ def _serialised(ids: np.ndarray, bytes_per_id: int) -> bytes:
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str | None = None, sample: int = SAMPLE_DOCS, size: int = DICTIONARY_BYTES) -> bytes:
-    """A zstandard dictionary from the id arrays of at most `sample` documents; empty if they are too few to train on."""
+    """A zstandard dictionary from the id arrays of the beginnings of at most `sample` documents; empty if they are too few to train on."""
     import zstandard
 
     def encode(batches):
@@ -54,7 +56,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str | None = None, sample: int
     # Hashes of ids alone are sorted; texts of the chosen documents only leave the scan. Of equal ids the texts' hashes decide, so the sample is repeatable.
     hashed = docs.select("text", F.xxhash64("doc_id").alias("h"))
     last = hashed.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
-    chosen = hashed.where(F.col("h") <= F.lit(last if last is not None else 0)).orderBy("h", F.xxhash64("text")).limit(sample).select("text")
+    chosen = hashed.where(F.col("h") <= F.lit(last if last is not None else 0)).orderBy("h", F.xxhash64("text")).limit(sample).select(F.substring("text", 1, SAMPLE_CHARS).alias("text"))
     samples = [bytes(r.ids) for r in chosen.mapInArrow(encode, "ids binary").collect()]  # at most `sample` rows
     try:
         return zstandard.train_dictionary(size, samples).as_bytes()

@@ -39,9 +39,10 @@ def default_path() -> str:
 
 
 def encoder(path: str | None = None, remembered: int = REMEMBERED) -> "Encoder":
-    """One for each tokenizer file and worker; workers outlive tasks, and so do the words that they know."""
+    """One for each tokenizer file and worker; workers outlive tasks, and so do the words that they know. One that may know another number of words takes the place of the last, so a worker's memory doesn't depend on what ran in it before."""
     path = path or default_path()
-    if path not in _encoders:
+    if path not in _encoders or _encoders[path].remembered != remembered:
+        _encoders.pop(path, None)  # first, so that no two are there at a time
         _encoders[path] = Encoder(path, remembered)
     return _encoders[path]
 

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from riskmart.llm import common, decontamination, embeddings, langid, licenses, packing, quality, simhash, substrings, token_files, tokens, toxicity
 from riskmart.llm.components import components
@@ -621,3 +622,27 @@ def test_pipeline_stages_keep_columns_and_clean_documents(spark, tmp_path):
     assert {r.doc_id: r.text for r in seen["substring_dedup"] if r.doc_id in range(20)} == dict(rows[:20])
     assert ids["decontamination"] == ids["substring_dedup"] - {70} == ids["packing"]
     assert len({hashlib.md5(str(r).encode()).hexdigest() for r in seen["packing"]}) == len(seen["packing"])
+
+
+def test_toxicity_sample_is_bounded_whatever_the_ids(spark):
+    for i in (42, 7, None):  # one id has all labelled rows
+        one = spark.range(0, 20_000, 1, 4).select(F.lit(i).cast("long").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+        assert toxicity.sample_labels(one, 1000).count() == 1000
+    some = spark.range(0, 500, 1, 4).select(F.col("id").alias("doc_id"), F.lit(1).alias("toxic"))
+    assert toxicity.sample_labels(some, 500).count() == 500
+    docs = spark.range(0, 3000, 1, 4).select(F.lit(42).cast("long").alias("doc_id"), F.concat(F.lit("word"), F.col("id") % 5).alias("text"))
+    joined = toxicity.with_labels(docs, toxicity.sample_labels(one.withColumn("doc_id", F.lit(42)), 1000))
+    assert joined.count() == 2 * 3000  # each of the two labels
+    chain = toxicity.fit(joined, sample=200)
+    assert {round(r.p_toxic, 1) for r in toxicity.predict(docs.limit(5), chain).collect()} == {0.5}
+
+
+def test_encoder_keeps_to_the_words_it_may_remember():
+    assert tokens.encoder(remembered=1000).remembered == 1000
+    assert tokens.encoder(remembered=5).remembered == 5 and tokens.encoder(remembered=5) is tokens.encoder(remembered=5)
+    assert list(tokens._encoders) == [tokens.default_path()]
+
+
+def test_dictionary_of_very_long_texts_is_bounded(spark):
+    long = spark.range(0, 12, 1, 2).select(F.col("id").alias("doc_id"), F.concat(F.col("id").cast("string"), F.repeat(F.lit(" seven little words of a long text."), 60_000)).alias("text"))
+    assert 0 < len(token_files.train_dictionary(long, sample=12)) <= token_files.DICTIONARY_BYTES
