@@ -5,7 +5,7 @@ lower-cased, every run of other characters than letters, digits and dots one spa
 wrapped: line ends, with comment marks after them, and marks within it count as a space, blank lines don't. Where several known sentences begin
 at a cut, the longest is taken. SENTENCES, put through the same cut, maps sentences to identifiers; RULES are sequences of identifiers in order. A rule matches where its identifiers
 follow each other among the known sentences of a text; unknown sentences between them don't matter, other known ones do. Where a longer rule matches, shorter ones
-that are part of it are not reported.
+that are part of it are not reported. A gap in a known sentence stands for up to 120 characters without a blank line.
 
 Everything happens within the row of a text, so there is no shuffle and no group. Null and empty texts have no matches and
 give no row; a row that occurs twice is reported twice.
@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: In a known sentence, a gap: words that differ from text to text, such as a holder's name; and what stands for it in a cut sentence.
+GAP, _GAP_WORD, _GAP_PATTERN = "<...>", "gapofwords", "{1,120}?"
 #: Sentences of licence texts and notices, by identifier.
 SENTENCES = {
     "mit-notice": ["Released under the MIT License", "Licensed under the MIT License", "This project is licensed under the MIT License", "The MIT License", "MIT License"],
@@ -35,7 +37,8 @@ SENTENCES = {
     "bsd-allowed": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
     "bsd-source": ["Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"],
     "bsd-binary": ["Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"],
-    "bsd-endorse": ["Neither the name of the University nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"],
+    "bsd-advert": ["All advertising materials mentioning features or use of this software must display the following acknowledgement"],
+    "bsd-endorse": ["Neither the name of <...> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "The name of <...> may not be used to endorse or promote products derived from this software without specific prior written permission", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"],
     "mpl2-notice": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"],
     "cc-by-nc-4": ["Licensed under CC BY-NC 4.0", "This work is licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
     "cc-by-4": ["Licensed under CC BY 4.0", "This work is licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"],
@@ -78,6 +81,7 @@ RULES = [
     ("gpl3-notice", "GPL-3.0-only", ["gpl3-notice"]),
     ("gpl2-header", "GPL-2.0-or-later", ["gpl-free", "gpl2-grant", "gpl-hope"]),
     ("gpl2-grant", "GPL-2.0-or-later", ["gpl-free", "gpl2-grant"]),
+    ("bsd-4-text", "BSD-4-Clause", ["bsd-allowed", "bsd-source", "bsd-binary", "bsd-advert", "bsd-endorse"]),
     ("bsd-3-text", "BSD-3-Clause", ["bsd-allowed", "bsd-source", "bsd-binary", "bsd-endorse"]),
     ("bsd-2-text", "BSD-2-Clause", ["bsd-allowed", "bsd-source", "bsd-binary"]),
     ("mpl2-notice", "MPL-2.0", ["mpl2-notice"]),
@@ -143,19 +147,27 @@ def _plain(x: Column) -> Column:
     return F.trim(F.translate(x, _LINE + _BLANK + _MARK, "   "))
 
 
-def _known(sentences: dict[str, list[str]], df: DataFrame) -> tuple[Column, str]:
-    """A map from sentence to identifier, and the pattern of all; the sentences are cut by the same expression as the texts, once, here."""
-    pairs = [(text, k) for k, texts in sentences.items() for text in texts]
+def _known(sentences: dict[str, list[str]], df: DataFrame) -> tuple[Column, str, list[tuple[str, str]]]:
+    """A map from sentence to identifier, the pattern of all, and those with a gap: what they look like and the sentence; the sentences are cut by the same expression as the texts, once, here."""
+    pairs = [(text.replace(GAP, _GAP_WORD), k) for k, texts in sentences.items() for text in texts]
     rows = df.sparkSession.createDataFrame(pairs, "text string, id string").select(_plain(cut(F.col("text"))).alias("text"), "id").distinct().collect()  # the parameter's own size
     longest = sorted((r.text for r in rows), key=lambda x: (-len(x), x))
-    one = "|".join(r"[ \n\f]".join("\\Q" + w + "\\E" for w in x.split(" ")) for x in longest)
-    return F.create_map(*[F.lit(x) for r in sorted(rows) for x in (r.text, r.id)]), rf"(?<=[\n\r\f])(?:{one})(?=[\n\r\f])"
+    one = "|".join(r"[ \n\f]".join(rf"[^\r]{_GAP_PATTERN}" if w == _GAP_WORD else "\\Q" + w + "\\E" for w in x.split(" ")) for x in longest)
+    gaps = [("^" + f".{_GAP_PATTERN}".join("\\Q" + part + "\\E" for part in x.split(_GAP_WORD)) + "$", x) for x in longest if _GAP_WORD in x.split(" ")]
+    return F.create_map(*[F.lit(x) for r in sorted(rows) for x in (r.text, r.id)]), rf"(?<=[\n\r\f])(?:{one})(?=[\n\r\f])", gaps
 
 
-def known_sentences(text: Column, known: tuple[Column, str]) -> Column:
+def known_sentences(text: Column, known: tuple[Column, str, list[tuple[str, str]]]) -> Column:
     """The identifiers of a text's known sentences, in order."""
-    ids, pattern = known
-    return F.transform(F.regexp_extract_all(cut(text), F.lit(pattern), F.lit(0)), lambda s: F.try_element_at(ids, _plain(s)))
+    ids, pattern, gaps = known
+
+    def named(s: Column) -> Column:
+        plain = out = _plain(s)
+        for look, sentence in gaps:
+            out = F.when(plain.rlike(look), F.lit(sentence)).otherwise(out)
+        return F.try_element_at(ids, out)
+
+    return F.transform(F.regexp_extract_all(cut(text), F.lit(pattern), F.lit(0)), named)
 
 
 def scan(df: DataFrame, sentences: dict[str, list[str]] | None = None, rules: list | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -133,7 +133,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 def _licenses_sql() -> str:
     """The same cuts in the other engine's patterns, which look neither ahead nor behind: each cut is doubled, so that sentences next to each other have one each on both sides. The matches are rows, known by a join."""
-    from riskmart.llm.licenses import RULES, SENTENCES
+    from riskmart.llm.licenses import _GAP_PATTERN, _GAP_WORD, GAP, RULES, SENTENCES
 
     def text(x: str) -> str:
         return "'" + x.replace("'", "''") + "'"
@@ -158,17 +158,18 @@ def _licenses_sql() -> str:
     def plain(x: str) -> str:
         return f"trim(regexp_replace({x}, '[ \\n\\r\\f]+', ' ', 'g'))"
 
-    known = ", ".join(f"({text(x)}, {text(k)})" for k, xs in SENTENCES.items() for x in xs)
+    known = ", ".join(f"({text(x.replace(GAP, _GAP_WORD))}, {text(k)})" for k, xs in SENTENCES.items() for x in xs)
     keys = {rule: "".join(f"|{x}|" for x in seq) for rule, _, seq in RULES}
     rules = ", ".join(f"({text(rule)}, {text(license_)}, {text(keys[rule])})" for rule, license_, _ in RULES)
     return f"""
     WITH known AS (SELECT DISTINCT {plain(cut("t"))} AS sentence, id FROM (VALUES {known}) v(t, id)),
     rules(rule, license, key) AS (VALUES {rules}),
-    pattern AS (SELECT '[\n\r\f]((?:' || string_agg(replace(replace(sentence, '.', '[.]'), ' ', '(?: |\n\n|\f\f)'), ')|(?:' ORDER BY length(sentence) DESC, sentence) || '))[\n\r\f]' AS p FROM known),
+    pattern AS (SELECT '[\n\r\f]((?:' || string_agg(replace(replace(replace(sentence, '.', '[.]'), ' ', '(?: |\n\n|\f\f)'), '{_GAP_WORD}', '[^\r]{_GAP_PATTERN}'), ')|(?:' ORDER BY length(sentence) DESC, sentence) || '))[\n\r\f]' AS p FROM known),
     docs AS (SELECT doc_id, row_number() OVER () AS r, regexp_replace(chr(13) || {cut("text")} || chr(13), '([\n\r\f])', '\\1\\1', 'g') AS t FROM documents),
     found AS (SELECT doc_id, r, regexp_extract_all(t, (SELECT p FROM pattern), 1) AS parts FROM docs),
     sentences AS (SELECT doc_id, r, generate_subscripts(parts, 1) AS n, unnest(parts) AS part FROM found),
-    ids AS (SELECT r, doc_id, list(id ORDER BY n) AS ids FROM sentences JOIN known ON {plain("part")} = sentence GROUP BY r, doc_id),
+    named AS (SELECT DISTINCT r, doc_id, n, id FROM sentences JOIN known ON {plain("part")} = sentence OR (contains(sentence, '{_GAP_WORD}') AND regexp_matches({plain("part")}, '^' || replace(replace(sentence, '.', '[.]'), '{_GAP_WORD}', '.{_GAP_PATTERN}') || '$'))),
+    ids AS (SELECT r, doc_id, list(id ORDER BY n) AS ids FROM named GROUP BY r, doc_id),
     hits AS (SELECT r, doc_id, ids, rule, license, key, (length(j) - length(replace(j, key, ''))) // length(key) AS n
              FROM (SELECT *, '|' || array_to_string(ids, '||') || '|' AS j FROM ids) CROSS JOIN rules),
     own AS (SELECT h.r, h.doc_id, h.ids, h.rule, h.license, h.n - coalesce(sum(l.n), 0) AS n FROM hits h

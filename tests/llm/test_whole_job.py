@@ -210,3 +210,25 @@ def test_pipeline_of_clashing_names_and_of_nothing(spark, tmp_path):
         assert docs.schema.names == schema.replace(" long", "").replace(" string", "").replace(" double", "").replace(" boolean", "").split(", ")
         assert {tuple(r) for r in docs.collect()} == set(kept[::2])
         assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == len(kept[::2])
+
+
+def test_licences_of_any_holder(spark):
+    """A holder's name, wrapped or with a full stop in it, doesn't change the licence; without the sentence it is another one."""
+    head = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n"
+    source = "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n"
+    binary = "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n"
+    advert = "3. All advertising materials mentioning features or use of this software must display the following acknowledgement:\nThis product includes software by us.\n"
+    endorse = "Neither the name of {} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    holders = ["Google Inc.", "the University", "the copyright holder", "Example, Inc. and\n * its friends", "X"]
+    texts = [head + source + binary + "3. " + endorse.format(h) for h in holders] + [head + source + binary, head + source + binary + advert + "4. " + endorse.format("us"), head + source + binary + "3. The name of the author may not be used to endorse or promote products derived from this software without specific prior written permission."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.license for r in licenses.scan(docs).collect()}
+    assert got == {k: "BSD-3-Clause" for k in (0, 1, 2, 3, 4, 7)} | {5: "BSD-2-Clause", 6: "BSD-4-Clause"}
+    import duckdb
+
+    from riskmart.llm import queries
+
+    con = duckdb.connect()
+    documents = docs.toPandas()  # noqa: F841
+    con.sql("CREATE TABLE documents AS SELECT * FROM documents")
+    assert Counter((r.doc_id, r.rule, r.license, r.n_matches, ",".join(r.sentence_ids)) for r in licenses.scan(docs).collect()) == Counter(con.execute(queries.ORACLES["op6_licenses"]).fetchall())
