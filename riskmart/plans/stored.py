@@ -93,6 +93,14 @@ class Stored:
         """A stored table; `month` is the unit of those that have no such column themselves."""
         return self.spark.read.schema(self._schema(name)).parquet(self._at(name))
 
+    def _units(self, name: str, units: list) -> DataFrame:
+        """A table's partitions of these units: no other folder is even listed."""
+        unit = (FACTS | SUMS)[name][2]
+        paths = [x for u in units if files.exists(self.spark, x := f"{self._at(name)}/{unit}={u if u is not None else '__HIVE_DEFAULT_PARTITION__'}")]
+        if not paths:
+            return self.spark.createDataFrame([], self._schema(name))
+        return self.spark.read.schema(self._schema(name)).option("basePath", self._at(name)).parquet(*paths)
+
     def _schema(self, name: str):
         if name not in self._schemas:
             self._schemas[name] = self._full(name).schema
@@ -304,7 +312,7 @@ class Stored:
         reach = 2 * self.w.config.duplicate_seconds  # a neighbour's duplicates are so far off
         around = moved.where("transaction_at is not null").select(F.explode(F.array_distinct(F.array(*[(F.col("transaction_at") + F.expr(f"INTERVAL '{s}' SECOND")).cast("date") for s in (-reach, 0, reach)]))).alias("day"))
         days = [r.day for r in around.distinct().collect()]  # days at most
-        stored = self.read("fct_payment_attempts").where(among("cohort_date", days)).select(*moved.columns)
+        stored = self._units("fct_payment_attempts", days).select(*moved.columns)
         context = stored.join(moved.select("user_id").distinct(), "user_id", "left_semi").join(first, "transaction_id", "left_anti").select(*moved.columns)
         context = self._written(context, "context")
         near = incremental.neighbours(context.unionByName(moved), first, self.w.config)
@@ -315,8 +323,7 @@ class Stored:
 
     def _stored_payments(self, keys: DataFrame) -> DataFrame:
         units = [r.unit for r in self._found("units/fct_payment_attempts", "key string, unit date", "key", keys).select("unit").distinct().collect()]  # days at most
-        stored = self.read("fct_payment_attempts").where(among("cohort_date", units))
-        return incremental.only(stored, keys).select("transaction_id", "user_id", "transaction_at", "amount", "payment_method")
+        return incremental.only(self._units("fct_payment_attempts", units), keys).select("transaction_id", "user_id", "transaction_at", "amount", "payment_method")
 
     def _rows_of(self, keys: DataFrame, changed: DataFrame, feeds: list[str]) -> dict[str, DataFrame]:
         """All rows of the feeds with an id that has ever been of one of the transactions, from the days on which they came."""
@@ -341,7 +348,7 @@ class Stored:
         by = keys.select(F.col("transaction_id").alias("key")).unionByName(new.select(F.concat(F.lit("\x00"), F.col(key)).alias("key")))
         units = self._found(f"units/{name}", "key string, unit date", "key", by).select("unit").unionByName(new.select(F.col(unit).alias("unit"))).distinct()
         units = [r.unit for r in units.collect()]  # days or months
-        old = self.read(name).where(among(unit, units)).join(keys, "transaction_id", "left_anti")
+        old = self._units(name, units).join(keys, "transaction_id", "left_anti")
         if key != "transaction_id":
             old = old.join(new.select(key), key, "left_anti")
         return units, self._planned(name, old.select(*new.columns).unionByName(new))
@@ -359,12 +366,12 @@ class Stored:
         if unit == key:
             return keys, self._planned(name, new)
         months = sorted({k and k.replace(day=1) for k in keys}, key=str)
-        kept = self.read(name).where(among(unit, months) & ~among(key, keys))
+        kept = self._units(name, months).where(~among(key, keys))
         return months, self._planned(name, kept.select(*new.columns).unionByName(new))
 
     def _settled_months(self, touched: dict[str, list], now: dict[str, DataFrame]) -> list:
         """Months of settlement in the touched partitions, as they were and as they are."""
-        both = now["settled_daily"].select("month_start").unionByName(self.read("settled_daily").where(among("month", touched["settled_daily"])).select("month_start"))
+        both = now["settled_daily"].select("month_start").unionByName(self._units("settled_daily", touched["settled_daily"]).select("month_start"))
         return [r.month_start for r in both.distinct().collect()]  # months
 
     def _view(self, name: str, touched: dict[str, list], now: dict[str, DataFrame]) -> DataFrame:
