@@ -18,7 +18,7 @@ from riskmart.plans import oracle, semantic
 from riskmart.plans.dag import WATERMARK_SOURCES, Warehouse
 from riskmart.plans.stored import Stored
 from riskmart.sources import adapter, files
-from riskmart.streaming import ingest
+from riskmart.streaming import drive, ingest
 
 _MOMENT = {"_updated_at", *schemas.WATERMARKS}
 Query = Callable[[SparkSession, str], DataFrame]
@@ -300,6 +300,24 @@ def _streaming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select(*fields, F.lit(False).alias("quarantined")).unionByName(bad.select(*fields, F.lit(True).alias("quarantined")))
 
 
+def _streaming_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events feeds as messages in two files, the second with the rows of two hours in three: two micro-batches into the warehouse, the first a build and the second a refresh."""
+    path = files.new_path(spark, "drive")
+    w = warehouse(spark, sf_dir, "events")
+    messages = None
+    for feed in ("raw_transactions", "raw_risk_evaluations", "raw_risk_rule_hits"):
+        part = w(feed).select(F.lit(feed).alias("topic"), F.col("_ingested_at").alias("timestamp"), F.to_json(F.struct(*schemas.RAW_FIELDS[feed])).alias("value"))
+        messages = part if messages is None else messages.unionByName(part)
+    second = F.hour("timestamp") % 3 > 0
+    for number, half in enumerate((messages.where(~second), messages.where(second))):
+        half.coalesce(1).write.mode("append").json(f"{path}/in")
+    drive.drive(drive.json_messages(spark, f"{path}/in", 1), f"{path}/to", f"{path}/checkpoint", w.config, 8).awaitTermination()
+    stored = Stored(Warehouse(spark, files.by_day(spark, f"{path}/to/bronze"), w.config), f"{path}/to", 8)
+    return finished(stored.read("fct_payment_attempts").select(*w("payment_attempts").columns))
+
+
+QUERIES["streaming_refresh"] = _streaming_refresh
+ORACLES["streaming_refresh"] = oracle.sql("events", "payment_attempts")
 QUERIES["streaming_bronze"] = _streaming
 ORACLES["streaming_bronze"] = ORACLES["quarantine"]
 

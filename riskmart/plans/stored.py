@@ -213,21 +213,24 @@ class Stored:
             self._add_links(df.select(*self._link(name, df)).distinct())
             return df.agg(F.max("_ingested_at")).first()[0]
 
+        stored: dict[str, DataFrame] = {}  # their folders are listed once
+
         def table(name: str) -> None:
             files.delete(self.spark, self._at(name))
-            files.write_table(self._full(name) if name in FACTS else self._sums(name, {k: self.read(k) for k in _READS[name]}), self._at(name), (FACTS | SUMS)[name][2])
+            files.write_table(self._full(name) if name in FACTS else self._sums(name, {k: stored[k] for k in _READS[name]}), self._at(name), (FACTS | SUMS)[name][2])
+            stored[name] = self.read(name)
             if name in FACTS:
-                self._add_units(name, self.read(name))
+                self._add_units(name, stored[name])
 
         for name in FACTS | SUMS:
             self._schema(name)
         marks = {name: feed(name) for name in FEEDS}
         table("fct_payment_attempts")
-        self.w.made["payment_attempts"] = self.read("fct_payment_attempts").drop(*schemas.WATERMARKS)
+        self.w.made["payment_attempts"] = stored["fct_payment_attempts"].drop(*schemas.WATERMARKS)
         at_once(table, [name for name in FACTS if name != "fct_payment_attempts"])
         for last in (False, True):
             at_once(table, [name for name in SUMS if any(r in SUMS for r in _READS[name]) == last])
-        marks |= self.read("fct_payment_attempts").agg(*[F.max(m).alias(m) for m in schemas.WATERMARKS]).first().asDict()
+        marks |= stored["fct_payment_attempts"].agg(*[F.max(m).alias(m) for m in schemas.WATERMARKS]).first().asDict()
         self._write_marks(marks)
         self._put_marks()
         files.delete(self.spark, self.run)
@@ -240,8 +243,8 @@ class Stored:
         files.write_table(df, f"{self.run}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.run}/{name}")
 
-    def refresh(self) -> list[date | None]:
-        """Bring all stored tables up to the feeds; returns the days of sales that were replaced."""
+    def refresh(self, arrived: dict[str, DataFrame] | None = None) -> list[date | None]:
+        """Bring all stored tables up to the feeds; returns the days of sales that were replaced. What is new is told by stamps, or is arrived: rows by feed, which the feeds have too."""
         if files.exists(self.spark, f"{self.path}/_building"):
             raise RuntimeError(f"the build of {self.path} broke off: build it again")
         self.finish()
@@ -252,8 +255,8 @@ class Stored:
                 self._add_links(df.select(*self._link(feed, df)).distinct())
             for name in filter(self.has, FACTS):
                 self._add_units(name, self.read(name))
-        changed = self._changed(marks)
-        stamps = {r.feed: r.stamp for r in changed.groupBy("feed").agg(F.max("stamp").alias("stamp")).collect()}  # one for each feed
+        changed = self._changed(marks, arrived)
+        stamps = {r.feed: max(filter(None, (r.stamp, marks.get(r.feed))), default=None) for r in changed.groupBy("feed").agg(F.max("stamp").alias("stamp")).collect()}  # one for each feed
         if not stamps:
             files.delete(self.spark, self.run)
             return []
@@ -288,14 +291,15 @@ class Stored:
         self.finish()
         return touched["fct_payment_attempts"]
 
-    def _changed(self, marks: dict[str, object]) -> DataFrame:
+    def _changed(self, marks: dict[str, object], arrived: dict[str, DataFrame] | None) -> DataFrame:
         """Links of all rows that came since, with their stamp."""
         out = None
-        for feed in self.feeds:
-            df = self._feed(feed)
-            if mark := marks.get(feed):
-                df = df.where(self._day(df) >= F.lit((mark - timedelta(hours=self.w.config.lookback_hours)).date()))
-            df = incremental.since(df, mark, self.w.config)
+        for feed in self.feeds if arrived is None else arrived:
+            df = self._feed(feed) if arrived is None else arrived[feed]
+            if arrived is None:
+                if mark := marks.get(feed):
+                    df = df.where(self._day(df) >= F.lit((mark - timedelta(hours=self.w.config.lookback_hours)).date()))
+                df = incremental.since(df, marks.get(feed), self.w.config)
             part = df.select(*self._link(feed, df), F.col("_ingested_at").alias("stamp"))
             out = part if out is None else out.unionByName(part)
         return self._written(out, "changed")

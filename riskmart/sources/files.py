@@ -77,14 +77,15 @@ def touch(spark: SparkSession, path: str) -> None:
     fs.create(p, True).close()
 
 
-def write_by_day(df: DataFrame, path: str, name: str) -> None:
-    """Add rows of a raw feed to path/<name>, by the day on which they came."""
-    write_table(df.withColumn("_day", F.col("_ingested_at").cast("date")), f"{path}/{name}", "_day", mode="append")
+def write_by_day(df: DataFrame, path: str, name: str, batch: str = "0") -> None:
+    """Add rows of a raw feed to path/<name>, by what brought them and the day on which they came. A batch that is written again takes its own place."""
+    dated = df.select(*schemas.RAW_FIELDS[name], "_ingested_at", F.col("_ingested_at").cast("date").alias("_day"))
+    write_table(dated, f"{path}/{name}/_batch={batch}", "_day", mode="append" if batch == "0" else "overwrite")
 
 
 def by_day(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """The raw feeds of write_by_day(), with their day; those without rows are empty."""
-    return {name: spark.read.schema(f"{ddl}, _day date").parquet(f"{path}/{name}") if exists(spark, f"{path}/{name}") else empty(spark, name).withColumn("_day", F.lit(None).cast("date")) for name, ddl in schemas.RAW.items()}
+    return {name: spark.read.schema(f"{ddl}, _batch string, _day date").parquet(f"{path}/{name}").drop("_batch") if exists(spark, f"{path}/{name}") else empty(spark, name).withColumn("_day", F.lit(None).cast("date")) for name, ddl in schemas.RAW.items()}
 
 
 def new_path(spark: SparkSession, what: str) -> str:

@@ -1,8 +1,8 @@
 """Feeds into bronze tables: what meets the contract is kept, the exact complement goes to quarantine.
 
 A contract is one expression for each expectation; validity is their conjunction with null as false, and both sinks are cut by that one
-column, so they can't drift apart. A stream reads its source once and writes both in each micro-batch, into folders named by the batch:
-a batch that is run again after a failure overwrites its own.
+column, so they can't drift apart. A stream reads its source once and writes both in each micro-batch, into folders named by the stream and the batch:
+a batch that is run again after a failure overwrites its own, and a stream that starts anew, with another checkpoint, no other's.
 """
 
 from __future__ import annotations
@@ -26,6 +26,10 @@ def _present(c: str) -> Column:
     return F.col(c).isNotNull()
 
 
+#: Feeds that have a contract.
+CONTRACTS = ("raw_transactions", "raw_risk_evaluations", "raw_chargebacks")
+
+
 def contract(name: str) -> dict[str, Column]:
     """Expectations of a feed, by name."""
     if name == "raw_transactions":
@@ -70,6 +74,11 @@ def csv_files(spark: SparkSession, name: str, path: str) -> DataFrame:
     return spark.readStream.schema(schemas.FEED[name]).option("header", True).csv(path).select("*", F.col("_metadata.file_path").alias("_source_file"))
 
 
+def batch_name(df: DataFrame, number: int) -> str:
+    """The stream's id, which is its checkpoint's, and the number of the micro-batch."""
+    return f"{df.sparkSession.sparkContext.getLocalProperty('sql.streaming.queryId')}-{number}"
+
+
 def ingest(stream: DataFrame, name: str, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
     """Into path/<name> and path/quarantine/<name>; with once, all that is there now and then stop."""
 
@@ -77,8 +86,9 @@ def ingest(stream: DataFrame, name: str, path: str, checkpoint: str, once: bool
         stamped = df.withColumn("_ingested_at", F.current_timestamp().cast("timestamp_ntz"))
         stamped.persist()
         kept, bad = split(stamped, name)
-        kept.drop("raw_payload").write.mode("overwrite").parquet(f"{path}/{name}/_batch={number}")
-        bad.write.mode("overwrite").parquet(f"{path}/quarantine/{name}/_batch={number}")
+        own = batch_name(df, number)
+        kept.drop("raw_payload").write.mode("overwrite").parquet(f"{path}/{name}/_batch={own}")
+        bad.write.mode("overwrite").parquet(f"{path}/quarantine/{name}/_batch={own}")
         stamped.unpersist()
 
     w = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
