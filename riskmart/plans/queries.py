@@ -309,7 +309,7 @@ def _streaming_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
         part = w(feed).select(F.lit(feed).alias("topic"), F.col("_ingested_at").alias("timestamp"), F.to_json(F.struct(*schemas.RAW_FIELDS[feed])).alias("value"))
         messages = part if messages is None else messages.unionByName(part)
     second = F.hour("timestamp") % 3 > 0
-    for number, half in enumerate((messages.where(~second), messages.where(second))):
+    for half in (messages.where(~second), messages.where(second)):
         half.coalesce(1).write.mode("append").json(f"{path}/in")
     drive.drive(drive.json_messages(spark, f"{path}/in", 1), f"{path}/to", f"{path}/checkpoint", w.config, 8).awaitTermination()
     stored = Stored(Warehouse(spark, files.by_day(spark, f"{path}/to/bronze"), w.config), f"{path}/to", 8)
