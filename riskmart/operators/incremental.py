@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from riskmart.config import Config
 from riskmart.functions.columns import seconds
 from riskmart.functions.frames import in_time_blocks
+from riskmart.sources import files
 from riskmart.sources.files import write_table
 
 EPOCH = "1900-01-01"
@@ -79,35 +80,39 @@ def write_cohorts(new: DataFrame, path: str) -> None:
     write_table(new, path, partition_by="cohort_date")
 
 
-def upsert(spark: SparkSession, new: DataFrame, path: str, *keys: str) -> None:
-    """Merge into a Parquet table that may not exist: the merged table is written beside it as the next version, and a pointer is then renamed over, so readers see one or the other."""
-    old = read_version(spark, path)
-    merged = new if old is None else merge_by_key(old, new, *keys)
-    jvm = spark.sparkContext._jvm
-    fs, p = _fs(spark, path)
-    version = _current(spark, path) + 1
-    merged.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/v{version:08}")
-    pointer = jvm.org.apache.hadoop.fs.Path(p, f"_current.{version:08}")
-    fs.create(pointer, True).close()  # an empty file whose name is the version: made in one step, after the data
-    for status in fs.listStatus(p):  # the version before stays for readers that are still at it
-        name = status.getPath().getName()
-        if name.startswith(("v", "_current.")) and int(name.split(".")[-1].lstrip("v")) < version - 1:
-            fs.delete(status.getPath(), True)
+#: Hash buckets of a keyed table, set when it is made.
+BUCKETS = 64
 
 
-def read_version(spark: SparkSession, path: str) -> DataFrame | None:
-    version = _current(spark, path)
-    return spark.read.parquet(f"{path}/v{version:08}") if version else None
+def upsert(spark: SparkSession, new: DataFrame, path: str, *keys: str, buckets: int = BUCKETS) -> None:
+    """Merge into a Parquet table that may not exist. Rows are in buckets by hash of their keys, and only buckets that new has keys in are read and replaced; all other files stay.
+
+    The merged buckets are written to _pending/ first and marked as ready there, then put in place. If that breaks off, the next upsert puts them in place before anything else, so
+    no bucket is lost, and merging the same rows again gives the same. Readers that look in between can see some buckets before and some after.
+    """
+    finish_upsert(spark, path)
+    made = [int(x[len("_buckets.") :]) for x in files.names(spark, path) if x.startswith("_buckets.")]
+    if made:
+        buckets = made[0]
+    else:
+        files.touch(spark, f"{path}/_buckets.{buckets}")
+    new = new.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+    folders = [x for r in new.select("_bucket").distinct().collect() if files.exists(spark, x := f"{path}/_bucket={r[0]}")]  # as many as buckets
+    old = spark.read.option("basePath", path).option("mergeSchema", True).parquet(*folders) if folders else None
+    write_table(new if old is None else merge_by_key(old, new, *keys), f"{path}/_pending/rows")
+    files.touch(spark, f"{path}/_pending/ready")
+    finish_upsert(spark, path)
 
 
-def _fs(spark: SparkSession, path: str):
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+def finish_upsert(spark: SparkSession, path: str) -> None:
+    """Put in place what an upsert has merged; throw away what it hasn't finished."""
+    if files.exists(spark, f"{path}/_pending/ready"):
+        write_table(spark.read.parquet(f"{path}/_pending/rows"), path, "_bucket")
+    files.delete(spark, f"{path}/_pending")
 
 
-def _current(spark: SparkSession, path: str) -> int:
-    fs, p = _fs(spark, path)
-    if not fs.exists(p):
-        return 0
-    names = [s.getPath().getName() for s in fs.listStatus(p)]
-    return max((int(n.split(".")[-1]) for n in names if n.startswith("_current.")), default=0)
+def read_version(spark: SparkSession, path: str) -> DataFrame | None:
+    """A table of upsert(), None if there is none. Columns that came later are null in older rows."""
+    if not any("=" in x for x in files.names(spark, path)):
+        return None
+    return spark.read.option("mergeSchema", True).parquet(path).drop("_bucket")

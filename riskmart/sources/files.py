@@ -71,6 +71,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def names(spark: SparkSession, path: str) -> list[str]:
+    """What a folder holds; nothing if it isn't there."""
+    fs, p = _path(spark, path)
+    return [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
+
+
 def touch(spark: SparkSession, path: str) -> None:
     """An empty file: a mark that is there or not."""
     fs, p = _path(spark, path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import shutil
 from datetime import date, datetime, timedelta
 from decimal import Decimal as D
 
@@ -198,6 +199,37 @@ def test_upsert_creates_and_merges(spark, tmp_path):
     assert sorted(map(tuple, incremental.read_version(spark, path).collect())) == [(1, "a"), (2, "c"), (3, "d")]
 
 
+def test_upsert_leaves_other_buckets_alone(spark, tmp_path, monkeypatch):
+    path = tmp_path / "features"
+    incremental.upsert(spark, spark.range(2000).select(F.col("id").alias("k"), F.lit("a").alias("v")), str(path), "k", buckets=64)
+    before = {f: f.stat().st_mtime_ns for f in path.rglob("*.parquet")}
+    ten = spark.range(0, 100, 10).select(F.col("id").alias("k"), F.lit("b").alias("v"), F.lit(1).alias("more"))
+    incremental.upsert(spark, ten, str(path), "k")
+    kept = {f for f, t in before.items() if f.exists() and f.stat().st_mtime_ns == t}
+    assert len(before) == 64 and len(kept) >= 54
+    rows = incremental.read_version(spark, str(path))
+    assert (rows.count(), rows.where("v = 'b' and more = 1").count(), rows.where("v = 'a' and more is null").count()) == (2000, 10, 1990)
+    # It breaks off after some buckets are gone: the next run puts them in place first.
+    own = incremental.write_table
+
+    def breaks(df, to, *args, **more):
+        if to == str(path):
+            for f in list(path.glob("_bucket=*"))[:5]:
+                shutil.rmtree(f)
+            raise RuntimeError("gone")
+        own(df, to, *args, **more)
+
+    monkeypatch.setattr(incremental, "write_table", breaks)
+    every = spark.range(2000).select(F.col("id").alias("k"), F.lit("c").alias("v"), F.lit(2).alias("more"))
+    with pytest.raises(RuntimeError, match="gone"):
+        incremental.upsert(spark, every, str(path), "k")
+    monkeypatch.undo()
+    incremental.upsert(spark, ten, str(path), "k")
+    rows = incremental.read_version(spark, str(path))
+    assert (rows.count(), rows.where("v = 'c'").count(), rows.where("v = 'b'").count()) == (2000, 1990, 10)
+    assert incremental.read_version(spark, str(tmp_path / "none")) is None
+
+
 def test_snapshot_versions(spark, seed):
     first = snapshot.start(seed("cohort_daily").drop("_updated_at"), "2026-04-01")
     late = Warehouse(spark, feeds(spark, cb=[*CB, LATE]), seed.config)("cohort_daily").drop("_updated_at")
