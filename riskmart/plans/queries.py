@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskmart import schemas
-from riskmart.operators import aggregates, incremental, quality, snapshot
+from riskmart.operators import aggregates, asof, incremental, quality, snapshot
 from riskmart.plans import oracle, semantic
 from riskmart.plans.dag import WATERMARK_SOURCES, Warehouse
 from riskmart.plans.stored import Stored
@@ -280,6 +280,26 @@ _register(
 )(lambda w: quality.volume_anomalies(w("stg_chargebacks"), "chargeback_at", w.config))
 
 
+@_register("merchant_at_sale", sql="SELECT t.transaction_id, t.merchant_id, t.transaction_at, m.segment, m.merchant_created_at FROM (SELECT transaction_id, merchant_id, transaction_at FROM payment_attempts) t ASOF LEFT JOIN stg_merchants m ON t.merchant_id = m.merchant_id AND t.transaction_at >= m.merchant_created_at")
+def _merchant_at_sale(w: Warehouse) -> DataFrame:
+    """What was known of the merchant when the payment was made: nothing before the merchant was there."""
+    sales = w("payment_attempts").select("transaction_id", "merchant_id", "transaction_at")
+    return asof.as_of_join(sales, w("stg_merchants").select("merchant_id", "segment", "merchant_created_at"), ["merchant_id"], "transaction_at", "merchant_created_at")
+
+
+@_register(
+    "last_chargeback_before_sale",
+    sql="""SELECT s.transaction_id, s.merchant_id, s.transaction_at, CASE WHEN recent THEN chargeback_at END AS chargeback_at, CASE WHEN recent THEN cb_amount END AS cb_amount FROM (
+        SELECT t.*, c.chargeback_at, c.cb_amount, t.transaction_at - c.chargeback_at <= INTERVAL 30 DAY AS recent FROM (SELECT transaction_id, merchant_id, transaction_at FROM payment_attempts) t ASOF LEFT JOIN moments c ON t.merchant_id = c.merchant_id AND t.transaction_at >= c.chargeback_at) s""",
+    extra={"moments": "SELECT merchant_id, chargeback_at, CAST(sum(cb_amount) AS decimal(28,2)) AS cb_amount FROM fct_chargebacks WHERE merchant_id IS NOT NULL GROUP BY ALL"},
+)
+def _last_chargeback(w: Warehouse) -> DataFrame:
+    """The merchant's last chargebacks up to 30 days before each sale."""
+    sales = w("payment_attempts").select("transaction_id", "merchant_id", "transaction_at")
+    moments = w("fct_chargebacks").groupBy("merchant_id", "chargeback_at").agg(F.sum("cb_amount").alias("cb_amount"))
+    return asof.as_of_join(sales, moments, ["merchant_id"], "transaction_at", "chargeback_at", 30 * 86400)
+
+
 @_register("velocity_job", "events", sql="SELECT * FROM velocity WHERE transaction_at >= (SELECT max(transaction_at) FROM stg_transactions) - INTERVAL 24 HOUR".replace("FROM velocity", "FROM velocity"))
 def _velocity_job(w: Warehouse) -> DataFrame:
     from riskmart.operators.features import velocity_job
