@@ -163,19 +163,36 @@ _KEYS, _CHECKED = ", ".join(snapshot.COHORT_KEYS), ", ".join(snapshot.COHORT_CHE
 _NOW = "2001-12-31 00:00:00"
 
 
-@_register(
-    "snapshot_scd2",
-    sql=f"""SELECT b.* REPLACE (CASE WHEN c.{snapshot.COHORT_CHECKED[0]} IS NOT NULL AND ({' OR '.join(f'b.{x} IS DISTINCT FROM c.{x}' for x in snapshot.COHORT_CHECKED)}) THEN TIMESTAMP '{_NOW}' END AS valid_to) FROM older b LEFT JOIN cohort_daily c USING ({_KEYS})
-    UNION ALL SELECT c.*, TIMESTAMP '{_NOW}', NULL FROM cohort_daily c LEFT JOIN older b USING ({_KEYS}) WHERE b.{snapshot.COHORT_CHECKED[0]} IS NULL OR {' OR '.join(f'b.{x} IS DISTINCT FROM c.{x}' for x in snapshot.COHORT_CHECKED)}""",
-    extra={"older": f"SELECT *, TIMESTAMP '{CUT}' AS valid_from, CAST(NULL AS timestamp) AS valid_to FROM cohort_daily WHERE cohort_date < DATE '2001-01-01' AND day(cohort_date) > 2" .replace("SELECT *,", f"SELECT * REPLACE (CASE WHEN day(cohort_date) = 3 THEN approved_count + 1 ELSE approved_count END AS approved_count),")},
-)
-def _snapshot(w: Warehouse) -> DataFrame:
+_SNAPSHOT_SQL = f"""SELECT b.* REPLACE (CASE WHEN c.{snapshot.COHORT_CHECKED[0]} IS NOT NULL AND ({' OR '.join(f'b.{x} IS DISTINCT FROM c.{x}' for x in snapshot.COHORT_CHECKED)}) THEN TIMESTAMP '{_NOW}' END AS valid_to) FROM older b LEFT JOIN cohort_daily c USING ({_KEYS})
+    UNION ALL SELECT c.*, TIMESTAMP '{_NOW}', NULL FROM cohort_daily c LEFT JOIN older b USING ({_KEYS}) WHERE b.{snapshot.COHORT_CHECKED[0]} IS NULL OR {' OR '.join(f'b.{x} IS DISTINCT FROM c.{x}' for x in snapshot.COHORT_CHECKED)}"""
+_SNAPSHOT_EXTRA = {"older": f"SELECT *, TIMESTAMP '{CUT}' AS valid_from, CAST(NULL AS timestamp) AS valid_to FROM cohort_daily WHERE cohort_date < DATE '2001-01-01' AND day(cohort_date) > 2" .replace("SELECT *,", f"SELECT * REPLACE (CASE WHEN day(cohort_date) = 3 THEN approved_count + 1 ELSE approved_count END AS approved_count),")}
+
+
+def _snapshot_of(w: Warehouse) -> DataFrame:
     """A history that lacks cohorts and has other counts in some, moved on to what holds now."""
     now = w("cohort_daily").drop("_updated_at")
     older = now.where("cohort_date < date'2001-01-01' and day(cohort_date) > 2").withColumn("approved_count", F.col("approved_count") + F.when(F.day("cohort_date") == 3, 1).otherwise(0))
     return snapshot.advance(snapshot.start(older, CUT), now, _NOW)
 
 
+_register("snapshot_scd2", sql=_SNAPSHOT_SQL, extra=_SNAPSHOT_EXTRA)(_snapshot_of)
+
+#: Moments before the history, within it and after it.
+_REPORTED = ["2001-05-01 00:00:00", "2001-08-01 00:00:00", "2002-06-01 00:00:00"]
+
+
+@_register(
+    "cohorts_as_reported", doubles="chargeback_rate_amount chargeback_rate_qty",
+    sql=f"""SELECT reported_at, cohort_period, CAST(approved_count AS bigint) AS approved_count, CAST(approved_amount AS decimal(38,2)) AS approved_amount, CAST(chargeback_transaction_count AS bigint) AS chargeback_transaction_count, CAST(chargeback_amount AS decimal(38,2)) AS chargeback_amount,
+    chargeback_amount::double / nullif(approved_amount::double, 0) AS chargeback_rate_amount, chargeback_transaction_count::double / nullif(approved_count, 0) AS chargeback_rate_qty
+    FROM (SELECT m AS reported_at, date_trunc('month', cohort_date)::date AS cohort_period, sum(approved_count) AS approved_count, sum(approved_amount) AS approved_amount, sum(chargeback_transaction_count) AS chargeback_transaction_count, sum(chargeback_amount) AS chargeback_amount
+        FROM versions JOIN (VALUES {', '.join(f"(TIMESTAMP '{m}')" for m in _REPORTED)}) r(m) ON valid_from <= m AND (valid_to IS NULL OR m < valid_to) GROUP BY ALL)""",
+    extra=_SNAPSHOT_EXTRA | {"versions": _SNAPSHOT_SQL},
+)
+def _cohorts_as_reported(w: Warehouse) -> DataFrame:
+    return snapshot.reported_rates(_snapshot_of(w), _REPORTED)
+
+
 _BAD = "CASE WHEN hash_key % 6 = 0 THEN NULL ELSE transaction_id END AS transaction_id, user_id, CASE WHEN hash_key % 7 = 0 THEN 'soon' ELSE transaction_at END AS transaction_at, CASE WHEN hash_key % 8 = 0 THEN '-1' WHEN hash_key % 9 = 0 THEN 'x' ELSE amount END AS amount, CASE WHEN hash_key % 10 = 0 THEN 'odd' ELSE status END AS status, payment_method"
 _KEYED = "length(user_id) * 31 + cast(substr(transaction_id, 4) AS bigint) AS hash_key"
 
@@ -216,6 +233,37 @@ _metric("metric_approval_by_order", ["approval_rate_by_order"], "approval_rate_b
 _metric("metric_gross_loss", ["gross_fraud_loss", "gross_chargeback_loss"], "", "SELECT reason_category, date_trunc('month', chargeback_date)::date AS chargeback_date, CAST(sum(CASE WHEN is_fraud_reason THEN cb_amount ELSE 0 END) AS decimal(28,2)) AS gross_fraud_loss, CAST(sum(cb_amount) AS decimal(28,2)) AS gross_chargeback_loss FROM fct_chargebacks GROUP BY ALL", ["reason_category"], "month")
 
 
+_TIMELINE_EXTRA = {
+    "of_sales": "SELECT payment_method, date_trunc('month', cohort_date)::date AS period, count(CASE WHEN is_approved THEN 1 END) AS n_approved, count(*) AS n, sum(chargeback_amount) FILTER (is_approved) AS lost, sum(amount) FILTER (is_approved) AS sold FROM payment_attempts WHERE cohort_date IS NOT NULL GROUP BY ALL",
+    "of_disputes": "SELECT payment_method, date_trunc('month', chargeback_date)::date AS period, sum(CASE WHEN is_fraud_reason THEN cb_amount ELSE 0 END) AS fraud FROM fct_chargebacks WHERE chargeback_date IS NOT NULL GROUP BY ALL",
+    "spine": f"SELECT DISTINCT date_trunc('month', d)::date AS period FROM (SELECT unnest(generate_series(DATE '{adapter.CONFIGS['orders'].calendar[0]}', DATE '{adapter.CONFIGS['orders'].calendar[1]}', INTERVAL 1 DAY)) AS d)",
+}
+_TIMELINE_METRICS = ["approval_rate", "gross_fraud_loss", "chargeback_rate_amount"]
+_TIMELINE_SELECT = "coalesce(n_approved, 0)::double / nullif(coalesce(n, 0), 0) AS approval_rate, CAST(coalesce(fraud, 0) AS decimal(28,2)) AS gross_fraud_loss, coalesce(lost, 0)::double / nullif(coalesce(sold, 0)::double, 0) AS chargeback_rate_amount"
+_register(
+    "metric_timeline", doubles="approval_rate chargeback_rate_amount",
+    sql=f"""SELECT p.period, {_TIMELINE_SELECT} FROM (SELECT period FROM spine WHERE period BETWEEN (SELECT min(period) FROM (SELECT period FROM of_sales UNION SELECT period FROM of_disputes)) AND (SELECT max(period) FROM (SELECT period FROM of_sales UNION SELECT period FROM of_disputes))) p
+    LEFT JOIN (SELECT period, sum(n_approved) AS n_approved, sum(n) AS n, sum(lost) AS lost, sum(sold) AS sold FROM of_sales GROUP BY 1) s USING (period) LEFT JOIN (SELECT period, sum(fraud) AS fraud FROM of_disputes GROUP BY 1) d USING (period)""",
+    extra=_TIMELINE_EXTRA,
+)(lambda w: semantic.timeline(w, _TIMELINE_METRICS, "month"))
+_register(
+    "metric_timeline_by_method", doubles="approval_rate chargeback_rate_amount",
+    sql=f"""SELECT p.payment_method, p.period, {_TIMELINE_SELECT} FROM (SELECT payment_method, period FROM (SELECT payment_method, min(period) AS low, max(period) AS high FROM (SELECT payment_method, period FROM of_sales UNION SELECT payment_method, period FROM of_disputes) GROUP BY 1) g JOIN spine ON period BETWEEN low AND high) p
+    LEFT JOIN of_sales s ON s.period = p.period AND s.payment_method IS NOT DISTINCT FROM p.payment_method LEFT JOIN of_disputes d ON d.period = p.period AND d.payment_method IS NOT DISTINCT FROM p.payment_method""",
+    extra=_TIMELINE_EXTRA,
+)(lambda w: semantic.timeline(w, _TIMELINE_METRICS, "month", ["payment_method"]))
+
+
+@_register("orders_rolled_up", sql="SELECT date_trunc('month', cohort_date)::date AS period, count(DISTINCT order_id) AS orders, true AS within_error FROM payment_attempts GROUP BY 1")
+def _orders_rolled_up(w: Warehouse) -> DataFrame:
+    """Orders of each month: exact, and whether what daily sketches say is within the stated error of it."""
+    attempts, month = w("payment_attempts"), F.trunc("cohort_date", "month").alias("period")
+    exact = attempts.groupBy(month).agg(F.count_distinct("order_id").alias("orders"))
+    rolled = semantic.distinct_of(semantic.sketches(attempts, "orders", ["cohort_date", "payment_method"]), [month])
+    near = F.abs(F.col("distinct_estimate") - F.col("orders")) <= F.greatest(F.lit(1.0), F.col("orders") * semantic.SKETCH_ERROR)
+    return exact.join(rolled, "period").select("period", "orders", near.alias("within_error"))
+
+
 @_register("dq_reconciliation", sql="SELECT (SELECT sum(cb_amount::decimal(18,2)) FROM raw_chargebacks)::decimal(38,2) AS raw_amount, (SELECT sum(cb_amount) FROM fct_chargebacks)::decimal(38,2) AS event_amount, (SELECT sum(chargeback_amount) FROM payment_attempts)::decimal(38,2) + (SELECT coalesce(sum(cb_amount), 0) FROM fct_chargebacks WHERE is_orphan)::decimal(38,2) AS attempt_and_orphan_amount, 0::bigint AS violations".replace("::decimal(38,2) + ", " + ").replace("is_orphan)::decimal(38,2)", "is_orphan)"))
 def _dq_reconciliation(w: Warehouse) -> DataFrame:
     """The sums that must agree, and the number of violations of both reconciliations."""

@@ -42,7 +42,7 @@ class Metric:
 
 SEMANTIC_MODELS = {
     "payment_attempts": SemanticModel("cohort_date", ("payment_method", "is_chargeback_eligible", "decline_source", "decision_source", "rule_triggered", "is_duplicate_candidate", "merchant_id", "country", "card_network", "issuer_decline_type")),
-    "fct_chargebacks": SemanticModel("chargeback_date", ("reason_category", "is_fraud_reason")),
+    "fct_chargebacks": SemanticModel("chargeback_date", ("reason_category", "is_fraud_reason", "payment_method", "merchant_id", "card_network")),
 }
 
 
@@ -76,7 +76,8 @@ METRICS: dict[str, Metric] = {
     "gross_chargeback_loss": Metric("simple", ("gross_chargeback_amount",)),
     "fraud_bps": Metric("derived", ("fraud_labeled_amount", "approved_amount"), expr="cast({0} as double) * 10000 / nullif(cast({1} as double), 0)"),
 }
-GRAINS = ("day", "week", "month", "quarter", "year")
+#: Grains of time, with the step from one period to the next.
+GRAINS = {"day": "1 DAY", "week": "7 DAY", "month": "1 MONTH", "quarter": "3 MONTH", "year": "12 MONTH"}
 
 
 def query(models, metrics: list[str], by: list[str] | None = None, grain: str | None = None, where: str | None = None) -> DataFrame:
@@ -95,11 +96,66 @@ def query(models, metrics: list[str], by: list[str] | None = None, grain: str |
     keys = [F.col(d) for d in by or []]
     if grain:
         keys.append((F.col(known.time) if grain == "day" else F.trunc(known.time, grain)).alias(known.time))
-    sums = {f"_{k}_{i}": MEASURES[m].column(METRICS[k].where) for k in metrics for i, m in enumerate(METRICS[k].measures)}
-    out = df.groupBy(*keys).agg(*[c.alias(k) for k, c in sums.items()])
+    out = df.groupBy(*keys).agg(*[c.alias(k) for k, c in _sums(metrics).items()])
+    return out.select(*[c for c in out.columns if not c.startswith("_")], *[_made(k).alias(k) for k in metrics])
 
-    def made(k: str) -> Column:
-        m, names = METRICS[k], [f"_{k}_{i}" for i in range(len(METRICS[k].measures))]
-        return F.col(names[0]) if m.kind == "simple" else ratio(*names) if m.kind == "ratio" else F.expr(m.expr.format(*names))
 
-    return out.select(*[c for c in out.columns if not c.startswith("_")], *[made(k).alias(k) for k in metrics])
+def _sums(metrics: list[str], model: str | None = None) -> dict[str, Column]:
+    """Aggregates that the metrics are made of, those of one model if it is given."""
+    return {f"_{k}_{i}": MEASURES[m].column(METRICS[k].where) for k in metrics for i, m in enumerate(METRICS[k].measures) if model in (None, MEASURES[m].model)}
+
+
+def _made(k: str) -> Column:
+    m, names = METRICS[k], [f"_{k}_{i}" for i in range(len(METRICS[k].measures))]
+    return F.col(names[0]) if m.kind == "simple" else ratio(*names) if m.kind == "ratio" else F.expr(m.expr.format(*names))
+
+
+def timeline(models, metrics: list[str], grain: str, by: list[str] | None = None) -> DataFrame:
+    """Metrics of any models by period, and by dimensions that all of these models have. Between the first and last period of a group (of all, without dimensions) every period of
+    the time spine has a row: sums are zero there, and ratios null. Rows without a time are in no period.
+
+    One aggregation a model; these are put together by a union and one more aggregation over their few rows, so models are never joined, whatever keys one has and another lacks.
+    """
+    by, of = by or [], sorted({MEASURES[m].model for k in metrics for m in METRICS[k].measures})
+    if unknown := [(d, m) for d in by for m in of if d not in SEMANTIC_MODELS[m].dimensions]:
+        raise ValueError(f"no such dimensions: {unknown}")
+    if grain not in GRAINS:
+        raise ValueError(f"no such grain: {grain}")
+
+    def period(c: str) -> Column:
+        return (F.col(c) if grain == "day" else F.trunc(c, grain)).alias("period")
+
+    parts = None
+    for m in of:
+        time = SEMANTIC_MODELS[m].time
+        part = models(m).where(F.col(time).isNotNull()).groupBy(*by, period(time)).agg(*[c.alias(k) for k, c in _sums(metrics, m).items()])
+        parts = part if parts is None else parts.unionByName(part, allowMissingColumns=True)
+    names = list(_sums(metrics))
+    met = parts.groupBy(*by, "period").agg(*[F.max(c).alias(c) for c in names])  # each is of one model, which has one row here
+    spans = met.groupBy(*by).agg(F.min("period").alias("_first"), F.max("period").alias("_last")).where("_first is not null")
+    every = spans.select(*by, F.explode(F.sequence("_first", "_last", F.expr(f"INTERVAL {GRAINS[grain]}"))).alias("period"))
+    spine = models("time_spine").select(period("date_day")).distinct()
+    every = every.join(F.broadcast(spine), "period", "left_semi")  # days of a calendar at most
+    same = F.col("e.period") == F.col("m.period")
+    for d in by:
+        same = same & F.col(f"e.{d}").eqNullSafe(F.col(f"m.{d}"))
+    filled = every.alias("e").join(met.alias("m"), same, "left").select(*[F.col(f"e.{d}").alias(d) for d in by], F.col("e.period").alias("period"), *[F.coalesce(F.col(f"m.{c}"), F.lit(0)).cast(met.schema[c].dataType).alias(c) for c in names])
+    return filled.select(*by, "period", *[_made(k).alias(k) for k in metrics])
+
+
+#: Size of sketches of distinct values (2^SKETCH registers), and the relative error that an estimate from them keeps to with three standard deviations.
+SKETCH = 14
+SKETCH_ERROR = 3 * 1.04 / 2 ** (SKETCH / 2)
+
+
+def sketches(df: DataFrame, measure: str, by: list[str]) -> DataFrame:
+    """by, and a sketch of the distinct values of a measure (some kilobytes, whatever their number) that can be merged over any of them: what exact distinct counts can't."""
+    m = MEASURES[measure]
+    if not m.distinct:
+        raise ValueError(f"{measure} is a sum: add it up")
+    return df.groupBy(*by).agg(F.hll_sketch_agg(F.expr(m.expr).cast("string"), F.lit(SKETCH)).alias("sketch"))
+
+
+def distinct_of(sketched: DataFrame, by: list[Column]) -> DataFrame:
+    """by, and the estimated number of distinct values over the sketches of each group."""
+    return sketched.groupBy(*by).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("distinct_estimate"))

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from riskmart import schemas
 from riskmart.operators import aggregates, facts, incremental, intermediate
+from riskmart.plans import semantic
 from riskmart.plans.dag import WATERMARK_SOURCES, Warehouse
 from riskmart.sources import files
 
@@ -43,7 +44,7 @@ FACTS = {"fct_payment_attempts": ("marts", "transaction_id", "cohort_date"), "fc
 #: Sums: folder, column of the keys that are replaced, column of the unit.
 SUMS = {
     "cohort_daily": ("marts", "cohort_date", "cohort_date"), "approval_daily": ("incremental", "transaction_date", "month"), "rule_performance": ("incremental", "transaction_date", "month"), "settled_daily": ("incremental", "cohort_date", "month"),
-    "fraud_daily": ("incremental", "cohort_date", "month"), "rule_daily": ("incremental", "cohort_date", "month"), "network_sums": ("incremental", "month_start", "month"), "loss_sums": ("incremental", "month_start", "month"),
+    "fraud_daily": ("incremental", "cohort_date", "month"), "rule_daily": ("incremental", "cohort_date", "month"), "orders_daily": ("incremental", "cohort_date", "month"), "network_sums": ("incremental", "month_start", "month"), "loss_sums": ("incremental", "month_start", "month"),
 }
 BUCKETS = 64
 _LINK = "feed string, id string, transaction_id string, day date"
@@ -155,6 +156,8 @@ class Stored:
             return aggregates.network_sums(aggregates.settled(attempts, "cohort_date"), "cohort_date").withColumn("month", _month("cohort_date"))
         if name == "fraud_daily":
             return attempts.groupBy("cohort_date").agg(F.count_if("is_fraud_labeled").alias("fraud_count")).withColumn("month", _month("cohort_date"))
+        if name == "orders_daily":
+            return semantic.sketches(attempts, "orders", ["cohort_date", "payment_method"]).withColumn("month", _month("cohort_date"))
         made = aggregates.approval_daily(attempts) if name == "approval_daily" else aggregates.rule_performance(attempts, self.w.config)
         return made.withColumn("month", _month("transaction_date"))
 
@@ -412,6 +415,6 @@ class Stored:
 
 
 _READS = {
-    "cohort_daily": ["fct_payment_attempts"], "approval_daily": ["fct_payment_attempts"], "rule_performance": ["fct_payment_attempts"], "settled_daily": ["fct_payment_attempts"], "fraud_daily": ["fct_payment_attempts"],
+    "cohort_daily": ["fct_payment_attempts"], "approval_daily": ["fct_payment_attempts"], "rule_performance": ["fct_payment_attempts"], "settled_daily": ["fct_payment_attempts"], "fraud_daily": ["fct_payment_attempts"], "orders_daily": ["fct_payment_attempts"],
     "rule_daily": ["rule_hits"], "network_sums": ["settled_daily", "reported_frauds", "fct_chargebacks"], "loss_sums": ["fct_chargebacks", "merchant_claims"],
 }
