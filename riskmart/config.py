@@ -29,9 +29,6 @@ class Config:
     psi_severe: float = 0.25
     psi_floor: float = 0.0001
     fail_open_rate: float = 0.01
-    orphan_share: float = 0.005
-    psi_contract: float = 0.2
-    feed_gap_business_days: int = 2
     score_bands: tuple[int, ...] = (30, 60, 80)
     velocity_seconds: tuple[int, int] = (600, 86400)
     calendar: tuple[date, date] = (date(2025, 1, 1), date(2027, 12, 31))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from riskmart import schemas
 from riskmart.config import Config
+from riskmart.contracts import CONTRACTS, Contract
 from riskmart.functions.columns import TOTAL, ratio
 
 
@@ -134,13 +135,21 @@ def volume_anomalies(df: DataFrame, at: str, config: Config) -> DataFrame:
     return based.withColumn("status", status)
 
 
-def contract_rules(models: Callable[[str], DataFrame], config: Config) -> DataFrame:
-    """The contracts' rules on shares: rule, n_rows, n_bad, value, status."""
-    missing = " or ".join(f"{c} is null" for c in ("transaction_id", "merchant_id", "order_id", "amount", "status"))
-    of_fact = {"approved_without_evaluation": ("is_approved_without_risk_evaluation", "is_approved", config.fail_open_rate), "incomplete_attempts": (missing, "true", 0.0)}
-    psi = models("score_psi").agg(F.lit("score_drift").alias("rule"), F.count("psi").alias("n_rows"), F.count_if(F.col("psi") >= config.psi_contract).alias("n_bad"), F.max("psi").alias("value"))
-    psi = psi.withColumn("status", F.when(F.col("n_bad") > 0, "error").otherwise("pass"))
-    return share_rules(models("fct_chargebacks"), {"orphan_chargebacks": ("is_orphan", "true", config.orphan_share)}).unionByName(share_rules(models("payment_attempts"), of_fact)).unionByName(psi)
+def contract_rules(models: Callable[[str], DataFrame], config: Config, contracts: dict[str, Contract] = CONTRACTS) -> DataFrame:
+    """The contracts' rules on shares and drift: rule, n_rows, n_bad, value, status; limits are the contracts', not the config's. One pass a table, whatever the number of contracts that have rules about it."""
+    shares: dict[str, dict[str, tuple[str, str, float]]] = {}
+    for c in contracts.values():
+        for model, rules in c.shares().items():
+            shares.setdefault(model, {}).update(rules)
+    parts = [share_rules(models(model), rules) for model, rules in shares.items()]
+    for r in (r for c in contracts.values() for r in c.of_kind("distribution")):
+        value = F.col(r["column"])
+        found = models(r["model"]).agg(F.lit(r["name"]).alias("rule"), F.count(value).alias("n_rows"), F.count_if(value >= r["mustBeLessThan"]).alias("n_bad"), F.max(value).alias("value"))
+        parts.append(found.withColumn("status", F.when(F.col("n_bad") > 0, "error").otherwise("pass")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 @dataclass(frozen=True)

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskmart import schemas
+from riskmart.contracts import CONTRACTS
 from riskmart.operators import aggregates, asof, incremental, quality, snapshot
 from riskmart.plans import oracle, semantic
 from riskmart.plans.dag import WATERMARK_SOURCES, Warehouse
@@ -283,7 +284,7 @@ def _dq_unique_grain(w: Warehouse) -> DataFrame:
     return out
 
 
-_LIMITS = {"raw_transactions": (timedelta(minutes=30), timedelta(hours=2)), "raw_risk_evaluations": (timedelta(minutes=30), timedelta(hours=2)), "raw_chargebacks": (timedelta(days=2), timedelta(days=4)), "raw_issuer_fraud_reports": (timedelta(days=2), timedelta(days=4))}
+_LIMITS = {c.name: c.freshness() for c in CONTRACTS.values()} | {"raw_issuer_fraud_reports": (timedelta(days=2), timedelta(days=4))}
 _CLOCK = "2002-01-02 00:00:00"
 
 
@@ -298,7 +299,7 @@ def _freshness(w: Warehouse) -> DataFrame:
 
 @_register("feed_gap", sql=f"SELECT 'raw_chargebacks' AS source, newest, (SELECT count(*) FROM range(newest::date + 1, TIMESTAMP '{_CLOCK}' + INTERVAL 1 SECOND, INTERVAL 1 DAY) r(d) WHERE isodow(d) < 6) AS value, CASE WHEN (SELECT count(*) FROM range(newest::date + 1, TIMESTAMP '{_CLOCK}' + INTERVAL 1 SECOND, INTERVAL 1 DAY) r(d) WHERE isodow(d) < 6) <= 2 THEN 'pass' ELSE 'error' END AS status FROM (SELECT max(_ingested_at) AS newest FROM raw_chargebacks)")
 def _feed_gap(w: Warehouse) -> DataFrame:
-    found = quality.business_day_rule(w("raw_chargebacks"), _CLOCK, w.config.feed_gap_business_days)
+    found = quality.business_day_rule(w("raw_chargebacks"), _CLOCK, CONTRACTS["raw_chargebacks"].of_kind("gap")[0]["mustBeLessThan"])
     return found.select(F.lit("raw_chargebacks").alias("source"), "newest", "value", "status")
 
 

@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from riskmart import schemas
 from riskmart.config import Config
+from riskmart.contracts import CONTRACTS
 from riskmart.plans.dag import Warehouse
 from riskmart.plans.stored import FEEDS, Stored
 from riskmart.sources import files
@@ -46,7 +47,7 @@ def split(messages: DataFrame, feed: str) -> tuple[DataFrame, DataFrame]:
     """(kept, quarantined) rows of a feed."""
     payload = F.from_json("value", schemas.FEED[feed])
     rows = messages.where(F.col("topic") == feed).select(F.col("value").alias("raw_payload"), F.col("timestamp").alias("_ingested_at"), payload.alias("payload")).select("payload.*", "raw_payload", "_ingested_at")
-    if feed in ingest.CONTRACTS:
+    if feed in CONTRACTS:
         kept, bad = ingest.split(rows, feed)
         return kept.drop("raw_payload"), bad
     whole = F.col(FEEDS.get(feed, schemas.RAW_FIELDS[feed][0])).isNotNull()

@@ -12,33 +12,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from riskmart import schemas
-
-
-def _time(c: str) -> Column:
-    return F.col(c).try_cast("timestamp_ntz").isNotNull()
-
-
-def _positive(c: str) -> Column:
-    return F.col(c).try_cast("decimal(18,2)") > 0
-
-
-def _present(c: str) -> Column:
-    return F.col(c).isNotNull()
-
-
-#: Feeds that have a contract.
-CONTRACTS = ("raw_transactions", "raw_risk_evaluations", "raw_chargebacks")
+from riskmart.contracts import CONTRACTS
 
 
 def contract(name: str) -> dict[str, Column]:
-    """Expectations of a feed, by name."""
-    if name == "raw_transactions":
-        return {"transaction_id_present": _present("transaction_id"), "transaction_at_valid": _time("transaction_at"), "amount_positive": _positive("amount"), "status_accepted": F.col("status").isin("approved", "declined", "error"), "payment_method_present": _present("payment_method")}
-    if name == "raw_risk_evaluations":
-        return {"evaluation_id_present": _present("evaluation_id"), "transaction_id_present": _present("transaction_id"), "evaluated_at_valid": _time("evaluated_at"), "action_accepted": F.col("risk_action").isin("approve", "reject", "review")}
-    if name == "raw_chargebacks":
-        return {"chargeback_id_present": _present("chargeback_id"), "transaction_id_present": _present("transaction_id"), "chargeback_at_valid": _time("chargeback_at"), "cb_amount_positive": _positive("cb_amount")}
-    raise KeyError(name)
+    """Expectations of a feed, by name, as its contract's file has them."""
+    return CONTRACTS[name].expectations()
 
 
 def checked(df: DataFrame, name: str) -> DataFrame:
