@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from riskmart import schemas
 from riskmart.contracts import CONTRACTS
-from riskmart.operators import aggregates, asof, incremental, quality, snapshot
+from riskmart.operators import aggregates, asof, features, incremental, quality, snapshot
 from riskmart.plans import oracle, semantic
 from riskmart.plans.dag import WATERMARK_SOURCES, Warehouse
 from riskmart.plans.stored import Stored
@@ -349,12 +349,13 @@ def _last_chargeback(w: Warehouse) -> DataFrame:
     return asof.as_of_join(sales, moments, ["merchant_id"], "transaction_at", "chargeback_at", 30 * 86400)
 
 
+_register("velocity_from_sums", "events", sql="velocity")(lambda w: features.velocity_from_sums(w("stg_transactions"), w.config))
+
+
 @_register("velocity_job", "events", sql="SELECT * FROM velocity WHERE transaction_at >= (SELECT max(transaction_at) FROM stg_transactions) - INTERVAL 24 HOUR".replace("FROM velocity", "FROM velocity"))
 def _velocity_job(w: Warehouse) -> DataFrame:
-    from riskmart.operators.features import velocity_job
-
     now = w("stg_transactions").agg(F.max("transaction_at")).first()[0]
-    return velocity_job(w("stg_transactions"), now, w.config)
+    return features.velocity_job(w("stg_transactions"), now, w.config)
 
 
 def _streaming(spark: SparkSession, sf_dir: str) -> DataFrame:

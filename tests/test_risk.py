@@ -134,6 +134,29 @@ def test_time_blocks_change_no_window(spark):
     assert sorted(r[0] for r in incremental.neighbours(df, changed, config).collect()) == sorted(t for t, g in groups.items() if {"t05", "t13"} & set(g))
 
 
+def test_velocity_from_sums_equals_the_window(spark):
+    """Nulls in user, time and amount, equal seconds, windows that end at rows, hours without any."""
+    import random
+
+    rng = random.Random(4)
+    config = Config(velocity_seconds=(600, 86400))
+    at = lambda: None if rng.random() < 0.1 else datetime(2026, 1, 1) + timedelta(seconds=rng.choice([0, 600, 601, 3599, 3600, 86400, 86401, 90000, rng.randrange(400_000)]))
+    rows = [(f"t{i}", rng.choice(["hot", "hot", "hot", "b", "", None]), at(), rng.choice([D("1.50"), D("2.00"), None])) for i in range(400)]
+    df = spark.createDataFrame(rows, "transaction_id string, user_id string, transaction_at timestamp_ntz, amount decimal(18,2)")
+    got, expected = (sorted(map(str, f(df, config).collect())) for f in (features.velocity_from_sums, features.velocity))
+    assert got == expected and len(got) == 400
+
+
+def test_velocity_of_a_user_with_a_million_attempts_in_a_day(spark):
+    n, per_second = 1_000_000, 12
+    df = spark.range(n).select(F.col("id").cast("string").alias("transaction_id"), F.lit("hot").alias("user_id"), (F.lit("2026-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=F.floor(F.col("id") / per_second))).alias("transaction_at"), F.lit(D("1.00")).cast("decimal(18,2)").alias("amount"))
+    (r,) = features.velocity_from_sums(df, Config()).agg(F.count("*").alias("n"), F.max("user_attempts_10m").alias("short"), F.max("user_attempts_24h").alias("long"), F.sum("user_attempts_10m").alias("total")).collect()
+    full = [per_second * min(s + 1, 601) - 1 for s in range(-(-n // per_second))]
+    last = n - (len(full) - 1) * per_second
+    assert (r.n, r.short, r.long) == (n, per_second * 601 - 1, n - 1)
+    assert r.total == sum(x * per_second for x in full[:-1]) + last * (full[-1] - (per_second - last))
+
+
 def test_first_label(spark):
     w = Warehouse(spark, feeds(spark, raw_issuer_fraud_reports=[("r1", "tx_1001", "visa", "2026-03-05 08:00:00", "x", "2026-03-05 09:00:00")]))
     (r,) = w("fraud_labels_per_tx").collect()
