@@ -11,7 +11,7 @@ the tiles that its widened windows reach, and those meetings are the tasks. A ta
 vector its number of links and the least vector it is joined with, so a group of n near copies gives n rows, not n^2.
 
 Labels of any type count by equality (text by its hash). Vectors without label or id, null, empty or zero ones and those with null or non-finite components link with nothing. Equal
-vec_ids are one node of a component; each row has its own number of links.
+vec_ids are one node of a component; each row has its own number of links. An empty table gives no rows. Columns besides the three named ones can have any name.
 """
 
 from __future__ import annotations
@@ -175,8 +175,10 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, tile: int = TIL
     good = rows.where("fit")
     classes = good.groupBy("label", "embedding").agg(F.min("vec_id").alias("node"), F.count("*").alias("weight"))
     reps = classes.select("label", F.size("embedding").alias("dims"), "node", "weight", "embedding").mapInArrow(_first_projection, "label long, dims int, node long, weight long, embedding array<double>, p double")
-    n_tiles = max(1, round(good.count() / tile))
-    tiles = reps.repartitionByRange(n_tiles, "label", "dims", "p").withColumn("tile", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id())
+    total = good.count()
+    n_tiles = max(1, round(total / tile))
+    # Scaled copies share their projection: node and content tell them apart, so a tile can end among them.
+    tiles = reps.repartitionByRange(n_tiles, "label", "dims", "p", "node", F.xxhash64("embedding")).withColumn("tile", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id())
     tiles = common.materialise(tiles, "tiles")
     reach = F.lit(REACH) * F.sqrt(F.lit(max(0.0, 2 - 2 * threshold)) / F.col("dims"))
     spans = tiles.groupBy("label", "dims", "tile").agg(F.min("p").alias("low"), F.max("p").alias("high")).withColumn("reach", reach)
@@ -190,7 +192,8 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, tile: int = TIL
     sums = found.groupBy("row").agg(F.sum("links").alias("links"))
     of = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     least = tiles.select("label", "embedding", "node", "weight", "row").join(sums, "row", "left").join(of.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
-    least = least.select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("root", "node").alias("component_id"))
-    done = good.select("vec_id", "label", "embedding").join(least, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
+    least = least.select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("root", "node").alias("component_id"), "weight")
+    # A vector that very many rows have is dealt over tasks.
+    done = common.join_to_keys(good.select("vec_id", "label", "embedding"), common.materialise(least, "classes"), ["label", "embedding"], total, "weight").select("vec_id", "n_links", "component_id")
     unfit = rows.where("not fit").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return done.unionByName(unfit).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

@@ -646,3 +646,23 @@ def test_encoder_keeps_to_the_words_it_may_remember():
 def test_dictionary_of_very_long_texts_is_bounded(spark):
     long = spark.range(0, 12, 1, 2).select(F.col("id").alias("doc_id"), F.concat(F.col("id").cast("string"), F.repeat(F.lit(" seven little words of a long text."), 60_000)).alias("text"))
     assert 0 < len(token_files.train_dictionary(long, sample=12)) <= token_files.DICTIONARY_BYTES
+
+
+def test_embeddings_scaled_copies_and_one_very_common_vector(spark):
+    """900 multiples of one vector share label and projection, and are cut into tiles all the same; 2,000 rows have one vector, with adaptive execution off."""
+    rng = np.random.default_rng(6)
+    base, common_one = rng.normal(size=8), rng.normal(size=8)
+    rows = [(i, (base * (1 + i / 7)).tolist(), 1) for i in range(900)] + [(1000 + i, common_one.tolist(), 2) for i in range(2000)] + [(5000 + i, rng.normal(size=8).tolist(), 2) for i in range(20)]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<double>, label int, node string, weight int").repartition(4)
+    was = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(df, tile=100).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", was)
+    assert len(got) == len(rows) and all(got[i] == (899, 0) for i in range(900))
+    x = np.array([r[1] for r in rows[900:]])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    links = (x @ x.T >= embeddings.THRESHOLD).sum(1) - 1
+    assert [got[r[0]][0] for r in rows[900:]] == links.tolist() and got[1999][1] == 1000
+    assert embeddings.near_duplicates(df.where("false")).count() == 0
