@@ -64,22 +64,11 @@ def affected_cohorts(old_attempts: DataFrame, new_attempts: DataFrame) -> DataFr
     return was.select("cohort_date").unionByName(new_attempts.select("cohort_date")).distinct()
 
 
-def cohorts_since(attempts: DataFrame, last_update) -> DataFrame:
-    """cohort_date of rows updated after the aggregate was, all of them if it is empty."""
-    mark = F.coalesce(F.lit(last_update).cast("timestamp"), F.lit(EPOCH).cast("timestamp"))
-    return attempts.where(F.col("_updated_at") > mark).select("cohort_date").distinct()
-
-
 def replace_cohorts(old: DataFrame, new: DataFrame, cohorts: DataFrame) -> DataFrame:
     """old without the cohorts, and new: a cohort that is empty now is gone."""
     return old.join(cohorts.select("cohort_date"), "cohort_date", "left_anti").unionByName(new, allowMissingColumns=True)
 
 
-def write_cohorts(new: DataFrame, path: str) -> None:
-    """Replace the partitions of new's cohorts, and no others; nothing happens without rows."""
-    write_table(new, path, partition_by="cohort_date")
-
-
 #: Hash buckets of a keyed table, set when it is made.
 BUCKETS = 64
 
