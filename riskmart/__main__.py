@@ -1,7 +1,8 @@
 """Command lines: `python -m riskmart build|refresh|velocity|late-chargeback --raw FOLDER --to FOLDER` (under spark-submit on a cluster).
 
 build writes all models (or --select's) from the feeds, refresh brings the stored fact and cohorts up to them, velocity writes the last day's features, and late-chargeback shows a
-cohort's rate before and after a chargeback 120 days after the sale. --form tells whether the feeds are CSV or Parquet.
+cohort's rate before and after a chargeback 120 days after the sale. --form tells whether the feeds are CSV or Parquet. Lookup tables that the folder has as CSV files
+(ref_reason_codes.csv, ref_response_codes.csv) take the place of those that are built in.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from riskmart.config import Config
 from riskmart.operators.features import velocity_job
 from riskmart.plans import dag
-from riskmart.sources import files
+from riskmart.sources import files, lookups
 
 
 def late_chargeback(w: dag.Warehouse, transaction_id: str, amount: str) -> DataFrame:
@@ -47,7 +48,7 @@ def main(args: list[str] | None = None) -> None:
     p.add_argument("--amount", default="500.00")
     a = p.parse_args(args)
     spark = SparkSession.builder.appName("riskmart").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    w = dag.Warehouse(spark, files.folder(spark, a.raw, a.form), Config(as_of=a.as_of) if a.as_of else Config())
+    w = dag.Warehouse(spark, files.folder(spark, a.raw, a.form), Config(as_of=a.as_of) if a.as_of else Config(), lookups.folder(spark, a.raw))
     if a.command != "late-chargeback" and not a.to:
         p.error("--to is missing")
     if a.command == "build":

@@ -186,6 +186,7 @@ def network_status(summed: DataFrame, config: Config) -> DataFrame:
         "projection_factor": F.when(F.col("month_start") == month(today), pace).otherwise(F.lit(1.0)),
     })
     pace, vamp, ecm, warn = F.col("projection_factor"), F.col("visa_vamp_ratio"), F.col("mc_ecm_ratio"), config.early_warning_share
+    # These, and the two states by name below.
     over, early, fine = "acima_do_limite", "alerta_preventivo", "ok"
     return out.withColumns({
         "projected_dispute_count": F.round(F.col("dispute_count") * pace),

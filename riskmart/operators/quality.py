@@ -46,6 +46,7 @@ def expression_is_true(df: DataFrame, expression: str) -> DataFrame:
 
 def card_data_columns(tables: dict[str, DataFrame]) -> list[tuple[str, str]]:
     """Columns whose names tell of card data that must not be kept: a check of schemas, not rows."""
+    # Fixed values.
     forbidden = {"pan", "card_number", "cardnumber", "cvv", "cvc", "card_cvv", "expiry", "expiration_date", "card_expiry"}
     return [(t, c) for t, df in tables.items() for c in df.columns if c.lower() in forbidden]
 

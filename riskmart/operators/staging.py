@@ -14,6 +14,7 @@ from riskmart.functions.frames import latest_by
 
 #: Fixed values.
 FRAUD_REFUND_REASONS = ["fraud_alert", "fraud_confirmed", "dispute_alert"]
+REASON_CODE = r"^([0-9]+(\.[0-9]+)?)"
 
 
 def _stage(raw: DataFrame, keys: list[str], columns: dict[str, Column]) -> DataFrame:
@@ -42,7 +43,7 @@ def chargebacks(raw: DataFrame, reason_codes: DataFrame) -> DataFrame:
     """The category goes by the code alone, whatever network it is from; codes are unique in the lookup, which has 18 rows."""
     staged = _stage(raw, ["chargeback_id"], {
         "chargeback_id": text("chargeback_id"), "transaction_id": text("transaction_id"), "chargeback_at": moment("chargeback_at"),
-        "reason_code_raw": text("reason_code"), "network_reason_code": F.regexp_extract(text("reason_code"), r"^(\d+(\.\d+)?)", 1), "cb_amount": money("cb_amount"),
+        "reason_code_raw": text("reason_code"), "network_reason_code": F.regexp_extract(text("reason_code"), REASON_CODE, 1), "cb_amount": money("cb_amount"),
     })
     known = reason_codes.select(F.col("reason_code").alias("network_reason_code"), "reason_category")
     found = staged.join(F.broadcast(known), "network_reason_code", "left")

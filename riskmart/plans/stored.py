@@ -220,7 +220,7 @@ class Stored:
 
         def table(name: str) -> None:
             files.delete(self.spark, self._at(name))
-            files.write_table(self._full(name) if name in FACTS else self._sums(name, {k: stored[k] for k in _READS[name]}), self._at(name), (FACTS | SUMS)[name][2])
+            files.write_table(self._full(name) if name in FACTS else self._sums(name, {k: stored[k] for k in _READS[name]}), self._at(name), (FACTS | SUMS)[name][2], mode="append")
             stored[name] = self.read(name)
             if name in FACTS:
                 self._add_units(name, stored[name])
@@ -264,7 +264,8 @@ class Stored:
             files.delete(self.spark, self.run)
             return []
         keys, cut, suspects = self._reopened(changed)
-        some = Warehouse(self.spark, cut, self.w.config)
+        refs = {k: v for k, v in self.w.made.items() if k.startswith("ref_")}
+        some = Warehouse(self.spark, cut, self.w.config, refs)
         # A chargeback that went from a changed transaction to another one belongs to that one.
         of = some("stg_chargebacks")
         some.made |= {"stg_chargebacks": of.where("transaction_id is null").unionByName(incremental.only(of, keys)), "duplicate_suspects": suspects}

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from riskmart.sources import files
 
 #: Network, reason code, description, category of chargeback reasons.
 REASON_CODES = [
@@ -43,9 +46,26 @@ RESPONSE_CODES = [
 ]
 
 
+_SCHEMAS = {"ref_reason_codes": "network string, reason_code string, reason_description string, reason_category string", "ref_response_codes": "issuer_response_code string, description string, decline_type string"}
+
+
 def reason_codes(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(REASON_CODES, "network string, reason_code string, reason_description string, reason_category string")
+    return spark.createDataFrame(REASON_CODES, _SCHEMAS["ref_reason_codes"])
 
 
 def response_codes(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(RESPONSE_CODES, "issuer_response_code string, description string, decline_type string")
+    return spark.createDataFrame(RESPONSE_CODES, _SCHEMAS["ref_response_codes"])
+
+
+def from_csv(spark: SparkSession, name: str, path: str) -> DataFrame:
+    """A lookup table from a CSV file with a header, in place of the table that is here by the same name. Codes are trimmed, and one that occurs twice is an error: joins go by the code alone."""
+    key = {"ref_reason_codes": "reason_code", "ref_response_codes": "issuer_response_code"}[name]
+    df = spark.read.option("header", True).option("enforceSchema", False).schema(_SCHEMAS[name]).csv(path).withColumn(key, F.trim(key))
+    if twice := [r[0] for r in df.groupBy(key).count().where("count > 1").orderBy(key).limit(5).collect()]:
+        raise ValueError(f"{path}: codes that occur twice: {twice}")
+    return df
+
+
+def folder(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The lookup tables that a folder has files of, by name."""
+    return {name: from_csv(spark, name, f"{path}/{name}.csv") for name in _SCHEMAS if files.exists(spark, f"{path}/{name}.csv")}

@@ -17,6 +17,7 @@ from riskmart.plans.dag import Warehouse
 from riskmart.sources import lookups
 from riskmart.sources.files import raw_rows
 
+#: Published rows, here and in the results below.
 DAY = "2026-03-01 "
 TX = [
     ("tx_1001", "usr_01", DAY + "10:00:00", "150.00", "approved", "credit_card", DAY + "10:00:05"),
@@ -352,5 +353,24 @@ def test_sources_and_command_lines(spark, tmp_path):
     spark.sql("DROP TABLE raw_transactions_of_test")
     main(["build", "--raw", str(tmp_path), "--to", str(tmp_path / "out"), "--select", "+cohort_daily fct_payment_attempts"])
     assert spark.read.parquet(str(tmp_path / "out/marts/cohort_daily")).count() == 2
+    main(["refresh", "--raw", str(tmp_path), "--to", str(tmp_path / "out")])
+    assert spark.read.parquet(str(tmp_path / "out/marts/cohort_daily")).count() == 2
     main(["velocity", "--raw", str(tmp_path), "--to", str(tmp_path / "velocity")])
     assert spark.read.parquet(str(tmp_path / "velocity")).count() > 0
+
+
+def test_lookups_from_files(spark, tmp_path):
+    (tmp_path / "ref_reason_codes.csv").write_text("network,reason_code,reason_description,reason_category\nvisa, 99.9 ,New,fraud\n")
+    w = Warehouse(spark, feeds(spark, cb=[("c", "tx_1001", "2026-03-15 14:00:00", "99.9_new", "1.00", "2026-03-15 14:05:00"), ("d", "tx_1001", "2026-03-15 14:00:00", "10.4", "1.00", "2026-03-15 14:05:00")]), Config(), lookups.folder(spark, str(tmp_path)))
+    assert {k: r.reason_category for k, r in by(w("stg_chargebacks"), "chargeback_id").items()} == {"c": "fraud", "d": "unmapped"}
+    assert w("ref_response_codes").count() == len(lookups.RESPONSE_CODES)
+    (tmp_path / "ref_reason_codes.csv").write_text("network,reason_code,reason_description,reason_category\nvisa,1,a,fraud\nelo,1,b,fraud\n")
+    with pytest.raises(ValueError, match="twice"):
+        lookups.folder(spark, str(tmp_path))
+
+
+def test_violations_are_kept_for_audit(seed, tmp_path):
+    tests = [t for t in quality.suite(seed) if t.name in ("approved_without_evaluation", "attempts_grain", "amount_positive")]
+    assert sorted(quality.run(tests, str(tmp_path))) == [("amount_positive", 0, "pass"), ("approved_without_evaluation", 1, "warn"), ("attempts_grain", 0, "pass")]
+    assert [p.name for p in tmp_path.iterdir()] == ["approved_without_evaluation"]
+    assert [r.transaction_id for r in seed.spark.read.parquet(f"{tmp_path}/approved_without_evaluation").collect()] == ["tx_1005"]
