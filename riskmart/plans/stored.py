@@ -18,11 +18,12 @@ a stale entry costs a partition that is replaced by the same rows. `build` makes
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from datetime import date, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskmart import schemas
@@ -61,6 +62,18 @@ def at_once(f: Callable, names: Iterable[str]) -> dict:
         return dict(zip(names, pool.map(f, names), strict=True))
 
 
+@contextmanager
+def many_tasks(spark: SparkSession) -> Iterator[None]:
+    """Within it, few rows of many partitions are written by several tasks: by default they would meet in one, which writes a file after the other."""
+    key = "spark.sql.adaptive.coalescePartitions.minPartitionSize"
+    was = spark.conf.get(key)
+    spark.conf.set(key, "16k")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
 def _month(c: str) -> Column:
     return F.trunc(F.col(c).cast("date"), "month")
 
@@ -208,6 +221,10 @@ class Stored:
 
     def build(self) -> None:
         """All tables and the state from the whole feeds, in place of what is there."""
+        with many_tasks(self.spark):
+            self._build()
+
+    def _build(self) -> None:
         for folder in ("_run", "state"):
             files.delete(self.spark, f"{self.path}/{folder}")
         files.touch(self.spark, f"{self.path}/_building")
@@ -258,6 +275,10 @@ class Stored:
                 self._add_links(df.select(*self._link(feed, df)).distinct())
             for name in filter(self.has, FACTS):
                 self._add_units(name, self.read(name))
+        with many_tasks(self.spark):
+            return self._refresh(marks, arrived)
+
+    def _refresh(self, marks: dict[str, object], arrived: dict[str, DataFrame] | None) -> list[date | None]:
         changed = self._changed(marks, arrived)
         stamps = {r.feed: max(filter(None, (r.stamp, marks.get(r.feed))), default=None) for r in changed.groupBy("feed").agg(F.max("stamp").alias("stamp")).collect()}  # one for each feed
         if not stamps:
