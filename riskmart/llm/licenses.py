@@ -179,15 +179,12 @@ def scan(df: DataFrame, sentences: dict[str, list[str]] | None = None, rules: li
     joined = F.concat(F.lit("|"), F.array_join("sentence_ids", "||"), F.lit("|"))
     keys = ["".join(f"|{x}|" for x in seq) for _, _, seq in rules]
 
-    def hits(key: str) -> Column:
-        return F.size(F.split(F.col("joined"), "\\Q" + key + "\\E")) - 1
-
-    # A rule's own matches: all but those within matches of longer rules.
-    own: dict[str, Column] = {}
-    for key in sorted(set(keys), key=len, reverse=True):
-        own[key] = hits(key)
-        for longer in [k for k in own if key in k and k != key]:
-            own[key] = own[key] - own[longer]
-    found = [F.struct(F.lit(rule).alias("rule"), F.lit(license_).alias("license"), own[key].cast("long").alias("n_matches")) for (rule, license_, _), key in zip(rules, keys, strict=True)]
+    def own(key: str) -> Column:
+        """Matches of a sequence that are not within one of a longer rule. Of each place in a longer one: what stands before and after it there."""
+        within = [(k[:at], k[at + len(key) :]) for k in set(keys) if k != key for at in range(len(k) - len(key) + 1) if k.startswith(key, at)]
+        covered = "".join(f"(?!{f'(?<=\\Q{before}\\E)' if before else ''}\\Q{key}{after}\\E)" for before, after in sorted(within))
+        return F.regexp_count("joined", F.lit(f"{covered}\\Q{key}\\E"))
+
+    found = [F.struct(F.lit(rule).alias("rule"), F.lit(license_).alias("license"), own(key).cast("long").alias("n_matches")) for (rule, license_, _), key in zip(rules, keys, strict=True)]
     matched = ids.withColumn("joined", joined).withColumn("m", F.explode(F.filter(F.array(*found), lambda x: x.n_matches > 0)))
     return matched.select("doc_id", "m.rule", "m.license", "m.n_matches", "sentence_ids")

@@ -232,3 +232,12 @@ def test_licences_of_any_holder(spark):
     documents = docs.toPandas()  # noqa: F841
     con.sql("CREATE TABLE documents AS SELECT * FROM documents")
     assert Counter((r.doc_id, r.rule, r.license, r.n_matches, ",".join(r.sentence_ids)) for r in licenses.scan(docs).collect()) == Counter(con.execute(queries.ORACLES["op6_licenses"]).fetchall())
+
+
+def test_rules_that_overlap_take_a_shorter_one_once(spark):
+    sentences = {k: [f"sentence {k}"] for k in "abc"}
+    rules = [("ab", "L1", ["a", "b"]), ("bc", "L2", ["b", "c"]), ("b", "L3", ["b"])]
+    text = lambda ids: ".\n\n".join(f"sentence {k}" for k in ids)
+    rows = [(0, text("abcbb")), (1, text("ab")), (2, text("b")), (3, text("babb"))]
+    got = Counter((r.doc_id, r.rule, r.n_matches) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), sentences, rules).collect())
+    assert got == Counter([(0, "ab", 1), (0, "bc", 1), (0, "b", 2), (1, "ab", 1), (2, "b", 1), (3, "ab", 1), (3, "b", 2)])
