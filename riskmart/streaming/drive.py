@@ -5,11 +5,14 @@ refresh finds its rows by partitions) and quarantine; its kept rows are what arr
 stream's id and its number. A batch that comes again after that changes nothing. If a run breaks off before, the batch is done again from its beginning: its bronze
 folder is overwritten by the same rows, and a refresh of the same rows gives the same tables.
 
-A feed without a contract keeps every row with its key. Messages of unknown topics go to quarantine/_unknown. One stream at a time may drive a warehouse.
+A feed without a contract keeps every row with its key, and so does every feed of a stream that is run without contracts: the models flag what is odd and drop nothing. Messages of
+unknown topics go to quarantine/_unknown. One stream at a time may drive a warehouse.
 """
 
 from __future__ import annotations
 
+from collections.abc import Container
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -43,18 +46,18 @@ def named(raw: DataFrame, topics: dict[str, str]) -> DataFrame:
     return raw.select(feed.alias("topic"), F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), F.col("value").cast("string").alias("value"))
 
 
-def split(messages: DataFrame, feed: str) -> tuple[DataFrame, DataFrame]:
-    """(kept, quarantined) rows of a feed."""
+def split(messages: DataFrame, feed: str, contracts: Container[str] = CONTRACTS) -> tuple[DataFrame, DataFrame]:
+    """(kept, quarantined) rows of a feed; contracts are the feeds whose contract holds."""
     payload = F.from_json("value", schemas.FEED[feed])
     rows = messages.where(F.col("topic") == feed).select(F.col("value").alias("raw_payload"), F.col("timestamp").alias("_ingested_at"), payload.alias("payload")).select("payload.*", "raw_payload", "_ingested_at")
-    if feed in CONTRACTS:
+    if feed in contracts:
         kept, bad = ingest.split(rows, feed)
         return kept.drop("raw_payload"), bad
     whole = F.col(FEEDS.get(feed, schemas.RAW_FIELDS[feed][0])).isNotNull()
     return rows.where(whole).drop("raw_payload"), rows.where(~whole).withColumn("_broken", F.array(F.lit("key_present")))
 
 
-def apply(messages: DataFrame, path: str, batch: str, config: Config, buckets: int) -> bool:
+def apply(messages: DataFrame, path: str, batch: str, config: Config, buckets: int, contracts: Container[str] = CONTRACTS) -> bool:
     """One micro-batch into the warehouse below path; whether it wasn't in the ledger yet."""
     spark = messages.sparkSession
     entry = f"{path}/state/ledger/{batch}"
@@ -66,7 +69,7 @@ def apply(messages: DataFrame, path: str, batch: str, config: Config, buckets: i
     topics = {r.topic for r in messages.where(F.col("topic").isin(list(schemas.RAW))).select("topic").distinct().collect()}  # names of feeds
     arrived = {}
     for feed in topics:
-        kept, bad = split(messages, feed)
+        kept, bad = split(messages, feed, contracts)
         files.write_by_day(kept, f"{path}/bronze", feed, batch)
         bad.write.mode("overwrite").parquet(f"{path}/quarantine/{feed}/_batch={batch}")
         if feed in FEEDS:
@@ -84,7 +87,7 @@ def apply(messages: DataFrame, path: str, batch: str, config: Config, buckets: i
     return True
 
 
-def drive(messages: DataFrame, path: str, checkpoint: str, config: Config, buckets: int = 64, once: bool = True) -> StreamingQuery:
+def drive(messages: DataFrame, path: str, checkpoint: str, config: Config, buckets: int = 64, once: bool = True, contracts: Container[str] = CONTRACTS) -> StreamingQuery:
     """Run a stream of messages into the warehouse below path; with once, all that is there now, in as many micro-batches as the source makes, and then stop."""
-    w = messages.writeStream.foreachBatch(lambda df, number: apply(df, path, ingest.batch_name(df, number), config, buckets) and None).option("checkpointLocation", checkpoint)
+    w = messages.writeStream.foreachBatch(lambda df, number: apply(df, path, ingest.batch_name(df, number), config, buckets, contracts) and None).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if once else w.trigger(processingTime="15 minutes")).start()

@@ -103,3 +103,15 @@ def test_a_new_stream_overwrites_no_other(spark, tmp_path):
         (source / f"{name}.csv").write_text(f"{header}{name},t1,2026-03-01 10:00:00,10.4,5\n")
         ingest.ingest(ingest.csv_files(spark, "raw_chargebacks", str(source)), "raw_chargebacks", out, str(tmp_path / mark)).awaitTermination()
     assert sorted(r.chargeback_id for r in spark.read.parquet(f"{out}/raw_chargebacks").collect()) == ["a", "b"]
+
+
+def test_without_contracts_every_row_with_a_key_is_an_attempt(spark, tmp_path):
+    """The events of the query's feeds, one of them with an amount of zero, which the contract would quarantine."""
+    from riskmart.plans import queries
+
+    rows = "(1, timestamp'2024-01-01 00:10:00', 7, 'view', 0.001D), (2, timestamp'2024-01-01 01:10:00', 7, 'view', 5D), (3, timestamp'2024-01-01 02:10:00', 8, 'error', 0D)"
+    spark.sql(f"SELECT *, '{{\"k\": 5}}' AS props FROM VALUES {rows} t(event_id, ts, user_id, event_type, value)").write.parquet(f"{tmp_path}/events.parquet")
+    assert rows_of(queries.QUERIES["streaming_refresh"](spark, str(tmp_path))) == rows_of(queries.finished(queries.warehouse(spark, str(tmp_path), "events")("payment_attempts")))
+    keyless = messages("raw_transactions", [(None, *TX[0][1:])])
+    kept, bad = drive.split(spark.createDataFrame([(x["topic"], datetime.fromisoformat(x["timestamp"]), x["value"]) for x in map(json.loads, keyless)], drive.MESSAGE), "raw_transactions", ())
+    assert (kept.count(), bad.count()) == (0, 1)
