@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from riskmart.config import Config
 from riskmart.functions.columns import seconds
 from riskmart.functions.frames import in_time_blocks
+from riskmart.operators import staging
 from riskmart.sources import files
 from riskmart.sources.files import write_table
 
@@ -53,6 +54,19 @@ def only(df: DataFrame, keys: DataFrame) -> DataFrame:
     return df.join(keys.select("transaction_id"), "transaction_id", "left_semi")
 
 
+def rows_of(raw: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """All rows of a feed by its key that name, or have ever named, one of the transactions: staged, they are what the whole feed has of them."""
+    named = raw.join(keys.select(F.col("transaction_id").alias("_id")), F.trim("transaction_id") == F.col("_id"), "left_semi")
+    return named if key == "transaction_id" else raw.join(named.select(F.trim(key).alias("_id")).distinct(), F.trim(key) == F.col("_id"), "left_semi")
+
+
+def payments_of_users(raw: DataFrame, changed: DataFrame, config: Config) -> DataFrame:
+    """Staged transactions of all users of the changed ones: their neighbours and duplicates are among them."""
+    users = staging.transactions(rows_of(raw, "transaction_id", changed), config).where("user_id is not null").select(F.col("user_id").alias("_user")).distinct()
+    theirs = raw.join(users, F.trim("user_id") == F.col("_user"), "left_semi").select(F.trim("transaction_id").alias("transaction_id")).distinct()
+    return staging.transactions(rows_of(raw, "transaction_id", theirs), config)
+
+
 def merge_by_key(old: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
     """new's rows, and old's whose key new doesn't have. Columns that only one has are null in the other."""
     return old.join(new.select(*keys).distinct(), list(keys), "left_anti").unionByName(new, allowMissingColumns=True)
@@ -71,11 +85,18 @@ def replace_cohorts(old: DataFrame, new: DataFrame, cohorts: DataFrame) -> DataF
 
 #: Hash buckets of a keyed table, set when it is made.
 BUCKETS = 64
+#: Keys that are sent to all tasks at once; buckets are merged in groups that have no more.
+SENT_KEYS = 1_000_000
+#: A bucket of more files is put together when it is replaced.
+FILES = 8
 
 
 def upsert(spark: SparkSession, new: DataFrame, path: str, *keys: str, buckets: int = BUCKETS) -> None:
     """Merge into a Parquet table that may not exist. Rows are in buckets by hash of their keys, and only buckets that new has keys in are read and replaced; all other files stay.
 
+    new is made once and dealt to buckets. What is stored lies in buckets already and isn't shuffled: it meets the new keys of some buckets at a time, SENT_KEYS at most (a single bucket
+    with more new keys is joined by a shuffle).
+
     The merged buckets are written to _pending/ first and marked as ready there, then put in place. If that breaks off, the next upsert puts them in place before anything else, so
     no bucket is lost, and merging the same rows again gives the same. Readers that look in between can see some buckets before and some after.
     """
@@ -86,17 +107,45 @@ def upsert(spark: SparkSession, new: DataFrame, path: str, *keys: str, buckets:
     else:
         files.touch(spark, f"{path}/_buckets.{buckets}")
     new = new.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
-    folders = [x for r in new.select("_bucket").distinct().collect() if files.exists(spark, x := f"{path}/_bucket={r[0]}")]  # as many as buckets
-    old = spark.read.option("basePath", path).option("mergeSchema", True).parquet(*folders) if folders else None
-    write_table(new if old is None else merge_by_key(old, new, *keys), f"{path}/_pending/rows")
+    stored = {x for x in files.names(spark, path) if x.startswith("_bucket=")}
+    pending = f"{path}/_pending/rows"
+    if not stored:
+        write_table(new, pending, "_bucket", "append")
+    else:
+        write_table(new, f"{path}/_pending/new", "_bucket", "append")
+        new = spark.read.schema(new.schema).parquet(f"{path}/_pending/new")
+        for group, n in _groups(sorted(tuple(r) for r in new.groupBy("_bucket").count().collect())):  # as many as buckets
+            part = new.where(F.col("_bucket").isin(group))
+            folders = [f"{path}/{x}" for b in group if (x := f"_bucket={b}") in stored]
+            if folders:
+                old = spark.read.option("basePath", path).option("mergeSchema", True).parquet(*folders)
+                among = part.select(*keys).distinct()
+                part = old.join(F.broadcast(among) if n <= SENT_KEYS else among, list(keys), "left_anti").unionByName(part, allowMissingColumns=True)
+            write_table(part, pending, "_bucket", "append", rebalance=n > SENT_KEYS or any(len(files.names(spark, f)) > FILES for f in folders))
     files.touch(spark, f"{path}/_pending/ready")
     finish_upsert(spark, path)
 
 
+def _groups(counts: list[tuple[int, int]]) -> list[tuple[list[int], int]]:
+    """Buckets with their rows, put together up to SENT_KEYS rows."""
+    out: list[tuple[list[int], int]] = []
+    for bucket, n in counts:
+        if out and out[-1][1] + n <= SENT_KEYS:
+            out[-1] = ([*out[-1][0], bucket], out[-1][1] + n)
+        else:
+            out.append(([bucket], n))
+    return out
+
+
 def finish_upsert(spark: SparkSession, path: str) -> None:
-    """Put in place what an upsert has merged; throw away what it hasn't finished."""
+    """Put in place what an upsert has merged: buckets that aren't there are moved, the others replaced. Throw away what it hasn't finished."""
+    pending = f"{path}/_pending/rows"
     if files.exists(spark, f"{path}/_pending/ready"):
-        write_table(spark.read.parquet(f"{path}/_pending/rows"), path, "_bucket")
+        for x in files.names(spark, pending):
+            if "=" in x and not files.exists(spark, f"{path}/{x}"):
+                files.rename(spark, f"{pending}/{x}", f"{path}/{x}")
+        if any(not x.startswith((".", "_SUCCESS")) for x in files.names(spark, pending)):
+            write_table(spark.read.parquet(pending), path, "_bucket", rebalance=False)
     files.delete(spark, f"{path}/_pending")
 
 

@@ -46,9 +46,9 @@ def folder(spark: SparkSession, path: str, form: str = "csv") -> dict[str, DataF
     return found
 
 
-def write_table(df: DataFrame, path: str, partition_by: str | None = None, mode: str = "overwrite") -> None:
-    """Parquet; with partition_by and mode overwrite only the partitions that df has are replaced."""
-    if partition_by:
+def write_table(df: DataFrame, path: str, partition_by: str | None = None, mode: str = "overwrite", rebalance: bool = True) -> None:
+    """Parquet; with partition_by and mode overwrite only the partitions that df has are replaced. Without rebalance, for rows that lie by partition already, each task writes those it has."""
+    if partition_by and rebalance:
         df = df.hint("rebalance", partition_by)  # a few files for each partition, more for large ones
     w = df.write.mode(mode).option("compression", "zstd")
     if partition_by:
@@ -71,6 +71,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def rename(spark: SparkSession, path: str, to: str) -> None:
+    fs, p = _path(spark, path)
+    if not fs.rename(p, _path(spark, to)[1]):
+        raise OSError(f"{path} can't be moved to {to}")
+
+
 def names(spark: SparkSession, path: str) -> list[str]:
     """What a folder holds; nothing if it isn't there."""
     fs, p = _path(spark, path)

@@ -254,6 +254,26 @@ def test_upsert_leaves_other_buckets_alone(spark, tmp_path, monkeypatch):
     assert incremental.read_version(spark, str(tmp_path / "none")) is None
 
 
+def test_upsert_makes_what_is_new_once_and_in_groups(spark, tmp_path, monkeypatch):
+    path, made = str(tmp_path / "t"), spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            made.add(len(b))
+            yield b
+
+    rows = spark.range(500).withColumn("v", F.lit("a"))
+    incremental.upsert(spark, rows.mapInPandas(seen, rows.schema), path, "id", buckets=8)
+    assert made.value == 500
+    monkeypatch.setattr(incremental, "SENT_KEYS", 100)  # some buckets at a time
+    more = spark.range(250, 750).withColumn("v", F.lit("b"))
+    for n in (1000, 1500):
+        incremental.upsert(spark, more.mapInPandas(seen, more.schema), path, "id")
+        assert made.value == n
+    found = incremental.read_version(spark, path)
+    assert (found.count(), found.where("v = 'a' and id < 250").count(), found.where("v = 'b' and id >= 250").count()) == (750, 250, 500)
+
+
 def test_snapshot_versions(spark, seed):
     first = snapshot.start(seed("cohort_daily").drop("_updated_at"), "2026-04-01")
     late = Warehouse(spark, feeds(spark, cb=[*CB, LATE]), seed.config)("cohort_daily").drop("_updated_at")
