@@ -220,42 +220,56 @@ class Stored:
     # Runs
 
     def build(self) -> None:
-        """All tables and the state from the whole feeds, in place of what is there."""
-        with many_tasks(self.spark):
-            self._build()
+        """All tables and the state from the whole feeds, in place of what is there.
 
-    def _build(self) -> None:
+        Facts are first made as plain files in _run/: tables of many small partitions are written from those, and no sum reads the partitions.
+        """
         for folder in ("_run", "state"):
             files.delete(self.spark, f"{self.path}/{folder}")
         files.touch(self.spark, f"{self.path}/_building")
-        def feed(name: str) -> object:
-            df = self._feed(name)
-            self._add_links(df.select(*self._link(name, df)).distinct())
-            return df.agg(F.max("_ingested_at")).first()[0]
+        for name in FACTS | SUMS:
+            self._schema(name)
+        marks = self._look_through()
+        made: dict[str, DataFrame] = {}
 
-        stored: dict[str, DataFrame] = {}  # their folders are listed once
+        def make(name: str) -> None:
+            made[name] = self._written(self._full(name), f"made/{name}")
 
         def table(name: str) -> None:
             files.delete(self.spark, self._at(name))
-            files.write_table(self._full(name) if name in FACTS else self._sums(name, {k: stored[k] for k in _READS[name]}), self._at(name), (FACTS | SUMS)[name][2], mode="append")
-            stored[name] = self.read(name)
+            rows = made[name] if name in FACTS else self._sums(name, {k: made[k] for k in _READS[name]})
+            files.write_table(rows, self._at(name), (FACTS | SUMS)[name][2], mode="append")
             if name in FACTS:
-                self._add_units(name, stored[name])
-
-        for name in FACTS | SUMS:
-            self._schema(name)
-        marks = {name: feed(name) for name in FEEDS}
-        table("fct_payment_attempts")
-        self.w.made["payment_attempts"] = stored["fct_payment_attempts"].drop(*schemas.WATERMARKS)
-        at_once(table, [name for name in FACTS if name != "fct_payment_attempts"])
-        for last in (False, True):
-            at_once(table, [name for name in SUMS if any(r in SUMS for r in _READS[name]) == last])
-        marks |= stored["fct_payment_attempts"].agg(*[F.max(m).alias(m) for m in schemas.WATERMARKS]).first().asDict()
+                self._add_units(name, rows)
+            elif any(name in r for r in _READS.values()):
+                made[name] = self.read(name)
+
+        attempts, own = "fct_payment_attempts", self.w("payment_attempts")
+        make(attempts)
+        self.w.made["payment_attempts"] = made[attempts].drop(*schemas.WATERMARKS)
+        at_once(make, [name for name in FACTS if name != attempts])
+        with many_tasks(self.spark):
+            last = [name for name in SUMS if any(r in SUMS for r in _READS[name])]
+            at_once(table, [name for name in FACTS | SUMS if name not in last])
+            at_once(table, last)
+        marks |= made[attempts].agg(*[F.max(m).alias(m) for m in schemas.WATERMARKS]).first().asDict()
+        self.w.made["payment_attempts"] = own  # the files in _run/ go
         self._write_marks(marks)
         self._put_marks()
         files.delete(self.spark, self.run)
         files.delete(self.spark, f"{self.path}/_building")
 
+    def _look_through(self) -> dict[str, object]:
+        """The links of all feeds, each read once; returns their marks. A link that is there twice costs its place alone."""
+        out = None
+        for feed in FEEDS:
+            df = self._feed(feed)
+            part = df.select(*self._link(feed, df), F.col("_ingested_at").alias("stamp"))
+            out = part if out is None else out.unionByName(part)
+        links = self._written(out, "links")
+        self._add_links(links.drop("stamp"))
+        return {r.feed: r.stamp for r in links.groupBy("feed").agg(F.max("stamp").alias("stamp")).collect()}  # one for each feed
+
     def _feed(self, feed: str) -> DataFrame:
         return self.w(feed)
 
