@@ -37,27 +37,18 @@ def watermarks(sources: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def payment_attempts(
-    transactions: DataFrame, risk: DataFrame, chargebacks: DataFrame, duplicates: DataFrame, enrichment: DataFrame, response_codes: DataFrame, labels: DataFrame, refunds: DataFrame
-) -> DataFrame:
-    """One row for each transaction with all that is known of it; nothing is filtered, oddities are flags. All joins but the lookup's are on transaction_id: one partitioning serves them."""
+def _joined(transactions: DataFrame, chargebacks: DataFrame, duplicates: DataFrame, labels: DataFrame, refunds: DataFrame, *more: DataFrame) -> DataFrame:
+    """Transactions with what came of them, and more sides with a row for a transaction. All joins are on transaction_id: one partitioning serves them."""
     refunded = refunds.groupBy("transaction_id").agg(total("refund_amount").alias("_refund"), total("refund_amount", F.col("is_fraud_refund")).alias("_fraud_refund"))
-    risk_ = risk.select("transaction_id", "evaluation_id", "risk_score", "risk_action", "rule_triggered", "decision_source", "evaluation_count", F.lit(True).alias("_evaluated"))
     cb = chargebacks.select("transaction_id", "has_fraud_chargeback", "chargeback_count", "chargeback_amount", "fraud_chargeback_amount", "first_chargeback_at", F.lit(True).alias("_charged"))
     label = labels.select("transaction_id", "first_fraud_label_at", "first_fraud_label_source", "fraud_label_sources", F.lit(True).alias("_labeled"))
     dup = duplicates.select("transaction_id", "is_duplicate_candidate", F.col("first_transaction_id_in_group").alias("duplicate_of_transaction_id"))
     joined = transactions.drop("_ingested_at")
-    for side in (risk_, cb, dup, enrichment.drop("_ingested_at"), label, refunded):
+    for side in (*more, cb, dup, label, refunded):
         joined = joined.join(side, "transaction_id", "left")
-    joined = joined.join(F.broadcast(response_codes.select("issuer_response_code", "decline_type")), "issuer_response_code", "left")  # 13 rows
     false = F.lit(False)
-    joined = joined.withColumns({"_evaluated": F.coalesce("_evaluated", false), "cohort_date": F.col("transaction_date")})
-    joined = joined.withColumns({
-        "is_3ds_authenticated": F.col("three_ds_result") == "authenticated",
-        "decline_source": _decline_source(),
-        "issuer_decline_type": _issuer_decline_type(),
-        "is_settled": F.coalesce(F.col("capture_status") == "captured", false),
-        "evaluation_count": zero("evaluation_count", "bigint"),
+    return joined.withColumns({
+        "cohort_date": F.col("transaction_date"),
         "has_chargeback": F.coalesce("_charged", false),
         "has_fraud_chargeback": F.coalesce("has_fraud_chargeback", false),
         "chargeback_count": zero("chargeback_count", "bigint"),
@@ -68,12 +59,39 @@ def payment_attempts(
         "days_to_fraud_label": days_between("transaction_at", "first_fraud_label_at"),
         "refund_amount": zero("_refund"),
         "fraud_refund_amount": zero("_fraud_refund"),
-        "is_approved_without_risk_evaluation": F.col("is_approved") & ~F.col("_evaluated"),
-        "is_approved_despite_risk_reject": F.coalesce(F.col("is_approved") & (F.col("risk_action") == "reject"), false),
         "is_duplicate_candidate": F.coalesce("is_duplicate_candidate", false),
         "_updated_at": F.current_timestamp(),
     })
-    return joined.select(*[F.col(c).cast(kind).alias(c) for c, kind in schemas.ATTEMPTS.items() if c in joined.columns])
+
+
+def _typed(joined: DataFrame) -> DataFrame:
+    have = set(joined.columns)
+    return joined.select(*[F.col(c).cast(kind).alias(c) for c, kind in schemas.ATTEMPTS.items() if c in have])
+
+
+def sales(transactions: DataFrame, chargebacks: DataFrame, duplicates: DataFrame, labels: DataFrame, refunds: DataFrame) -> DataFrame:
+    """The rows of payment_attempts with the columns that need neither evaluations nor enrichment, of which each transaction has one row at most: all that cohorts sum."""
+    return _typed(_joined(transactions, chargebacks, duplicates, labels, refunds))
+
+
+def payment_attempts(
+    transactions: DataFrame, risk: DataFrame, chargebacks: DataFrame, duplicates: DataFrame, enrichment: DataFrame, response_codes: DataFrame, labels: DataFrame, refunds: DataFrame
+) -> DataFrame:
+    """One row for each transaction with all that is known of it; nothing is filtered, oddities are flags."""
+    risk_ = risk.select("transaction_id", "evaluation_id", "risk_score", "risk_action", "rule_triggered", "decision_source", "evaluation_count", F.lit(True).alias("_evaluated"))
+    joined = _joined(transactions, chargebacks, duplicates, labels, refunds, risk_, enrichment.drop("_ingested_at"))
+    joined = joined.join(F.broadcast(response_codes.select("issuer_response_code", "decline_type")), "issuer_response_code", "left")  # 13 rows
+    false = F.lit(False)
+    joined = joined.withColumn("_evaluated", F.coalesce("_evaluated", false))
+    return _typed(joined.withColumns({
+        "is_3ds_authenticated": F.col("three_ds_result") == "authenticated",
+        "decline_source": _decline_source(),
+        "issuer_decline_type": _issuer_decline_type(),
+        "is_settled": F.coalesce(F.col("capture_status") == "captured", false),
+        "evaluation_count": zero("evaluation_count", "bigint"),
+        "is_approved_without_risk_evaluation": F.col("is_approved") & ~F.col("_evaluated"),
+        "is_approved_despite_risk_reject": F.coalesce(F.col("is_approved") & (F.col("risk_action") == "reject"), false),
+    }))
 
 
 def with_watermarks(attempts: DataFrame, marks: DataFrame) -> DataFrame:

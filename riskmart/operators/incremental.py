@@ -7,13 +7,15 @@ are recomputed whole: those that re-opened rows are in now, and those that they
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Iterable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskmart.config import Config
 from riskmart.functions.columns import seconds
 from riskmart.functions.frames import in_time_blocks
-from riskmart.operators import staging
 from riskmart.sources import files
 from riskmart.sources.files import write_table
 
@@ -54,17 +56,73 @@ def only(df: DataFrame, keys: DataFrame) -> DataFrame:
     return df.join(keys.select("transaction_id"), "transaction_id", "left_semi")
 
 
-def rows_of(raw: DataFrame, key: str, keys: DataFrame) -> DataFrame:
-    """All rows of a feed by its key that name, or have ever named, one of the transactions: staged, they are what the whole feed has of them."""
-    named = raw.join(keys.select(F.col("transaction_id").alias("_id")), F.trim("transaction_id") == F.col("_id"), "left_semi")
-    return named if key == "transaction_id" else raw.join(named.select(F.trim(key).alias("_id")).distinct(), F.trim(key) == F.col("_id"), "left_semi")
+#: Hashes that are sent to all tasks at once, held there with some 50 bytes each; more are joined by a shuffle.
+SENT_HASHES = 4_000_000
+BY_TRANSACTION = "transaction_id"
+
+
+def _hash(*columns: str | Column) -> Column:
+    return F.xxhash64(*columns).alias("_hash")
+
+
+def sent(hashes: DataFrame) -> DataFrame:
+    """Hashes of a written frame, marked to be sent to all tasks if they are not too many."""
+    return F.broadcast(hashes) if hashes.count() <= SENT_HASHES else hashes
+
+
+def having(df: DataFrame, hashes: DataFrame, *columns: str | Column) -> DataFrame:
+    """df's rows whose columns have one of the hashes: all that are meant, and rows that hash alike, which a cut may keep. What is sent once cuts feeds of any size without a shuffle of theirs."""
+    return df.join(hashes, F.xxhash64(*columns) == F.col("_hash"), "left_semi")
+
 
+def _of_feeds(raw: dict[str, DataFrame], ids: dict[str, str], make) -> DataFrame:
+    """The union of make(feed, its rows, its key) over the feeds."""
+    return reduce(DataFrame.unionByName, [make(feed, df, F.trim(ids[feed])) for feed, df in raw.items()])
 
-def payments_of_users(raw: DataFrame, changed: DataFrame, config: Config) -> DataFrame:
-    """Staged transactions of all users of the changed ones: their neighbours and duplicates are among them."""
-    users = staging.transactions(rows_of(raw, "transaction_id", changed), config).where("user_id is not null").select(F.col("user_id").alias("_user")).distinct()
-    theirs = raw.join(users, F.trim("user_id") == F.col("_user"), "left_semi").select(F.trim("transaction_id").alias("transaction_id")).distinct()
-    return staging.transactions(rows_of(raw, "transaction_id", theirs), config)
+
+def changed_transactions(raw: dict[str, DataFrame], ids: dict[str, str], mark, config: Config) -> DataFrame:
+    """transaction_id of raw rows that came since, and of former rows of the same id, which may have named another one; ids gives each feed's key. Written."""
+    late = files.written(_of_feeds(raw, ids, lambda feed, df, key: since(df, mark, config).select(F.lit(feed).alias("feed"), key.alias("id"), F.trim("transaction_id").alias("transaction_id"))), "late")
+    moving = {feed: df for feed, df in raw.items() if ids[feed] != BY_TRANSACTION}
+    named = late.select("transaction_id")
+    if moving:
+        of = sent(late.where(F.col("feed").isin(*moving)).select(_hash("feed", "id")))
+        named = named.unionByName(_of_feeds(moving, ids, lambda feed, df, key: having(df, of, F.lit(feed), key).select(F.trim("transaction_id").alias("transaction_id"))))
+    return files.written(named.where("transaction_id is not null").distinct(), "changed")
+
+
+def payments_near(raw: DataFrame, changed: DataFrame, config: Config) -> DataFrame:
+    """All raw rows of the changed payments, and of those that any of their rows puts within two windows of a changed one of the user: neighbours, and what can be a duplicate of a neighbour. Written.
+
+    A user's other payments are left out: rows are looked up by user and block of time.
+    """
+    n = 2 * config.duplicate_seconds
+    user, second, key = F.trim("user_id"), seconds(F.col("transaction_at").try_cast("timestamp_ntz")), F.trim("transaction_id")
+
+    def block(shift: int) -> Column:
+        return F.floor((second + shift) / (16 * n))
+
+    changed = changed.select(_hash("transaction_id"))
+    around = having(raw, sent(changed), key).select(user.alias("_user"), F.explode(F.array_distinct(F.array(block(-n), block(n)))).alias("_block")).where("_user is not null and _block is not null")
+    reach = sent(files.written(around.select(_hash("_user", "_block")).distinct(), "reach"))
+    near = having(raw.where(user.isNotNull() & second.isNotNull()), reach, user, block(0)).select(_hash(key))
+    return files.written(having(raw, sent(files.written(near.unionByName(changed).distinct(), "near")), key), "context")
+
+
+def reopened(raw: dict[str, DataFrame], ids: dict[str, str], mark, config: Config, cut: Iterable[str]) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:
+    """Affected keys, the payments around them (raw), and for each of the feeds to cut what, staged, has all of those keys. All feeds are looked through for changes."""
+    changed = changed_transactions(raw, ids, mark, config)
+    context = payments_near(raw["raw_transactions"], changed, config)
+    versions = context.select(F.trim("transaction_id").alias("transaction_id"), F.trim("user_id").alias("user_id"), F.col("transaction_at").try_cast("timestamp_ntz").alias("transaction_at"))
+    keys = files.written(changed.unionByName(neighbours(versions, changed, config)).distinct(), "keys")
+    sent_keys = sent(keys.select(_hash("transaction_id")))
+    out = {feed: having(raw[feed], sent_keys, F.trim("transaction_id")) for feed in cut if ids[feed] == BY_TRANSACTION}
+    moving = {feed: raw[feed] for feed in cut if ids[feed] != BY_TRANSACTION}
+    if moving:  # all rows of an id that has ever named one of the keys
+        of = sent(files.written(_of_feeds(moving, ids, lambda feed, df, key: having(df, sent_keys, F.trim("transaction_id")).select(_hash(F.lit(feed), key))).distinct(), "ids"))
+        out |= {feed: having(df, of, F.lit(feed), F.trim(ids[feed])) for feed, df in moving.items()}
+    payments = context.join(keys.select(F.col("transaction_id").alias("_id")), F.trim("transaction_id") == F.col("_id"), "left_semi")
+    return keys, context, out | {"raw_transactions": payments}
 
 
 def merge_by_key(old: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
@@ -74,13 +132,18 @@ def merge_by_key(old: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
 
 def affected_cohorts(old_attempts: DataFrame, new_attempts: DataFrame) -> DataFrame:
     """cohort_date of re-opened rows, as it was and as it is."""
-    was = old_attempts.join(new_attempts.select("transaction_id"), "transaction_id", "left_semi")
+    was = having(old_attempts, sent(new_attempts.select(_hash("transaction_id"))), "transaction_id")
     return was.select("cohort_date").unionByName(new_attempts.select("cohort_date")).distinct()
 
 
+def of_cohorts(df: DataFrame, cohorts: DataFrame, how: str = "left_semi") -> DataFrame:
+    """df's rows of the cohorts, or with left_anti those of others; sales without a date are a cohort too."""
+    return df.join(F.broadcast(cohorts.select(F.col("cohort_date").alias("_cohort"))), F.col("cohort_date").eqNullSafe(F.col("_cohort")), how)  # a row a day
+
+
 def replace_cohorts(old: DataFrame, new: DataFrame, cohorts: DataFrame) -> DataFrame:
     """old without the cohorts, and new: a cohort that is empty now is gone."""
-    return old.join(cohorts.select("cohort_date"), "cohort_date", "left_anti").unionByName(new, allowMissingColumns=True)
+    return of_cohorts(old, cohorts, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
 #: Hash buckets of a keyed table, set when it is made.

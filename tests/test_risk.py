@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from riskmart.config import Config
 from riskmart.functions.frames import latest_by
 from riskmart.operators import aggregates, features, incremental, intermediate, quality, snapshot, staging
-from riskmart.plans import dag, semantic
+from riskmart.plans import dag, queries, semantic
 from riskmart.plans.dag import Warehouse
 from riskmart.sources import lookups
 from riskmart.sources.files import raw_rows
@@ -216,6 +216,41 @@ def test_moved_sale_recomputes_both_cohorts(spark, seed):
     assert {r[0] for r in cohorts.collect()} == {date(2026, 3, 1), date(2026, 3, 2)}
 
 
+@pytest.fixture(scope="module")
+def moving(spark):
+    """A payment, an evaluation and a chargeback that move after the cut, away from what they were beside, and a payment that loses its date."""
+    may, june = "2001-05-01 ", "2001-06-20 10:00:00"
+    tx = [(f"t{i}", f"u{i // 2}", f"{may}10:00:{i % 2}0", "9.00", "approved", "credit_card", may + "10:05:00") for i in range(8)] + [("far", "u0", "2001-04-01 10:00:00", "9.00", "approved", "credit_card", may + "10:05:00")]
+    moved = [("t0", "u0", "2001-05-03 10:00:00", "9.00", "approved", "credit_card", june), ("t2", "u7", may + "10:00:00", "9.00", "approved", "credit_card", june), ("t4", "u2", None, "9.00", "approved", "credit_card", june)]
+    return Warehouse(spark, feeds(
+        spark, tx + moved, [("e1", "t5", may + "10:00:00", "50", "approve", None, may + "10:05:00"), ("e1", "t6", may + "10:00:00", "50", "approve", None, june)],
+        [("c1", "t7", may + "11:00:00", "10.4", "9.00", may + "11:05:00"), ("c1", "t6", may + "11:00:00", "10.4", "9.00", june)],
+        raw_payment_enrichment=[("t7", "m", "o1", "br", "visa", "f", "4", "", "00", "captured", None, "2", "brl", june)],
+    ), Config())
+
+
+@pytest.mark.parametrize("limit", [4_000_000, 0])  # sent to all tasks, or joined by shuffles
+@pytest.mark.parametrize("name", ["incremental_merge", "cohort_reprocess"])
+def test_what_moves_away_is_made_anew(moving, monkeypatch, name, limit):
+    monkeypatch.setattr(incremental, "SENT_HASHES", limit, raising=False)
+    made, whole = {"incremental_merge": (queries._incremental_merge, "payment_attempts"), "cohort_reprocess": (queries._cohort_reprocess, "cohort_daily")}[name]
+    found, expected = (sorted(map(repr, queries.finished(df).collect())) for df in (made(moving), moving(whole)))
+    assert found == expected
+
+
+def test_reopened_reads_what_is_in_reach(spark, moving):
+    raw = {k: moving.raw[k] for k in ("raw_transactions", "raw_risk_evaluations", "raw_chargebacks")}
+    keys, context, cut = incremental.reopened(raw, queries.FEEDS, queries.CUT, moving.config, raw)
+    assert {r[0] for r in keys.collect()} == {"t0", "t1", "t2", "t3", "t4", "t5", "t6", "t7"}
+    assert {r.transaction_id for r in context.collect()} == {f"t{i}" for i in range(8)}  # not the user's payment of another month
+    assert {k: df.count() for k, df in cut.items()} == {"raw_transactions": 11, "raw_risk_evaluations": 2, "raw_chargebacks": 2}
+
+
+def test_sales_are_attempts_of_fewer_columns(moving):
+    sales = queries._sales(moving).drop("_updated_at")
+    assert sorted(map(repr, sales.collect())) == sorted(map(repr, moving("payment_attempts").select(*sales.columns).collect()))
+
+
 def test_upsert_creates_and_merges(spark, tmp_path):
     path = str(tmp_path / "features")
     incremental.upsert(spark, spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), path, "k")
